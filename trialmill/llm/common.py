@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,8 +41,8 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
-def bit_filter(keys: DataFrame, key: str, n_keys: int, bits_per_key: int = 64) -> DataFrame:
-    """A one-hash Bloom filter over ``keys[key]`` as rows (bucket, bitmap), at most MAX_FILTER_BITS in all.
+def bit_filter(keys: DataFrame, on: Sequence[str], n_keys: int, bits_per_key: int = 64) -> DataFrame:
+    """A one-hash Bloom filter over the columns ``on`` as rows (bucket, bitmap, bits), at most MAX_FILTER_BITS in all.
 
     It has no false negatives. Beyond the bound it fills up and passes more rows, so callers
     that check the passing rows exactly stay right at any size.
@@ -47,7 +50,7 @@ def bit_filter(keys: DataFrame, key: str, n_keys: int, bits_per_key: int = 64) -
     bits = BUCKET_BITS
     while bits < min(MAX_FILTER_BITS, n_keys * bits_per_key):
         bits *= 2
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+    slot = F.pmod(F.xxhash64(*on), F.lit(bits))
     return (
         keys.select(slot.alias("slot"))
         .groupBy(F.floor(F.col("slot") / BUCKET_BITS).alias("bucket"))
@@ -56,16 +59,37 @@ def bit_filter(keys: DataFrame, key: str, n_keys: int, bits_per_key: int = 64) -
     )
 
 
-def passing(df: DataFrame, key: str, filt: DataFrame, bits: int) -> DataFrame:
-    """Rows of ``df`` whose key may be in the filter. The filter is broadcast: its size is bounded above."""
-    cols = df.columns
-    slot = F.pmod(F.xxhash64(key), F.lit(bits))
+def _bit() -> Column:
+    """Whether the bit of __slot is set in the bitmap beside it; null without a bitmap."""
     bit = F.col("__slot") % BUCKET_BITS
-    byte = F.conv(F.hex(F.substring(F.col("bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    return (
-        df.withColumn("__slot", slot)
-        .withColumn("bucket", F.floor(F.col("__slot") / BUCKET_BITS))
-        .join(F.broadcast(filt.drop("bits")), "bucket")
-        .filter(F.shiftright(byte, 0).bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0)
-        .select(*cols)
-    )
+    byte = F.conv(F.hex(F.substring(F.col("__bitmap"), (bit / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    return byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (bit % 8).cast("int"))) != 0
+
+
+def _probed(df: DataFrame, on: Sequence[str], filt: DataFrame) -> DataFrame:
+    bits = filt.select("bits").first()
+    bits = bits[0] if bits else BUCKET_BITS
+    maps = filt.select(F.col("bucket").alias("__bucket"), F.col("bitmap").alias("__bitmap"))
+    probed = df.withColumn("__slot", F.pmod(F.xxhash64(*on), F.lit(bits))).withColumn("__bucket", F.floor(F.col("__slot") / BUCKET_BITS))
+    return probed.join(F.broadcast(maps), "__bucket", "left")
+
+
+def passing(df: DataFrame, on: Sequence[str], filt: DataFrame) -> DataFrame:
+    """Rows of ``df`` whose key may be in the (stored) filter. It is broadcast: its size is bounded above."""
+    return _probed(df, on, filt).filter(_bit()).select(*df.columns)
+
+
+def without(df: DataFrame, keys: DataFrame, on: Sequence[str], path: str) -> DataFrame:
+    """``df`` without the rows whose columns ``on`` equal a row of ``keys`` (null equals null).
+
+    Only rows that may match, by a bounded bit filter, are shuffled to the exact anti-join.
+    """
+    n = keys.count()
+    if not n:
+        return df
+    filt = store(bit_filter(keys, on, n), f"{path}/dropped")
+    probed = _probed(df, on, filt).withColumn("__maybe", F.coalesce(_bit(), F.lit(False)))
+    clear = probed.filter(~F.col("__maybe")).select(*df.columns)
+    maybe = probed.filter("__maybe").select(*df.columns)
+    same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on])
+    return clear.unionByName(maybe.alias("a").join(keys.select(*on).alias("b"), same, "left_anti"))

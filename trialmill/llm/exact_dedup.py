@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialmill.llm.common import bit_filter, passing, shared_dir, store
+from trialmill.llm.common import bit_filter, passing, shared_dir, store, without
 
 #: Parquet options of runs and levels: a Bloom filter on the digest in each file.
 FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
@@ -74,9 +74,8 @@ class MergeIndex:
         single = self.level.filter("n = 1")
         if not n_hits:
             return single, None
-        filt = store(bit_filter(hits, "digest", n_hits), f"{self.path}/filter")
-        bits = filt.select("bits").first()[0]
-        suspects = passing(texts, "digest", filt, bits)
+        filt = store(bit_filter(hits, ["digest"], n_hits), f"{self.path}/filter")
+        suspects = passing(texts, ["digest"], filt)
         by_text = suspects.groupBy("digest", "text").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n"))
         by_digest = by_text.groupBy("digest").agg(
             F.count("*").alias("variants"), self._stays("keep_id").alias("keep_id"), F.sum("n").alias("n")
@@ -121,23 +120,20 @@ def deduplicate(
 ) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: one for each distinct text.
 
-    Dropped rows are found by (id, digest). Where the corpus has few of them, Spark can broadcast
-    that list; otherwise both sides shuffle once.
+    Only rows that may be dropped, or may be there twice, are shuffled.
     """
-    found = find_duplicates(docs, id_col, text_col, keep, digest)
     path = shared_dir(docs.sparkSession)
-    found = store(found, f"{path}/found")
+    found = store(find_duplicates(docs, id_col, text_col, keep, digest), f"{path}/found")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(id_col).alias("id"), digest(text).alias("digest"))
-    dropped = found.filter(~F.col("kept")).select("id", "digest").distinct()
-    left, right = rows.alias("a"), dropped.alias("b")
+    dropped = store(found.filter(~F.col("kept")).select("id", "digest").distinct(), f"{path}/ids")
+    kept = without(rows, dropped, ["id", "digest"], f"{path}/first")
+    twice = found.filter("kept").groupBy("id", "digest").count().filter("count > 1").select("id", "digest")
+    twice = store(twice, f"{path}/twice")
+    if twice.isEmpty():
+        return kept.select("row.*")
+    once = without(kept, twice, ["id", "digest"], f"{path}/second")
     same = F.col("a.id").eqNullSafe(F.col("b.id")) & (F.col("a.digest") == F.col("b.digest"))
-    kept = left.join(right, same, "left_anti").select("row", "id", "digest")
-    again = found.filter("kept").groupBy("id", "digest").count().filter("count > 1").select("id", "digest")
-    again = store(again, f"{path}/again")
-    if not again.isEmpty():  # rows with equal id and text: the least of them, as JSON, stays
-        twice = kept.alias("a").join(again.alias("b"), same, "left_semi")
-        one = twice.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))
-        once = kept.alias("a").join(again.alias("b"), same, "left_anti")
-        kept = once.select("row").unionByName(one.select("row"))
-    return kept.select("row.*")
+    again = kept.alias("a").join(twice.alias("b"), same, "left_semi")
+    one = again.groupBy("id", "digest").agg(F.min_by("row", F.to_json("row")).alias("row"))  # the least, as JSON, stays
+    return once.select("row.*").unionByName(one.select("row.*"))

@@ -5,15 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmill.llm import exact_dedup, mixing, sharding
+from trialmill.llm import exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter
 
 N_SHARDS = 40
+#: Words in a bin.
+CAPACITY = 2048
+URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
+#: A host is blocked if its posterior share of bad pages is over this, by the lower bound.
+BAD_LIMIT = 0.3
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = packing.pack(documents(spark, sf_dir), capacity=CAPACITY)
+    return packed.withColumnRenamed("id", "doc_id")
+
+
+def held_out(doc_id) -> object:
+    """Documents that language models never learn from."""
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 3 == 1, F.lit(False))
+
+
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = langid.train(docs, ~held_out("doc_id") & F.col("doc_id").isNotNull())
+    found = langid.identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out("doc_id").alias("held_out"), "language.lang_pred", "language.score", "language.runner_up", "language.ambiguous")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality.cascade(documents(spark, sf_dir).select("doc_id", "text"))
+    return judged.select("doc_id", "quality.*")
+
+
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.find_duplicates(documents(spark, sf_dir), keep="max")
     return found.select(
@@ -21,6 +48,16 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
+    base = F.col("secrets.base")
+    n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    return found.select(
+        "doc_id", n("assign"), n("access"), n("hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"),
+        secrets.listed(F.concat(base, F.col("secrets.added"))).alias("spans"),
+    )
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.shard_by_bytes(documents(spark, sf_dir), N_SHARDS)
     return placed.select(
@@ -34,9 +71,57 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
-QUERIES = {"op4_exact_dedup": op4_exact_dedup, "op6_sharding": op6_sharding, "op7_mixing": op7_mixing}
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = jaccard_join.components(documents(spark, sf_dir))
+    return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(host, bad) of labelled pages: the number that ends a page's path is the doc_id of its labels."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("url")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    number = F.regexp_extract(url_filter.path_of(F.col("url")), r"/([0-9]{1,18})(?:\.[a-z]+)?/?$", 1)
+    named = pages.select(url_filter.host_of(F.col("url")).alias("host"), number.try_cast("long").alias("doc_id"))
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    return named.join(labels, "doc_id").select("host", bad.alias("bad")).filter("bad IS NOT NULL")
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
+    judged = url_filter.judge(pages, page_outcomes(spark, sf_dir), URL_RULES, BAD_LIMIT)
+    return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
+    return pages.select("page_id", html_text.extract(F.col("html")).alias("x")).select("page_id", "x.*")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_best_fit_packing, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_secret_scan, op6_sharding,
+        op7_mixing, op8_jaccard_join, op9_url_filter, op10_html_extraction,
+    )
+}
 
 ORACLE_SQL = {
+    "op8_jaccard_join": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + least(5, len(w)) - 1], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        p AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY 1, 2
+            HAVING 100 * count(*) >= 80 * ((SELECT n FROM n WHERE doc_id = a.doc_id) + (SELECT n FROM n WHERE doc_id = b.doc_id) - count(*))),
+        c(a, b) AS (SELECT a, b FROM p UNION SELECT c.a, p.b FROM c JOIN p ON c.b = p.a),
+        m AS (SELECT a AS doc_id, min(b) AS b FROM c GROUP BY 1)
+        SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(m.b, doc_id)) AS component_id
+        FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id)
+    """,
     "op4_exact_dedup": """
         WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256, coalesce(text, '') AS t FROM documents),
         g AS (SELECT t, max(doc_id) AS keep_id, count(*) AS group_size FROM d GROUP BY t)
