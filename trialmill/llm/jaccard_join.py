@@ -5,17 +5,19 @@ threshold, exactly, and names each document's connected component.
 
 1. Every text becomes a sorted set of 64-bit shingle hashes. Documents with equal sets form a
    class; only its first document goes on, so copies cost nothing.
-2. Candidates are lossless: with shingles in one global order (frequent ones, found on a sample of
-   documents, last), two similar sets share a shingle among their first n - ceil(t n) + 1. Each
-   shingle links its classes to one of them, and connected components of these links are clusters:
-   no link leaves a cluster.
-3. Each cluster is joined by a signature tree: leaves hold a bitmap and a size, inner nodes the OR
-   of the bitmaps and the range of sizes. A dual traversal of the tree with itself skips pairs of nodes
-   whose largest possible overlap is too small, or that are connected already; what is left is compared
-   set by set.
-4. A cluster of over ``max_cluster`` classes is cut into blocks, by hash. Blocks are joined
-   alone, then one member of each component found so far with others like it; at last every class outside its cluster's
-   largest component meets all blocks. No pair of unconnected classes goes unseen.
+2. Candidate groups are lossless: with shingles in one global order (frequent ones, found on a
+   sample of documents, last), two similar sets share a shingle among their first n - ceil(t n) + 1.
+   Classes that share one form a group; of groups with the same members one is enough.
+3. A signature tree joins each group: leaves hold a bitmap of the set and its size, inner nodes the OR of
+   the bitmaps and the range of sizes. A dual traversal of the tree with itself skips pairs of nodes whose
+   largest possible overlap is too small, or that are connected already. Pairs of leaves that pass
+   connect their classes; connected components are the clusters. No link leaves a cluster, and
+   clusters hold little else than links.
+4. The sets of each cluster meet in one task, and a signature tree finds the links, set against set.
+5. A cluster of over ``max_cluster`` classes is cut into blocks, by hash. Blocks are joined
+   alone, then one member of each component found so far with others like it; at last every class outside
+   its cluster's largest component meets all blocks. No pair of unconnected classes goes unseen. (A group
+   of so many classes is not joined: it becomes one cluster.)
 
 Defined cases: null or wordless texts have no shingles and link with nothing. Rows without an id get
 their own n_shingles, a null component, and take no part in links. Rows that share an id are one
@@ -25,7 +27,7 @@ Texts are read whole; other columns are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -107,81 +109,103 @@ class Groups:
         self.up[max(a, b)] = min(a, b)
 
 
+def bit_width(n: int) -> int:
+    """Bits of a set's bitmap, as a power of two: at least two for each element, within bounds. Similar sets differ by one step at most."""
+    return min(max((2 * n - 1).bit_length(), 6), 16)
+
+
+def bitmap(tokens: np.ndarray) -> bytes:
+    """The bitmap of a set: the bit that the low bits of each hash name."""
+    width = bit_width(len(tokens))
+    marks = np.zeros(1 << width, np.uint8)
+    marks[(tokens & np.uint64((1 << width) - 1)).astype(np.int64)] = 1
+    return np.packbits(marks, bitorder="little").tobytes()
+
+
 class Node:
-    """A node of the signature tree: OR of bitmaps, range of sizes, most tokens beyond distinct bits."""
+    """A node of the signature tree: OR of bitmaps, range of sizes, most elements beyond distinct bits."""
 
     __slots__ = ("bits", "children", "high", "low", "members", "slack")
 
-    def __init__(self, children: Sequence[Node], members: Sequence[int], bits: int, low: int, high: int, slack: int) -> None:
-        self.children, self.members = children, members
-        self.bits, self.low, self.high, self.slack = bits, low, high, slack
+    def __init__(self, bits: int, low: int, high: int, slack: int, children: Sequence[Node] = (), members: Sequence[int] = ()) -> None:
+        self.bits, self.low, self.high, self.slack, self.children, self.members = bits, low, high, slack, children, members
 
 
-def _over(children: Sequence[Node], members: Sequence[int] = ()) -> Node:
-    bits = 0
-    for c in children:
-        bits |= c.bits
-    return Node(() if members else children, members, bits, min(c.low for c in children), max(c.high for c in children), max(c.slack for c in children))
+class SignatureTree:
+    """Trees over sets, by their sizes and bitmaps: one for each width of bitmaps, and one folded to the next smaller width.
 
+    ``exact`` may say whether two sets (by position) are similar; without it, what the bitmaps cannot rule out is.
+    """
 
-class SignatureTree:
-    """Sets in the order of their sizes, LEAF to a leaf and LEAF children to a node."""
-
-    def __init__(self, sets: Sequence[np.ndarray], percent: int = PERCENT) -> None:
-        self.sets, self.percent = sets, percent
-        self.sizes = [len(s) for s in sets]
-        width = 6
-        while width < 16 and (1 << width) < 2 * max(self.sizes):
-            width += 1
-        shift, n_bytes = np.uint64(64 - width), 1 << (width - 3)
-        self.bits = []
-        for s in sets:
-            marks = np.zeros(1 << width, np.uint8)
-            marks[(s >> shift).astype(np.int64)] = 1
-            self.bits.append(int.from_bytes(np.packbits(marks)[:n_bytes].tobytes(), "big"))
-        self.order = sorted(range(len(sets)), key=lambda i: self.sizes[i])
-
-    def over(self, chosen: Sequence[int]) -> Node:
-        """The tree over some of the sets, given in the order of sizes."""
-        entry = lambda i: Node((), (i,), self.bits[i], self.sizes[i], self.sizes[i], self.sizes[i] - self.bits[i].bit_count())
-        nodes = [_over([entry(i) for i in chosen[at : at + LEAF]], chosen[at : at + LEAF]) for at in range(0, len(chosen), LEAF)]
+    def __init__(self, sizes: Sequence[int], bitmaps: Sequence[bytes], exact: Callable[[int, int], bool] | None = None, percent: int = PERCENT) -> None:
+        self.sizes, self.exact, self.percent = sizes, exact, percent
+        self.bits = [int.from_bytes(b, "little") for b in bitmaps]
+        self.by_width: dict[int, list[int]] = {}
+        for i in sorted(range(len(sizes)), key=sizes.__getitem__):
+            self.by_width.setdefault(bit_width(sizes[i]), []).append(i)
+
+    def folded(self, chosen: Sequence[int], width: int) -> dict[int, int]:
+        """Bitmaps of sets of the next larger width, halved."""
+        half = 1 << width
+        return {i: (self.bits[i] | self.bits[i] >> half) & ((1 << half) - 1) for i in chosen}
+
+    def tree(self, chosen: Sequence[int], bits: dict[int, int] | list[int]) -> Node:
+        """The tree over some of the sets, given in the order of sizes: LEAF sets to a leaf, LEAF children to a node."""
+        nodes = []
+        for at in range(0, len(chosen), LEAF):
+            part = chosen[at : at + LEAF]
+            union = 0
+            for i in part:
+                union |= bits[i]
+            slack = max(self.sizes[i] - bits[i].bit_count() for i in part)
+            nodes.append(Node(union, self.sizes[part[0]], self.sizes[part[-1]], slack, members=part))
         while len(nodes) > 1:
-            nodes = [_over(nodes[at : at + LEAF]) for at in range(0, len(nodes), LEAF)]
+            above = []
+            for at in range(0, len(nodes), LEAF):
+                part, union = nodes[at : at + LEAF], 0
+                for node in part:
+                    union |= node.bits
+                above.append(Node(union, part[0].low, part[-1].high, max(x.slack for x in part), children=part))
+            nodes = above
         return nodes[0]
 
     def may_link(self, a: Node, b: Node) -> bool:
-        """False if no set below a can be similar to one below b."""
+        """False if no set below a can be similar to one below b: the maximum possible overlap is too small."""
         p = self.percent
         if 100 * a.high < p * b.low or 100 * b.high < p * a.low:
             return False
         overlap = min((a.bits & b.bits).bit_count() + min(a.slack, b.slack), a.high, b.high)
         return (100 + p) * overlap >= p * (a.low + b.low)
 
-    def linked(self, i: int, j: int) -> bool:
+    def linked(self, i: int, j: int, x: int, y: int) -> bool:
         p, both = self.percent, self.sizes[i] + self.sizes[j]
-        x, y = self.bits[i], self.bits[j]
         shared = x & y
         most = min(self.sizes[i] - (x ^ shared).bit_count(), self.sizes[j] - (y ^ shared).bit_count())
-        if (100 + p) * most < p * both:
-            return False
-        a, b = (self.sets[i], self.sets[j]) if self.sizes[i] <= self.sizes[j] else (self.sets[j], self.sets[i])
-        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
-        return (100 + p) * int((b[at] == a).sum()) >= p * both
+        return (100 + p) * most >= p * both and (self.exact is None or self.exact(i, j))
 
-    def join(self, groups: Groups, left: Sequence[int] | None = None) -> None:
+    def join(self, groups: Groups, left: set[int] | None = None) -> None:
         """Connect all similar pairs in ``groups``; with ``left``, those of one of these sets with any."""
-        whole = self.over(self.order)
-        if left is None:
-            todo = [(whole, whole)]
-        else:
-            chosen = set(left)
-            todo = [(self.over([i for i in self.order if i in chosen]), whole)] if chosen else []
+        for width, chosen in self.by_width.items():
+            mine = chosen if left is None else [i for i in chosen if i in left]
+            whole = self.tree(chosen, self.bits)
+            if mine:
+                self._descend(whole if left is None else self.tree(mine, self.bits), self.bits, whole, self.bits, groups)
+            if larger := self.by_width.get(width + 1):
+                halved = self.folded(larger, width)
+                other = self.tree(larger, halved)
+                if mine:
+                    self._descend(whole if left is None else self.tree(mine, self.bits), self.bits, other, halved, groups)
+                if left is not None and (theirs := [i for i in larger if i in left]):
+                    self._descend(whole, self.bits, self.tree(theirs, halved), halved, groups)
+
+    def _descend(self, a: Node, a_bits: object, b: Node, b_bits: object, groups: Groups) -> None:
+        todo = [(a, b)]
         while todo:
             a, b = todo.pop()
             if not self.may_link(a, b):
                 continue
             if a.members and b.members:
-                self._compare(a, b, groups)
+                self._compare(a, a_bits, b, b_bits, groups)
             elif a is b:
                 kids = a.children
                 todo.extend((kids[i], kids[j]) for i in range(len(kids)) for j in range(i, len(kids)))
@@ -190,27 +214,41 @@ class SignatureTree:
             else:
                 todo.extend((a, c) for c in b.children)
 
-    def _compare(self, a: Node, b: Node, groups: Groups) -> None:
-        roots = {groups.root(i) for i in a.members} | {groups.root(i) for i in b.members}
-        if len(roots) == 1:
+    def _compare(self, a: Node, a_bits: object, b: Node, b_bits: object, groups: Groups) -> None:
+        root = groups.root
+        if len({root(i) for i in a.members} | {root(i) for i in b.members}) == 1:
             return
         for i in a.members:
             for j in b.members:
-                if (a is not b or i < j) and i != j and groups.root(i) != groups.root(j) and self.linked(i, j):
+                if (a is not b or i < j) and i != j and root(i) != root(j) and self.linked(i, j, a_bits[i], b_bits[j]):
                     groups.join(i, j)
 
 
-def join_sets(ids: Sequence[int], sets: Sequence[np.ndarray], percent: int = PERCENT, left: Sequence[int] | None = None, known: Sequence[object] | None = None) -> list[tuple[int, int]]:
+def _links_in(ids: Sequence[int], groups: Groups) -> list[tuple[int, int]]:
+    """(id, smallest id of its group) for all but the smallest; ids ascend."""
+    return [(ids[k], ids[groups.root(k)]) for k in range(len(ids)) if groups.root(k) != k]
+
+
+def join_sets(
+    ids: Sequence[int], sets: Sequence[np.ndarray], percent: int = PERCENT, left: Sequence[int] | None = None, known: Sequence[object] | None = None
+) -> list[tuple[int, int]]:
     """Links (id, smallest id of its group) among some sets; ``known`` labels say what is connected already."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    place = {i: k for k, i in enumerate(order)}
-    groups = Groups(len(ids))
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    sets, groups = [sets[i] for i in order], Groups(len(ids))
     if known is not None:
         seen: dict[object, int] = {}
         for k, i in enumerate(order):
             groups.join(seen.setdefault(known[i], k), k)
-    SignatureTree([sets[i] for i in order], percent).join(groups, None if left is None else [place[i] for i in left])
-    return [(ids[i], ids[order[groups.root(k)]]) for k, i in enumerate(order) if groups.root(k) != k]
+    sizes = [len(s) for s in sets]
+
+    def exact(i: int, j: int) -> bool:
+        a, b = (sets[i], sets[j]) if sizes[i] <= sizes[j] else (sets[j], sets[i])
+        at = np.minimum(np.searchsorted(b, a), len(b) - 1)
+        return (100 + percent) * int((b[at] == a).sum()) >= percent * (sizes[i] + sizes[j])
+
+    chosen = None if left is None else {k for k, i in enumerate(order) if i in set(left)}
+    SignatureTree(sizes, [bitmap(s) for s in sets], exact, percent).join(groups, chosen)
+    return _links_in([ids[i] for i in order], groups)
 
 
 def connected_components(edges: DataFrame, path: str, rounds: int = 40) -> DataFrame:
@@ -240,7 +278,7 @@ def connected_components(edges: DataFrame, path: str, rounds: int = 40) -> DataF
 
 
 def _sketches(docs: DataFrame, path: str, percent: int, k: int) -> DataFrame:
-    """For each row: id, n, digest of the set (d1, d2), prefix."""
+    """For each row: id, n, digest of the set (d1, d2), bitmap, prefix."""
     spark = docs.sparkSession
 
     def all_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -261,26 +299,62 @@ def _sketches(docs: DataFrame, path: str, percent: int, k: int) -> DataFrame:
                 for text in part["text"]:
                     s = shingles(text, k)
                     first = prefix(s, frequent.value, percent).view(np.int64) if len(s) else np.empty(0, np.int64)
-                    rows.append((len(s), int(s.sum(dtype=np.uint64).view(np.int64)), int(_mixed(s ^ _MIX1).sum(dtype=np.uint64).view(np.int64)), first))
-                n, d1, d2, prefixes = zip(*rows, strict=True)
-                yield pd.DataFrame({"id": part["id"].array, "n": n, "d1": d1, "d2": d2, "prefix": prefixes})
+                    d1, d2 = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mixed(s ^ _MIX1)))
+                    rows.append((len(s), d1, d2, bitmap(s) if len(s) else b"", first))
+                yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bits", "prefix"]).assign(id=part["id"].array)
 
-    return store(docs.mapInPandas(sketch, "id long, n long, d1 long, d2 long, prefix array<long>"), f"{path}/sketches")
+    return store(docs.mapInPandas(sketch, "id long, n long, d1 long, d2 long, bits binary, prefix array<long>"), f"{path}/sketches")
 
 
-def _clusters(sketches: DataFrame, path: str) -> DataFrame:
-    """(d1, cluster) for classes that share a prefix shingle with another."""
-    rows = sketches.filter("n > 0 AND id IS NOT NULL").select("d1", F.explode("prefix").alias("token"))
-    shared = rows.groupBy("token").agg(F.min("d1").alias("pivot"), F.max("d1").alias("last")).filter("pivot < last").select("token", "pivot")
-    shared = store(shared, f"{path}/shared")
-    n = shared.count()
+def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int, max_group: int) -> DataFrame:
+    """(d1, cluster) for classes that may be linked with another."""
+    linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2", "bits", "prefix")
+    copies = linkable.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).filter("id != rep").select("id").distinct()
+    rows = without(linkable, store(copies, f"{path}/copies"), ["id"], f"{path}/firsts").select("d1", "n", "bits", F.explode("prefix").alias("token"))
+    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("d1").cast("decimal(38,0)")).alias("s1"), F.bit_xor("d1").alias("s2"))
+    groups = store(groups.filter("size > 1").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
+    n = groups.count()
     if not n:
-        return shared.select(F.col("pivot").alias("d1"), F.col("pivot").alias("cluster"))
-    filt = store(bit_filter(shared, ["token"], n, 16), f"{path}/tokens")
-    links = passing(rows, ["token"], filt).join(shared, "token").filter("d1 != pivot").select(F.col("d1").alias("u"), F.col("pivot").alias("v")).distinct()
+        return classes.limit(0).select("d1", F.col("d1").alias("cluster"))
+    filt = store(bit_filter(groups, ["token"], n, 16), f"{path}/tokens")
+    grouped = passing(rows, ["token"], filt).join(groups, "token")
+
+    def join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def links(rows: list[tuple]) -> list[tuple[int, int]]:
+            rows = sorted({r.d1: r for r in rows}.values(), key=lambda r: r.d1)
+            found = Groups(len(rows))
+            SignatureTree([r.n for r in rows], [r.bits for r in rows], None, percent).join(found)
+            return _links_in([r.d1 for r in rows], found)
+
+        for group in _runs(batches, "token"):
+            if found := links(group):
+                yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
+
+    small = grouped.filter(F.col("size") <= max_group).select("token", "d1", "n", "bits")
+    links = small.repartition("token").sortWithinPartitions("token").mapInPandas(join_groups, "u long, v long")
+    pivots = groups.filter(F.col("size") > max_group).select("token")
+    if not pivots.isEmpty():
+        large = grouped.filter(F.col("size") > max_group).select("token", "d1")
+        pivots = large.groupBy("token").agg(F.min("d1").alias("v"))
+        links = links.unionByName(large.join(pivots, "token").filter("d1 != v").select(F.col("d1").alias("u"), "v"))
     return connected_components(links, f"{path}/clusters").toDF("d1", "cluster")
 
 
+def _runs(batches: Iterator[pd.DataFrame], key: str) -> Iterator[list[tuple]]:
+    """Runs of rows with one key, from batches that are sorted by it."""
+    held: list[tuple] = []
+    at = None
+    for batch in batches:
+        for row in batch.itertuples(index=False):
+            if (k := getattr(row, key)) != at:
+                if held:
+                    yield held
+                held, at = [], k
+            held.append(row)
+    if held:
+        yield held
+
+
 def _set_of(row: tuple) -> np.ndarray:
     return np.frombuffer(row, np.uint64)
 
@@ -291,19 +365,25 @@ def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, max_cl
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = _sketches(narrow, path, percent, k)
     classes = store(sketches.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), f"{path}/classes")
-    members = store(classes.join(_clusters(sketches, path), "d1").select("rep", "d1", "d2", "n", "cluster"), f"{path}/members")
+    members = store(classes.join(_clusters(sketches, classes, path, percent, max_cluster), "d1").select("rep", "d1", "d2", "n", "cluster"), f"{path}/members")
     sizes = store(members.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1"), f"{path}/sizes")
     n_members = members.count()
     links = _links(narrow, members, sizes, n_members, path, percent, k, max_cluster) if n_members else None
+    linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2")
+    same = linkable.groupBy("id").agg((F.min("d1") < F.max("d1")).alias("a"), (F.min("d2") < F.max("d2")).alias("b")).filter("a OR b").select("id")
+    same = store(same, f"{path}/same_id")
+    if not same.isEmpty():  # an id with several texts holds their classes together
+        pairs = linkable.join(same, "id").join(classes, ["d1", "d2", "n"]).select("id", "rep").distinct()
+        ties = pairs.join(pairs.groupBy("id").agg(F.min("rep").alias("low")), "id").filter("rep != low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
+        if links is not None:
+            ties = ties.unionByName(links.select(F.col("id").alias("u"), F.col("component").alias("v")))
+        links = connected_components(ties, f"{path}/ids").toDF("id", "component")
     named = classes.select("d1", "d2", "n", "rep")
     if links is not None:
-        # ids that share several texts, and links, can chain components
-        one_id = classes.groupBy("rep").count().filter("count > 1").isEmpty()
-        labels = links if one_id else connected_components(links.select(F.col("id").alias("u"), F.col("component").alias("v")), f"{path}/ids").toDF("id", "component")
-        named = named.join(labels.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+        named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
     else:
         named = named.withColumnRenamed("rep", "component")
-    linked = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2").join(named, ["d1", "d2", "n"]).select("id", "n", "component")
+    linked = linkable.join(named, ["d1", "d2", "n"]).select("id", "n", "component")
     alone = sketches.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     out = linked.unionByName(alone).withColumnRenamed("n", "n_shingles")
     return out
@@ -326,16 +406,9 @@ def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: i
             found = {(r.id, r.d2): s for r in rows if (s := own_set(r)) is not None}
             return join_sets([i for i, _ in found], list(found.values()), percent) if len(found) > 1 else []
 
-        held: list[tuple] = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in batch.itertuples(index=False):
-                if held and held[0].cluster != row.cluster:
-                    out += links(held)
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(out, columns=["id", "component"], dtype=np.int64)
-        yield pd.DataFrame(links(held), columns=["id", "component"], dtype=np.int64)
+        for cluster in _runs(batches, "cluster"):
+            if found := links(cluster):
+                yield pd.DataFrame(found, columns=["id", "component"], dtype=np.int64)
 
     small = texts.filter(F.col("size") <= max_cluster).select(columns)
     found = small.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(join_clusters, "id long, component long")
@@ -371,17 +444,9 @@ def _large_clusters(sets: DataFrame, path: str, percent: int, block: int) -> Dat
             known = [label for _, label in found.values()]
             return join_sets(ids, [_set_of(t) for _, t in found], percent, None if len(left) == len(ids) else left, known)
 
-        held: list[tuple] = []
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            for row in batch.itertuples(index=False):
-                if held and held[0].unit != row.unit:
-                    out += links(held)
-                    held = []
-                held.append(row)
-            yield pd.DataFrame(out, columns=["u", "v"], dtype=np.int64)
-        if held:
-            yield pd.DataFrame(links(held), columns=["u", "v"], dtype=np.int64)
+        for unit in _runs(batches, "unit"):
+            if found := links(unit):
+                yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
     def run(rows: DataFrame, name: str) -> DataFrame:
         rows = rows.select("unit", "id", "tokens", "left", "label")
