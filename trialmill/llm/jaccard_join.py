@@ -110,8 +110,8 @@ class Groups:
 
 
 def bit_width(n: int) -> int:
-    """Bits of a set's bitmap, as a power of two: at least two for each element, within bounds. Similar sets differ by one step at most."""
-    return min(max((2 * n - 1).bit_length(), 6), 16)
+    """Bits of a set's bitmap, as a power of two: at least one for each element, within bounds. Similar sets differ by one step at most."""
+    return min(max((n - 1).bit_length(), 6), 16)
 
 
 def bitmap(tokens: np.ndarray) -> bytes:
@@ -310,14 +310,15 @@ def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int,
     """(d1, cluster) for classes that may be linked with another."""
     linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2", "bits", "prefix")
     copies = linkable.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).filter("id != rep").select("id").distinct()
-    rows = without(linkable, store(copies, f"{path}/copies"), ["id"], f"{path}/firsts").select("d1", "n", "bits", F.explode("prefix").alias("token"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.sum(F.xxhash64("d1").cast("decimal(38,0)")).alias("s1"), F.bit_xor("d1").alias("s2"))
-    groups = store(groups.filter("size > 1").groupBy("size", "s1", "s2").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
+    firsts = without(linkable, store(copies, f"{path}/copies"), ["id"], f"{path}/firsts")
+    rows = firsts.select("d1", F.explode("prefix").alias("token"))
+    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("d1").alias("x1"), F.bit_xor(F.xxhash64("d1")).alias("x2"))
+    groups = store(groups.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
     n = groups.count()
     if not n:
         return classes.limit(0).select("d1", F.col("d1").alias("cluster"))
-    filt = store(bit_filter(groups, ["token"], n, 16), f"{path}/tokens")
-    grouped = passing(rows, ["token"], filt).join(groups, "token")
+    filt = store(bit_filter(groups, ["token"], n), f"{path}/tokens")
+    grouped = passing(rows, ["token"], filt).join(groups, "token")  # narrow rows; bitmaps come once they are known to be needed
 
     def join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -330,7 +331,7 @@ def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int,
             if found := links(group):
                 yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
-    small = grouped.filter(F.col("size") <= max_group).select("token", "d1", "n", "bits")
+    small = grouped.filter(F.col("size") <= max_group).select("token", "d1").join(firsts.select("d1", "n", "bits"), "d1").select("token", "d1", "n", "bits")
     links = small.repartition("token").sortWithinPartitions("token").mapInPandas(join_groups, "u long, v long")
     pivots = groups.filter(F.col("size") > max_group).select("token")
     if not pivots.isEmpty():
