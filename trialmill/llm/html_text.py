@@ -76,6 +76,7 @@ class Node:
     name: str
     shown: bool = True
     start: int = 1  # of an ordered list
+    closed: bool = False  # details of which only the summary shows
     children: list[Node | str] = field(default_factory=list)
 
 
@@ -148,7 +149,7 @@ def parse(page: str) -> Node:
         if name == "ol" and attrs.get("start", "").lstrip("-").isdigit():
             node.start = int(attrs["start"])
         if name == "details" and "open" not in attrs:
-            node.name = "details closed"
+            node.closed = True
         stack[-1].children.append(node)
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(page, at)
@@ -260,9 +261,9 @@ def render(root: Node) -> tuple[str, int, int]:
                 canvas.indent = "  " * depth
                 if lists:
                     lists[-1][1] += 1
-            elif name == "details closed":
+            elif node.closed:
                 canvas.block(False)
-                node = Node(name, True, 1, [c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1])
+                node = Node(name, children=[c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1])
             elif name in BLOCKS:
                 canvas.block(name in APART)
             kept += name in ("pre", "textarea")
@@ -293,7 +294,7 @@ def render(root: Node) -> tuple[str, int, int]:
         elif name == "li":
             canvas.block(False)
             canvas.mark = ""
-        elif name in BLOCKS or name == "details closed":
+        elif name in BLOCKS:
             canvas.block(name in APART)
     return canvas.text(), items, tables
 
