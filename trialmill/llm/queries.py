@@ -106,6 +106,83 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_quality_rules": r"""
+        WITH w AS (
+            SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
+                   list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+            FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+        win AS (
+            SELECT doc_id, i, array_to_string(ws[i : i + 7], ' ') AS g
+            FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 6)) AS i FROM w WHERE len(ws) >= 8)),
+        rep AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+        cov AS (SELECT doc_id, count(DISTINCT i + j) AS n FROM rep, range(0, 8) r(j) GROUP BY 1),
+        b AS (
+            SELECT doc_id, t, ws, ls, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+                   (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+                   coalesce(cov.n, 0)::BIGINT AS n_repeat_words
+            FROM w LEFT JOIN cov USING (doc_id)),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+               NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_dup_lines <= 3 * len(ls)
+               AND 10 * length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) <= 7 * length(regexp_replace(t, '[^\p{L}]', '', 'g'))
+               AND 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) >= 7 * n_words AS kept
+        FROM f
+    """,
+    "op6_sharding": """
+        WITH RECURSIVE tbl AS (
+            SELECT list(c ORDER BY i) AS tbl
+            FROM (SELECT i, list_reduce(list_prepend(i, range(0, 8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END) AS c FROM range(0, 256) r(i))),
+        d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        s AS (
+            SELECT doc_id, octet_length(b) + 16 AS size,
+                   xor(4294967295, list_reduce(
+                       list_prepend(4294967295, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT)),
+                       lambda c, x: xor(c // 256, tbl[xor(c % 256, x) + 1]))) AS text_crc32
+            FROM d, tbl),
+        p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) AS upto, sum(size) OVER () AS total FROM s),
+        q AS (SELECT *, least(39, (40 * (2 * upto - size)) // (2 * total))::INT AS shard FROM p)
+        SELECT doc_id, size::BIGINT AS size, text_crc32, 'bytes' AS law, shard,
+               (row_number() OVER (PARTITION BY shard ORDER BY doc_id, text_crc32, size) - 1)::BIGINT AS slot, NULL::INT AS grown_shard
+        FROM q
+    """,
+    "op9_url_filter": r"""
+        WITH h AS (SELECT page_id, strpos(url, '://') AS pos, substr(url, strpos(url, '://') + 3) AS rest FROM pages),
+        hp AS (
+            SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
+                   CASE WHEN pos > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM h),
+        n AS (SELECT *, string_split(name, '.') AS parts FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM hp)),
+        k AS (
+            SELECT *, CASE WHEN len(parts) < 2 THEN name ELSE array_to_string(parts[-2:], '.') END AS domain, parts[-1] AS suffix,
+                   try_cast(regexp_extract(path, '/([0-9]{1,18})(?:\.[a-z]+)?/?$', 1) AS BIGINT) AS doc_id FROM n),
+        lab AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
+        hosts AS (
+            SELECT host, domain, suffix, sum((quality = 0 OR toxic = 1)::INT)::DOUBLE AS bad, count(*)::DOUBLE AS n
+            FROM k JOIN lab USING (doc_id) WHERE host <> '' AND (quality = 0 OR toxic = 1) IS NOT NULL GROUP BY ALL),
+        domains AS (SELECT domain, suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL),
+        suffixes AS (SELECT suffix, sum(bad) AS bad, sum(n) AS n FROM hosts GROUP BY ALL),
+        g AS (SELECT 'h' AS lv, bad, n FROM hosts UNION ALL SELECT 'd', bad, n FROM domains UNION ALL SELECT 's', bad, n FROM suffixes),
+        st AS (SELECT lv, count(*) AS k, avg(bad / n) AS m, var_samp(bad / n) AS v, sum(1e0 / n) / count(*) AS mi FROM g GROUP BY 1),
+        ks AS (
+            SELECT lv, least(greatest(coalesce(CASE WHEN k >= 2 AND m * (1 - m) > 0 AND v / nullif(m * (1 - m), 0) - mi > 0 AND mi < 1
+                   THEN (1 - mi) / (v / (m * (1 - m)) - mi) - 1 END, 200e0), 2e0), 200e0) AS s FROM st),
+        c AS (
+            SELECT coalesce((SELECT s FROM ks WHERE lv = 's'), 200e0) AS ss, coalesce((SELECT s FROM ks WHERE lv = 'd'), 200e0) AS sd, coalesce((SELECT s FROM ks WHERE lv = 'h'), 200e0) AS sh,
+                   (SELECT (coalesce(sum(bad), 0) + 1) / (coalesce(sum(n), 0) + 2) FROM hosts) AS m0),
+        t AS (SELECT suffix, (bad + ss * m0) / (n + ss) AS m FROM suffixes, c),
+        dm AS (SELECT domain, (d.bad + sd * t.m) / (d.n + sd) AS m FROM domains d JOIN t USING (suffix), c),
+        hm AS (SELECT host, (h.bad + sh * dm.m) / (h.n + sh) AS m, h.n + sh AS w FROM hosts h JOIN dm USING (domain), c),
+        b AS (
+            SELECT k.page_id, k.host, k.path, coalesce(hm.m, dm.m, t.m, m0) AS m, CASE WHEN hm.m IS NOT NULL THEN hm.w WHEN dm.m IS NOT NULL THEN sh WHEN t.m IS NOT NULL THEN sd ELSE ss END AS w
+            FROM k LEFT JOIN hm USING (host) LEFT JOIN dm USING (domain) LEFT JOIN t USING (suffix), c),
+        r AS (
+            SELECT *, CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/'
+                           WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
+                           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/es/') THEN 'net/es/'
+                           WHEN (host = 'net' OR ends_with(host, '.net')) AND starts_with(path, '/fr/') THEN 'net/fr/'
+                           WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM b)
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
+               WHEN m - 1.645e0 * sqrt(m * (1 - m) / (w + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM r
+    """,
     "op8_jaccard_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
