@@ -112,7 +112,7 @@ def _sampled(docs: DataFrame, counts: list[tuple[str, int]], bound: int, id_col:
 
 
 def train(
-    docs: DataFrame, labelled: Column, per_lang: int = 4000, max_langs: int = 64, min_lead: float = 0.05,
+    docs: DataFrame, labelled: Column, per_lang: int = 4000, max_langs: int = 64, min_lead: float = 0.02,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
     """Learn from the rows of ``docs`` for which ``labelled`` holds and the label is not null."""

@@ -99,7 +99,7 @@ def pack_block(rows: pd.DataFrame, capacity: int) -> pd.DataFrame:
 
 
 def pack(
-    docs: DataFrame, capacity: int = 2048, block: int = 4096, rows_per_task: int = 200_000, cluster: Column | None = None,
+    docs: DataFrame, capacity: int = 1024, block: int = 4096, rows_per_task: int = 200_000, cluster: Column | None = None,
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
 ) -> DataFrame:
     """One row for each piece: id, piece, n_pieces, word_from, size, bin_id, bin_used, bin_docs.

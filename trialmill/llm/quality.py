@@ -113,7 +113,7 @@ def _few_letters(p: Page) -> bool:
 RULES = (
     Rule("symbols", lambda p: 10 * p.n_symbols > len(p.words)),
     Rule("word_length", lambda p: not 2 * len(p.words) <= p.word_chars <= 15 * len(p.words)),
-    Rule("repeated_lines", lambda p: 10 * p.n_dup_lines > 3 * len(p.lines)),
+    Rule("repeated_lines", lambda p: p.n_dup_lines >= 3 and 10 * p.n_dup_lines > 3 * len(p.lines)),
     Rule("shouting", _shouts),
     Rule("few_letters", _few_letters),
 )

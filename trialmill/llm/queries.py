@@ -9,7 +9,7 @@ from trialmill.llm import exact_dedup, html_text, jaccard_join, langid, mixing,
 
 N_SHARDS = 40
 #: Words in a bin.
-CAPACITY = 2048
+CAPACITY = 1024
 URL_RULES = (("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block"))
 #: A host is blocked if its posterior share of bad pages is over this, by the lower bound.
 BAD_LIMIT = 0.3
@@ -123,7 +123,7 @@ ORACLE_SQL = {
             FROM w LEFT JOIN cov USING (doc_id)),
         f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM b)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-               NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND 10 * n_dup_lines <= 3 * len(ls)
+               NOT base_failed AND 10 * n_symbols <= n_words AND word_chars BETWEEN 2 * n_words AND 15 * n_words AND (n_dup_lines < 3 OR 10 * n_dup_lines <= 3 * len(ls))
                AND 10 * length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) <= 7 * length(regexp_replace(t, '[^\p{L}]', '', 'g'))
                AND 10 * len(list_filter(ws, lambda x: regexp_matches(x, '\p{L}'))) >= 7 * n_words AS kept
         FROM f
