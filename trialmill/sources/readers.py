@@ -110,7 +110,7 @@ def read_object(spark: SparkSession, path: str, schema: T.StructType) -> DataFra
 def read_answers(spark: SparkSession, folder: str) -> DataFrame:
     """(stem, text) of all answer files below a folder."""
     stem = F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1)
-    return spark.read.option("wholetext", True).text(f"{folder}/*.txt").select(stem.alias("stem"), C("value").alias("text"))
+    return spark.read.text(f"{folder}/*.txt", wholetext=True).select(stem.alias("stem"), C("value").alias("text"))
 
 
 def with_answers(rows: DataFrame, answers: DataFrame) -> DataFrame:
