@@ -91,6 +91,11 @@ def test_gate_and_stall_timer(spark, tmp_path):
     q = jobs.gate(stream, needs, "model", ["unit"]).writeStream.format("memory").queryName("gated").outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
     assert {r["model"]: r["ready"] for r in spark.table("gated").collect()} == {"a": False, "b": True}
-    q = jobs.stall_timer(stream, "model", 60_000).writeStream.format("memory").queryName("stalls").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination()
+    # Timers ask for batches without data, for ever; a run that is to end goes without these.
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
+    try:
+        q = jobs.stall_timer(stream, "model", 60_000).writeStream.format("memory").queryName("stalls").outputMode("update").trigger(availableNow=True).start()
+        assert q.awaitTermination(60)
+    finally:
+        spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert {r["subject"]: (r["rows"], r["state"]) for r in spark.table("stalls").collect()} == {"a": (3, "active"), "b": (1, "active")}

@@ -93,7 +93,11 @@ STALL_STATE = "rows long"
 
 
 def stall_timer(stream: DataFrame, subject: str, idle_ms: int) -> DataFrame:
-    """Rows of each subject, and the state ``stalled`` once none came for ``idle_ms`` of processing time."""
+    """Rows of each subject, and the state ``stalled`` once none came for ``idle_ms`` of processing time.
+
+    The timers ask for batches without data, so the query runs until it is stopped; with
+    spark.sql.streaming.noDataMicroBatches.enabled off, a run over available rows ends.
+    """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = state.get[0] if state.exists else 0
