@@ -29,7 +29,7 @@ from trialmill.llm.common import n_words
 
 RESULT = "id long, piece int, n_pieces int, word_from long, size long, bin_id long, bin_used long, bin_docs int"
 #: bin_id = partition, block, bin: so many bits for the last two.
-BLOCK_BITS, BIN_BITS = 20, 20
+BLOCK_BITS, BIN_BITS = 18, 24
 
 
 class Bins:
