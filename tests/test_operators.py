@@ -100,6 +100,18 @@ def test_fleiss_needs_equal_raters(spark):
     assert one(ag.fleiss(even.limit(3), ["i"], "c").select("kappa")) is None
 
 
+def test_joins_keep_every_row_of_a_large_side(spark):
+    n = 100_500
+    wide = spark.range(n).select(F.col("id").alias("m"), F.lit("old").alias("sha"))
+    assert audit.drift(wide, wide.withColumn("sha", F.lit("new")), "m", ["sha"]).count() == n
+    grid, one_subject = spark.range(n).select(F.col("id").alias("u")), spark.range(1).select(F.lit("s").alias("m"))
+    seen = grid.select(F.lit("s").alias("m"), "u")
+    assert tuple(upsert.is_complete(seen, grid, "m", ["u"]).first()) == ("s", n, True)
+    assert upsert.missing_units(seen.filter("u < 10"), one_subject, grid, "m", ["u"]).count() == n - 10
+    done = seen.limit(0).withColumn("score", F.lit(1.0))
+    assert upsert.pending(one_subject, grid, done, ["m", "u"]).count() == n
+
+
 def test_bootstrap_interval_holds_the_mean(spark):
     df = spark.createDataFrame([("g", random.Random(i).random()) for i in range(200)], "g string, v double")
     a, b = (ag.bootstrap_ci(df, "v", "g", draws=400, seed=1).first() for _ in range(2))

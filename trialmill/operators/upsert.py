@@ -9,6 +9,13 @@ from pyspark.sql import functions as F
 
 from trialmill.operators.ranks import keep_best, last_wins, pick
 
+#: Up to so many rows, checked by a count, a side of a cross join is broadcast.
+BROADCAST_ROWS = 100_000
+
+
+def _broadcast_if_small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
 
 def dedup_best(df: DataFrame, key: Sequence[str], score: str, seq: str, fatal: str = "fatal") -> DataFrame:
     """Failure stubs go; of each key the best row stays, the earliest on ties."""
@@ -54,20 +61,20 @@ def consensus(results: DataFrame, ratings: DataFrame, key: Sequence[str]) -> Dat
 
 
 def pending(work: DataFrame, specs: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFrame:
-    """Units of ``work`` x ``specs`` (a handful of rows) that are not in ``done``; unfinished ratings (null score) are not done."""
+    """Units of ``work`` x ``specs`` that are not in ``done``; unfinished ratings (null score) are not done."""
     ready = done.filter(F.col("score").isNotNull()).select(*key).distinct()
-    return work.join(F.broadcast(specs.limit(1000))).join(ready, list(key), "left_anti")
+    return work.crossJoin(_broadcast_if_small(specs)).join(ready, list(key), "left_anti")
 
 
 def missing_units(seen: DataFrame, subjects: DataFrame, grid: DataFrame, subject: str, unit: Sequence[str]) -> DataFrame:
     """(subject, unit) pairs of the expected grid that no row covers."""
-    return subjects.select(subject).distinct().join(F.broadcast(grid.limit(100_000))).join(seen.select(subject, *unit).distinct(), [subject, *unit], "left_anti")
+    return subjects.select(subject).distinct().crossJoin(_broadcast_if_small(grid)).join(seen.select(subject, *unit).distinct(), [subject, *unit], "left_anti")
 
 
 def is_complete(seen: DataFrame, grid: DataFrame, subject: str, unit: Sequence[str]) -> DataFrame:
     """Relational division: subjects with the number of expected units they cover, complete if all."""
     n = grid.count()
-    covered = seen.join(F.broadcast(grid.limit(100_000)), list(unit), "left_semi").select(subject, *unit).distinct()
+    covered = seen.join(grid, list(unit), "left_semi").select(subject, *unit).distinct()
     got = covered.groupBy(subject).agg(F.count("*").alias("covered"))
     return got.withColumn("complete", F.col("covered") == n)
 
