@@ -120,6 +120,16 @@ def test_bootstrap_interval_holds_the_mean(spark):
     assert a["low"] == pytest.approx(n["low"], abs=0.015) and a["high"] == pytest.approx(n["high"], abs=0.015)
 
 
+def test_bootstrap_draws_as_many_as_the_reference_and_in_blocks(spark):
+    import inspect
+
+    assert inspect.signature(ag.bootstrap_ci).parameters["draws"].default == 10_000
+    df = spark.createDataFrame([("g", random.Random(i).random()) for i in range(200)], "g string, v double")
+    part, whole, n = (*(ag.bootstrap_ci(df, "v", "g", draws=k, seed=1).first() for k in (ag.DRAW_BLOCK, 3 * ag.DRAW_BLOCK + 1)), ag.normal_ci(df, "v", ["g"]).first())
+    assert part["low"] != whole["low"] and part["high"] != whole["high"]  # each block has draws of its own
+    assert whole["low"] == pytest.approx(n["low"], abs=0.01) and whole["high"] == pytest.approx(n["high"], abs=0.01)
+
+
 def test_friedman_and_its_tail(spark):
     rows = [(b, t, float(v)) for b, vs in enumerate([(9, 5, 1), (8, 6, 2), (7, 5, 3), (9, 4, 2)]) for t, v in enumerate(vs)]
     s = ag.friedman(spark.createDataFrame(rows, "b int, t int, v double"), "t", "b", "v").first()
@@ -155,6 +165,12 @@ def test_acceptability_sums_to_one(spark):
     assert sum(got.values()) == pytest.approx(1.0) and got["c"] == 0
 
 
+def test_acceptability_of_a_rare_winner(spark):
+    df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 1.0), ("c", 0.50005, 0.50005)], "m string, x double, y double")
+    got = {r["m"]: r["acceptability"] for r in sel.acceptability(df, ["x", "y"], "m").collect()}
+    assert 0 < got["c"] < 0.0004 and got["a"] == pytest.approx(0.5, abs=0.01)  # the true share is 0.0001
+
+
 def test_candidates(spark):
     df = spark.createDataFrame([("k", 0, 0, 2, False, 7), ("k", 1, 1, 2, False, 14), ("k", 2, 2, 2, False, 25)], "k string, index int, det_passed int, det_total int, dnf boolean, chars int")
     assert tuple(strategy.best(df, ["k"]).first()) == ("k", 2, 3)

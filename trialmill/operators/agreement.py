@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from trialmill.operators.ranks import average_rank
 
 C = F.col
+#: Random draws of one task.
+DRAW_BLOCK = 1000
 
 
 def pair_raters(ratings: DataFrame, key: Sequence[str], first: str, second: str) -> DataFrame:
@@ -223,27 +225,30 @@ def normal_ci(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     return s.select(*group, "n", m.alias("mean"), F.when(C("n") >= 2, m - half).alias("low"), F.when(C("n") >= 2, m + half).alias("high"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, group: str, draws: int = 2000, seed: int = 0, salts: int = 32) -> DataFrame:
+def bootstrap_ci(df: DataFrame, value: str, group: str, draws: int = 10_000, seed: int = 0, salts: int = 32) -> DataFrame:
     """Mean and a 95 % interval by the Poisson bootstrap, which needs no group in one place.
 
     Every row has weight Poisson(1) in each of ``draws`` resamples. Each task sums the weighted
-    values of its rows (in numpy), sums meet in a grouped aggregate, and the interval is the 2.5 to 97.5 percentile
+    values of its rows (in numpy) for one block of draws, sums meet in a grouped aggregate, and the interval is the 2.5 to 97.5 percentile
     of the resampled means. Rows are salted by value, so equal runs give equal intervals.
     """
     x = df.filter(C(value).isNotNull()).groupBy(C(group).alias("g"), C(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
 
     def resample(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["v"])
-        rng = np.random.default_rng([seed, abs(hash_text(str(pdf["g"].iloc[0]))), int(pdf["salt"].iloc[0])])
-        totals, weights = np.zeros(draws), np.zeros(draws)
+        block = int(pdf["block"].iloc[0])
+        rng = np.random.default_rng([seed, abs(hash_text(str(pdf["g"].iloc[0]))), int(pdf["salt"].iloc[0]), block])
+        numbers = np.arange(block * DRAW_BLOCK, min((block + 1) * DRAW_BLOCK, draws))
+        totals, weights = np.zeros(len(numbers)), np.zeros(len(numbers))
         for v, n in zip(pdf["v"], pdf["n"], strict=True):
-            w = rng.poisson(n, draws)
+            w = rng.poisson(n, len(numbers))
             totals += w * v
             weights += w
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "draw": np.arange(draws), "total": totals, "weight": weights})
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "draw": numbers, "total": totals, "weight": weights})
 
     salted = x.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    parts = salted.groupBy("g", "salt").applyInPandas(resample, "g string, draw long, total double, weight double")
+    salted = salted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))))
+    parts = salted.groupBy("g", "salt", "block").applyInPandas(resample, "g string, draw long, total double, weight double")
     means = parts.groupBy("g", "draw").agg((F.sum("total") / F.sum("weight")).alias("m"))
     bounds = means.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     exact = x.groupBy("g").agg((F.sum(C("v") * C("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 C = F.col
+#: Random draws of one task.
+DRAW_BLOCK = 1000
 #: Above so many rows the front is first cut down inside each partition.
 LOCAL_FRONT_ROWS = 5000
 
@@ -88,9 +90,11 @@ def weighted_winners(df: DataFrame, vectors: dict[str, Sequence[float]], axes: S
     return scored.groupBy("weights").agg(F.min(F.struct((-C("score")).alias("s"), C(name).alias("n"))).alias("b")).select("weights", C("b.n").alias(name), (-C("b.s")).alias("score"))
 
 
-def acceptability(df: DataFrame, axes: Sequence[str], name: str, draws: int = 2000, seed: int = 0) -> DataFrame:
+def acceptability(df: DataFrame, axes: Sequence[str], name: str, draws: int = 100_000, seed: int = 0) -> DataFrame:
     """Share of random weight vectors (Dirichlet) under which each subject scores best; first by name on ties."""
-    raw = df.sparkSession.range(draws).select("id", *[(-F.log(1 - F.rand(seed * 1000 + k))).alias(f"__w{k}") for k in range(len(axes))])
+    tasks = -(-draws // DRAW_BLOCK)
+    far = 1_000_003  # a task adds its number to the seed: axes must not meet each other's streams
+    raw = df.sparkSession.range(0, draws, 1, tasks).select("id", *[(-F.log(1 - F.rand((seed * len(axes) + k) * far))).alias(f"__w{k}") for k in range(len(axes))])
     total = sum((C(f"__w{k}") for k in range(len(axes))), F.lit(0.0))
     score = sum((C(f"__w{k}") / total * C(c) for k, c in enumerate(axes)), F.lit(0.0))
     scored = raw.join(F.broadcast(df.select(name, *axes))).select("id", name, score.alias("score"))
