@@ -45,5 +45,9 @@ def test_query(spark, duck, name):
     assert got == want
 
 
+def test_the_shuffle_keeps_all_rows(spark, duck):
+    assert QUERIES["o09_seeded_shuffle"](spark, DIR).count() == duck.execute("SELECT count(*) FROM events").fetchone()[0]
+
+
 def test_sources_of_truth_agree():
     assert set(ORACLE_SQL) <= set(QUERIES)

@@ -135,7 +135,7 @@ def t11_better(spark, d):
 
 @query("o09_seeded_shuffle")
 def o09(spark, d):
-    return ranks.seeded_order(trials(spark, d).select(*KEY), KEY, 11).limit(100)
+    return ranks.seeded_order(trials(spark, d).select(*KEY), KEY, 11)
 
 
 @query("s14_tail", "SELECT seq, model FROM (SELECT * FROM trials ORDER BY seq DESC LIMIT 30) ORDER BY seq")
