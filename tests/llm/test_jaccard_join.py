@@ -77,6 +77,12 @@ def test_odd_rows(spark):
     assert got == [("1", 1), ("2", 1), ("2", 1), ("2", 1), ("None", None)]
 
 
+def test_an_id_that_is_a_copy_in_one_class_stands_for_another(spark):
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (2, a), (2, b), (3, b + " more")]
+    assert found(spark, rows) == brute(rows) == [(1, 36, 1), (2, 36, 1), (2, 36, 1), (3, 37, 1)]
+
+
 def test_keep_first_keeps_columns(spark):
     rows = corpus(120, 12, seed=8)
     df = spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)

@@ -309,8 +309,8 @@ def _sketches(docs: DataFrame, path: str, percent: int, k: int) -> DataFrame:
 def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int, max_group: int) -> DataFrame:
     """(d1, cluster) for classes that may be linked with another."""
     linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2", "bits", "prefix")
-    copies = linkable.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).filter("id != rep").select("id").distinct()
-    firsts = without(linkable, store(copies, f"{path}/copies"), ["id"], f"{path}/firsts")
+    copies = linkable.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).filter("id != rep").select("id", "d1", "d2", "n").distinct()
+    firsts = without(linkable, store(copies, f"{path}/copies"), ["id", "d1", "d2", "n"], f"{path}/firsts")
     rows = firsts.select("d1", F.explode("prefix").alias("token"))
     groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("d1").alias("x1"), F.bit_xor(F.xxhash64("d1")).alias("x2"))
     groups = store(groups.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
