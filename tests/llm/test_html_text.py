@@ -34,6 +34,22 @@ def test_layout(name):
     assert text_of(page)[0] == want
 
 
+SHOWN = {
+    "print sheet": ("<style>p{margin:0}@media print{.c{display:none}a{x:y}}@media (max-width:9px){.c{display:none}}.d{display:none}</style><p class=c>a</p><p class=d>b</p>", "a"),
+    "screen sheet": ("<style>@import 'x';@media screen, print{.c{display:none}}</style><p class=c>a</p><p>b</p>", "b"),
+    "later rule": ("<style>.c{display:none}/* .d{display:none} */</style><style>.c{display:block}</style><p class=c>a</p><p class=d>b</p>", "a\n\nb"),
+    "cascade": ("<style>#i{display:none}p{display:block}.x{display:none!important}.x{display:block}</style><p id=i>a</p><p class=x>b</p><p>c</p>", "c"),
+    "svg": ("a<svg><title>t</title><defs><text>u</text></defs>w<text>one</text><text>two <tspan>three</tspan></text></svg>b<svg><path><p>c", "a one two three b\n\nc"),
+    "math": ("so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math> holds", "so x=1 holds"),
+}
+
+
+@pytest.mark.parametrize("name", SHOWN)
+def test_what_shows_on_a_screen(name):
+    page, want = SHOWN[name]
+    assert text_of(page)[0] == want
+
+
 def test_null_and_counts():
     assert text_of(None) == ("", 0, 0, 0)
     assert text_of("<ul><li>a<li>b</ul><table><tr><td>x</table>")[1:] == (4, 2, 1)

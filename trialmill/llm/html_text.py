@@ -7,7 +7,9 @@ still nest. Rendering walks the tree without recursion:
 * not shown: head matter, scripts, styles, templates, comments, the attribute ``hidden``, inline
   ``display:none`` and ``visibility:hidden``, closed ``<dialog>`` and ``<details>`` (but for its
   summary), and elements that simple selectors (tag, .class, #id, tag.class) of the page's own
-  style sheets hide;
+  style sheets hide. Rules cascade (important, then selector, then order); those under a condition
+  (``@media print``, widths, ``@supports`` and the like) do not count;
+* of ``<svg>`` the text elements show, of ``<math>`` all but annotations;
 * white space collapses, except in ``<pre>`` and ``<textarea>``; ``<br>`` breaks a line; blocks
   start lines, and paragraphs, headings, lists, tables and the like stand apart by an empty line;
 * list items are indented by depth, with ``- `` or their number; table rows are lines, their cells
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
@@ -36,14 +39,19 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
-_SHEET = re.compile(r"([^{}]+)\{([^{}]*)\}")
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+_BRACE = re.compile(r"[{};]")
+_MEDIA = re.compile(r"@media\b(.*)", re.IGNORECASE | re.DOTALL)
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.IGNORECASE)
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
+_SHOWING = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)([^;}]*)", re.IGNORECASE)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NEVER = frozenset("head script style template title noembed noframes iframe datalist object audio video canvas svg math".split())
+NEVER = frozenset("head script style template title noembed noframes iframe datalist object audio video canvas annotation annotation-xml".split())
+#: Parts of an <svg> that are not drawn where they stand, and those whose text is.
+UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
+DRAWN = frozenset(("text", "foreignobject"))
 APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
 BLOCKS = APART | frozenset(
     "address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary caption tr thead tbody tfoot".split()
@@ -80,35 +88,90 @@ class Node:
     children: list[Node | str] = field(default_factory=list)
 
 
-def _hiding_rules(sheet: str) -> set[tuple[str, str, str]]:
-    found = set()
-    for selectors, body in _SHEET.findall(sheet):
-        if _UNSEEN.search(body):
-            for selector in selectors.split(","):
-                if (m := _SELECTOR.match(selector.strip())) and m[0]:
-                    found.add(((m[1] or "").lower(), m[2] or "", m[3] or ""))
-    return found
+#: Of a selector and a property: (important, specificity, place in the page), and whether it hides.
+Rules = dict[tuple[str, str, str], dict[str, tuple[tuple[bool, int, int], bool]]]
+
+
+def _showing(body: str) -> list[tuple[str, bool, bool]]:
+    """(property, important, hides) of declarations that bear on being shown."""
+    return [(p.lower(), "!important" in rest.replace(" ", "").lower(), (p.lower(), v.lower()) in (("display", "none"), ("visibility", "hidden"))) for p, v, rest in _SHOWING.findall(body)]
+
+
+def _holds(prelude: str) -> bool:
+    """Whether a block at-rule holds on any screen."""
+    if m := _MEDIA.match(prelude):
+        return any(q.lower().split() in ([], ["all"], ["screen"], ["only", "screen"], ["only", "all"]) for q in m[1].split(","))
+    return prelude.lower().startswith("@layer")
+
+
+def _rules(sheet: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, bool]]:
+    """Selector, property, important, specificity and whether it hides, of the rules of a style sheet that bear on being shown."""
+    sheet = _COMMENT.sub(" ", sheet)
+    holds, start, prelude = [], 0, ""  # of open at-rules and style rules
+    for m in _BRACE.finditer(sheet):
+        if m[0] == ";":
+            if not prelude:
+                start = m.end()
+            continue
+        piece = sheet[start : m.start()].strip()
+        start = m.end()
+        if m[0] == "{":
+            at_rule = piece.startswith("@")
+            holds.append(_holds(piece) if at_rule else True)
+            prelude = "" if at_rule else piece
+            continue
+        if holds:
+            if prelude and all(holds):
+                yield from _rule(prelude, piece)
+            holds.pop()
+        prelude = ""
+
+
+def _rule(selectors: str, body: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, bool]]:
+    found = _showing(body)
+    for selector in selectors.split(",") if found else ():
+        if (m := _SELECTOR.match(selector.strip())) and m[0]:
+            for name, important, hides in found:
+                yield ((m[1] or "").lower(), m[2] or "", m[3] or ""), name, important, {"#": 100, ".": 10}.get(m[2], 0) + bool(m[1]), hides
 
 
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
-    stack, rules, at = [root], set(), 0
+    stack, at = [root], 0
+    rules: Rules = {}
+    placed, any_svg = 0, False
+
+    def drawing() -> int:
+        """Depth of the <svg> whose parts come next, 0 outside one."""
+        for depth in range(len(stack) - 1, 0, -1) if any_svg else ():
+            if stack[depth].name == "foreignobject":
+                return 0
+            if stack[depth].name == "svg":
+                return depth
+        return 0
 
     def text(piece: str) -> None:
-        if piece:
+        if piece and not ((depth := drawing()) and not any(n.name in DRAWN for n in stack[depth:])):
             stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
 
     def close(depth: int) -> None:
         del stack[depth:]
 
     def shown(name: str, attrs: dict[str, str]) -> bool:
-        if name in NEVER or "hidden" in attrs or _UNSEEN.search(attrs.get("style", "")) or name == "dialog" and "open" not in attrs:
+        if name in NEVER or "hidden" in attrs or name == "dialog" and "open" not in attrs:
+            return False
+        if any_svg and drawing() and (name in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") == "hidden"):
             return False
-        if not rules:
-            return True
-        keys = [("", ""), *((".", c) for c in attrs.get("class", "").split()), ("#", attrs.get("id", ""))]
-        return not any((tag, *key) in rules for key in keys for tag in ("", name) if tag or key[0])
+        won: dict[str, tuple[tuple[bool, int, int], bool]] = {}
+        keys = [("", ""), *((".", c) for c in attrs.get("class", "").split()), ("#", attrs.get("id", ""))] if rules else ()
+        for found in [rules[tag, *key] for key in keys for tag in ("", name) if (tag or key[0]) and (tag, *key) in rules]:
+            for prop, ruled in found.items():
+                won[prop] = max(won.get(prop, ruled), ruled)
+        for place, (prop, important, hides) in enumerate(_showing(attrs["style"]) if "style" in attrs else ()):
+            ruled = ((important, 1000, place), hides)
+            won[prop] = max(won.get(prop, ruled), ruled)
+        return not any(hides for _, hides in won.values())
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -120,6 +183,8 @@ def parse(page: str) -> Node:
         if not m["name"]:
             continue
         name = m["name"].lower()
+        if name in BLOCKS and not m["end"] and (depth := drawing()):
+            close(depth)  # blocks end a drawing
         if m["end"]:
             for depth in range(len(stack) - 1, 0, -1):
                 if stack[depth].name == name:
@@ -150,13 +215,18 @@ def parse(page: str) -> Node:
             node.start = int(attrs["start"])
         if name == "details" and "open" not in attrs:
             node.closed = True
-        stack[-1].children.append(node)
+        spaced = name == "text" and drawing() > 0  # labels of a drawing stand apart
+        stack[-1].children.extend([" ", node, " "] if spaced else [node])
+        any_svg = any_svg or name == "svg"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(page, at)
             body = page[at : end.start()] if end else page[at:]
             at = end.end() if end else len(page)
             if name == "style":
-                rules |= _hiding_rules(body)
+                for key, prop, important, specificity, hides in _rules(body):
+                    placed += 1
+                    ruled, held = ((important, specificity, placed), hides), rules.setdefault(key, {})
+                    held[prop] = max(held.get(prop, ruled), ruled)
             elif node.shown:
                 node.children.append(html.unescape(body))
         elif name not in VOID and not m["attrs"].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
