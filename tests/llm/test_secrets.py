@@ -3,6 +3,7 @@ import random
 import re
 import string
 
+import pytest
 from pyspark.sql import functions as F
 
 from trialmill.llm import secrets
@@ -69,3 +70,51 @@ def test_no_labels_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "Zk3Qp9Xv7Lm2Wt8Rb4Ny6Hc1 here")], "doc_id long, text string")
     assert secrets.scan(df).select(F.size("secrets.added")).first()[0] == 0
     assert secrets.scan(df.limit(0)).count() == 0
+
+
+def test_markov_spans_against_brute_force(spark):
+    counts = {(r["is_secret"], r["token"][i : i + 2]): 0 for r in samples(spark).collect() for i in range(len(r["token"]) - 1)}
+    for r in samples(spark).collect():
+        for i in range(len(r["token"]) - 1):
+            counts[r["is_secret"], r["token"][i : i + 2]] += 1
+    assert secrets.transitions(samples(spark)) == counts
+    table = secrets.log_ratios(counts)
+    place = {c: k + 1 for k, c in enumerate(secrets.ALPHABET)}
+
+    def added(text):
+        spans, fixed = [], base(text)
+        for m in re.finditer("[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9+/_=-]", text or ""):
+            states = [place[c] for c in m[0]]
+            total = sum(round(table[a * secrets.STATES + b], 6) for a, b in zip(states, states[1:], strict=False))
+            if total >= max(12, 0.5 * (len(states) - 1)) and not any(s < m.end() and m.start() < e for s, _, e, _ in fixed):
+                spans.append(f"markov:{m.start()}:{m.end()}")
+        return ",".join(spans)
+
+    rng = random.Random(4)
+    odd = ["".join(rng.choice(string.ascii_letters + string.digits + "._-") for _ in range(rng.randrange(5, 40))) for _ in range(150)]
+    rows = list(enumerate([*texts(), "Zk3Qp9Xv7Lm2.", "..Zk3Qp9Xv7Lm2Wt8..", "request_" * 300, *(f"{a} database_{b} {'0a1b' * 9}" for a, b in zip(odd, odd[1:], strict=False))]))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r[0]: r[1] for r in secrets.scan(df, samples(spark)).select("doc_id", secrets.listed(F.col("secrets.added"))).collect()}
+    want = {i: added(t) for i, t in rows}
+    assert got == want
+    assert sum(map(bool, want.values())) > 100
+
+
+def test_work_is_linear_in_tokens_and_matches(spark):
+    rng = random.Random(1)
+    long = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(500_000))
+    many = " ".join(f"token=ab{i:05d}xyz {long[7 * i : 7 * i + 20]}" for i in range(40_000))
+    df = spark.createDataFrame([(1, long), (2, many)], "doc_id long, text string")
+    out = {r[0]: r[1:] for r in secrets.scan(df, samples(spark)).select("doc_id", F.size("secrets.base"), F.size("secrets.added")).collect()}
+    assert out[1] == (0, 1)
+    assert out[2][0] == 40_000 and out[2][1] > 20_000
+
+
+def test_odd_rows(spark):
+    schema = "doc_id long, text string, secrets string"
+    df = spark.createDataFrame([(None, "password=abcdef", "a"), (1, "password=abcdef", "a"), (1, "password=abcdef", "a"), (None, None, None)], schema)
+    with pytest.raises(ValueError, match="secrets"):
+        secrets.scan(df, samples(spark))
+    out = secrets.scan(df, samples(spark), into="found")
+    assert out.columns == [*df.columns, "found"]
+    assert sorted(r[0] for r in out.select(secrets.listed(F.col("found.base"))).collect()) == ["", "assign:0:15", "assign:0:15", "assign:0:15"]

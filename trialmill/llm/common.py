@@ -20,13 +20,21 @@ BUCKET_BITS = 32768  # bits in one bitmap of bitmap_construct_agg
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the cluster's spark.checkpoint.dir; where that is unset (tests), a local one."""
+    """A new folder below the cluster's spark.checkpoint.dir; where that is unset and the master local (tests), a local one."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="trialmill-")
     return f"{base.rstrip('/')}/trialmill/{uuid.uuid4().hex}"
 
 
+def unused(docs: DataFrame, into: str) -> None:
+    """Refuse to write a result over a column of the input."""
+    if into.lower() in (c.lower() for c in docs.columns):
+        raise ValueError(f"there is a column {into} already; give the result another name")
+
+
 def store(df: DataFrame, path: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet and read it back: lineage ends here, and what follows sees one fixed copy.
 

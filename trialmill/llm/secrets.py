@@ -5,20 +5,27 @@ identifiers. A token whose transitions are likelier under the first, by enough i
 average, is reported too. Everything runs on DataFrame functions: positions come from the lengths
 of matches and of the gaps between them, likelihoods from a constant table of log ratios.
 
+Running sums over an array go by blocks of BLOCK items, and a token is split into characters
+once, so the work grows with the length of a text, not with its square.
+
 Defined cases: a null text has no spans. Positions count code points. Matches of a kind do not
 overlap; a Markov span is dropped where it overlaps a pattern's. Without labelled secrets, or
 without labelled identifiers, no Markov span is reported. Repeated rows get the same result; texts are read whole;
-an empty table gives an empty result. Other columns come back unchanged.
+an empty table gives an empty result. Other columns come back unchanged; one that has the name of
+the result is refused.
 """
 
 from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialmill.llm.common import unused
+
 #: kind, pattern, group whose length counts, least length. Fixed by the result contract, in its order.
 KINDS = (
     ("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -26,30 +33,58 @@ KINDS = (
     ("hex", r"[0-9a-f]{24,}", 0, 24),  # the runs of [0-9a-f]+ that are long enough
 )
 MARKOV = "markov"
-#: What the Markov models look at.
-CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-ORDINARY = r"[A-Za-z0-9+/_-]{6,}"
+#: What the Markov models look at: tokens of six characters or more that neither begin nor end with a dot.
+CANDIDATE = r"[A-Za-z0-9+/_=-][A-Za-z0-9+/_.=-]{4,}[A-Za-z0-9+/_=-]"
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_-=."
 STATES = len(ALPHABET) + 1  # 0: any other character
 SPAN = "array<struct<s:int,e:int,v:string>>"
+BLOCK = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
+def _last(x: Column) -> Column:
+    return F.get(x, F.size(x) - 1)
+
+
+def running(values: Column, zero: Column, add: Callable[[Column, Column], Column]) -> Column:
+    """For each item of a non-empty array what ``add`` makes of all items before it.
+
+    Appending copies an array, so items are summed inside blocks first, then over blocks.
+    """
+    sums = lambda items, of: F.aggregate(items, F.array(zero), lambda acc, x: F.array_append(acc, add(_last(acc), of(x))))
+
+    def spread(inner: Column) -> Column:
+        before = F.slice(sums(inner, _last), F.lit(1), F.size(inner))
+        return F.flatten(F.zip_with(inner, before, lambda a, o: F.transform(F.slice(a, F.lit(1), F.size(a) - 1), lambda x: add(o, x))))
+
+    def blocks(v: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(v), F.lit(BLOCK))
+        return let(F.transform(starts, lambda at: sums(F.slice(v, at, F.lit(BLOCK)), lambda x: x)), spread)
+
+    return let(values, blocks)
 
 
 def located(text: Column, pattern: str, group: int = 0) -> Column:
     """All leftmost, non-overlapping matches as structs (s, e, v): start, end, text of the group."""
-    lit = F.lit(pattern)
-    pairs = F.zip_with(
-        F.regexp_extract_all(text, lit, F.lit(0)), F.regexp_extract_all(text, lit, F.lit(group)), lambda m, v: F.struct(m.alias("m"), v.alias("v"))
-    )
-    steps = F.zip_with(pairs, F.split(text, pattern, -1), lambda p, gap: F.struct(p.alias("p"), F.length(gap).alias("gap")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
+    lit, none = F.lit(pattern), F.array().cast(SPAN)
+
+    def pieces(found: Column) -> Column:
+        values = F.regexp_extract_all(text, lit, F.lit(group)) if group else found
+        pairs = F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("n"), v.alias("v")))
+        gaps = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found))
+        return F.zip_with(pairs, gaps, lambda p, gap: F.struct(F.length(gap).alias("gap"), p["n"].alias("n"), p["v"].alias("v")))
 
-    def step(acc: Column, x: Column) -> Column:
-        s = acc["at"] + x["gap"]
-        e = s + F.coalesce(F.length(x["p"]["m"]), F.lit(0))
-        spans = F.when(x["p"].isNull(), acc["spans"]).otherwise(F.array_append(acc["spans"], F.struct(s.alias("s"), e.alias("e"), x["p"]["v"].alias("v"))))
-        return F.struct(e.alias("at"), spans.alias("spans"))
+    def spans(steps: Column) -> Column:
+        ends = running(F.transform(steps, lambda x: x["gap"] + x["n"]), F.lit(0), lambda a, b: a + b)
+        return F.zip_with(
+            steps, ends, lambda x, at: F.struct((at + x["gap"]).alias("s"), (at + x["gap"] + x["n"]).alias("e"), x["v"].alias("v"))
+        )
 
-    return F.when(F.regexp_like(text, lit), F.aggregate(steps, start, step, lambda acc: acc["spans"])).otherwise(F.array().cast(SPAN))
+    return F.when(F.regexp_like(text, lit), let(let(F.regexp_extract_all(text, lit, F.lit(0)), pieces), spans)).otherwise(none)
 
 
 def _long(spans: Column, least: int) -> Column:
@@ -108,15 +143,35 @@ def labelled_tokens(docs: DataFrame, secret_docs: int = 20_000, ordinary_docs: i
     bare = F.col("t")
     for _, pattern, _, _ in KINDS:
         bare = F.regexp_replace(bare, pattern, " ")
-    ordinary = chosen(ordinary_docs).select(F.explode(F.regexp_extract_all(bare, F.lit(ORDINARY), F.lit(0))).alias("token"), F.lit(False).alias("is_secret"))
+    ordinary = chosen(ordinary_docs).select(F.explode(F.regexp_extract_all(bare, F.lit(CANDIDATE), F.lit(0))).alias("token"), F.lit(False).alias("is_secret"))
     return secrets.unionByName(ordinary)
 
 
 def log_ratio(token: Column, table: list[float]) -> Column:
-    """Log-likelihood ratio of a token of two or more characters: positive for random strings."""
+    """Log-likelihood ratio of a token: positive for random strings, 0 for less than two characters."""
     values = F.expr("array(" + ",".join(f"{x:.6f}D" for x in table) + ")")
-    state = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1)))
-    return F.aggregate(F.sequence(F.lit(1), F.length(token) - 1), F.lit(0.0), lambda acc, i: acc + F.get(values, state(i) * STATES + state(i + 1)))
+    states = F.expr("array(" + ",".join(str(ALPHABET.find(chr(c)) + 1) for c in range(128)) + ")")
+    ratio = lambda a, b: F.get(values, a * STATES + b)
+
+    def total(s: Column) -> Column:
+        pairs = F.zip_with(F.slice(s, F.lit(1), F.size(s) - 1), F.slice(s, F.lit(2), F.size(s) - 1), ratio)
+        return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
+
+    return F.when(F.length(token) < 2, 0.0).otherwise(let(F.transform(F.split(token, ""), lambda c: F.coalesce(F.get(states, F.ascii(c)), F.lit(0))), total))
+
+
+def clear_of(spans: Column, base: Column) -> Column:
+    """The spans that overlap none of ``base``: by the greatest end before each, and the least start after it."""
+    fixed = lambda x, yes, no: F.when(x["rank"] < len(KINDS), yes).otherwise(F.lit(no))
+
+    def swept(events: Column) -> Column:
+        ends = running(F.transform(events, lambda x: fixed(x, x["e"], 0)), F.lit(0), F.greatest)
+        starts = F.reverse(running(F.reverse(F.transform(events, lambda x: fixed(x, x["s"], 2**31 - 1))), F.lit(2**31 - 1), F.least))
+        around = F.zip_with(ends, starts, lambda e, s: F.struct(e.alias("e"), s.alias("s")))
+        kept = F.zip_with(events, around, lambda x, a: F.when((x["rank"] == len(KINDS)) & (a["e"] <= x["s"]) & (x["e"] <= a["s"]), x))
+        return F.filter(kept, lambda x: x.isNotNull())
+
+    return F.when((F.size(spans) > 0) & (F.size(base) > 0), let(F.array_sort(F.concat(base, spans)), swept)).otherwise(spans)
 
 
 def scan(
@@ -127,19 +182,14 @@ def scan(
 
     ``tokens`` are labelled samples (token, is_secret); by default they come from the corpus.
     """
+    unused(docs, into)
     table = log_ratios(transitions(labelled_tokens(docs, id_col=id_col, text_col=text_col) if tokens is None else tokens))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn(into, F.struct(pattern_spans(text).alias("base"), (located(text, CANDIDATE) if table else F.array().cast(SPAN)).alias("tokens")))
+    likely = lambda x: log_ratio(x["v"], table) >= F.greatest(F.lit(least_total), least_mean * (F.length(x["v"]) - 1))
+    found = _named(F.filter(located(text, CANDIDATE), likely) if table else F.array().cast(SPAN), len(KINDS), MARKOV)
+    rows = docs.withColumn(into, F.struct(pattern_spans(text).alias("base"), found.alias("found")))
     base = F.col(into)["base"]
-
-    def suspicious(x: Column) -> Column:
-        ratio = log_ratio(x["v"], table)
-        clear = ~F.exists(base, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
-        return clear & (ratio >= F.greatest(F.lit(least_total), least_mean * (F.length(x["v"]) - 1)))
-
-    tokens_of = F.col(into)["tokens"]
-    added = _named(F.filter(tokens_of, suspicious) if table else tokens_of, len(KINDS), MARKOV)
-    return rows.withColumn(into, F.struct(base.alias("base"), added.alias("added")))
+    return rows.withColumn(into, F.struct(base.alias("base"), clear_of(F.col(into)["found"], base).alias("added")))
 
 
 def listed(spans: Column) -> Column:
