@@ -1,3 +1,8 @@
+import html
+import random
+import re
+from html.parser import HTMLParser
+
 import pytest
 
 from trialmill.llm.html_text import extract, text_of
@@ -23,7 +28,7 @@ CASES = {
     "headings": ("<h1>T</h1>text<h2>U</h2><hr>v", "T\n\ntext\n\nU\n\nv"),
     "head ends at body": ("<head><title>x</title><body>y", "y"),
     "definition list": ("<dl><dt>a<dd>b<dt>c<dd>d</dl>", "a\nb\nc\nd"),
-    "nested table": ("<table><tr><td>a<table><tr><td>b<td>c</table><td>d</table>", "a b | c | d"),
+    "nested table": ("<table><tr><td>a<table><tr><td>b<td>c</table><td>d</table>", "a     | d\nb | c"),
     "empty": ("", ""),
 }
 
@@ -44,6 +49,25 @@ SHOWN = {
 }
 
 
+SHOWN |= {
+    "no body": ("<head><title>x</title><meta charset=utf-8><p>hello</p>", "hello"),
+    "text ends the head": ("<html><head>\n<title>x</title>hello <b>you</b>", "hello you"),
+    "head keeps its own": ("<head><noscript><p>n</p></noscript><style>p{display:none}</style><body><p>a</p>b", "b"),
+    "list starts": ("<ol start='--5'><li>a</ol><ol start='²'><li>b</ol><ol start='" + "9" * 5000 + "'><li>c</ol><ol start=-2><li>d</ol>", "1. a\n\n1. b\n\n1. c\n\n-2. d"),
+    "long references": ("a &#" + "9" * 5000 + "; &#" + "0" * 5000 + "65; &#x" + "f" * 5000 + ";", "a \ufffd A \ufffd"),
+    "visible again": ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c<i style='visibility:inherit'>d</i></div>", "b"),
+    "invisible item": ("<ul><li>a<li style='visibility:hidden'>b<li>c</ul>", "- a\n- c"),
+    "hidden in the deep": ("<div>" * 3000 + "a<p hidden>secret</p> b", "a b"),
+    "object": ("<object data=x>a</object><object>b</object><canvas>c</canvas>", "b"),
+    "first attribute": ("<p class=a hidden=x class=b>a</p>b", "b"),
+    "column span": ("<table><tr><th colspan=2>both<th>c<tr><td>a<td>b<td>d<tr><td colspan=3>a rather long line</table>", "both  | c\na | b | d\na rather long line"),
+    "row span": ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a | b\n  | c\nd | e"),
+    "odd spans": ("<table><tr><td colspan=0 rowspan=0>a<td colspan=x>b<tr><td colspan=99999999999>c</table>", "a | b\n  | c"),
+    "lines in a cell": ("<table><tr><td>a<br>bb<td><ul><li>x<li>y</ul><td>z</table>", "a  | - x | z\nbb | - y"),
+    "list around a table": ("<ul><li>a<table><tr><td><ul><li>x</ul><td>y</table><li>b</ul>", "- a\n\n- x | y\n\n- b"),
+}
+
+
 @pytest.mark.parametrize("name", SHOWN)
 def test_what_shows_on_a_screen(name):
     page, want = SHOWN[name]
@@ -67,3 +91,71 @@ def test_column(spark):
     out = sorted((r[0], r[1]["text"]) for r in df.select("page_id", extract(df["html"])).collect())
     assert out == [(1, "a"), (1, "a"), (2, "")]
     assert df.limit(0).select(extract(df["html"])).count() == 0
+
+
+class Plain(HTMLParser):
+    """Words that show, for pages whose tags all have their ends."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.words, self.hidden = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in ("br", "hr", "img", "meta", "link", "input"):
+            style = dict(attrs).get("style") or ""
+            self.hidden.append(tag in ("head", "script", "style") or "hidden" in dict(attrs) or "display:none" in style)
+
+    def handle_endtag(self, tag):
+        self.hidden.pop()
+
+    def handle_data(self, data):
+        if not any(self.hidden):
+            self.words += re.findall(r"w[0-9]+", data)
+
+
+def _page(rng, depth, number):
+    """A random part of a page, as whole markup."""
+    out = []
+    for _ in range(rng.randrange(1, 5)):
+        kind = rng.choice(["text", "div", "p", "ul", "ol", "table", "b", "hidden", "span"]) if depth else "text"
+        inner = lambda: _page(rng, depth - 1, number)
+        words = lambda: f" w{next(number)} w{next(number)} "
+        if kind == "text":
+            out.append(words())
+        elif kind == "p":
+            out.append(f"<p>{words()}<b>{words()}</b></p>")
+        elif kind in ("ul", "ol"):
+            out.append(f"<{kind}>" + "".join(f"<li>{inner()}</li>" for _ in range(2)) + f"</{kind}>")
+        elif kind == "table":
+            out.append("<table><tbody>" + "".join("<tr>" + "".join(f"<td>w{next(number)}</td>" for _ in range(3)) + "</tr>" for _ in range(2)) + "</tbody></table>")
+        elif kind == "hidden":
+            out.append(rng.choice(["<div hidden>{}</div>", "<span style='display:none'>{}</span>", "<script>{}</script>"]).format(words()))
+        else:
+            out.append(f"<{kind}>{inner()}</{kind}>")
+    return "".join(out)
+
+
+def test_random_pages_against_a_plain_parser():
+    rng = random.Random(3)
+    for _ in range(300):
+        page = "<html><head><title>w0</title></head><body>" + _page(rng, 4, iter(range(1, 10**6))) + "</body></html>"
+        plain = Plain()
+        plain.feed(page)
+        shorter = re.sub("</(?:p|li|td|tr|tbody|body|html|head)>", lambda m: m[0] if rng.random() < 0.5 else "", page)
+        for text in (page, re.sub("</(?:li|td|tr|tbody|body|html|head)>", "", page), shorter if "</p>" not in shorter else page):
+            assert re.findall(r"w[0-9]+", text_of(text)[0]) == plain.words, text
+
+
+def test_test_pages_against_a_plain_parser(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/pages.parquet").select("html").collect()
+    word = r"[^\W\d_]{2,}"
+    for (page,) in rows:
+        bare = re.sub(r"(?is)<head>.*?</head>|<script.*?</script>|<!--.*?-->", "", page)
+        bare = html.unescape(re.sub(r"<[^>]*>", " ", re.sub(r"</?[ab](?:\s[^>]*)?>", "", bare)))
+        assert re.findall(word, text_of(page)[0]) == re.findall(word, bare), page
+    assert len(rows) >= 50
+
+
+def test_many_open_elements_stay_cheap():
+    assert text_of("<b>" * 100_000 + "<p>x" * 20_000)[0].count("x") == 20_000
+    assert text_of("<table><tr><td colspan=1000 rowspan=9>a" * 300)[0].count("a") == 300

@@ -1,23 +1,24 @@
 """Text of HTML pages as a reader sees it laid out.
 
 A tokenizer feeds a tree builder that knows implied tags (a new ``<li>`` ends the one before, a
-block ends an open ``<p>``, cells end cells, ``<body>`` ends ``<head>``), so that broken pages
-still nest. Rendering walks the tree without recursion:
+block ends an open ``<p>``, cells end cells, what may not stand in ``<head>`` ends it), so that
+broken pages still nest. Rendering walks the tree without recursion:
 
-* not shown: head matter, scripts, styles, templates, comments, the attribute ``hidden``, inline
-  ``display:none`` and ``visibility:hidden``, closed ``<dialog>`` and ``<details>`` (but for its
+* not shown: head matter, scripts, styles, templates, comments, media and ``<canvas>`` with what
+  stands in for them, an ``<object>`` that names its data, the attribute ``hidden``, inline
+  ``display:none`` and ``visibility:hidden`` (until a part is ``visible`` again), closed ``<dialog>`` and ``<details>`` (but for its
   summary), and elements that simple selectors (tag, .class, #id, tag.class) of the page's own
   style sheets hide. Rules cascade (important, then selector, then order); those under a condition
   (``@media print``, widths, ``@supports`` and the like) do not count;
 * of ``<svg>`` the text elements show, of ``<math>`` all but annotations;
 * white space collapses, except in ``<pre>`` and ``<textarea>``; ``<br>`` breaks a line; blocks
   start lines, and paragraphs, headings, lists, tables and the like stand apart by an empty line;
-* list items are indented by depth, with ``- `` or their number; table rows are lines, their cells
-  padded to the widest of the column.
+* list items are indented by depth, with ``- `` or their number; table cells start where their
+  column does, are padded to its widest, keep their own lines, and span columns and rows.
 
 Defined cases: a null or empty page gives an empty text. Unclosed tags end with their parents, and
-stray end tags are ignored; an unclosed comment or script runs to the end. Nesting beyond
-MAX_DEPTH is laid flat: its text stays. Pages are taken whole. Repeated rows get the same result;
+stray end tags are ignored; an unclosed comment or script runs to the end. A number that is none, or has more than
+nine digits, counts as not given. Nesting has no bound. Pages are taken whole. Repeated rows get the same result;
 an empty table gives an empty one. Other columns come back unchanged.
 """
 
@@ -25,14 +26,14 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-MAX_DEPTH = 400
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)",
@@ -45,10 +46,16 @@ _MEDIA = re.compile(r"@media\b(.*)", re.IGNORECASE | re.DOTALL)
 _SELECTOR = re.compile(r"([a-z][a-z0-9]*)?(?:([.#])([\w-]+))?\Z", re.IGNORECASE)
 _SHOWING = re.compile(r"(?:^|[;{])\s*(display|visibility)\s*:\s*([a-z-]+)([^;}]*)", re.IGNORECASE)
 _SPACES = re.compile(r"[ \t\n\r\f]+")
+_NUMBER = re.compile(r"\s*([+-]?[0-9]{1,9})\s*\Z", re.ASCII)
+_ZEROS, _TOO_LARGE = re.compile(r"&#0+(?=[0-9])"), re.compile(r"&#[1-9][0-9]{7,}")
+#: Limits of the HTML standard.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NEVER = frozenset("head script style template title noembed noframes iframe datalist object audio video canvas annotation annotation-xml".split())
+NEVER = frozenset("head script style template title noembed noframes iframe datalist audio video canvas annotation annotation-xml".split())
+#: What may stand in <head>.
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of an <svg> that are not drawn where they stand, and those whose text is.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 DRAWN = frozenset(("text", "foreignobject"))
@@ -73,8 +80,13 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
     "body": (frozenset(("head",)), frozenset()),
 }
-#: An end tag does not reach past these.
+#: These end all such elements, not only the nearest.
+ENDS_ALL = frozenset(("tr", "thead", "tbody", "tfoot", "optgroup"))
+#: An end tag does not reach past these, but for those of tables and pages.
 SCOPE = frozenset(("table", "td", "th", "caption", "html"))
+FAR = frozenset("table tr tbody thead tfoot html body".split())
+#: No block, or none that ends a <p>.
+OUTER = frozenset("tr thead tbody tfoot html body head".split())
 
 RESULT = "text string, n_lines long, n_items long, n_tables long"
 
@@ -83,18 +95,38 @@ RESULT = "text string, n_lines long, n_items long, n_tables long"
 class Node:
     name: str
     shown: bool = True
+    visible: bool | None = None  # None: as what is around it
     start: int = 1  # of an ordered list
+    spans: tuple[int, int] = (1, 1)  # columns and rows of a cell
     closed: bool = False  # details of which only the summary shows
     children: list[Node | str] = field(default_factory=list)
 
 
-#: Of a selector and a property: (important, specificity, place in the page), and whether it hides.
-Rules = dict[tuple[str, str, str], dict[str, tuple[tuple[bool, int, int], bool]]]
+#: Of a selector and a property: (important, specificity, place in the page), and whether it shows (None: inherited).
+Rules = dict[tuple[str, str, str], dict[str, tuple[tuple[bool, int, int], bool | None]]]
 
 
-def _showing(body: str) -> list[tuple[str, bool, bool]]:
-    """(property, important, hides) of declarations that bear on being shown."""
-    return [(p.lower(), "!important" in rest.replace(" ", "").lower(), (p.lower(), v.lower()) in (("display", "none"), ("visibility", "hidden"))) for p, v, rest in _SHOWING.findall(body)]
+def _showing(body: str) -> list[tuple[str, bool, bool | None]]:
+    """(property, important, shows) of declarations that bear on being shown."""
+    out = []
+    for name, value, rest in _SHOWING.findall(body):
+        name, value = name.lower(), value.lower()
+        shows = value != "none" if name == "display" else {"hidden": False, "collapse": False, "visible": True}.get(value)
+        out.append((name, "!important" in rest.replace(" ", "").lower(), shows))
+    return out
+
+
+def number(text: str | None, default: int, least: int = -(10**9), most: int = 10**9) -> int:
+    """The whole number that an attribute gives, within bounds; else the default."""
+    m = _NUMBER.match(text or "")
+    return min(max(int(m[1]), least), most) if m else default
+
+
+def unescaped(text: str) -> str:
+    """Character references replaced; numbers too long to convert stand for no character."""
+    if "&" not in text:
+        return text
+    return html.unescape(_TOO_LARGE.sub("&#1114112", _ZEROS.sub("&#", text)) if "&#" in text else text)
 
 
 def _holds(prelude: str) -> bool:
@@ -104,8 +136,8 @@ def _holds(prelude: str) -> bool:
     return prelude.lower().startswith("@layer")
 
 
-def _rules(sheet: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, bool]]:
-    """Selector, property, important, specificity and whether it hides, of the rules of a style sheet that bear on being shown."""
+def _rules(sheet: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, bool | None]]:
+    """Selector, property, important, specificity and whether it shows, of the rules of a style sheet that bear on being shown."""
     sheet = _COMMENT.sub(" ", sheet)
     holds, start, prelude = [], 0, ""  # of open at-rules and style rules
     for m in _BRACE.finditer(sheet):
@@ -127,51 +159,60 @@ def _rules(sheet: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, b
         prelude = ""
 
 
-def _rule(selectors: str, body: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, bool]]:
+def _rule(selectors: str, body: str) -> Iterator[tuple[tuple[str, str, str], str, bool, int, bool | None]]:
     found = _showing(body)
     for selector in selectors.split(",") if found else ():
         if (m := _SELECTOR.match(selector.strip())) and m[0]:
-            for name, important, hides in found:
-                yield ((m[1] or "").lower(), m[2] or "", m[3] or ""), name, important, {"#": 100, ".": 10}.get(m[2], 0) + bool(m[1]), hides
+            for name, important, shows in found:
+                yield ((m[1] or "").lower(), m[2] or "", m[3] or ""), name, important, {"#": 100, ".": 10}.get(m[2], 0) + bool(m[1]), shows
 
 
 def parse(page: str) -> Node:
     """The tree of a page."""
     root = Node("#root")
     stack, at = [root], 0
+    places: dict[str, list[int]] = {}  # depths of the open elements of each name
     rules: Rules = {}
-    placed, any_svg = 0, False
+    placed = 0
+
+    def nearest(names: Iterable[str]) -> int:
+        """Depth of the innermost open element of these names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def close(depth: int) -> None:
+        while len(stack) > depth:
+            places[stack.pop().name].pop()
 
     def drawing() -> int:
         """Depth of the <svg> whose parts come next, 0 outside one."""
-        for depth in range(len(stack) - 1, 0, -1) if any_svg else ():
-            if stack[depth].name == "foreignobject":
-                return 0
-            if stack[depth].name == "svg":
-                return depth
-        return 0
+        depth = nearest(("svg",))
+        return depth if depth > nearest(("foreignobject",)) else 0
 
     def text(piece: str) -> None:
-        if piece and not ((depth := drawing()) and not any(n.name in DRAWN for n in stack[depth:])):
-            stack[-1].children.append(html.unescape(piece) if "&" in piece else piece)
-
-    def close(depth: int) -> None:
-        del stack[depth:]
-
-    def shown(name: str, attrs: dict[str, str]) -> bool:
-        if name in NEVER or "hidden" in attrs or name == "dialog" and "open" not in attrs:
-            return False
-        if any_svg and drawing() and (name in UNDRAWN or attrs.get("display") == "none" or attrs.get("visibility") == "hidden"):
-            return False
-        won: dict[str, tuple[tuple[bool, int, int], bool]] = {}
+        if not piece or (depth := drawing()) and nearest(DRAWN) < depth:
+            return
+        if stack[-1].name == "head" and not piece.isspace():
+            close(len(stack) - 1)
+        stack[-1].children.append(unescaped(piece))
+
+    def looks(name: str, attrs: dict[str, str]) -> tuple[bool, bool | None]:
+        """Whether an element is shown, and whether it is visible."""
+        if name in NEVER or "hidden" in attrs or name == "dialog" and "open" not in attrs or name == "object" and "data" in attrs:
+            return False, None
+        won: dict[str, tuple[tuple[bool, int, int], bool | None]] = {}
+        if drawing():
+            if name in UNDRAWN:
+                return False, None
+            for prop, _, shows in _showing(";".join(f"{p}:{attrs[p]}" for p in ("display", "visibility") if p in attrs)):
+                won[prop] = (False, -1, 0), shows
         keys = [("", ""), *((".", c) for c in attrs.get("class", "").split()), ("#", attrs.get("id", ""))] if rules else ()
         for found in [rules[tag, *key] for key in keys for tag in ("", name) if (tag or key[0]) and (tag, *key) in rules]:
             for prop, ruled in found.items():
-                won[prop] = max(won.get(prop, ruled), ruled)
-        for place, (prop, important, hides) in enumerate(_showing(attrs["style"]) if "style" in attrs else ()):
-            ruled = ((important, 1000, place), hides)
-            won[prop] = max(won.get(prop, ruled), ruled)
-        return not any(hides for _, hides in won.values())
+                won[prop] = max(won.get(prop, ruled), ruled, key=lambda r: r[0])
+        for place, (prop, important, shows) in enumerate(_showing(attrs["style"]) if "style" in attrs else ()):
+            ruled = ((important, 1000, place), shows)
+            won[prop] = max(won.get(prop, ruled), ruled, key=lambda r: r[0])
+        return won.get("display", (None, True))[1], won.get("visibility", (None, None))[1]
 
     while at < len(page):
         m = _TAG.search(page, at)
@@ -183,53 +224,50 @@ def parse(page: str) -> Node:
         if not m["name"]:
             continue
         name = m["name"].lower()
-        if name in BLOCKS and not m["end"] and (depth := drawing()):
-            close(depth)  # blocks end a drawing
         if m["end"]:
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == name:
-                    close(depth)
-                    break
-                if stack[depth].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "html", "body"):
-                    break
+            depth = nearest((name,))
+            if depth and (name in FAR or nearest(SCOPE) <= depth):
+                close(depth)
             continue
-        if name in BLOCKS and name not in ("tr", "thead", "tbody", "tfoot", "html", "body", "head"):
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name == "p":
-                    close(depth)
-                    break
-                if stack[depth].name in SCOPE or stack[depth].name in ("div", "li"):
-                    break
+        if name in BLOCKS and (depth := drawing()):
+            close(depth)  # blocks end a drawing
+        if stack[-1].name == "head" and name not in HEAD:
+            close(len(stack) - 1)
+        if name in BLOCKS and name not in OUTER and (depth := nearest(("p",))) > nearest(SCOPE | {"div", "li"}):
+            close(depth)
         if name in ENDS:
             ended, boundary = ENDS[name]
-            for depth in range(len(stack) - 1, 0, -1):
-                if stack[depth].name in boundary:
+            while (depth := nearest(ended)) > nearest(boundary):
+                close(depth)
+                if name not in ENDS_ALL:
                     break
-                if stack[depth].name in ended:
-                    close(depth)
-                    if name not in ("tr", "thead", "tbody", "tfoot", "optgroup"):
-                        break
-        attrs = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(m["attrs"])} if m["attrs"] else {}
-        node = Node(name, shown(name, attrs))
-        if name == "ol" and attrs.get("start", "").lstrip("-").isdigit():
-            node.start = int(attrs["start"])
-        if name == "details" and "open" not in attrs:
+        attrs: dict[str, str] = {}
+        for key, value in _ATTR.findall(m["attrs"]) if m["attrs"] else ():
+            attrs.setdefault(key.lower(), value.strip("\"'"))
+        node = Node(name, *looks(name, attrs))
+        if name == "ol":
+            node.start = number(attrs.get("start"), 1)
+        elif name in _CELLS:
+            rows = number(attrs.get("rowspan"), 1, 0, MAX_ROWSPAN)
+            node.spans = number(attrs.get("colspan"), 1, 1, MAX_COLSPAN), rows or MAX_ROWSPAN
+        elif name == "details" and "open" not in attrs:
             node.closed = True
         spaced = name == "text" and drawing() > 0  # labels of a drawing stand apart
         stack[-1].children.extend([" ", node, " "] if spaced else [node])
-        any_svg = any_svg or name == "svg"
         if name in RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*>?", re.IGNORECASE).search(page, at)
             body = page[at : end.start()] if end else page[at:]
             at = end.end() if end else len(page)
             if name == "style":
-                for key, prop, important, specificity, hides in _rules(body):
+                for key, prop, important, specificity, shows in _rules(body):
                     placed += 1
-                    ruled, held = ((important, specificity, placed), hides), rules.setdefault(key, {})
-                    held[prop] = max(held.get(prop, ruled), ruled)
+                    rules.setdefault(key, {})
+                    ruled = ((important, specificity, placed), shows)
+                    rules[key][prop] = max(rules[key].get(prop, ruled), ruled, key=lambda r: r[0])
             elif node.shown:
-                node.children.append(html.unescape(body))
-        elif name not in VOID and not m["attrs"].rstrip().endswith("/") and len(stack) < MAX_DEPTH:
+                node.children.append(unescaped(body))
+        elif name not in VOID and not m["attrs"].rstrip().endswith("/"):
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
     return root
 
@@ -276,27 +314,60 @@ class Canvas:
         return "\n".join(self.lines).strip("\n")
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    """Lines of a table; a cell's own lines are joined, columns are as wide as their widest cell."""
-    widths: list[int] = []
-    for row in rows:
-        widths += [0] * (len(row) - len(widths))
-        for k, cell in enumerate(row):
-            widths[k] = max(widths[k], len(cell))
-    return [" | ".join(c.ljust(w) for c, w in zip(row, widths, strict=False)).rstrip() for row in rows]
+#: Lines, columns and rows of a cell.
+Cell = tuple[list[str], int, int]
+BAR = " | "
+
+
+def _table(rows: list[list[Cell]]) -> list[str]:
+    """Lines of a table: columns are as wide as their widest cell, and a cell that spans several as wide as these."""
+    until: dict[int, int] = {}  # the row at which a column is free again
+    grid: list[list[tuple[int, int, list[str]]]] = []
+    for r, row in enumerate(rows):
+        at, placed = 0, []
+        for lines, across, down in row:
+            while until.get(at, 0) > r:
+                at += 1
+            placed.append((at, at + across, lines))
+            if down > 1:
+                until.update(dict.fromkeys(range(at, at + across), r + down))
+            at += across
+        grid.append(placed)
+    starts = sorted({at for row in grid for at, _, _ in row})  # columns in which no cell starts have no width
+    grid = [[(bisect_left(starts, at), bisect_left(starts, to), lines) for at, to, lines in row] for row in grid if any(lines for _, _, lines in row)]
+    widths = [0] * len(starts)
+    over = lambda at, to: sum(widths[at:to]) + len(BAR) * (to - at - 1)
+    for spans in (False, True):
+        for row in grid:
+            for at, to, lines in row:
+                if spans == (to - at > 1):
+                    widths[to - 1] += max(0, max(map(len, lines), default=0) - over(at, to))
+    out = []
+    for row in grid:
+        for k in range(max(len(lines) for _, _, lines in row)):
+            fields, done = [], 0
+            for at, to, lines in row:
+                fields += ["".ljust(widths[c]) for c in range(done, at)]
+                fields.append((lines[k] if k < len(lines) else "").ljust(over(at, to)))
+                done = to
+            while fields and not fields[-1].strip():
+                fields.pop()
+            out.append(BAR.join(fields).rstrip())
+    return out
 
 
 def render(root: Node) -> tuple[str, int, int]:
     """Text, list items and tables of a tree."""
     canvas, tables, items = Canvas(), 0, 0
     lists: list[list] = []  # [ordered, next number]
-    held: list[tuple[Canvas, list[list[str]]]] = []  # canvases and rows of open tables
+    held: list[tuple[Canvas, list[list[Cell]], list[list]]] = []  # what is around open tables and cells
     todo: list[tuple[str, Node | str]] = [("open", root)]
-    kept = 0
+    kept, visible = 0, [True]
     while todo:
         what, node = todo.pop()
         if isinstance(node, str):
-            canvas.write(node, kept > 0)
+            if visible[-1]:
+                canvas.write(node, kept > 0)
             continue
         name = node.name
         if what == "open":
@@ -311,15 +382,16 @@ def render(root: Node) -> tuple[str, int, int]:
             if name == "hr":
                 canvas.block(True)
                 continue
-            if name in ("td", "th") and held:
-                held.append((canvas, held[-1][1]))
-                canvas = Canvas()
+            visible.append(visible[-1] if node.visible is None else node.visible)
+            if name in _CELLS and held:
+                held.append((canvas, held[-1][1], lists))
+                canvas, lists = Canvas(), []
             elif name == "tr" and held:
                 held[-1][1].append([])
             elif name == "table":
                 canvas.block(True)
                 tables += 1
-                held.append((canvas, []))
+                held.append((canvas, [], lists))
             elif name in ("ul", "ol", "menu"):
                 canvas.block(not lists)
                 lists.append([name == "ol", node.start])
@@ -327,7 +399,7 @@ def render(root: Node) -> tuple[str, int, int]:
                 canvas.block(False)
                 items += 1
                 depth = max(len(lists) - 1, 0)
-                canvas.mark = f"{lists[-1][1]}. " if lists and lists[-1][0] else "- "
+                canvas.mark = (f"{lists[-1][1]}. " if lists and lists[-1][0] else "- ") if visible[-1] else ""
                 canvas.indent = "  " * depth
                 if lists:
                     lists[-1][1] += 1
@@ -340,17 +412,16 @@ def render(root: Node) -> tuple[str, int, int]:
             todo.append(("close", node))
             todo.extend(("open", c) for c in reversed(node.children))
             continue
+        visible.pop()
         kept -= name in ("pre", "textarea")
-        if name in ("td", "th") and held:
-            cell = _SPACES.sub(" ", canvas.text())
-            canvas, rows = held.pop()
+        if name in _CELLS and held:
+            lines = [line for line in canvas.text().split("\n") if line.strip()]
+            canvas, rows, lists = held.pop()
             if not rows:
                 rows.append([])
-            rows[-1].append(cell)
+            rows[-1].append((lines, *node.spans))
         elif name == "table":
-            outer, rows = held.pop()
-            rows = [r for r in rows if any(r)]
-            canvas = outer
+            canvas, rows, lists = held.pop()
             canvas.block(True)
             for line in _table(rows):
                 canvas.line = canvas.begin() + line
