@@ -1,6 +1,10 @@
+import math
 import random
+from collections import Counter
+from functools import lru_cache
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from trialmill.llm import langid
@@ -63,6 +67,71 @@ def test_und_nulls_and_empty_tables(spark):
     assert {r["found"]["lang_pred"] for r in langid.identify(odd, nothing, into="found").collect()} == {"und"}
 
 
+def test_letters_alone_make_a_language(spark):
+    rows, df = docs(spark, ["aa", "bb"])
+    model = langid.train(df, F.lit(True))
+    odd = spark.createDataFrame([(i, t, None, 1, "x") for i, t in enumerate(["½ ² ①", "Ⅳ _ 12", "é", None])], SCHEMA)
+    got = {r["doc_id"]: r["f"]["lang_pred"] for r in langid.identify(odd, model, into="f").collect()}
+    assert got[0] == got[1] == got[3] == "und" and got[2] != "und"
+    with pytest.raises(ValueError, match="language"):
+        langid.identify(odd, model)
+
+
+def test_every_label_is_learned(spark):
+    letters = [chr(0x400 + 3 * k) + chr(0x401 + 3 * k) for k in range(90)]  # more than were learned once
+    rows = [(i, " ".join([letters[i % 90]] * (5 + i % 7)), f"l{i % 90:02d}", 1, "x") for i in range(720)]
+    df = spark.createDataFrame([*rows, (9000, "zq zq zq zq", "rare", 1, "x")], SCHEMA)
+    model = langid.train(df, F.lit(True))
+    assert model.langs == sorted({r[2] for r in rows} | {"rare"})
+    out = langid.identify(df, model, into="f").select("lang", "f.lang_pred").collect()
+    assert sum(r[0] == r[1] for r in out) / len(out) > 0.95
+
+
+def plain_features(text):
+    raw = " " + " ".join("".join(c if ord(c) >= 128 or c.isalpha() else " " for c in text.lower()).split()) + " "
+    data = raw.encode()
+    for order in (2, 3):
+        for i in range(len(data) - order + 1):
+            code = order
+            for byte in data[i : i + order]:
+                code = (code * 257 + byte) % 2**32
+            yield (code * 0x9E3779B1 % 2**32) >> 16
+
+
+def test_decoder_against_plain_counts_and_losses(spark):
+    rows, df = docs(spark, ["aa", "bb", "cc", "dd", "ee", "ff"], 240)  # 40 a language: nothing is held back
+    model = langid.train(df, F.lit(True), per_lang=10**6)
+    assert (model.slope == 20).all() and (model.shift == 0).all()
+    counts = {lang: Counter() for lang in SYLLABLES}
+    for _, t, lang, *_ in rows:
+        counts[lang].update(plain_features(t))
+    share = lambda lang, f: (counts[lang][f] + 0.5) / (counts[lang].total() + 0.5 * 65536)
+    bits = range(model.code.shape[1])
+    sides = [[[lang for k, lang in enumerate(model.langs) if model.code[k, b] == side] for side in (1, -1)] for b in bits]
+    mean = lambda langs, f: sum(share(x, f) for x in langs) / len(langs)
+    weight = lru_cache(None)(lambda b, f: math.log(mean(sides[b][0], f)) - math.log(mean(sides[b][1], f)))
+    rng = random.Random(9)
+    for lang in SYLLABLES:
+        t = text(lang, rng, 6) + "; É 7"
+        seen = list(plain_features(t))
+        margins = [sum(weight(b, f) for f in seen) / len(seen) for b in bits]
+        loss = [sum(math.log1p(math.exp(-model.code[k, b] * 20 * margins[b])) for b in bits) / len(bits) for k in range(len(model.langs))]
+        assert np.allclose(model.margins(t), margins, atol=1e-5)
+        near = [math.exp((min(loss) - x) * len(bits)) for x in loss]
+        pred, score, second, _ = model.decide(t)
+        order = sorted(range(len(loss)), key=loss.__getitem__)
+        assert (pred, second) == (model.langs[order[0]], model.langs[order[1]]) and math.isclose(score, max(near) / sum(near), rel_tol=1e-3)
+
+
+def test_calibration_sees_only_rows_that_were_held_back(spark):
+    rows, df = docs(spark, ["aa", "bb"], 400)
+    back = F.pmod(F.xxhash64(F.lit(4), "doc_id"), F.lit(langid.HELD_BACK)) == 0
+    noisy = df.withColumn("lang", F.when(back & (F.rand(1) < 0.5), F.when(F.col("lang") == "aa", "bb").otherwise("aa")).otherwise(F.col("lang")))
+    sure, unsure = langid.train(df, F.lit(True)), langid.train(noisy, F.lit(True))
+    assert (sure.weights == unsure.weights).all()  # labels of held-back rows teach no n-grams
+    assert sure.decide("the anding er")[1] > unsure.decide("the anding er")[1] + 0.1
+
+
 def test_long_texts_are_sliced_without_loss(monkeypatch):
     t = text("bb", random.Random(2), 400)
     whole = np.sort(np.concatenate(list(langid.features(t))))

@@ -1,6 +1,8 @@
 import random
 import re
 
+import pytest
+
 from trialmill.llm import quality
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -55,6 +57,34 @@ def test_rules_that_reject_more_for_less_come_first(spark):
     assert [r.name for r in quality.order_rules(df, [slow, busy])] == ["busy", "slow"]
 
 
+def test_order_follows_what_is_left():
+    # rule 0 rejects most, rule 1 nearly only the same rows, rule 2 others: after 0, 2 is worth more
+    assert quality.best_order([1.0, 1.0, 1.0], {0b011: 50, 0b001: 10, 0b010: 1, 0b100: 20, 0: 900}) == [0, 2, 1]
+    assert quality.best_order([100.0, 1.0], {0b01: 50, 0b10: 1}) == [1, 0]
+    assert quality.best_order([1.0, 1.0, 1.0], {}) == [0, 1, 2]
+
+
+def test_base_figures_cost_a_rule_nothing(spark):
+    cheap = quality.Rule("cheap", lambda p: p.n_repeat_words > 10**9 or "7" in p.text)  # the costliest figure, but it is there
+    dear = quality.Rule("dear", lambda p: sum(i * i for i in range(3000)) < 0 or "7" in p.text)
+    df = spark.range(200).selectExpr("id AS doc_id", "array_join(transform(sequence(1, 40), i -> concat('w', cast(i * id as string))), ' ') AS text")
+    assert [r.name for r in quality.order_rules(df, [dear, cheap])] == ["cheap", "dear"]
+
+
+def test_only_letters_shout():
+    numerals = " ".join(["ⅣⅤⅥⅦ", "ab"] * 20)
+    assert not quality.RULES[3].rejects(quality.Page(numerals))
+    assert quality.RULES[3].rejects(quality.Page("ABCD ÉÀ " * 20))
+
+
+def test_odd_rows(spark):
+    df = spark.createDataFrame([(None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x"), (None, None, None)], "doc_id long, text string, quality string")
+    with pytest.raises(ValueError, match="quality"):
+        quality.cascade(df)
+    out = quality.cascade(df, into="found")
+    assert out.columns == [*df.columns, "found"] and sorted(r["found"]["n_words"] for r in out.collect()) == [0, 2, 2, 2]
+
+
 def test_clean_prose_is_kept():
     prose = " ".join(f"Word{i} means something, but not much." for i in range(60))
     assert not any(r.rejects(quality.Page(prose)) for r in quality.RULES)

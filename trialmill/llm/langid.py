@@ -6,19 +6,19 @@ margin, which a one-dimensional logistic fit turns into a calibrated one. Decodi
 codeword, the logistic loss of the margins against its bits, weighted by how reliable the bit's
 classifier was on labelled rows; the least loss wins. A small lead over the runner-up is flagged.
 
-Training reads at most ``per_lang`` labelled rows of a language (default 4000), chosen by a hash
-of the id, and at most ``max_langs`` languages (the most frequent). Prediction reads every whole
-text and nothing else.
+Training learns every label. It reads about ``per_lang`` labelled rows of a language (default 4000),
+chosen by a hash of the id; of languages with FOLD_FROM rows or more, a fifth of the rows is left out
+and only calibrates. What comes to the driver is one row a language, one a feature (N_FEATURES at
+most) and the margins of at most ``calibrate`` rows. Prediction reads every whole text and nothing else.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0. Rows with a null label
 are never learned from. Without labelled rows everything is ``und``. Repeated rows and ties change
 nothing (equal losses: the language first in code-point order). Very long texts are read in slices
-of bounded size. All columns of the input come back unchanged, whatever their names.
+of bounded size. All columns of the input come back unchanged; one that has the name of the result is refused.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,11 +27,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialmill.llm.common import unused
+
 #: n-grams of these many bytes, hashed to so many features.
 ORDERS, FEATURE_BITS = (2, 3), 16
 N_FEATURES = 1 << FEATURE_BITS
 SLICE = 1 << 20
-LETTER = re.compile(r"[^\W\d_]")
+SMOOTHING = 0.5
+#: Languages with so many labelled rows leave one row in HELD_BACK to calibration.
+FOLD_FROM, HELD_BACK = 50, 5
+BLOCKS = 64  # of features, in training
 UND = "und"
 RESULT = "lang_pred string, score double, runner_up string, ambiguous boolean"
 #: ASCII bytes other than letters become spaces.
@@ -64,7 +69,8 @@ def codewords(n: int) -> np.ndarray:
     for _ in range(200):
         code = rng.choice(np.array([-1, 1], np.int8), (n, bits))
         code = code[:, np.abs(code.sum(0, dtype=int)) < n]
-        distance = min(int((code[i] != code[j]).sum()) for i in range(n) for j in range(i))
+        agree = code.astype(np.float32) @ code.T.astype(np.float32)
+        distance = int((code.shape[1] - agree[~np.eye(n, dtype=bool)].max()) // 2)
         if distance > apart:
             best, apart = code, distance
     return best
@@ -92,7 +98,7 @@ class Model:
         return (self.trust * np.logaddexp(0, -self.code * z)).sum(axis=1)
 
     def decide(self, text: str | None) -> tuple[str, float, str | None, bool]:
-        if not self.langs or text is None or not LETTER.search(text):
+        if not self.langs or text is None or not any(map(str.isalpha, text)):
             return UND, 0.0, None, False
         loss = self.losses(self.margins(text))
         near = np.exp((loss.min() - loss) * self.code.shape[1])
@@ -102,49 +108,69 @@ class Model:
         return self.langs[first], float(share[first]), self.langs[rest[0]] if rest else None, bool(lead < self.min_lead)
 
 
-def _sampled(docs: DataFrame, counts: list[tuple[str, int]], bound: int, id_col: str, text_col: str, lang_col: str, seed: int) -> DataFrame:
-    """About ``bound`` rows of each language, by a hash of the id."""
-    place = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(1_000_000))
-    taken = F.lit(False)
-    for lang, n in counts:
-        taken = taken | ((F.col(lang_col) == lang) & (place < int(1_000_000 * min(1.0, bound / n)) + 1))
-    return docs.filter(taken & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-
-
 def train(
-    docs: DataFrame, labelled: Column, per_lang: int = 4000, max_langs: int = 64, min_lead: float = 0.02,
+    docs: DataFrame, labelled: Column, per_lang: int = 4000, calibrate: int = 4000, min_lead: float = 0.02,
     id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
 ) -> Model:
     """Learn from the rows of ``docs`` for which ``labelled`` holds and the label is not null."""
     rows = docs.filter(labelled & F.col(lang_col).isNotNull() & (F.col(lang_col) != UND))
-    counts = sorted((r[0], r[1]) for r in rows.groupBy(lang_col).count().orderBy(F.desc("count"), lang_col).limit(max_langs).collect())
-    langs = [x for x, _ in counts]
+    rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    per_label = rows.groupBy("lang").agg(F.count("*").alias("rows"))
+    sizes = {r["lang"]: r["rows"] for r in per_label.collect()}  # one row a language
+    langs = sorted(sizes)
     code = codewords(len(langs))
-    sample = _sampled(rows, counts, per_lang, id_col, text_col, lang_col, 1)
+
+    place = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000))
+    sized = rows.filter("text IS NOT NULL").join(per_label, "lang")
+    back = (F.col("rows") >= FOLD_FROM) & (F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(HELD_BACK)) == 0)
+    taken = lambda seed, bound: place(seed) < F.floor(1_000_000 * F.least(F.lit(1.0), F.lit(float(bound)) / F.col("rows"))) + 1
+    learned = sized.filter(~back & taken(1, per_lang)).select("lang", "text")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, text in zip(batch["lang"], batch["text"], strict=True):
-                held = seen.setdefault(lang, np.zeros(N_FEATURES, np.int64))
-                for f in features(text):
-                    held += np.bincount(f, minlength=N_FEATURES)
-        for lang, held in seen.items():
-            (at,) = held.nonzero()
-            yield pd.DataFrame({"lang": lang, "feature": at, "n": held[at]})
-
-    found = sample.mapInPandas(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
-    table = np.full((len(langs), N_FEATURES), 0.5)
-    for r in found.collect() if langs else []:  # at most max_langs x N_FEATURES rows
-        table[langs.index(r["lang"]), r["feature"]] += r["n"]
-    shares = table / table.sum(axis=1, keepdims=True)
-    weights = np.zeros((N_FEATURES, code.shape[1]), np.float32)
-    if len(langs) > 1:
-        for b in range(code.shape[1]):
-            weights[:, b] = np.log(shares[code[:, b] > 0].mean(axis=0)) - np.log(shares[code[:, b] < 0].mean(axis=0))
+            for lang, texts in batch.groupby("lang")["text"]:
+                held = np.zeros(N_FEATURES, np.int64)
+                for text in texts:
+                    for f in features(text):
+                        held += np.bincount(f, minlength=N_FEATURES)
+                (at,) = held.nonzero()
+                yield pd.DataFrame({"lang": lang, "feature": at, "n": held[at]})
+
+    found = learned.mapInPandas(count, "lang string, feature long, n long").groupBy("lang", "feature").agg(F.sum("n").alias("n"))
+    weights = _weights(found, langs, code)
     bits = code.shape[1]
     model = Model(langs, code, weights, np.full(bits, 20.0), np.zeros(bits), np.full(bits, 1.0 / bits), min_lead)
-    return _calibrated(model, _sampled(rows, counts, max(1, per_lang // 8), id_col, text_col, lang_col, 2)) if len(langs) > 1 else model
+    if len(langs) < 2:
+        return model
+    held_back = sum(n for n in sizes.values() if n >= FOLD_FROM) / HELD_BACK
+    return _calibrated(model, sized.filter(back & (place(2) < int(1_000_000 * min(1.0, calibrate / max(held_back, 1))) + 1)).select("lang", "text"))
+
+
+def _weights(found: DataFrame, langs: list[str], code: np.ndarray) -> np.ndarray:
+    """Features x bits: log ratio of the mean n-gram distributions of the languages on either side of each bit.
+
+    Counts (lang, feature, n) of all languages meet in blocks of features, on executors.
+    """
+    weights = np.zeros((N_FEATURES, code.shape[1]), np.float32)
+    if len(langs) < 2:
+        return weights
+    totals = {r["lang"]: r["n"] for r in found.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+    mass = np.array([totals.get(lang, 0) + SMOOTHING * N_FEATURES for lang in langs])
+    sides = [(code == side) / (code == side).sum(axis=0) / mass[:, None] for side in (1, -1)]  # languages x bits
+    index = {lang: k for k, lang in enumerate(langs)}
+
+    def weigh(block: pd.DataFrame) -> pd.DataFrame:
+        names, rows = np.unique(block["feature"], return_inverse=True)
+        n = np.full((len(names), len(index)), SMOOTHING)
+        n[rows, block["lang"].map(index)] += block["n"]
+        ratio = np.log(n @ sides[0]) - np.log(n @ sides[1])
+        return pd.DataFrame({"feature": names, "weights": list(ratio)})
+
+    weights[:] = np.log(SMOOTHING * sides[0].sum(axis=0)) - np.log(SMOOTHING * sides[1].sum(axis=0))  # features that nothing has
+    blocks = found.withColumn("block", F.col("feature") % BLOCKS).groupBy("block").applyInPandas(weigh, "feature long, weights array<double>")
+    for r in blocks.toLocalIterator():  # at most N_FEATURES rows
+        weights[r["feature"]] = r["weights"]
+    return weights
 
 
 def _calibrated(model: Model, sample: DataFrame) -> Model:
@@ -178,6 +204,7 @@ def _calibrated(model: Model, sample: DataFrame) -> Model:
 
 def identify(docs: DataFrame, model: Model, text_col: str = "text", into: str = "language") -> DataFrame:
     """``docs`` with a struct ``into`` (lang_pred, score, runner_up, ambiguous); only texts leave the JVM."""
+    unused(docs, into)
     shared = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.pandas_udf(RESULT)
