@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 from pyspark.sql import functions as F
 
@@ -51,10 +52,51 @@ def test_deduplicate_keeps_columns_and_one_row_a_text(spark):
     assert exact_dedup.deduplicate(docs.limit(0), keep="max").count() == 0
 
 
-def test_index_merges_runs(spark, tmp_path):
-    index = exact_dedup.MergeIndex(str(tmp_path / "index"), "min")
-    rows = spark.createDataFrame([(1, b"a"), (2, b"b")], "id long, digest binary")
-    index.flush(rows)
-    index.flush(spark.createDataFrame([(3, b"a"), (0, b"c")], "id long, digest binary"))
-    index.compact()
-    assert sorted((bytes(r["digest"]), r["keep_id"], r["n"]) for r in index.level.collect()) == [(b"a", 1, 2), (b"b", 2, 1), (b"c", 0, 1)]
+def test_index_in_rounds_against_brute_force(spark, tmp_path):
+    rng = random.Random(6)
+    index = exact_dedup.MergeIndex(str(tmp_path / "index"), "min", fan_out=2)
+    texts, rows = [f"t{k}" for k in range(40)], []
+    for r in range(5):
+        batch = [(100 * r + i, rng.choice(texts)) for i in range(30)] + [(None, "t0")]
+        df = spark.createDataFrame(batch, "id long, text string").select("id", exact_dedup.sha256(F.col("text")).alias("digest"), "text")
+        before = {}
+        for i, t in rows:
+            before.setdefault(t, []).append(i)
+        got = {bytes(x["digest"]): (x["keep_id"], x["n"]) for x in index.lookup(df).collect()}
+        want = {t: ids for t, ids in before.items() if t in {t for _, t in batch}}
+        assert got == {hashlib.sha256(t.encode()).digest(): (min((i for i in ids if i is not None), default=None), len(ids)) for t, ids in want.items()}
+        index.flush(df)
+        if r != 2:  # one compaction takes two runs
+            index.compact()
+            rows += [x for x in batch]
+        else:
+            held = batch
+        if r == 3:
+            rows += held
+        index.compact() if r == 4 else None  # nothing fresh: nothing happens
+    assert [len(x) for x in index.levels] == [0, 0, 1]  # four compactions, merged by twos
+    everything = spark.createDataFrame(rows, "id long, text string").select("id", exact_dedup.sha256(F.col("text")).alias("digest"), "text")
+    for _ in range(2):
+        groups, collided = index.verify(everything)
+        assert collided is None
+        by_text = {}
+        for i, t in rows:
+            by_text.setdefault(t, []).append(i)
+        assert {bytes(x["digest"]): (x["keep_id"], x["n"]) for x in groups.collect()} == {
+            hashlib.sha256(t.encode()).digest(): (min((i for i in ids if i is not None), default=None), len(ids)) for t, ids in by_text.items()
+        }
+    assert index.entries().count() == len(rows)
+
+
+def test_levels_merge_without_a_shuffle(spark, tmp_path):
+    index = exact_dedup.MergeIndex(str(tmp_path / "index"), "max", fan_out=3)
+    for k in range(2):
+        index.flush(spark.range(50 * k, 50 * k + 100).select("id", exact_dedup.sha256(F.col("id").cast("string")).alias("digest")))
+        index.compact()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = index.all()._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert index.all().count() == 150 and index.all().agg(F.sum("n")).first()[0] == 200

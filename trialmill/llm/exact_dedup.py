@@ -1,16 +1,22 @@
 """Exact de-duplication over a log-structured merge index of digests.
 
 * memtable and flush: each task of the scan is a memtable. It hashes its texts and flushes one
-  run, the (digest, id) pairs sorted by digest, as a Parquet file with a Bloom filter on digest.
-* compaction: runs merge into a level, one row for each digest with the identifier that stays
-  and the number of members; also sorted and filtered.
+  run, the (digest, id) pairs sorted by digest, as one file.
+* compaction: fresh runs merge into a table of level 0, one row for each digest with the identifier
+  that stays and the number of members. Tables are bucketed and sorted by digest; once a level has
+  ``fan_out`` of them, they merge into one of the next level, bucket by bucket: a sort-merge join
+  without a shuffle.
+* look-up: each table has a bounded bit filter of its digests. A digest is sought only in tables whose
+  filter lets it pass.
 * hits: a digest with more than one member is only a candidate. Texts that pass a bounded bit
   filter of such digests are grouped by digest *and text*, so Spark compares their bytes;
   map-side combine leaves one row for each distinct text and task, however large the group.
 
-Only digests, identifiers and the distinct texts of hits are shuffled.
+Only digests, identifiers and the distinct texts that pass the filter of hits are shuffled. (That filter has 8 MB; beyond
+some 10 million repeated digests it lets more and more texts pass that have no copy. They cost a
+shuffle, and change nothing.)
 
-Defined cases: a null text counts as empty; texts are compared as they are. A null id loses to
+Defined cases: a null text counts as empty; texts are compared as they are, whatever their length. A null id loses to
 any other; a group with null ids only keeps null. Rows with equal id and text are one document:
 ``find_duplicates`` marks all of them alike, ``deduplicate`` leaves one. An empty table gives an
 empty result. Other columns, whatever their names, are not read by ``find_duplicates`` and come
@@ -19,68 +25,137 @@ back unchanged from ``deduplicate``.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import dataclass
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialmill.llm.common import bit_filter, passing, shared_dir, store, without
 
-#: Parquet options of runs and levels: a Bloom filter on the digest in each file.
-FILTERED = {"parquet.bloom.filter.enabled#digest": "true", "parquet.bloom.filter.expected.ndv#digest": "100000"}
-
 
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
 
+@dataclass
+class Table:
+    """A compacted table (digest, keep_id, n), bucketed and sorted by digest."""
+
+    rows: DataFrame
+    path: str
+
+    @cached_property
+    def filter(self) -> DataFrame:
+        """The bit filter of its digests, made when it is first asked for."""
+        return store(bit_filter(self.rows, ["digest"], self.rows.count()), f"{self.path}-filter")
+
+
 class MergeIndex:
-    """The index of one corpus: runs, then a level, in a folder that all executors share."""
+    """Digests of a growing corpus, in a folder that all executors share.
+
+    ``flush`` and ``compact`` may follow each other in any order, any number of times.
+    """
 
-    def __init__(self, path: str, keep: str = "min") -> None:
+    def __init__(self, path: str, keep: str = "min", fan_out: int = 4) -> None:
         if keep not in ("min", "max"):
             raise ValueError(f"keep must be min or max, not {keep}")
-        self.path, self.keep, self.runs, self.level = path, keep, None, None
+        if fan_out < 2:
+            raise ValueError("fan_out must be 2 or more")
+        self.path, self.keep, self.fan_out = path, keep, fan_out
+        self.runs: list[DataFrame] = []
+        self.fresh: list[DataFrame] = []  # runs that no table has yet
+        self.levels: list[list[Table]] = []
+        self.made = 0
 
     def _stays(self, column: str) -> Column:
         return F.min(column) if self.keep == "min" else F.max(column)
 
     def flush(self, rows: DataFrame) -> None:
         """Add the memtables of ``rows`` (id, digest): a sorted run for each task."""
-        n = 0 if self.runs is None else len(self.runs)
-        run = store(rows.select("id", "digest").sortWithinPartitions("digest"), f"{self.path}/run{n}", **FILTERED)
-        self.runs = [*(self.runs or []), run]
+        run = store(rows.select("id", "digest").sortWithinPartitions("digest"), f"{self.path}/run{len(self.runs)}")
+        self.runs.append(run)
+        self.fresh.append(run)
 
     def entries(self) -> DataFrame:
         """All flushed (id, digest) pairs."""
-        first, *rest = self.runs
-        for run in rest:
-            first = first.unionByName(run)
-        return first
+        return reduce(DataFrame.unionByName, self.runs)
+
+    def _write(self, rows: DataFrame) -> Table:
+        """A new table in as many buckets as there are shuffle partitions."""
+        spark, path = rows.sparkSession, f"{self.path}/table{self.made}"
+        self.made += 1
+        name, buckets = f"trialmill_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+        rows.write.bucketBy(buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
+        return Table(spark.table(name), path)
+
+    def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
+        """Two tables as one; both are bucketed and sorted alike."""
+        better = F.least if self.keep == "min" else F.greatest
+        zero = F.lit(0).cast("long")
+        return a.alias("a").join(b.alias("b"), F.col("a.digest") == F.col("b.digest"), "full").select(
+            F.coalesce("a.digest", "b.digest").alias("digest"), better("a.keep_id", "b.keep_id").alias("keep_id"),
+            (F.coalesce("a.n", zero) + F.coalesce("b.n", zero)).alias("n"),
+        )
 
     def compact(self) -> None:
-        """Merge all runs into one level (digest, keep_id, n)."""
-        merged = self.entries().groupBy("digest").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n"))
-        self.level = store(merged.sortWithinPartitions("digest"), f"{self.path}/level", **FILTERED)
+        """Merge fresh runs into a table, and full levels into the next."""
+        if not self.fresh:
+            return
+        pairs = reduce(DataFrame.unionByName, self.fresh)
+        merged = pairs.groupBy("digest").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n"))
+        table, level = self._write(merged), 0
+        self.fresh = []
+        while True:
+            if len(self.levels) == level:
+                self.levels.append([])
+            self.levels[level].append(table)
+            if len(self.levels[level]) < self.fan_out:
+                return
+            full, self.levels[level] = self.levels[level], []
+            table = full[0]
+            for other in full[1:]:
+                table = self._write(self._merged(table.rows, other.rows))
+            level += 1
+
+    def tables(self) -> list[Table]:
+        return [t for level in self.levels for t in level]
+
+    def all(self) -> DataFrame:
+        """Every compacted digest (digest, keep_id, n), over all levels."""
+        first, *rest = [t.rows for t in self.tables()]
+        return reduce(self._merged, rest, first)
+
+    def lookup(self, digests: DataFrame) -> DataFrame:
+        """(digest, keep_id, n) of those of ``digests`` (digest) that are in compacted tables."""
+        sought = digests.select("digest").distinct()
+        found = [passing(sought, ["digest"], t.filter).join(t.rows, "digest") for t in self.tables()]
+        if not found:
+            return sought.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("n")).limit(0)
+        return reduce(DataFrame.unionByName, found).groupBy("digest").agg(self._stays("keep_id").alias("keep_id"), F.sum("n").alias("n"))
 
     def verify(self, texts: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-        """Compare the bytes of all hits among ``texts`` (id, digest, text).
+        """Compare the bytes of all hits among ``texts`` (id, digest, text), the rows of all compacted runs.
 
         Returns groups (digest, keep_id, n) for digests that stand for one text each, and, only if
         digests collide, a table (id, digest, keep_id, n) of the members of colliding ones.
         """
-        hits = self.level.filter("n > 1").select("digest")
+        path = f"{self.path}/verified-{uuid.uuid4().hex}"
+        level = self.all()
+        hits = level.filter("n > 1").select("digest")
         n_hits = hits.count()
-        single = self.level.filter("n = 1")
+        single = level.filter("n = 1")
         if not n_hits:
             return single, None
-        filt = store(bit_filter(hits, ["digest"], n_hits), f"{self.path}/filter")
+        filt = store(bit_filter(hits, ["digest"], n_hits), f"{path}/filter")
         suspects = passing(texts, ["digest"], filt)
         by_text = suspects.groupBy("digest", "text").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n"))
         by_digest = by_text.groupBy("digest").agg(
             F.count("*").alias("variants"), self._stays("keep_id").alias("keep_id"), F.sum("n").alias("n")
         )
-        checked = store(by_digest.filter("n > 1"), f"{self.path}/checked")
+        checked = store(by_digest.filter("n > 1"), f"{path}/checked")
         groups = single.unionByName(checked.filter("variants = 1").drop("variants"))
         collided = checked.filter("variants > 1").select("digest")
         if collided.isEmpty():
@@ -88,7 +163,7 @@ class MergeIndex:
         rows = suspects.join(collided, "digest", "left_semi")
         apart = rows.groupBy("digest", "text").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n"))
         members = rows.join(apart, ["digest", "text"]).select("id", "digest", "keep_id", "n")
-        return groups, store(members, f"{self.path}/collided")
+        return groups, store(members, f"{path}/collided")
 
 
 def _index(docs: DataFrame, id_col: str, text_col: str, keep: str, digest: Callable[[Column], Column]):
