@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from trialmill.llm import jaccard_join as jj
@@ -65,6 +66,45 @@ def test_large_clusters_are_joined_in_blocks(spark):
     assert found(spark, rows, max_cluster=12) == brute(rows)
 
 
+def test_clusters_are_bounded_by_shingles_too(spark):
+    rows = corpus(120, 2, seed=6, edits=(0, 1, 2, 3, 4, 6))
+    assert found(spark, rows, max_words=300) == brute(rows)
+
+
+def test_a_large_cluster_without_links_keeps_its_few(spark, monkeypatch):
+    monkeypatch.setattr(jj, "FREQUENT_AT", 10**9)  # nothing is known to be frequent: a passage of all makes one cluster
+    rng, passage = random.Random(12), [f"p{i}" for i in range(60)]
+    rows = []
+    for i in range(1500):
+        own = [f"u{i}x{j}" for j in range(rng.choice([25, 60, 150, 400]))]
+        rows.append((i, " ".join(own + passage)))
+        if i % 50 == 0:
+            rows.append((5000 + i, " ".join(own + passage + ["tail"])))
+        if i % 75 == 0:
+            rows.append((9000 + i, " ".join(passage + own[: len(own) * 9 // 10])))
+    got = found(spark, rows, max_group=40, max_cluster=64)
+    sets = {i: shingle_set(t) for i, t in rows}
+    where = {}
+    for i, s in sets.items():
+        for g in s:
+            where.setdefault(g, []).append(i)
+    shared = {}
+    for ids in where.values():
+        if len(ids) < 20:  # pairs that share the passage alone are no links
+            for a in ids:
+                for b in ids:
+                    if a < b:
+                        shared[a, b] = shared.get((a, b), 0) + 1
+    up = {i: i for i in sets}
+    root = lambda x: x if up[x] == x else root(up[x])
+    for a, b in sorted(shared):
+        if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            x, y = sorted((root(a), root(b)))
+            up[y] = x
+    assert got == sorted((i, len(s), root(i)) for i, s in sets.items())
+    assert sum(i != c for i, _, c in got) >= 30
+
+
 def test_copies_cost_nothing_and_share_a_component(spark):
     rows = [(i, "one two three four five six seven") for i in range(300)] + [(1000, "ONE two three four five six seven"), (1001, "one two three four five six eight")]
     assert found(spark, rows) == brute(rows)
@@ -93,8 +133,16 @@ def test_keep_first_keeps_columns(spark):
 
 def test_components_of_a_long_path(spark, tmp_path):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 501), (501, 500), (7, 7)], "u long, v long")
-    got = {r["node"]: r["component"] for r in jj.connected_components(edges, str(tmp_path / "c")).collect()}
-    assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+    for small in (0, 10**6):
+        got = {r["node"]: r["component"] for r in jj.connected_components(edges, str(tmp_path / f"c{small}"), small=small).collect()}
+        assert got == {**dict.fromkeys(range(201), 0), 500: 500, 501: 500}
+
+
+def test_prefixes_put_the_most_frequent_last():
+    tokens = np.array([2, 3, 5, 7, 11, 13, 17, 19, 23, 29], np.uint64)
+    frequent, rank = np.array([3, 5, 13], np.uint64), np.array([2, 0, 1], np.int32)
+    assert jj.prefix(tokens, frequent, rank).tolist() == [2, 7, 11]
+    assert jj.prefix(frequent, frequent, rank, 50).tolist() == [5, 13]
 
 
 @pytest.mark.parametrize("text", ["", "a", "a b c d e", "Ab\x0bcd\x1fé E", "x" * 5000 + " y"])

@@ -3,21 +3,22 @@
 The result links documents whose sets of word shingles have a Jaccard similarity of at least the
 threshold, exactly, and names each document's connected component.
 
-1. Every text becomes a sorted set of 64-bit shingle hashes. Documents with equal sets form a
-   class; only its first document goes on, so copies cost nothing.
-2. Candidate groups are lossless: with shingles in one global order (frequent ones, found on a
-   sample of documents, last), two similar sets share a shingle among their first n - ceil(t n) + 1.
-   Classes that share one form a group; of groups with the same members one is enough.
+1. Every text becomes a sorted set of 64-bit shingle hashes. Documents with equal sets (by size and two
+   sums of 64-bit hashes) form a class; only its first document goes on, so copies cost nothing.
+2. Candidate groups are lossless: with shingles in one global order (those frequent in a
+   sample of documents last, the most frequent at the end), two similar sets share a shingle among their
+   first n - ceil(t n) + 1. Classes that share one form a group; of groups with the same members one is enough.
 3. A signature tree joins each group: leaves hold a bitmap of the set and its size, inner nodes the OR of
    the bitmaps and the range of sizes. A dual traversal of the tree with itself skips pairs of nodes whose
    largest possible overlap is too small, or that are connected already. Pairs of leaves that pass
    connect their classes; connected components are the clusters. No link leaves a cluster, and
    clusters hold little else than links.
 4. The sets of each cluster meet in one task, and a signature tree finds the links, set against set.
-5. A cluster of over ``max_cluster`` classes is cut into blocks, by hash. Blocks are joined
-   alone, then one member of each component found so far with others like it; at last every class outside
-   its cluster's largest component meets all blocks. No pair of unconnected classes goes unseen. (A group
-   of so many classes is not joined: it becomes one cluster.)
+5. A cluster of over ``max_cluster`` classes or MAX_WORDS shingles is cut into blocks, by hash. Blocks are
+   joined alone, then one member of each component found so far with others like it; at last every class outside
+   its cluster's largest component meets the blocks of its own and the neighbouring ranges of sizes, as no other
+   can hold a similar set. No pair of unconnected classes goes unseen. (A group of over ``max_group``
+   classes is not joined by itself: it becomes one cluster.)
 
 Defined cases: null or wordless texts have no shingles and link with nothing. Rows without an id get
 their own n_shingles, a null component, and take no part in links. Rows that share an id are one
@@ -44,8 +45,11 @@ SHINGLE = 5
 PERCENT = 80
 #: One document in so many is looked at for frequent shingles; more than MAX_FREQUENT are cut to the most frequent. Both bear on speed alone.
 FREQUENT_SAMPLE, FREQUENT_AT, MAX_FREQUENT = 20, 3, 1 << 20
-MAX_CLUSTER = 2000
+#: Classes of a group, and classes and shingles of a cluster, that one task joins.
+MAX_GROUP, MAX_CLUSTER, MAX_WORDS = 2000, 256, 1 << 20
 LEAF = 12
+#: Graphs of up to so many edges are put together by one task.
+SMALL_GRAPH = 100_000
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -81,13 +85,14 @@ def required(n: int, percent: int = PERCENT) -> int:
     return -(-percent * n // 100)
 
 
-def prefix(tokens: np.ndarray, frequent: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """The shingles of a sorted set that come first in the global order: rare before frequent, then by hash."""
+def prefix(tokens: np.ndarray, frequent: np.ndarray, rank: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    """The shingles of a sorted set that come first in the global order: rare ones by hash, then frequent ones by rank."""
     n = len(tokens) - required(len(tokens), percent) + 1
     if len(frequent) and n < len(tokens):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         common = frequent[at] == tokens
-        tokens = np.concatenate([tokens[~common], tokens[common]])
+        rare = tokens[~common]
+        tokens = rare if len(rare) >= n else np.concatenate([rare, tokens[common][np.argsort(rank[at[common]])]])
     return tokens[:n]
 
 
@@ -251,15 +256,33 @@ def join_sets(
     return _links_in([ids[i] for i in order], groups)
 
 
-def connected_components(edges: DataFrame, path: str, rounds: int = 40) -> DataFrame:
+def _components_in_one_task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for u, v in zip(batch["u"].tolist(), batch["v"].tolist(), strict=True):
+            u, v = root(u), root(v)
+            up[max(u, v)] = min(u, v)
+    yield pd.DataFrame([(x, root(x)) for x in list(up)], columns=["node", "component"], dtype=np.int64)
+
+
+def connected_components(edges: DataFrame, path: str, rounds: int = 40, small: int = SMALL_GRAPH) -> DataFrame:
     """(node, component) for all nodes of edges (u, v); the component is its smallest node.
 
-    Alternates two steps that turn components into stars around their smallest node: every node
+    A graph of up to ``small`` edges, by count, is put together by one task. Otherwise this alternates two steps that turn components into stars around their smallest node: every node
     hands its larger neighbours, then its smaller ones, to the smallest it knows. Each round is written, so
     lineage stays short; it takes about the logarithm of the longest path.
     """
     now = edges.filter("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     now, state = store(now, f"{path}/round0"), None
+    if now.count() <= small:
+        return store(now.coalesce(1).mapInPandas(_components_in_one_task, "node long, component long"), f"{path}/small")
     for k in range(1, rounds + 1):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
@@ -290,7 +313,8 @@ def _sketches(docs: DataFrame, path: str, percent: int, k: int) -> DataFrame:
     sample = docs.filter(F.pmod(F.xxhash64(F.lit(11), "id"), F.lit(FREQUENT_SAMPLE)) == 0).select("text")
     counted = sample.mapInPandas(all_tokens, "token long").groupBy("token").count().filter(F.col("count") >= FREQUENT_AT)
     common = counted.orderBy(F.desc("count"), "token").limit(MAX_FREQUENT).select("token").toPandas()["token"].to_numpy(np.int64)  # at most 8 MB
-    frequent = spark.sparkContext.broadcast(np.sort(common.view(np.uint64)))
+    by_hash = np.argsort(common.view(np.uint64))
+    frequent = spark.sparkContext.broadcast((common.view(np.uint64)[by_hash], (-by_hash).astype(np.int32)))  # the most frequent have the last rank
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -298,7 +322,7 @@ def _sketches(docs: DataFrame, path: str, percent: int, k: int) -> DataFrame:
                 part, rows = batch.iloc[at : at + 1024], []
                 for text in part["text"]:
                     s = shingles(text, k)
-                    first = prefix(s, frequent.value, percent).view(np.int64) if len(s) else np.empty(0, np.int64)
+                    first = prefix(s, *frequent.value, percent).view(np.int64) if len(s) else np.empty(0, np.int64)
                     d1, d2 = (int(x.sum(dtype=np.uint64).view(np.int64)) for x in (s, _mixed(s ^ _MIX1)))
                     rows.append((len(s), d1, d2, bitmap(s) if len(s) else b"", first))
                 yield pd.DataFrame(rows, columns=["n", "d1", "d2", "bits", "prefix"]).assign(id=part["id"].array)
@@ -360,16 +384,19 @@ def _set_of(row: tuple) -> np.ndarray:
     return np.frombuffer(row, np.uint64)
 
 
-def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, max_cluster: int = MAX_CLUSTER, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def components(
+    docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, max_cluster: int = MAX_CLUSTER, max_group: int = MAX_GROUP, max_words: int = MAX_WORDS,
+    id_col: str = "doc_id", text_col: str = "text",
+) -> DataFrame:
     """For each row of ``docs``: id, n_shingles, component (the smallest id that links lead to)."""
     path = shared_dir(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = _sketches(narrow, path, percent, k)
     classes = store(sketches.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), f"{path}/classes")
-    members = store(classes.join(_clusters(sketches, classes, path, percent, max_cluster), "d1").select("rep", "d1", "d2", "n", "cluster"), f"{path}/members")
-    sizes = store(members.groupBy("cluster").agg(F.count("*").alias("size")).filter("size > 1"), f"{path}/sizes")
+    members = store(classes.join(_clusters(sketches, classes, path, percent, max_group), "d1").select("rep", "d1", "d2", "n", "cluster"), f"{path}/members")
+    sizes = store(members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("words")).filter("size > 1"), f"{path}/sizes")
     n_members = members.count()
-    links = _links(narrow, members, sizes, n_members, path, percent, k, max_cluster) if n_members else None
+    links = _links(narrow, members, sizes, n_members, path, percent, k, max_cluster, max_words) if n_members else None
     linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2")
     same = linkable.groupBy("id").agg((F.min("d1") < F.max("d1")).alias("a"), (F.min("d2") < F.max("d2")).alias("b")).filter("a OR b").select("id")
     same = store(same, f"{path}/same_id")
@@ -390,7 +417,7 @@ def components(docs: DataFrame, percent: int = PERCENT, k: int = SHINGLE, max_cl
     return out
 
 
-def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: int, path: str, percent: int, k: int, max_cluster: int) -> DataFrame:
+def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: int, path: str, percent: int, k: int, max_cluster: int, max_words: int) -> DataFrame:
     """(id, component) of class representatives that are linked to a smaller one."""
     filt = store(bit_filter(members.select(F.col("rep").alias("id")), ["id"], n_members), f"{path}/reps")
     wanted = members.join(sizes, "cluster")
@@ -411,9 +438,10 @@ def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: i
             if found := links(cluster):
                 yield pd.DataFrame(found, columns=["id", "component"], dtype=np.int64)
 
-    small = texts.filter(F.col("size") <= max_cluster).select(columns)
+    fits = (F.col("size") <= max_cluster) & (F.col("words") <= max_words)
+    small = texts.filter(fits).select(columns)
     found = small.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(join_clusters, "id long, component long")
-    large = sizes.filter(F.col("size") > max_cluster)
+    large = sizes.filter(~fits)
     if large.isEmpty():
         return store(found, f"{path}/links")
     found = store(found, f"{path}/links")
@@ -421,16 +449,16 @@ def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: i
     def to_sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(0, len(batch), 256):
-                rows = [(r.cluster, r.size, r.id, s.tobytes()) for r in batch.iloc[at : at + 256].itertuples(index=False) if (s := own_set(r)) is not None]
-                yield pd.DataFrame(rows, columns=["cluster", "size", "id", "tokens"])
+                rows = [(r.cluster, r.id, len(s), s.tobytes()) for r in batch.iloc[at : at + 256].itertuples(index=False) if (s := own_set(r)) is not None]
+                yield pd.DataFrame(rows, columns=["cluster", "id", "n", "tokens"])
 
-    sets = texts.filter(F.col("size") > max_cluster).select(*columns, "size").mapInPandas(to_sets, "cluster long, size long, id long, tokens binary")
+    sets = texts.filter(~fits).select(columns).mapInPandas(to_sets, "cluster long, id long, n long, tokens binary")
     sets = store(sets, f"{path}/sets")
-    return found.unionByName(_large_clusters(sets, f"{path}/large", percent, max_cluster))
+    return found.unionByName(_large_clusters(sets, f"{path}/large", percent, max_cluster, max_words))
 
 
-def _large_clusters(sets: DataFrame, path: str, percent: int, block: int) -> DataFrame:
-    """(id, component) for clusters (cluster, size, id, tokens) that are too large for one task."""
+def _large_clusters(sets: DataFrame, path: str, percent: int, block: int, max_words: int) -> DataFrame:
+    """(id, component) for clusters (cluster, id, n, tokens) that are too large for one task."""
 
     def join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Rows (unit, id, tokens, left, label), sorted by unit: left rows meet all rows of the unit."""
@@ -453,30 +481,47 @@ def _large_clusters(sets: DataFrame, path: str, percent: int, block: int) -> Dat
         rows = rows.select("unit", "id", "tokens", "left", "label")
         return store(rows.repartition("unit").sortWithinPartitions("unit").mapInPandas(join_groups, "u long, v long"), f"{path}/{name}")
 
-    blocks = F.ceil(F.col("size") / block).cast("long")
-    sets = sets.withColumn("block", F.pmod(F.xxhash64("id"), blocks))
-    own = sets.withColumn("unit", F.concat_ws(":", "cluster", "block")).withColumn("left", F.lit(True)).withColumn("label", F.col("id"))
-    edges = run(own, "own")
+    def counted(rows: DataFrame, keys: Sequence[str], into: str, most: int) -> DataFrame:
+        """How many blocks the rows of each key make, by number and by shingles."""
+        n = F.greatest(F.ceil(F.count("*") / most), F.ceil(F.sum("n") / (max_words * most // block)), F.lit(1))
+        return rows.groupBy(*keys).agg(n.cast("long").alias(into))
+
+    def dealt(rows: DataFrame, seed: int) -> DataFrame:
+        """Rows in the blocks of their clusters, all of which meet all of their block."""
+        placed = rows.join(counted(rows, ["cluster"], "blocks", block), "cluster")
+        unit = F.concat_ws(":", "cluster", F.pmod(F.xxhash64(F.lit(seed), "id"), F.col("blocks")))
+        return placed.withColumn("unit", unit).withColumn("left", F.lit(True))
+
+    def labelled_by(edges: DataFrame, name: str) -> DataFrame:
+        labels = connected_components(edges, f"{path}/{name}").withColumnRenamed("node", "id")
+        return sets.join(labels, "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
+
+    edges = run(dealt(sets.withColumn("label", F.col("id")), 1), "own")
     for turn in range(2):  # one member of each component so far, with others
-        labels = connected_components(edges, f"{path}/turn{turn}")
-        labelled = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id"))
-        firsts = labelled.filter("label = id")
-        n = firsts.groupBy("cluster").agg(F.count("*").alias("firsts"))
-        again = firsts.join(n, "cluster").withColumn("block", F.pmod(F.xxhash64(F.lit(turn + 101), "id"), F.ceil(F.col("firsts") / block).cast("long")))
-        more = run(again.withColumn("unit", F.concat_ws(":", "cluster", "block")).withColumn("left", F.lit(True)), f"firsts{turn}")
-        edges = edges.unionByName(more)
-    labels = store(connected_components(edges, f"{path}/before"), f"{path}/labels")
-    labelled = sets.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("component", "id")).drop("component")
-    by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("n"))
-    main = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = store(main.withColumn("rest_blocks", F.ceil((F.col("all") - F.col("most")) / (block // 2)).cast("long")), f"{path}/main").filter("rest_blocks > 0")
-    # A class outside its cluster's main component meets every block; a block meets every part of the rest.
+        firsts = labelled_by(edges, f"turn{turn}").filter("label = id")
+        edges = edges.unionByName(run(dealt(firsts, turn + 101), f"firsts{turn}"))
+    # Neighbouring ranges hold all sizes that similar sets may have; they are a little wider, for rounding.
+    span = F.floor(F.log("n") / float(np.log(101 / percent))).cast("long")
+    labelled = labelled_by(edges, "before").withColumn("span", span)
+    by_label = labelled.groupBy("cluster", "label").agg(F.count("*").alias("rows"))
+    main = by_label.groupBy("cluster").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"))
+    main = store(main.filter("labels > 1").drop("labels"), f"{path}/main")
+    if main.isEmpty():
+        return connected_components(edges, f"{path}/after").toDF("id", "component")
+    # A class outside its cluster's main component meets the blocks of the ranges next to its own; a block meets every part of the rest there.
     placed = labelled.join(main, "cluster")
-    rest = placed.filter("label != main").withColumn("part", F.pmod(F.xxhash64(F.lit(211), "id"), F.col("rest_blocks")))
-    rest = rest.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn("left", F.lit(True))
-    every = placed.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("rest_blocks") - 1))).withColumn("left", F.lit(False))
-    units = [x.select(F.concat_ws(":", "cluster", "part", "block").alias("unit"), "id", "tokens", "left", "label") for x in (rest, every)]
-    edges = edges.unionByName(run(units[0].unionByName(units[1]), "rest"))
+    rest = placed.filter("label != main")
+    parts = store(counted(rest, ["cluster", "span"], "parts", max(block // 2, 1)), f"{path}/parts")
+    blocks = store(counted(placed, ["cluster", "span"], "blocks", block), f"{path}/blocks")
+    near = F.explode(F.array(*[F.col("span") + d for d in (-1, 0, 1)]))
+    mine = rest.join(parts, ["cluster", "span"]).withColumn("part", F.pmod(F.xxhash64(F.lit(211), "id"), F.col("parts"))).withColumn("to", near)
+    mine = mine.join(blocks.withColumnRenamed("span", "to"), ["cluster", "to"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    every = placed.join(blocks, ["cluster", "span"]).withColumn("block", F.pmod(F.xxhash64(F.lit(223), "id"), F.col("blocks"))).withColumn("from", near)
+    every = every.join(parts.withColumnRenamed("span", "from"), ["cluster", "from"]).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    row = ["id", "tokens", "label"]
+    left = mine.select(F.concat_ws(":", "cluster", "span", "part", "to", "block").alias("unit"), *row, F.lit(True).alias("left"))
+    right = every.select(F.concat_ws(":", "cluster", "from", "part", "span", "block").alias("unit"), *row, F.lit(False).alias("left"))
+    edges = edges.unionByName(run(left.unionByName(right), "rest"))
     return connected_components(edges, f"{path}/after").toDF("id", "component")
 
 
