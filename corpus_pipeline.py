@@ -30,22 +30,38 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each text stays, that with the largest doc_id."""
+    """One document of each text stays, that with the largest doc_id.
+
+    Defined cases: a null text counts as empty, and one such document stays; a null doc_id loses to any other; of rows
+    that agree in doc_id and text one stays. See trialmill.llm.exact_dedup.
+    """
     return exact_dedup.deduplicate(docs, keep="max")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that with the smallest doc_id."""
+    """One document of each group of near duplicates stays, that with the smallest doc_id.
+
+    Defined cases: documents without words and rows without a doc_id are near nothing and stay; rows that share a doc_id
+    stay or go together. See trialmill.llm.jaccard_join.
+    """
     return jaccard_join.keep_first(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the target weights of their sources ask for."""
+    """Documents as often as the target weights of their sources ask for.
+
+    Defined cases: null is a source, ordered last; a source without words is left out; repeated rows share their
+    decision. See trialmill.llm.mixing.
+    """
     return mixing.mix(docs, weights=(5, 2, 1), cap=3, seed=17)
 
 
 def bins(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in bins; copies of a text never share one."""
+    """Pieces of documents in bins; copies of a text never share one.
+
+    Defined cases: a document without words takes a piece of size 0, one longer than a bin is cut. See
+    trialmill.llm.packing.
+    """
     return packing.pack(docs, capacity=CAPACITY).withColumnRenamed("id", "doc_id")
 
 

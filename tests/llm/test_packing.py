@@ -59,3 +59,13 @@ def test_bin_texts_hold_all_words(spark):
 
 def test_empty_table(spark):
     assert packing.pack(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_reruns_and_partitions_in_any_order_agree(spark):
+    random.seed(8)
+    rows = [(i, "w " * random.randrange(1, 60), random.choice("abcdefgh"), 1, "x") for i in range(400)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    one = packing.pack(df.coalesce(1), capacity=100, block=10_000)
+    turned = packing.pack(df.coalesce(1).sortWithinPartitions("text"), capacity=100, block=10_000)
+    key = lambda out: sorted(map(tuple, out.collect()))
+    assert key(one) == key(one) == key(turned)

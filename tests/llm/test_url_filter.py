@@ -105,3 +105,24 @@ def test_long_suffixes(spark):
     df = spark.createDataFrame([("a.b.co.uk",), ("b.co.uk",), ("u@x.y.org:81",), ("localhost",)], "host string")
     domain, suffix = uf.levels_of(F.col("host"))
     assert [tuple(r) for r in df.select(domain, suffix).collect()] == [("b.co.uk", "co.uk"), ("b.co.uk", "co.uk"), ("y.org", "org"), ("localhost", "localhost")]
+    assert [tuple(r) for r in df.select(*uf.levels_of(F.col("host"), ["y.org"])).collect()][:3] == [("co.uk", "uk"), ("co.uk", "uk"), ("x.y.org", "y.org")]
+
+
+def test_query_against_its_sql_with_long_suffixes(spark, tmp_path):
+    import duckdb
+
+    from trialmill.llm import queries
+
+    hosts = ["a.bad.co.uk", "b.bad.co.uk", "good.co.uk", "co.uk", "x.org", "y.x.org", "localhost", "u@z.co.uk:81", "www.example.com"]
+    pages = [(k, f"http://{hosts[k % 9]}/p/{k}") for k in range(180)] + [(900 + k, f"http://{h}/new") for k, h in enumerate([*hosts, "new.bad.co.uk", "other.co.uk", "q.uk"])]
+    spark.createDataFrame(pages, "page_id long, url string").write.parquet(str(tmp_path / "pages.parquet"))
+    labels = [(k, int("bad" not in hosts[k % 9] and k % 7 != 0), 0) for k in range(180)]
+    spark.createDataFrame(labels, "doc_id long, quality long, toxic long").write.parquet(str(tmp_path / "labels.parquet"))
+    con = duckdb.connect()
+    for name in ("pages", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.op9_url_filter(spark, str(tmp_path))
+    key = lambda r: tuple(map(str, r))
+    want = sorted(map(key, con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL['op9_url_filter']})").fetchall()))
+    assert sorted(map(key, got.collect())) == want
+    assert {v for *_, v in want} == {"allow", "block"}

@@ -9,10 +9,12 @@ its successors until one has no conflict; if none has, a new bin opens.
 Spark deals narrow rows (no texts) evenly over partitions, and each task packs them in blocks of
 ``block`` rows, largest first. Blocks bound the memory and the search, whatever the skew: a hot
 source or cluster is spread over all blocks. The waste is at most the open bins of each block.
+Inside a task rows are put into the order of a hash first, so blocks do not depend on the order in which
+they arrive: a task that is run again packs the same bins.
 
 Defined cases: null ids, sources and texts are values like any other (a null source is one source;
 a null or wordless text takes a piece of size 0). Repeated rows are packed each, never two in one bin,
-as they share a cluster. An empty table gives an empty result. Other columns are not read.
+as they share a cluster. Of a very long text only its size moves. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialmill.llm.common import n_words
+from trialmill.llm.common import n_words, shared_dir, store
 
 RESULT = "id long, piece int, n_pieces int, word_from long, size long, bin_id long, bin_used long, bin_docs int"
 #: bin_id = partition, block, bin: so many bits for the last two.
@@ -139,12 +141,17 @@ def pack(
         if n:
             yield packed(pd.concat(held, ignore_index=True), blocks)
 
-    # Dealt in turn: even whatever the keys are, and the same again when a task is retried.
-    return rows.repartition(tasks).mapInPandas(run, RESULT)
+    # Dealt in turn: even whatever the keys are.
+    mixed = [F.xxhash64("id", "size", "source", "cluster"), "id", "size", "source", "cluster"]
+    return rows.repartition(tasks).sortWithinPartitions(*mixed).mapInPandas(run, RESULT)
 
 
 def bin_texts(docs: DataFrame, packed: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The packed bins themselves: bin_id, words (in the order of id and piece). Ids must be unique."""
+    """The packed bins themselves: bin_id, words (in the order of id and piece). Ids must be unique.
+
+    ``packed`` is stored first, so that every task sees the same bins.
+    """
+    packed = store(packed, f"{shared_dir(docs.sparkSession)}/packed")
     words = F.regexp_extract_all(F.col(text_col), F.lit(r"([^\x20\x09-\x0D]+)"), F.lit(1))
     parts = packed.join(docs.select(F.col(id_col).alias("id"), words.alias("all")), "id")
     cut = F.slice("all", (F.col("word_from") + 1).cast("int"), F.col("size").cast("int"))

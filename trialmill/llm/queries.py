@@ -20,6 +20,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in bins of CAPACITY words; bin_used and bin_docs describe the whole bin."""
     packed = packing.pack(documents(spark, sf_dir), capacity=CAPACITY)
     return packed.withColumnRenamed("id", "doc_id")
 
@@ -30,6 +31,7 @@ def held_out(doc_id) -> object:
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from those that are not held out. A null doc_id is neither held out nor learned from."""
     docs = documents(spark, sf_dir)
     model = langid.train(docs, ~held_out("doc_id") & F.col("doc_id").isNotNull())
     found = langid.identify(docs.select("doc_id", "text"), model)
@@ -37,11 +39,13 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base figures and verdict of every document, by the production rules."""
     judged = quality.cascade(documents(spark, sf_dir).select("doc_id", "text"))
     return judged.select("doc_id", "quality.*")
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For every document the one of equal text that stays: the largest doc_id."""
     found = exact_dedup.find_duplicates(documents(spark, sf_dir), keep="max")
     return found.select(
         F.col("id").alias("doc_id"), "keep_id", F.col("n").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")
@@ -49,6 +53,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of pattern spans, their digest, and all spans with those of the Markov models."""
     found = secrets.scan(documents(spark, sf_dir).select("doc_id", "text"))
     base = F.col("secrets.base")
     n = lambda kind: F.size(F.filter(base, lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
@@ -59,6 +64,7 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of N_SHARDS contiguous shards of nearly equal bytes."""
     placed = sharding.shard_by_bytes(documents(spark, sf_dir), N_SHARDS)
     return placed.select(
         F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot",
@@ -67,11 +73,13 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document: copies times size."""
     planned = mixing.plan_mix(documents(spark, sf_dir), weights=(5, 2, 1), cap=3, seed=17)
     return planned.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the smallest doc_id that links lead to."""
     found = jaccard_join.components(documents(spark, sf_dir))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
@@ -87,12 +95,14 @@ def page_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page; reputation comes from pages with labels (page_outcomes)."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     judged = url_filter.judge(pages, page_outcomes(spark, sf_dir), URL_RULES, BAD_LIMIT)
     return judged.select(F.col("id").alias("page_id"), "host", "path", "rule", "verdict")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of every page, with its lines, list items and tables."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "html")
     return pages.select("page_id", html_text.extract(F.col("html")).alias("x")).select("page_id", "x.*")
 
@@ -150,9 +160,9 @@ ORACLE_SQL = {
         hp AS (
             SELECT page_id, CASE WHEN pos > 0 THEN translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE '' END AS host,
                    CASE WHEN pos > 0 THEN regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) ELSE '' END AS path FROM h),
-        n AS (SELECT *, string_split(name, '.') AS parts FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM hp)),
+        n AS (SELECT *, string_split(name, '.') AS parts, array_to_string(string_split(name, '.')[-2:], '.') AS two FROM (SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') AS name FROM hp)),
         k AS (
-            SELECT *, CASE WHEN len(parts) < 2 THEN name ELSE array_to_string(parts[-2:], '.') END AS domain, parts[-1] AS suffix,
+            SELECT *, CASE WHEN len(parts) < 2 THEN name WHEN two IN (LONG) THEN array_to_string(parts[-3:], '.') ELSE two END AS domain, CASE WHEN two IN (LONG) THEN two ELSE parts[-1] END AS suffix,
                    try_cast(regexp_extract(path, '/([0-9]{1,18})(?:\.[a-z]+)?/?$', 1) AS BIGINT) AS doc_id FROM n),
         lab AS (SELECT doc_id, min(quality) AS quality, max(toxic) AS toxic FROM labels GROUP BY 1),
         hosts AS (
@@ -182,7 +192,7 @@ ORACLE_SQL = {
                            WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/') THEN 'com/' END AS rule FROM b)
         SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block'
                WHEN m - 1.645e0 * sqrt(m * (1 - m) / (w + 1)) > 0.3 THEN 'block' ELSE 'allow' END AS verdict FROM r
-    """,
+    """.replace("LONG", ", ".join(f"'{x}'" for x in url_filter.LONG_SUFFIXES)),
     "op8_jaccard_join": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w

@@ -8,7 +8,8 @@ and each differs from the target by less than one row at either end.
 
 Defined cases: a null text has no bytes; size counts the overhead too. Null ids come first. Rows
 that agree in id, CRC-32 and size are interchangeable. An empty table gives an empty result;
-there may be fewer rows than shards, and then some shards are empty. Other columns are not read.
+there may be fewer rows than shards, and then some shards are empty. Of a very long text only its size and checksum move.
+Other columns are not read.
 """
 
 from __future__ import annotations

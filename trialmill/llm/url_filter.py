@@ -16,7 +16,7 @@ The table of hosts is broadcast only when a count shows it to be small.
 Defined cases: a null address, or one without ``://``, has an empty host and path; an empty host has the
 posterior of the global prior. Host names compare in lower case (A-Z only). Repeated rows are judged alike, each labelled
 row counts. Without labels the prior is uninformed and nothing is blocked. An empty table gives an empty
-result. Other columns are not read.
+result. An address of any length is read whole. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from trialmill.llm.common import shared_dir, store
 
 BROADCAST_HOSTS = 50_000
-#: Suffixes of more than one label, for hosts that registries sell below them. Fixed values.
+#: Suffixes of more than one label, for hosts that registries sell below them: what is taken where a caller gives no list. Fixed values.
 LONG_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "ne.jp", "co.nz", "com.br", "com.cn", "co.in", "co.za")
 #: Strength of a prior: bounds, and what holds where the spread cannot be estimated.
 STRENGTH_MIN, STRENGTH_MAX = 2.0, 200.0
@@ -60,12 +60,16 @@ def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -> Co
     return best
 
 
-def levels_of(host: Column) -> tuple[Column, Column]:
-    """Registered domain and suffix of a host; user names and ports do not count."""
+def levels_of(host: Column, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> tuple[Column, Column]:
+    """Registered domain and suffix of a host; user names and ports do not count.
+
+    ``long_suffixes`` are the suffixes of two labels, such as a public list of suffixes has them (some thousands: the plan holds
+    them as one set). All others have one label.
+    """
     name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
     labels = F.split(name, r"\.")
     two = F.substring_index(name, ".", -2)
-    long = two.isin(*LONG_SUFFIXES)
+    long = two.isin(*long_suffixes)
     suffix = F.when(long, two).otherwise(F.substring_index(name, ".", -1))
     domain = F.when(long, F.substring_index(name, ".", -3)).otherwise(two)
     return F.when(F.size(labels) < 2, name).otherwise(domain), suffix
@@ -86,12 +90,12 @@ def _strength(groups: DataFrame, bad: str, n: str) -> DataFrame:
     return s.select(F.least(F.greatest(F.coalesce(raw, F.lit(STRENGTH_MAX)), F.lit(STRENGTH_MIN)), F.lit(STRENGTH_MAX)).alias("strength"))
 
 
-def reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def reputation(outcomes: DataFrame, long_suffixes: Sequence[str] = LONG_SUFFIXES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """outcomes (host, bad) -> (hosts, domains, suffixes, global): posterior mean and strength of each group.
 
     The last has one row; each table has the columns mean, weight (alpha + beta) and its key.
     """
-    domain, suffix = levels_of(F.col("host"))
+    domain, suffix = levels_of(F.col("host"), long_suffixes)
     hosts = outcomes.groupBy("host").agg(F.sum(F.col("bad").cast("long")).alias("bad"), F.count("*").alias("n"))
     hosts = store(hosts.filter("host != ''").withColumn("domain", domain).withColumn("suffix", suffix), f"{shared_dir(outcomes.sparkSession)}/hosts")
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
@@ -114,14 +118,17 @@ def reputation(outcomes: DataFrame, z: float = 1.645) -> tuple[DataFrame, DataFr
     return low, mid, top, prior
 
 
-def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), limit: float = 0.5, z: float = 1.645, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge(
+    pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = (), limit: float = 0.5, z: float = 1.645,
+    long_suffixes: Sequence[str] = LONG_SUFFIXES, id_col: str = "page_id", url_col: str = "url",
+) -> DataFrame:
     """For each row of ``pages``: id, host, path, rule, verdict (allow or block), bound."""
     url = F.col(url_col).cast("string")
     rows = pages.select(F.col(id_col).alias("id"), F.coalesce(host_of(url), F.lit("")).alias("host"), F.coalesce(path_of(url), F.lit("")).alias("path"))
-    low, mid, top, prior = reputation(outcomes, z)
+    low, mid, top, prior = reputation(outcomes, long_suffixes)
     p = prior.first()
     path = shared_dir(pages.sparkSession)
-    domain, suffix = levels_of(F.col("host"))
+    domain, suffix = levels_of(F.col("host"), long_suffixes)
     named = rows.select("host").distinct().withColumn("domain", domain).withColumn("suffix", suffix)
     all_of = named
     for table, key in ((low, "host"), (mid, "domain"), (top, "suffix")):
