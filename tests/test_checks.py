@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from trialmill.functions import checks as ck
 
+# Fixed value: the plain form of the negation rule, kept to compare with.
 NEGATED = re.compile(r"(?:not|no|never|avoid|without|n't|do ?n'?t|instead of)\W*$", re.I)
 
 
@@ -35,6 +36,30 @@ def test_negation_on_random_phrases(spark):
     assert got == want
 
 
+def test_patterns_that_are_none_are_taken_literally(spark):
+    broken = [{"type": "must_exclude", "patterns": ["(now", "a.c"]}, {"type": "any_include", "patterns": ["[x", "zz*"]}, {"type": "valid_json_array"}]
+    df = spark.createDataFrame([("run (now", json.dumps(broken)), ("see [x", json.dumps(broken)), ("abc", json.dumps(broken)), ("z", "[]"), ("q", None)], "text string, spec string")
+    df = df.withColumn("parsed", ck.found_json(F.col("text"))).withColumn("checks", F.from_json("spec", ck.CHECKS)).withColumn("checks", ck.compilable(F.col("checks")))
+    got = {r["text"]: None if r["d"] is None else [d["pass"] for d in r["d"]] for r in df.select("text", ck.run_checks(F.col("text"), F.col("parsed"), F.col("checks")).alias("d")).collect()}
+    assert got == {"run (now": [False, False, False], "see [x": [True, True, False], "abc": [False, False, False], "z": [], "q": None}
+    assert ck.literal_if_broken("(now") == r"\(now" and ck.literal_if_broken("a|b") == "a|b"
+
+
+def test_letters_of_all_scripts_are_word_characters(spark):
+    check = {"type": "must_exclude", "patterns": ["delete"]}
+    assert run(spark, "no é delete", check) == [False]
+    assert run(spark, "no – delete", check) == [True]
+    assert run(spark, "éa", {"type": "regex", "pattern": r"^\w\w$"}) == [True]
+
+
+def test_allowed_values_have_types(spark):
+    field = lambda *xs: {"type": "json_field_values", "field": "a", "allowed": list(xs)}
+    assert run(spark, '[{"a": 1}]', field(1), field("1"), field(1.0), field(True)) == [True, False, True, False]
+    assert run(spark, '[{"a": "1"}, {"a": null}]', field("1", None), field("1")) == [True, False]
+    assert run(spark, '[{"b": 1}]', field(1), field(None)) == [False, True]
+    assert run(spark, "[1]", field(None)) == [False]
+
+
 def test_unknown_type_fails_but_counts(spark):
     assert run(spark, "x", {"type": "max_len", "value": "5"}) == [False]
     assert run(spark, "x", {"type": "max_len", "value": "5"}, strict=False) == [True]

@@ -13,13 +13,14 @@ def values(spark, schema, rows, expr):
 
 def test_bottleneck_ladder(spark):
     rows = [(51.0, 60.0, None), (0.0, 90.0, None), (0.0, 60.0, 0.45), (None, None, 0.1), (None, None, None)]
-    assert values(spark, "s double, c double, m double", rows, dv.bottleneck(F.col("s"), F.col("c"), F.col("m"))) == ["capacity", "thermal", "bandwidth", "compute", "unknown"]
+    assert values(spark, "s double, c double, m double", rows, dv.bottleneck(F.col("s"), F.col("c"), F.col("m"))) == [dv.SWAPPING, dv.HOT, dv.SATURATED, dv.HEADROOM, dv.UNMEASURED]
+    assert values(spark, "s double, c double, m double", rows[2:], dv.bottleneck(F.col("s"), F.col("c"), F.col("m"), F.col("s") == 0)) == [dv.HOT, dv.HEADROOM, dv.UNMEASURED]
 
 
 def test_verdict_ladder(spark):
     rows = [(0.9, 90.0, 9.0, 0, True), (None, 90.0, 9.0, 0, False), (0.9, 70.0, 8.0, 0, False), (0.9, 70.0, 7.0, 0, False), (0.6, 70.0, 9.0, 1, False), (0.5, None, 9.0, 0, False)]
     expr = dv.verdict(F.col("d"), F.col("j"), F.col("t"), F.col("n"), F.col("f"))
-    assert values(spark, "d double, j double, t double, n int, f boolean", rows, expr) == ["REJECT", "n/a", "SHIP", "BATCH", "marginal", "reject"]
+    assert values(spark, "d double, j double, t double, n int, f boolean", rows, expr) == [dv.UNSAFE, "n/a", dv.INTERACTIVE, dv.SLOW, dv.SHALLOW, dv.WEAK]
 
 
 def test_policy(spark):
@@ -36,6 +37,12 @@ def test_zero_and_null_differ(spark):
     assert values(spark, "x double", rows, pr.truthy(F.col("x"))) == [False, False, True]
 
 
+def test_numbers_and_experts(spark):
+    rows = [("1",), ("-2.5e1",), ("true",), ("false",), ('"3"',), ("null",), ("[1]",), (None,), ("1x",)]
+    assert values(spark, "x string", rows, pr.numeric(F.col("x"))) == [1.0, -25.0, 1.0, 0.0, None, None, None, None, None]
+    assert values(spark, "n int", [(None,), (0,), (8,)], dv.is_moe(F.col("n"))) == [0, 0, 1]
+
+
 def test_dnf_definitions(spark):
     rows = [(None, "DNF:stall"), (False, "http error"), (True, None), (None, None)]
     assert values(spark, "f boolean, r string", rows, pr.dnf_prefix(F.col("f"), F.col("r"))) == [True, False, True, False]

@@ -51,8 +51,14 @@ def test_paired_lift(spark):
 
 def test_order_statistics(spark):
     df = spark.createDataFrame([(float(i),) for i in range(1, 11)], "x double")
-    x = F.col("x")
-    assert tuple(df.agg(ranks.floor_index(x, 0.9), ranks.upper_median(x), F.median(x), ranks.nearest_rank(x, 50)).first()) == (9.0, 6.0, 5.5, 5.0)
+    got = [ranks.floor_index(df, [], "x", 0.9, "o"), ranks.upper_median(df, [], "x", "o"), ranks.nearest_rank(df, [], "x", 50, "o")]
+    assert [one(g) for g in got] == [9.0, 6.0, 5.0]
+    rng = random.Random(7)
+    rows = [(rng.choice("abc"), rng.choice([None, *range(9)])) for _ in range(120)] + [("d", None), ("e", 4)]
+    values = {g: sorted(v for k, v in rows if k == g and v is not None) for g in "abcde"}
+    df = spark.createDataFrame(rows, "g string, v int")
+    assert {r["g"]: r["m"] for r in ranks.upper_median(df, ["g"], "v", "m").collect()} == {g: v[len(v) // 2] if v else None for g, v in values.items()}
+    assert {r["g"]: r["m"] for r in ranks.nearest_rank(df, ["g"], "v", 95, "m").collect()} == {g: v[round(0.95 * (len(v) - 1))] if v else None for g, v in values.items()}
 
 
 def test_ranks_with_ties(spark):
@@ -60,6 +66,8 @@ def test_ranks_with_ties(spark):
     assert [r["p"] for r in ranks.position_rank(df, "v", ["seq"], "p").orderBy("seq").collect()] == [0.0, 0.5, 1.0, None]
     df = spark.createDataFrame([(1,), (1,), (2,), (3,)], "v int")
     assert sorted(r["r"] for r in ranks.average_rank(df, "v", "r").collect()) == [1.5, 1.5, 3.0, 4.0]
+    df = spark.createDataFrame([("a", None), ("a", None), ("a", 5), (None, 5), (None, 4)], "g string, v int")
+    assert sorted((str(r["g"]), str(r["v"]), r["r"]) for r in ranks.average_rank(df, "v", "r", ["g"]).collect()) == [("None", "4", 1.0), ("None", "5", 2.0), ("a", "5", 3.0), ("a", "None", 1.5), ("a", "None", 1.5)]
 
 
 def pairs(spark, rows):
@@ -78,6 +86,21 @@ def test_kappa_conventions(spark):
     assert one(ag.kappa_weighted(pairs(spark, flipped), "linear").select("kappa")) == pytest.approx(one(ag.kappa_weighted(pairs(spark, rows), "linear").select("kappa")))
 
 
+def test_kappa_of_many_categories(spark):
+    rng = random.Random(3)
+    rows = [(i, i + rng.choice([-2, 0, 0, 1])) for i in range(3000)]
+    values = sorted({v for r in rows for v in r})
+    at = {v: k for k, v in enumerate(values)}
+    n = len(rows)
+    for weights, cost in (("unweighted", lambda g: float(g > 0)), ("linear", float), ("quadratic", lambda g: float(g * g))):
+        a, b = ([at[r[k]] for r in rows] for k in (0, 1))
+        count = lambda xs: {x: xs.count(x) for x in set(xs)}
+        ca, cb = count(a), count(b)
+        observed, expected = sum(cost(abs(x - y)) for x, y in zip(a, b, strict=True)), sum(cost(abs(x - y)) * p * q for x, p in ca.items() for y, q in cb.items())
+        got = ag.kappa_weighted(pairs(spark, rows), weights).first()
+        assert got["n"] == n and got["kappa"] == pytest.approx(1 - observed * n / expected, rel=1e-9)
+
+
 def test_correlations(spark):
     rng = random.Random(1)
     rows = [(rng.randrange(1, 6), rng.randrange(1, 6)) for _ in range(60)]
@@ -133,8 +156,10 @@ def test_bootstrap_draws_as_many_as_the_reference_and_in_blocks(spark):
 def test_friedman_and_its_tail(spark):
     rows = [(b, t, float(v)) for b, vs in enumerate([(9, 5, 1), (8, 6, 2), (7, 5, 3), (9, 4, 2)]) for t, v in enumerate(vs)]
     s = ag.friedman(spark.createDataFrame(rows, "b int, t int, v double"), "t", "b", "v").first()
-    assert s["chi2"] == pytest.approx(8.0)
-    assert ag.chi2_survival(8.0, 2) == pytest.approx(0.0183156, rel=1e-4) and ag.chi2_survival(0, 3) == 1.0
+    assert s["chi2"] == pytest.approx(8.0) and s["p"] == pytest.approx(0.0183156, rel=1e-4)
+    tails = [(8.0, 2, 0.018315639), (0.0, 3, 1.0), (3.0, 1, 0.083264517), (7.8147, 3, 0.05), (9.4877, 4, 0.05), (30.0, 7, 9.4886e-05), (18.307, 10, 0.05)]
+    got = spark.createDataFrame(tails, "x double, k int, p double").select("p", ag.chi2_tail(F.col("x"), F.col("k")).alias("got")).collect()
+    assert all(r["got"] == pytest.approx(r["p"], rel=1e-3) for r in got)
 
 
 def test_stratified_quotas(spark):
@@ -156,9 +181,17 @@ def test_front(spark):
 
 def test_large_front_goes_through_buckets(spark, monkeypatch):
     monkeypatch.setattr(sel, "LOCAL_FRONT_ROWS", 10)
+    monkeypatch.setattr(sel, "BUCKET_ROWS", 7)
     test_front(spark)
 
 
+def test_axes_are_scaled_without_one_task_for_all_rows(spark):
+    df = spark.createDataFrame([("a", 1.0, 5.0), ("b", 3.0, 5.0), ("c", None, 5.0)], "m string, x double, y double")
+    got = sel.normalised(df, ["x"], ["y"])
+    assert {r["m"]: (r["n_x"], r["n_y"]) for r in got.collect()} == {"a": (0.0, 0.5), "b": (1.0, 0.5), "c": (None, 0.5)}
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+
+
 def test_acceptability_sums_to_one(spark):
     df = spark.createDataFrame([("a", 1.0, 0.0), ("b", 0.0, 1.0), ("c", 0.1, 0.1)], "m string, x double, y double")
     got = {r["m"]: r["acceptability"] for r in sel.acceptability(df, ["x", "y"], "m", draws=500).collect()}

@@ -1,17 +1,23 @@
 """Deterministic text checks, as column expressions over an array of check records.
 
-A check is a struct (type, desc, patterns, pattern, value, field, allowed); ``value`` is JSON text.
-Everything stays in the JVM; only regular expressions and JSON functions are used.
+A check is a struct (type, desc, patterns, pattern, value, field, allowed); ``value`` and ``allowed`` are JSON text.
+Texts stay in the JVM; only regular expressions and JSON functions are used. Patterns of a list of
+checks are looked at once (``compilable``): one that is no regular expression is taken literally.
 """
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CHECKS = "array<struct<type:string,desc:string,patterns:array<string>,pattern:string,value:string,field:string,allowed:array<string>>>"
+CHECKS = "array<struct<type:string,desc:string,patterns:array<string>,pattern:string,value:string,field:string,allowed:string>>"
 
-# Phrases that negate what follows, looked for in the 18 characters before a match.
+# Phrases that negate what follows, looked for in the 18 characters before a match. Java bounds what may stand
+# before a match, so the one phrase with optional parts ("don't", with or without apostrophe and space) is listed by its cases:
+# "n't" covers those with an apostrophe.
 NEGATIONS = ("not", "no", "never", "avoid", "without", "n't", "dont", "do nt", "instead of")
 NEGATION_REACH = 18
 # Lexicons of the text flags.
@@ -21,6 +27,8 @@ HEDGE = (
 )
 REFUSAL = r"\b(i (cannot|can'?t|won'?t|will not)|i'?m (unable|not able)|as an ai|i must decline|i refuse|cannot assist|cannot help with)\b"
 FENCE = "```"
+# Fixed value: what counts as a code fence around JSON, so that the same text is parsed.
+FENCED_JSON = r"(?s)```(?:json)?\s*(.+?)```"
 
 #: A match is not negated if none of the phrases, plus non-word characters up to the reach, stands before it.
 UNNEGATED = "(?<!(?:" + "|".join(rf"{x}\W{{0,{NEGATION_REACH - len(x)}}}" for x in NEGATIONS) + "))"
@@ -28,13 +36,44 @@ UNNEGATED = "(?<!(?:" + "|".join(rf"{x}\W{{0,{NEGATION_REACH - len(x)}}}" for x
 
 def unnegated(text: Column, pattern: Column) -> Column:
     """Some match of the pattern has no negation right before it; case does not matter."""
-    return F.regexp_like(text, F.concat(F.lit("(?i)" + UNNEGATED + "(?:"), pattern, F.lit(")")))
+    return F.regexp_like(text, F.concat(F.lit("(?iU)" + UNNEGATED + "(?:"), pattern, F.lit(")")))
+
+
+def literal_if_broken(pattern: str | None) -> str | None:
+    """The pattern, or an expression for its very text if it is no regular expression."""
+    if pattern is None:
+        return None
+    try:
+        re.compile(pattern)
+    except re.error:
+        return re.sub(r"([^\w\s])", r"\\\1", pattern)
+    return pattern
+
+
+def compilable(checks: Column) -> Column:
+    """The checks with patterns that compile. For columns of checks: a dimension, not the texts."""
+
+    @F.pandas_udf("array<string>")
+    def each(patterns: pd.Series) -> pd.Series:
+        return patterns.map(lambda ps: None if ps is None else [literal_if_broken(p) for p in ps])
+
+    # the patterns of all checks in one array, then each check takes its own back
+    flat = F.flatten(F.transform(checks, lambda c: F.concat(F.coalesce(c["patterns"], F.array().cast("array<string>")), F.array(c["pattern"]))))
+    ends = F.transform(F.sequence(F.lit(1), F.size(checks)), lambda i: F.aggregate(F.slice(checks, F.lit(1), i), F.lit(0), lambda n, c: n + 1 + F.greatest(F.size(F.coalesce(c["patterns"], F.array().cast("array<string>"))), F.lit(0))))
+
+    def own(c: Column, end: Column, mended: Column) -> Column:
+        n = F.size(F.coalesce(c["patterns"], F.array().cast("array<string>")))
+        return F.struct(
+            c["type"].alias("type"), c["desc"].alias("desc"), F.when(c["patterns"].isNotNull(), F.slice(mended, end - n, n)).alias("patterns"), F.get(mended, end - 1).alias("pattern"),
+            c["value"].alias("value"), c["field"].alias("field"), c["allowed"].alias("allowed"),
+        )
+
+    return F.when(F.size(checks) > 0, F.get(F.transform(F.array(each(flat)), lambda mended: F.zip_with(checks, ends, lambda c, end: own(c, end, mended))), 0)).otherwise(checks)
 
 
 def found_json(text: Column) -> Column:
     """VARIANT of the first JSON array, else object, in a text or in its first code fence; null if none parses."""
-    fenced = r"(?s)```(?:json)?\s*(.+?)```"
-    body = F.when(F.regexp_like(text, F.lit(fenced)), F.regexp_extract(text, fenced, 1)).otherwise(text)
+    body = F.when(F.regexp_like(text, F.lit(FENCED_JSON)), F.regexp_extract(text, FENCED_JSON, 1)).otherwise(text)
 
     def between(opener: str, closer: str) -> Column:
         i = F.instr(body, opener)
@@ -59,16 +98,23 @@ def _keys(item: Column) -> Column:
     return F.array_sort(F.map_keys(F.try_variant_get(item, "$", "map<string,variant>")))
 
 
+def json_key(value: Column) -> Column:
+    """Text that is equal for equal JSON values: numbers by value, others by their JSON text; absent as null."""
+    text = F.coalesce(F.to_json(value), F.lit("null"))
+    return F.coalesce(F.when(text.rlike("^-?[0-9]"), text.try_cast("double").cast("string")), text)
+
+
 def passes(check: Column, text: Column, parsed: Column, strict: bool = True) -> Column:
     """Whether one check passes. ``parsed`` is found_json(text).
 
     Unknown types fail. ``max_len`` is such a type, unless ``strict`` is off.
     """
     low = F.lower(text)
-    hit = lambda p: F.regexp_like(low, F.lower(p))
+    hit = lambda p: F.regexp_like(low, F.concat(F.lit("(?U)"), F.lower(p)))
     items = json_items(parsed)
     kind = check["type"]
     clear = ~F.exists(check["patterns"], lambda p: unnegated(low, F.lower(p)))
+    allowed = F.transform(json_items(F.try_parse_json(check["allowed"])), json_key)
     wanted_keys = F.array_sort(F.from_json(check["value"], "array<string>"))
     found = (
         F.when(kind == "must_include", F.forall(check["patterns"], hit))
@@ -83,11 +129,11 @@ def passes(check: Column, text: Column, parsed: Column, strict: bool = True) ->
             F.forall(
                 items,
                 lambda x: F.coalesce(
-                    F.array_contains(check["allowed"], F.try_element_at(F.try_variant_get(x, "$", "map<string,string>"), check["field"])), F.lit(False)
+                    F.array_contains(allowed, json_key(F.try_element_at(F.try_variant_get(x, "$", "map<string,variant>"), check["field"]))) & F.try_variant_get(x, "$", "map<string,variant>").isNotNull(), F.lit(False)
                 ),
             ),
         )
-        .when(kind == "regex", F.regexp_like(text, F.concat(F.lit("(?is)"), check["pattern"])))
+        .when(kind == "regex", F.regexp_like(text, F.concat(F.lit("(?isU)"), check["pattern"])))
     )
     if not strict:
         found = found.when(kind == "max_len", F.length(text) <= check["value"].try_cast("int"))
@@ -123,10 +169,10 @@ def words_of(text: Column) -> Column:
 
 
 def repetition(words: Column, n: int = 3) -> Column:
-    """1 - distinct n-grams / n-grams of an array of words; 0 without any."""
-    grams = F.when(
-        F.size(words) >= n, F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    )
+    """1 - distinct n-grams / n-grams of an array of words; 0 without any. n-grams are told apart by 64-bit hashes."""
+    hashed = F.transform(words, lambda w: F.xxhash64(w))
+    shifted = [F.slice(hashed, F.lit(k + 1), F.greatest(F.size(words) - (n - 1), F.lit(0))) for k in range(n)]
+    grams = F.when(F.size(words) >= n, F.transform(F.arrays_zip(*[x.alias(f"w{k}") for k, x in enumerate(shifted)]), lambda g: F.xxhash64(*[g[f"w{k}"] for k in range(n)])))
     return F.when(F.size(words) < n, 0.0).otherwise(1 - F.size(F.array_distinct(grams)) / F.size(grams))
 
 
@@ -145,6 +191,7 @@ def keyword_answer(class_: Column, context: Column) -> Column:
 
 
 def random_answer(choices: list[str], seed: int, key: Column) -> Column:
-    """One of the choices, by a hash of seed and key: the same in every run."""
-    at = F.pmod(F.xxhash64(F.lit(seed), key), F.lit(len(choices))).cast("int")
+    """One of the choices, by md5 of seed and key: the same in every run and engine."""
+    digest = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), key.cast("string")).cast("binary")), 1, 8)
+    at = F.pmod(F.conv(digest, 16, 10).cast("long"), F.lit(len(choices))).cast("int")
     return F.element_at(F.array(*[F.lit(c) for c in choices]), at + 1)

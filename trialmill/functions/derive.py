@@ -84,30 +84,42 @@ def finish_reason(reasons: Column, single: Column, fatal: Column) -> Column:
     return F.coalesce(F.try_element_at(reasons, F.lit(1)), single, F.concat(F.lit("fatal:"), fatal), F.lit("?"))
 
 
+def is_moe(experts: Column) -> Column:
+    """1 for a mixture of experts, else 0."""
+    return F.when(F.coalesce(experts, F.lit(0)) != 0, 1).otherwise(0)
+
+
 def dnf_type(reason: Column) -> Column:
     return F.when(reason.startswith("DNF"), reason)
 
 
-def bottleneck(swap_mb: Column, peak_c: Column, mbu: Column, hot_c: float = 90, swap_at: float = 50, high: float = 0.45) -> Column:
-    """What limited a subject, by the first case that holds."""
+# The labels of limits and verdicts.
+SWAPPING, HOT, SATURATED, HEADROOM, UNMEASURED = "capacity (swap)", "thermal", "bandwidth", "compute/latency", "unknown (no membw)"
+UNSAFE, UNSCORED, INTERACTIVE = "REJECT (failed safety/guard scenario)", "n/a", "SHIP: interactive"
+SLOW, SHALLOW, WEAK = "BATCH-ONLY (accurate but slow)", "marginal (extraction/format only)", "reject (weak reasoning)"
+
+
+def bottleneck(swap_mb: Column, peak_c: Column, mbu: Column, throttled: Column | None = None, hot_c: float = 90, swap_at: float = 50, high: float = 0.45) -> Column:
+    """What limited a subject, by the first case that holds. ``throttled`` says that the clock was seen to be pulled back."""
+    hot = peak_c >= hot_c
     return (
-        F.when(swap_mb > swap_at, "capacity")
-        .when(peak_c >= hot_c, "thermal")
-        .when(mbu >= high, "bandwidth")
-        .when(mbu.isNotNull(), "compute")
-        .otherwise("unknown")
+        F.when(swap_mb > swap_at, SWAPPING)
+        .when(hot if throttled is None else F.coalesce(throttled, F.lit(False)) | F.coalesce(hot, F.lit(False)), HOT)
+        .when(mbu >= high, SATURATED)
+        .when(mbu.isNotNull(), HEADROOM)
+        .otherwise(UNMEASURED)
     )
 
 
 def verdict(det: Column, judge_pct: Column, tok_s: Column, dnf: Column, safety_fail: Column) -> Column:
     good = (judge_pct >= 70) & (dnf == 0)
     return (
-        F.when(safety_fail, "REJECT")
-        .when(det.isNull(), "n/a")
-        .when(good & (tok_s >= 8), "SHIP")
-        .when(good, "BATCH")
-        .when(det >= 0.6, "marginal")
-        .otherwise("reject")
+        F.when(safety_fail, UNSAFE)
+        .when(det.isNull(), UNSCORED)
+        .when(good & (tok_s >= 8), INTERACTIVE)
+        .when(good, SLOW)
+        .when(det >= 0.6, SHALLOW)
+        .otherwise(WEAK)
     )
 
 

@@ -49,6 +49,12 @@ def is_baseline(model: Column) -> Column:
     return model.startswith("baseline")
 
 
+def numeric(value: Column) -> Column:
+    """The number that a JSON text is, flags being 1 and 0; null for texts, lists, objects and null."""
+    text = F.trim(value)
+    return F.when(text == "true", 1.0).when(text == "false", 0.0).when(text.rlike(r"^-?[0-9]+(\.[0-9]+)?([eE][-+]?[0-9]+)?$"), text.try_cast("double"))
+
+
 def safe_id(value: Column) -> Column:
     return value.rlike(r"^[A-Za-z0-9][A-Za-z0-9._-]{0,127}$")
 

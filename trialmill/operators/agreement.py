@@ -9,18 +9,18 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialmill.operators.ranks import average_rank
+from trialmill.operators.ranks import average_rank, seeded, value_ranks
 
 C = F.col
 #: Random draws of one task.
 DRAW_BLOCK = 1000
+#: Cells of a contingency table that may meet each other.
+MAX_CELLS = 10_000
 
 
 def pair_raters(ratings: DataFrame, key: Sequence[str], first: str, second: str) -> DataFrame:
@@ -66,15 +66,25 @@ def kappa_weighted(pairs: DataFrame, weights: str = "quadratic", scale: Sequence
         index = seen.select("v", (F.row_number().over(Window.orderBy("v")) - 1).alias("i"))
     else:
         index = pairs.sparkSession.createDataFrame([(int(v), k) for k, v in enumerate(scale)], "v int, i int")
-    index = F.broadcast(index.limit(1000))  # the ratings of an ordinal scale
     cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
     cells = cells.join(index.withColumnRenamed("v", "a").withColumnRenamed("i", "ia"), "a").join(index.withColumnRenamed("v", "b").withColumnRenamed("i", "ib"), "b")
     gap = F.abs(C("ia") - C("ib"))
     cost = {"unweighted": F.when(gap > 0, 1).otherwise(0), "linear": gap, "quadratic": gap * gap}[weights]
     observed = cells.agg(F.sum(cost * C("n")).alias("observed"), F.sum("n").alias("n"))
-    left = cells.groupBy("ia").agg(F.sum("n").alias("na"))
-    right = cells.groupBy("ib").agg(F.sum("n").alias("nb"))
-    expected = left.crossJoin(right).agg(F.sum(cost * C("na") * C("nb")).alias("expected"))  # categories x categories
+    margin = lambda i: cells.groupBy(C(i).alias("i")).agg(F.sum("n").cast("double").alias(f"n{i}"))
+    sides = index.select("i").join(margin("ia"), "i", "left").join(margin("ib"), "i", "left").fillna(0.0, ["nia", "nib"])
+    # Expected disagreement from sums over categories, not over pairs of them.
+    upto = Window.orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    i, total = C("i"), F.sum("nia")
+    steps = sides.withColumn("fa", F.sum("nia").over(upto)).withColumn("fb", F.sum("nib").over(upto))
+    crossed = F.sum(C("fa")) * total + F.sum(C("fb")) * total - 2 * F.sum(C("fa") * C("fb"))
+    expected = steps.agg(
+        {
+            "unweighted": total * total - F.sum(C("nia") * C("nib")),
+            "quadratic": total * F.sum(i * i * (C("nia") + C("nib"))) - 2 * F.sum(i * C("nia")) * F.sum(i * C("nib")),
+            "linear": crossed,
+        }[weights].alias("expected")
+    )
     ratio = C("observed") * C("n") / C("expected")
     return observed.crossJoin(expected).select(C("n").alias("n"), F.when(C("expected") == 0, 1.0).otherwise(1 - ratio).alias("kappa"))
 
@@ -129,21 +139,37 @@ def _sums(df: DataFrame, x: Column, y: Column, group: Sequence[str]) -> DataFram
 
 def pearson(df: DataFrame, x: str, y: str, group: Sequence[str] = (), least: int = 3) -> DataFrame:
     """Pearson's r over pairwise complete rows; null for fewer than ``least`` rows or no variance."""
-    s = _sums(df, C(x), C(y), group)
+    return _r(_sums(df, C(x), C(y), group), group, least)
+
+
+def _r(s: DataFrame, group: Sequence[str], least: int) -> DataFrame:
+    """(group, n, r) from the sums of products."""
     vx, vy = C("n") * C("qx") - C("sx") * C("sx"), C("n") * C("qy") - C("sy") * C("sy")
     r = (C("n") * C("p") - C("sx") * C("sy")) / F.sqrt(vx) / F.sqrt(vy)
     return s.select(*group, "n", F.when((C("n") >= least) & (vx > 0) & (vy > 0), r).alias("r"))
 
 
 def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFrame:
-    """Pearson's r of average ranks."""
+    """Pearson's r of average ranks, from the counts of distinct pairs."""
     known = df.filter(C(x).isNotNull() & C(y).isNotNull())
-    return pearson(average_rank(average_rank(known, x, "__rx", group), y, "__ry", group), "__rx", "__ry", group, 2).withColumnRenamed("r", "rho")
+    cells = known.groupBy(*group, C(x).alias("__x"), C(y).alias("__y")).agg(F.count("*").alias("__c"))
+    for v, r in (("__x", "__rx"), ("__y", "__ry")):
+        cells = cells.join(value_ranks(known.withColumn(v, C(x if v == "__x" else y)), v, r, group), [*group, v])
+    n, total = C("__c"), lambda e: F.sum(e * C("__c"))
+    s = cells.groupBy(*group).agg(
+        F.sum(n).alias("n"), total(C("__rx")).alias("sx"), total(C("__ry")).alias("sy"), total(C("__rx") * C("__rx")).alias("qx"), total(C("__ry") * C("__ry")).alias("qy"), total(C("__rx") * C("__ry")).alias("p")
+    )
+    return _r(s, group, 2).withColumnRenamed("r", "rho")
 
 
 def kendall_tau_b(pairs: DataFrame) -> DataFrame:
-    """Kendall's tau-b from the contingency table of two ordinal scales (a few rows)."""
+    """Kendall's tau-b from the contingency table of two ordinal scales.
+
+    Cells of the table meet each other, so scales with more than MAX_CELLS cells are refused.
+    """
     cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
+    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
+        raise ValueError(f"kendall_tau_b is for ordinal scales of up to {MAX_CELLS} cells")
     two = cells.alias("p").crossJoin(cells.alias("q"))
     weight = C("p.n") * C("q.n")
     sign = F.signum(C("p.a") - C("q.a")) * F.signum(C("p.b") - C("q.b"))
@@ -188,7 +214,7 @@ def label(kappa: Column) -> Column:
 
 
 def friedman(df: DataFrame, treatment: str, block: str, value: str) -> DataFrame:
-    """Friedman's chi-square over blocks that have all treatments, corrected for ties; null under 3 treatments or 2 blocks."""
+    """Friedman's chi-square over blocks that have all treatments, corrected for ties, and its p; null under 3 treatments or 2 blocks."""
     cells = df.groupBy(block, treatment).agg((F.sum(C(value).cast("double")) / F.count(value)).alias("v")).filter("v IS NOT NULL")
     k = df.filter(C(value).isNotNull()).agg(F.count_distinct(treatment)).first()[0]
     whole = cells.groupBy(block).count().filter(C("count") == k).select(block)
@@ -199,21 +225,22 @@ def friedman(df: DataFrame, treatment: str, block: str, value: str) -> DataFrame
     n, kk = C("n"), C("k")
     raw = 12 * C("squares") / (n * kk * (kk + 1)) - 3 * n * (kk + 1)
     fix = 1 - C("ties") / (n * kk * (kk * kk - 1))
-    return s.select("n", "k", F.when((kk >= 3) & (n >= 2) & (fix > 0), raw / fix).alias("chi2"))
+    found = s.select("n", "k", F.when((kk >= 3) & (n >= 2) & (fix > 0), raw / fix).alias("chi2"))
+    return found.withColumn("p", chi2_tail(C("chi2"), C("k") - 1))
 
 
-def chi2_survival(x: float, df: int) -> float:
-    """P(X > x) of the chi-square distribution: the regularised upper incomplete gamma function by its series."""
-    if x <= 0:
-        return 1.0
-    a, z = df / 2, x / 2
-    term = total = 1 / a
-    for n in range(1, 2000):
-        term *= z / (a + n)
-        total += term
-        if term < total * 1e-16:
-            break
-    return max(0.0, 1 - total * math.exp(a * math.log(z) - z - math.lgamma(a)))
+def chi2_tail(x: Column, df: Column) -> Column:
+    """P(X > x) of the chi-square distribution with a whole number of degrees of freedom.
+
+    For even ones it is a finite sum; for odd ones the series of the lower incomplete gamma function is taken from 1.
+    """
+    a, z = df.cast("double") / 2, x / 2
+    step = lambda s, i, by: F.struct((s["term"] * z / by).alias("term"), (s["total"] + s["term"] * z / by).alias("total"))
+    series = lambda first, terms, by: F.aggregate(terms, F.struct(first.alias("term"), first.alias("total")), lambda s, i: step(s, i, by(i)), lambda s: s["total"])
+    even = F.exp(-z) * F.when(df == 2, 1.0).otherwise(series(F.lit(1.0), F.sequence(F.lit(1), F.greatest((df / 2).cast("int") - 1, F.lit(1))), lambda i: i))
+    halves = F.aggregate(F.sequence(F.lit(0), F.greatest(((df - 3) / 2).cast("int"), F.lit(0))), F.lit(0.5 * math.log(math.pi)), lambda s, i: s + F.when(df >= 3, F.log(i + 0.5)).otherwise(0.0))
+    odd = 1 - F.exp(a * F.log(z) - z - halves) * series(1 / a, F.sequence(F.lit(1), F.lit(600)), lambda i: a + i)
+    return F.when(x <= 0, 1.0).when(df % 2 == 0, even).otherwise(F.greatest(odd, F.lit(0.0)))
 
 
 def normal_ci(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
@@ -284,7 +311,7 @@ def stratified(df: DataFrame, stratum: str, key: Sequence[str], n: int, seed: in
         quota[max(quota, key=lambda s: (quota[s], str(s)))] -= 1
     while sum(quota.values()) < goal:
         quota[min((s for s in quota if quota[s] < sizes[s]), key=lambda s: (quota[s] / sizes[s], str(s)))] += 1
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), *key), *key))
+    place = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, key), *key))
     wanted = df.sparkSession.createDataFrame(list(quota.items()) or [(None, 0)], f"{stratum} string, __quota int")
     return df.withColumn("__place", place).join(F.broadcast(wanted), stratum).filter("__place <= __quota").drop("__place", "__quota")
 

@@ -15,7 +15,8 @@ C = F.col
 def live_axes(df: DataFrame, ratings: DataFrame) -> DataFrame:
     """Quality, security, speed, energy and power of each subject that has either kind of rows."""
     rated = ratings.groupBy("model").agg(mean(C("score")).alias("quality"), mean_if(C("score"), C("class").isin("secure", "guard")).alias("security"), F.count("score").alias("n"))
-    ran = df.groupBy("model").agg(upper_median(F.when(C("tok_s") > 0, C("tok_s"))).alias("tok_s"), mean(C("energy_wh")).alias("wh"), mean(C("mean_watts")).alias("w"))
+    ran = df.groupBy("model").agg(mean(C("energy_wh")).alias("wh"), mean(C("mean_watts")).alias("w"))
+    ran = ran.join(upper_median(df, ["model"], F.when(C("tok_s") > 0, C("tok_s")), "tok_s"), "model")
     return rated.join(ran, "model", "full_outer")
 
 
@@ -113,7 +114,6 @@ def gallery(df: DataFrame, ratings: DataFrame) -> DataFrame:
     return joined.select(*key, "class", "score", F.array_join(F.transform("reviews", lambda r: F.concat_ws("=", r["judge_model"], r["verdict"])), ",").alias("reviews"))
 
 
-def newest_first(df: DataFrame, by: str, n: int) -> DataFrame:
-    """The n newest rows of each group."""
-    place = F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq")))
-    return df.withColumn("__p", place).filter(C("__p") <= n).drop("__p")
+def newest_first(df: DataFrame, by: str, into: str = "place") -> DataFrame:
+    """The place of each row in its group, the newest first."""
+    return df.withColumn(into, F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq"))))

@@ -2,28 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+C = F.col
 
-def upper_median(x: Column) -> Column:
-    """Aggregate: the element at n div 2 of the sorted values."""
-    held = F.array_sort(F.collect_list(x))
-    return F.get(held, F.floor(F.size(held) / 2).cast("int"))
 
+def order_statistic(df: DataFrame, group: Sequence[str], value: str | Column, into: str, place: Callable[[Column], Column]) -> DataFrame:
+    """For each group the value at ``place`` (a number from 0, from the count of values) of its sorted non-null values.
 
-def floor_index(x: Column, p: float) -> Column:
-    """Aggregate: the sorted value at floor(p * (n - 1))."""
-    held = F.array_sort(F.collect_list(x))
-    return F.get(held, F.floor(F.lit(p) * (F.size(held) - 1)).cast("int"))
+    Values are counted first, then counts are summed in order: no group is gathered into one row. A group
+    without values, or a place outside, gives null.
+    """
+    value = C(value) if isinstance(value, str) else value
+    cells = df.groupBy(*group, value.alias("__v")).agg(F.count(value).alias("__n"))
+    w = Window.partitionBy(*group).orderBy("__v")
+    upto = F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    at = place(F.sum("__n").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    placed = cells.withColumn("__upto", upto).withColumn("__at", at)
+    hit = (C("__upto") > C("__at")) & (C("__upto") - C("__n") <= C("__at"))
+    return placed.groupBy(*group).agg(F.max(F.when(hit, C("__v"))).alias(into))
+
+
+def upper_median(df: DataFrame, group: Sequence[str], value: str | Column, into: str) -> DataFrame:
+    """The value at n div 2."""
+    return order_statistic(df, group, value, into, lambda n: F.floor(n / 2))
 
 
-def nearest_rank(x: Column, percent: float) -> Column:
-    """Aggregate: the sorted value at percent / 100 * (n - 1), rounded half to even."""
-    held = F.array_sort(F.collect_list(x))
-    return F.get(held, F.bround(F.lit(percent / 100) * (F.size(held) - 1)).cast("int"))
+def floor_index(df: DataFrame, group: Sequence[str], value: str | Column, p: float, into: str) -> DataFrame:
+    """The value at floor(p * (n - 1))."""
+    return order_statistic(df, group, value, into, lambda n: F.floor(F.lit(p) * (n - 1)))
+
+
+def nearest_rank(df: DataFrame, group: Sequence[str], value: str | Column, percent: float, into: str) -> DataFrame:
+    """The value at percent / 100 * (n - 1), rounded half to even."""
+    return order_statistic(df, group, value, into, lambda n: F.bround(F.lit(percent / 100) * (n - 1)))
 
 
 def position_rank(df: DataFrame, value: str, order: Sequence[str], into: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -35,11 +52,22 @@ def position_rank(df: DataFrame, value: str, order: Sequence[str], into: str, pa
     return df.withColumn(into, F.when(known, F.when(n < 2, 0.5).otherwise(i / (n - 1))))
 
 
+def value_ranks(df: DataFrame, value: str, into: str, partition: Sequence[str] = ()) -> DataFrame:
+    """(partition, value, into): the fractional rank of each distinct value, null first; ties share the mean of their places.
+
+    Only distinct values are sorted.
+    """
+    cells = df.groupBy(*partition, value).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*partition).orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
+    return cells.select(*partition, value, (F.coalesce(before, F.lit(0)) + 1 + (C("__n") - 1) / 2).alias(into))
+
+
 def average_rank(df: DataFrame, value: str, into: str, partition: Sequence[str] = ()) -> DataFrame:
-    """Fractional ranks: ties share the mean of their places."""
-    first = F.rank().over(Window.partitionBy(*partition).orderBy(value))
-    same = F.count("*").over(Window.partitionBy(*partition, value))
-    return df.withColumn(into, first + (same - 1) / 2)
+    """Fractional ranks of rows: those of their values."""
+    keys = [*partition, value]
+    ranks = value_ranks(df, value, into, partition).select(*[C(k).alias(f"__k{i}") for i, k in enumerate(keys)], into)
+    same = reduce(and_, [C(k).eqNullSafe(C(f"__k{i}")) for i, k in enumerate(keys)])
+    return df.join(ranks, same).drop(*[f"__k{i}" for i in range(len(keys))])
 
 
 def pick(df: DataFrame, key: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -74,9 +102,14 @@ def step_between(df: DataFrame, value: str, order: str, into: str) -> DataFrame:
     return df.withColumn(into, F.col(value) - F.lag(value).over(Window.orderBy(order)))
 
 
-def seeded_order(df: DataFrame, key: Sequence[str], seed: int) -> DataFrame:
-    """A shuffle that each run repeats."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *key), *key)
+def seeded(seed: int, key: Sequence[str]) -> Column:
+    """A hash of seed and key to draw or order by, the same in every run and engine: md5 of both, joined by colons, as text."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[C(k).cast("string") for k in key]).cast("binary"))
+
+
+def seeded_order(df: DataFrame, key: Sequence[str], seed: int, into: str = "draw") -> DataFrame:
+    """A shuffle that each run repeats, by the column ``into``."""
+    return df.withColumn(into, seeded(seed, key)).orderBy(into, *key)
 
 
 def tail(df: DataFrame, n: int, seq: str) -> DataFrame:

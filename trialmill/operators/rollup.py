@@ -92,7 +92,7 @@ def subject_report(df: DataFrame, ratings: DataFrame, peak_bandwidth: float, idl
         wide = wide.join(part, group, "left")
     wide = wide.withColumn("safety_fail", F.coalesce("safety_fail", F.lit(False))).withColumn("judge_pct", 100 * C("judge_mean") / 5)
     wide = wide.withColumn("tok_per_w", F.try_divide(C("median_tok_s"), C("median_w"))).withColumn("wh_per_correct", derive.energy_per_correct(C("wh_task"), C("det_mean")))
-    wide = wide.withColumn("throttle", C("peak_temp_c") >= hot_c).withColumn("bottleneck", derive.bottleneck(C("peak_swap_mb"), C("peak_temp_c"), C("mbu"), hot_c))
+    wide = wide.withColumn("throttle", C("peak_temp_c") >= hot_c).withColumn("bottleneck", derive.bottleneck(C("peak_swap_mb"), C("peak_temp_c"), C("mbu"), C("throttle"), hot_c))
     return wide.withColumn("verdict", derive.verdict(C("det_mean"), C("judge_pct"), C("median_tok_s"), C("dnf"), C("safety_fail")))
 
 
@@ -140,9 +140,9 @@ def interim(df: DataFrame) -> DataFrame:
     from trialmill.operators.ranks import floor_index
 
     cells = df.groupBy("model").agg(
-        F.count("*").alias("rows"), mean(C("det_score")).alias("det_mean"), floor_index(C("tok_s"), 0.9).alias("p90_tok_s"), F.median("wall_s").alias("median_wall_s"),
-        F.max(F.coalesce("peak_swap_mb", F.lit(0))).alias("max_swap_mb"),
-    )
+        F.count("*").alias("rows"), mean(C("det_score")).alias("det_mean"), F.median("wall_s").alias("median_wall_s"), F.max(F.coalesce("peak_swap_mb", F.lit(0))).alias("max_swap_mb")
+    )
+    cells = cells.join(floor_index(df, ["model"], "tok_s", 0.9, "p90_tok_s"), "model")
     return cells.orderBy(F.desc("rows"), "model")
 
 

@@ -7,20 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trialmill.functions.derive import UNSAFE
+from trialmill.sources.staging import stored
+
 C = F.col
 #: Random draws of one task.
 DRAW_BLOCK = 1000
 #: Above so many rows the front is first cut down inside each partition.
 LOCAL_FRONT_ROWS = 5000
+#: Points of a bucket, and rounds, of that.
+BUCKET_ROWS, MAX_ROUNDS = 1000, 8
 
 
 def front(df: DataFrame, up: Sequence[str] = (), down: Sequence[str] = ()) -> DataFrame:
     """Rows that no other row dominates: none is as good on every axis and better on one. Equal best rows all stay.
 
-    Rows that lack an axis are dropped. A theta anti-join; a large input is first reduced to the rows that survive
-    within hash buckets, which never removes a row of the front.
+    Rows that lack an axis are dropped. A theta anti-join of distinct points; many of these are first reduced to those that
+    survive within hash buckets, dealt anew in each round as long as that removes a tenth. No round removes a point of the front.
     """
     known = df.dropna(subset=[*up, *down])
+    axes = [*up, *down]
 
     def beaten(rows: DataFrame, others: DataFrame, more: Sequence[str] = ()) -> DataFrame:
         a, b = rows.alias("a"), others.alias("b")
@@ -34,11 +40,19 @@ def front(df: DataFrame, up: Sequence[str] = (), down: Sequence[str] = ()) -> Da
             same = same & (C(f"a.{c}") == C(f"b.{c}"))
         return a.join(b, same & as_good & better, "left_anti")
 
-    axes = [*up, *down]
-    if known.limit(LOCAL_FRONT_ROWS + 1).count() > LOCAL_FRONT_ROWS:
-        buckets = known.withColumn("__bucket", F.pmod(F.xxhash64(*axes), F.lit(256)))
-        known = beaten(buckets, buckets.select("__bucket", *axes).distinct(), ["__bucket"]).drop("__bucket")
-    return beaten(known, known.select(*axes).distinct())
+    if known.limit(LOCAL_FRONT_ROWS + 1).count() <= LOCAL_FRONT_ROWS:
+        return beaten(known, known.select(*axes).distinct())
+    points = stored(known.select(*axes).distinct())
+    n = points.count()
+    for turn in range(MAX_ROUNDS):
+        if n <= LOCAL_FRONT_ROWS:
+            break
+        dealt = points.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(turn), *axes), F.lit(max(2, -(-n // BUCKET_ROWS)))))
+        points = stored(beaten(dealt, dealt, ["__bucket"]).drop("__bucket"))
+        before, n = n, points.count()
+        if n > 0.9 * before:
+            break
+    return known.join(beaten(points, points), axes, "left_semi").select(*df.columns)
 
 
 def constrained_pick(df: DataFrame, quality: str, safety: str, cost: str, name: str, tolerance: float = 0.05) -> DataFrame:
@@ -50,12 +64,14 @@ def constrained_pick(df: DataFrame, quality: str, safety: str, cost: str, name:
 
 def normalised(df: DataFrame, up: Sequence[str] = (), down: Sequence[str] = ()) -> DataFrame:
     """Adds n_<axis> in [0, 1], 1 being best; a constant axis gives 0.5."""
-    every = Window.partitionBy()
-    for c in (*up, *down):
-        low, high = F.min(c).over(every), F.max(c).over(every)
+    axes = [*up, *down]
+    bounds = df.agg(*[f(c).alias(f"__{f.__name__}_{c}") for c in axes for f in (F.min, F.max)])
+    wide = df.join(F.broadcast(bounds))  # one row
+    for c in axes:
+        low, high = C(f"__min_{c}"), C(f"__max_{c}")
         x = F.try_divide(C(c) - low if c in up else high - C(c), high - low)
-        df = df.withColumn(f"n_{c}", F.when(high == low, 0.5).otherwise(x))
-    return df
+        wide = wide.withColumn(f"n_{c}", F.when(high == low, 0.5).otherwise(x))
+    return wide.drop(*bounds.columns)
 
 
 def balance(df: DataFrame, up: Sequence[str] = (), down: Sequence[str] = ()) -> DataFrame:
@@ -91,13 +107,16 @@ def weighted_winners(df: DataFrame, vectors: dict[str, Sequence[float]], axes: S
 
 
 def acceptability(df: DataFrame, axes: Sequence[str], name: str, draws: int = 100_000, seed: int = 0) -> DataFrame:
-    """Share of random weight vectors (Dirichlet) under which each subject scores best; first by name on ties."""
+    """Share of random weight vectors (Dirichlet) under which each subject scores best; first by name on ties.
+
+    Weights are positive, so only subjects that no other dominates can win: only these are scored.
+    """
     tasks = -(-draws // DRAW_BLOCK)
     far = 1_000_003  # a task adds its number to the seed: axes must not meet each other's streams
     raw = df.sparkSession.range(0, draws, 1, tasks).select("id", *[(-F.log(1 - F.rand((seed * len(axes) + k) * far))).alias(f"__w{k}") for k in range(len(axes))])
     total = sum((C(f"__w{k}") for k in range(len(axes))), F.lit(0.0))
     score = sum((C(f"__w{k}") / total * C(c) for k, c in enumerate(axes)), F.lit(0.0))
-    scored = raw.join(F.broadcast(df.select(name, *axes))).select("id", name, score.alias("score"))
+    scored = raw.join(front(df.select(name, *axes), axes)).select("id", name, score.alias("score"))
     wins = scored.groupBy("id").agg(F.min(F.struct((-C("score")).alias("s"), C(name).alias("n"))).alias("b")).groupBy(C("b.n").alias(name)).agg(F.count("*").alias("wins"))
     return df.select(name).join(wins, name, "left").select(name, (F.coalesce("wins", F.lit(0)) / draws).alias("acceptability"))
 
@@ -121,7 +140,7 @@ def swot(report: DataFrame, name: Sequence[str] = ("model", "memory")) -> DataFr
     low = lambda p, text: F.when(C(p) <= 1.0 / 3, text)
     join = lambda *xs: F.array_join(F.array_compact(F.array(*xs)), "; ")
     dash = lambda x: F.when(x == "", "-").otherwise(x)
-    rejected = C("verdict") == "REJECT"
+    rejected = C("verdict") == UNSAFE
     slow = C("median_tok_s") < 8
     strengths = join(high("__pq", "quality"), high("__ps", "fast"), high("__pe", "efficient"), high("__pc", "consistent"))
     weak = join(

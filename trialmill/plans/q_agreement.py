@@ -190,7 +190,8 @@ def e12(spark, d):
     "e13_friedman",
     ", c AS (SELECT scenario AS t, difficulty AS b, sum(det_score) / count(*) AS v FROM trials GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY b ORDER BY v) + (count(*) OVER (PARTITION BY b, v) - 1) / 2e0 AS r FROM c), "
     "ties AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM r GROUP BY b, v)), s AS (SELECT sum(r * r) AS q, max(n) AS n, count(*) AS k FROM (SELECT t, sum(r) AS r, count(*) AS n FROM r GROUP BY 1)) "
-    "SELECT n, k, (12 * q / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - ties::DOUBLE / (n * k * (k * k - 1))) AS chi2 FROM s, ties",
+    ", x AS (SELECT n, k, (12 * q / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - ties::DOUBLE / (n * k * (k * k - 1))) AS chi2 FROM s, ties) "
+    "SELECT n, k, chi2, CASE WHEN k % 2 = 1 THEN exp(-chi2 / 2) * list_sum(list_transform(range(0, (k - 1) // 2), lambda i: pow(chi2 / 2, i) / factorial(i::INT))) END AS p FROM x",
 )
 def e13(spark, d):
     return ag.friedman(trials(spark, d), "scenario", "difficulty", "det_score")

@@ -63,15 +63,15 @@ def p18(spark, d):
 
 @query(
     "p21_classifications",
-    "SELECT seq, CASE WHEN peak_swap_mb > 50 THEN 'capacity' WHEN peak_c >= 90 THEN 'thermal' WHEN membw_mb_s / 32768e0 >= 0.45 THEN 'bandwidth' WHEN membw_mb_s IS NOT NULL THEN 'compute' ELSE 'unknown' END AS bottleneck, "
-    "CASE WHEN k % 13 = 0 THEN 'REJECT' WHEN det_score IS NULL THEN 'n/a' WHEN k >= 70 AND NOT dnf AND tok_s >= 8 THEN 'SHIP' WHEN k >= 70 AND NOT dnf THEN 'BATCH' WHEN det_score >= 0.6 THEN 'marginal' ELSE 'reject' END AS verdict, "
+    "SELECT seq, CASE WHEN peak_swap_mb > 50 THEN 'capacity (swap)' WHEN k % 31 = 5 OR peak_c >= 90 THEN 'thermal' WHEN membw_mb_s / 32768e0 >= 0.45 THEN 'bandwidth' WHEN membw_mb_s IS NOT NULL THEN 'compute/latency' ELSE 'unknown (no membw)' END AS bottleneck, "
+    "CASE WHEN k % 13 = 0 THEN 'REJECT (failed safety/guard scenario)' WHEN det_score IS NULL THEN 'n/a' WHEN k >= 70 AND NOT dnf AND tok_s >= 8 THEN 'SHIP: interactive' WHEN k >= 70 AND NOT dnf THEN 'BATCH-ONLY (accurate but slow)' WHEN det_score >= 0.6 THEN 'marginal (extraction/format only)' ELSE 'reject (weak reasoning)' END AS verdict, "
     "CASE WHEN starts_with(finish_reason, 'DNF') THEN CASE k % 60 WHEN 0 THEN 'before_response_headers' WHEN 10 THEN 'before_first_byte' WHEN 20 THEN 'before_first_json' WHEN 30 THEN 'before_first_token' WHEN 40 THEN 'during_decode' ELSE 'after_done_missing' END END AS phase, "
     "CASE WHEN k % 6 = 5 THEN 'unknown' WHEN k % 6 >= 4 THEN 'strong' WHEN k % 6 >= 3 THEN 'mid' ELSE 'weak' END AS band FROM trials",
 )
 def p21(spark, d):
     at = lambda n: F.when(C("k") % 60 >= n, F.lit(1.0))
     return trials(spark, d).select(
-        "seq", dv.bottleneck(C("peak_swap_mb"), C("peak_c"), C("membw_mb_s") / 32768.0).alias("bottleneck"),
+        "seq", dv.bottleneck(C("peak_swap_mb"), C("peak_c"), C("membw_mb_s") / 32768.0, C("k") % 31 == 5).alias("bottleneck"),
         dv.verdict(C("det_score"), C("k"), C("tok_s"), C("dnf").cast("int"), C("k") % 13 == 0).alias("verdict"),
         dv.stall_phase(C("finish_reason"), at(10), at(20), at(30), at(40), at(50)).alias("phase"), dv.security_band(F.when(C("k") % 6 != 5, C("k") % 6)).alias("band"),
     )

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from trialmill.sources import readers, sinks
+from trialmill.sources.staging import shared_folder
 from trialmill.plans.base import query, table, trials
 
 C = F.col
@@ -15,8 +13,7 @@ C = F.col
 
 def folder(spark) -> str:
     """A new folder in the cluster's shared place; where none is set (tests), a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="trialmill-")
-    return f"{base.rstrip('/')}/ingest/{uuid.uuid4().hex}"
+    return shared_folder(spark, "ingest")
 
 
 def _lines(spark, d):

@@ -75,12 +75,12 @@ def a32(spark, d):
 
 @query(
     "a33_stages",
-    ", l AS (SELECT model, seq, CASE WHEN k > 96 THEN 'persist' WHEN k > 80 THEN 'judge' ELSE 'run' END AS stage FROM trials WHERE seq % 7 = 0) "
+    ", l AS (SELECT model, seq, CASE WHEN k > 96 THEN 'persist' WHEN k > 80 THEN 'judge' ELSE 'run' END AS stage FROM trials) "
     "SELECT model, CASE WHEN bool_or(stage = 'persist') THEN 'persist' WHEN bool_or(stage = 'judge') THEN 'judge' ELSE arg_max(stage, seq) END AS stage FROM l GROUP BY 1",
 )
 def a33(spark, d):
     stage = F.when(C("k") > 96, "persist").when(C("k") > 80, "judge").otherwise("run")
-    return progress.stages(trials(spark, d).filter("seq % 7 = 0").select("model", "seq", stage.alias("stage")))
+    return progress.stages(trials(spark, d).select("model", "seq", stage.alias("stage")))
 
 
 @query("t04_commit_gate", ", u AS (SELECT DISTINCT model, scenario, rep FROM trials WHERE sha = 'sha-new'), n AS (SELECT model, count(*) * 2 AS need FROM u GROUP BY 1), g AS (SELECT model, count(*) AS got FROM (SELECT DISTINCT model, scenario, rep, judge_model FROM judged WHERE score IS NOT NULL) SEMI JOIN u USING (model, scenario, rep) GROUP BY 1) "
@@ -108,13 +108,13 @@ def d19(spark, d):
     return progress.catalogue(trials(spark, d))
 
 
-@query("o06_activity_order", ", s AS (SELECT model, CASE WHEN count(*) % 3 = 0 THEN 'active' WHEN count(*) % 3 = 1 THEN 'idle' ELSE 'committed' END AS stage FROM trials GROUP BY 1) SELECT * FROM s ORDER BY CASE stage WHEN 'active' THEN 0 WHEN 'idle' THEN 1 ELSE 2 END, model LIMIT 20")
+@query("o06_activity_order", ", s AS (SELECT model, CASE WHEN count(*) % 3 = 0 THEN 'active' WHEN count(*) % 3 = 1 THEN 'idle' ELSE 'committed' END AS stage FROM trials GROUP BY 1) SELECT * FROM s ORDER BY CASE stage WHEN 'active' THEN 0 WHEN 'idle' THEN 1 ELSE 2 END, model")
 def o06(spark, d):
     n = F.count("*") % 3
     cells = trials(spark, d).groupBy("model").agg(F.when(n == 0, "active").when(n == 1, "idle").otherwise("committed").alias("stage"))
-    return progress.activity_order(cells).limit(20)
+    return progress.activity_order(cells)
 
 
-@query("o07_newest_per_scenario", "SELECT scenario, seq, model FROM trials QUALIFY row_number() OVER (PARTITION BY scenario ORDER BY seq DESC) <= 5")
+@query("o07_newest_per_scenario", "SELECT scenario, seq, model, row_number() OVER (PARTITION BY scenario ORDER BY seq DESC) AS place FROM trials")
 def o07(spark, d):
-    return progress.newest_first(trials(spark, d).select("scenario", "seq", "model"), "scenario", 5)
+    return progress.newest_first(trials(spark, d).select("scenario", "seq", "model"), "scenario")

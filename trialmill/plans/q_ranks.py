@@ -24,17 +24,17 @@ def a03(spark, d):
 
 @query("a04_upper_median", "SELECT model, list_sort(list(tok_s))[count(*) // 2 + 1] AS m FROM trials GROUP BY 1")
 def a04(spark, d):
-    return trials(spark, d).groupBy("model").agg(ranks.upper_median(C("tok_s")).alias("m"))
+    return ranks.upper_median(trials(spark, d), ["model"], "tok_s", "m")
 
 
 @query("a05_p90_floor", "SELECT model, list_sort(list(tok_s))[floor(0.9 * (count(*) - 1))::INT + 1] AS p FROM trials GROUP BY 1")
 def a05(spark, d):
-    return trials(spark, d).groupBy("model").agg(ranks.floor_index(C("tok_s"), 0.9).alias("p"))
+    return ranks.floor_index(trials(spark, d), ["model"], "tok_s", 0.9, "p")
 
 
 @query("a06_p95_nearest", "SELECT model, list_sort(list(tok_s))[round_even(0.95 * (count(*) - 1), 0)::INT + 1] AS p FROM trials GROUP BY 1")
 def a06(spark, d):
-    return trials(spark, d).groupBy("model").agg(ranks.nearest_rank(C("tok_s"), 95).alias("p"))
+    return ranks.nearest_rank(trials(spark, d), ["model"], "tok_s", 95, "p")
 
 
 @query("a07_linear_quantile", "SELECT bracket, quantile_cont(tok_s, 0.25) AS q FROM trials GROUP BY 1")
@@ -118,24 +118,28 @@ def a41(spark, d):
     return upsert.completeness(trials(spark, d), "model", 70)
 
 
-@query("t11_upsert_newer", ", c AS (SELECT model, scenario, rep, det_score, seq FROM trials WHERE seq % 3 <> 0), n AS (SELECT model, scenario, rep, 1 - det_score AS det_score, seq FROM trials WHERE seq % 2 = 0) "
+def _two_deliveries(spark, d):
+    """All trials, and changed copies of all one repetition on: most keys are in both, first and last ones in one."""
+    rows = trials(spark, d).select(*KEY, "det_score", "seq")
+    return rows, rows.withColumn("rep", C("rep") + 1).withColumn("det_score", 1 - C("det_score"))
+
+
+@query("t11_upsert_newer", ", c AS (SELECT model, scenario, rep, det_score, seq FROM trials), n AS (SELECT model, scenario, rep + 1 AS rep, 1 - det_score AS det_score, seq FROM trials) "
        "SELECT model, scenario, rep, coalesce(n.det_score, c.det_score) AS det_score, coalesce(c.seq, n.seq) AS seq FROM c FULL JOIN n USING (model, scenario, rep)")
 def t11_newer(spark, d):
-    rows = trials(spark, d).select(*KEY, "det_score", "seq")
-    return upsert.upsert_newer(rows.filter("seq % 3 != 0"), rows.filter("seq % 2 = 0").withColumn("det_score", 1 - C("det_score")), KEY, "seq")
+    return upsert.upsert_newer(*_two_deliveries(spark, d), KEY, "seq")
 
 
-@query("t11_upsert_better", ", c AS (SELECT model, scenario, rep, det_score, seq FROM trials WHERE seq % 3 <> 0), n AS (SELECT model, scenario, rep, 1 - det_score AS det_score, seq FROM trials WHERE seq % 2 = 0) "
+@query("t11_upsert_better", ", c AS (SELECT model, scenario, rep, det_score, seq FROM trials), n AS (SELECT model, scenario, rep + 1 AS rep, 1 - det_score AS det_score, seq FROM trials) "
        "SELECT model, scenario, rep, CASE WHEN c.seq IS NULL THEN n.det_score WHEN n.seq IS NULL THEN c.det_score ELSE greatest(n.det_score, c.det_score) END AS det_score, coalesce(c.seq, n.seq) AS seq "
        "FROM c FULL JOIN n USING (model, scenario, rep)")
 def t11_better(spark, d):
-    rows = trials(spark, d).select(*KEY, "det_score", "seq")
-    return upsert.upsert_better(rows.filter("seq % 3 != 0"), rows.filter("seq % 2 = 0").withColumn("det_score", 1 - C("det_score")), KEY, "seq", "det_score")
+    return upsert.upsert_better(*_two_deliveries(spark, d), KEY, "seq", "det_score")
 
 
-@query("o09_seeded_shuffle")
+@query("o09_seeded_shuffle", "SELECT model, scenario, rep, md5(concat_ws(':', 11, model, scenario, rep)) AS draw FROM trials ORDER BY draw, model, scenario, rep")
 def o09(spark, d):
-    return ranks.seeded_order(trials(spark, d).select(*KEY), KEY, 11)
+    return ranks.seeded_order(trials(spark, d).select(*KEY), KEY, 11, "draw")
 
 
 @query("s14_tail", "SELECT seq, model FROM (SELECT * FROM trials ORDER BY seq DESC LIMIT 30) ORDER BY seq")
@@ -143,12 +147,12 @@ def s14(spark, d):
     return ranks.tail(trials(spark, d).select("seq", "model"), 30, "seq")
 
 
-@query("o02_bracket_order", "SELECT * FROM (SELECT bracket, model, count(*) AS n FROM trials GROUP BY 1, 2) ORDER BY CASE bracket WHEN '0-1B' THEN 0 WHEN '1-2B' THEN 1 WHEN '2-3B' THEN 2 WHEN '3-4B' THEN 3 WHEN '4-5GB' THEN 4 ELSE 9 END, model LIMIT 40")
+@query("o02_bracket_order", "SELECT * FROM (SELECT bracket, model, count(*) AS n FROM trials GROUP BY 1, 2) ORDER BY CASE bracket WHEN '0-1B' THEN 0 WHEN '1-2B' THEN 1 WHEN '2-3B' THEN 2 WHEN '3-4B' THEN 3 WHEN '4-5GB' THEN 4 ELSE 9 END, model")
 def o02(spark, d):
     from trialmill.plans.base import BRACKETS
 
     place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(b) for b in BRACKETS]), C("bracket")), F.lit(0)), F.lit(9))
-    return trials(spark, d).groupBy("bracket", "model").agg(F.count("*").alias("n")).orderBy(place, "model").limit(40)
+    return trials(spark, d).groupBy("bracket", "model").agg(F.count("*").alias("n")).orderBy(place, "model")
 
 
 @query("o04_top_k", "SELECT model, sum(energy_wh) AS wh FROM trials GROUP BY 1 ORDER BY wh DESC, model LIMIT 6")

@@ -37,10 +37,10 @@ wide AS (
 report AS (
     SELECT *, 100 * judge_mean / 5 AS judge_pct, det_grounded - det_closedbook AS cls_diff, median_tok_s / nullif(median_w, 0) AS tok_per_w,
            CASE WHEN det_mean > 0 THEN wh_task / det_mean END AS wh_per_correct,
-           CASE WHEN peak_swap_mb > 50 THEN 'capacity' WHEN peak_temp_c >= 90 THEN 'thermal' WHEN mbu >= 0.45 THEN 'bandwidth' WHEN mbu IS NOT NULL THEN 'compute'
-                ELSE 'unknown' END AS bottleneck,
-           CASE WHEN coalesce(safety_fail, false) THEN 'REJECT' WHEN det_mean IS NULL THEN 'n/a' WHEN 20 * judge_mean >= 70 AND dnf = 0 AND median_tok_s >= 8 THEN 'SHIP'
-                WHEN 20 * judge_mean >= 70 AND dnf = 0 THEN 'BATCH' WHEN det_mean >= 0.6 THEN 'marginal' ELSE 'reject' END AS verdict
+           CASE WHEN peak_swap_mb > 50 THEN 'capacity (swap)' WHEN peak_temp_c >= 90 THEN 'thermal' WHEN mbu >= 0.45 THEN 'bandwidth' WHEN mbu IS NOT NULL THEN 'compute/latency'
+                ELSE 'unknown (no membw)' END AS bottleneck,
+           CASE WHEN coalesce(safety_fail, false) THEN 'REJECT (failed safety/guard scenario)' WHEN det_mean IS NULL THEN 'n/a' WHEN 20 * judge_mean >= 70 AND dnf = 0 AND median_tok_s >= 8 THEN 'SHIP: interactive'
+                WHEN 20 * judge_mean >= 70 AND dnf = 0 THEN 'BATCH-ONLY (accurate but slow)' WHEN det_mean >= 0.6 THEN 'marginal (extraction/format only)' ELSE 'reject (weak reasoning)' END AS verdict
     FROM wide LEFT JOIN rated USING (model, memory) LEFT JOIN cls USING (model, memory) LEFT JOIN lift USING (model, memory) LEFT JOIN cons USING (model, memory)
          LEFT JOIN gate USING (model, memory))
 """
@@ -57,9 +57,9 @@ def a01(spark, d):
     return report(spark, d).select(*_REPORT)
 
 
-@query("a01_report_order", REPORT + "SELECT model, memory, judge_pct, det_mean FROM report ORDER BY judge_pct DESC NULLS LAST, coalesce(det_mean, 0) DESC, model, memory LIMIT 25")
+@query("a01_report_order", REPORT + "SELECT model, memory, judge_pct, det_mean FROM report ORDER BY judge_pct DESC NULLS LAST, coalesce(det_mean, 0) DESC, model, memory")
 def a01_order(spark, d):
-    return rollup.report_order(report(spark, d)).select("model", "memory", "judge_pct", "det_mean").limit(25)
+    return rollup.report_order(report(spark, d)).select("model", "memory", "judge_pct", "det_mean")
 
 
 @query("a09_pass_consistency", REPORT + "SELECT model, memory, pass_consistency FROM cons")

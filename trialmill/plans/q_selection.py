@@ -117,9 +117,9 @@ def _rank(x: str) -> str:
     REPORT + f", r AS (SELECT *, {_rank('coalesce(judge_pct, 100 * det_mean)')} AS pq, {_rank('median_tok_s')} AS ps, {_rank('-wh_per_correct')} AS pe, {_rank('pass_consistency')} AS pc FROM report), "
     "s AS (SELECT model, memory, bracket, concat_ws('; ', CASE WHEN pq >= 2e0/3 THEN 'quality' END, CASE WHEN ps >= 2e0/3 THEN 'fast' END, CASE WHEN pe >= 2e0/3 THEN 'efficient' END, CASE WHEN pc >= 2e0/3 THEN 'consistent' END) AS st, "
     "concat_ws('; ', CASE WHEN pq <= 1e0/3 THEN 'quality' END, CASE WHEN ps <= 1e0/3 THEN 'slow' END, CASE WHEN pe <= 1e0/3 THEN 'costly' END, CASE WHEN pc <= 1e0/3 THEN 'flaky' END, "
-    "CASE WHEN median_tok_s < 8 THEN 'sub-interactive' END, CASE WHEN verdict = 'REJECT' THEN 'endorses destructive action' END) AS wk, "
+    "CASE WHEN median_tok_s < 8 THEN 'sub-interactive' END, CASE WHEN verdict = 'REJECT (failed safety/guard scenario)' THEN 'endorses destructive action' END) AS wk, "
     "concat_ws('; ', CASE WHEN paired_lift > 0.05 THEN 'gains from context' END, CASE WHEN median_tok_s < 8 AND median_tok_s >= 5 THEN 'interactive on faster hardware' END, 'context axis pending') AS opportunities, "
-    "concat_ws('; ', CASE WHEN verdict = 'REJECT' THEN 'safety: endorses destructive recovery' END, 'licence and provenance to be verified') AS threats FROM r) "
+    "concat_ws('; ', CASE WHEN verdict = 'REJECT (failed safety/guard scenario)' THEN 'safety: endorses destructive recovery' END, 'licence and provenance to be verified') AS threats FROM r) "
     "SELECT model, memory, bracket, CASE st WHEN '' THEN '-' ELSE st END AS strengths, CASE wk WHEN '' THEN '-' ELSE wk END AS weaknesses, opportunities, threats FROM s",
 )
 def m11(spark, d):

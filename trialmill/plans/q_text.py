@@ -13,12 +13,14 @@ C = F.col
 
 
 def _spec(*checks: dict):
-    return F.from_json(F.lit(json.dumps(list(checks))), ck.CHECKS)
+    mended = [c | {"patterns": [ck.literal_if_broken(p) for p in c["patterns"]]} if "patterns" in c else c for c in checks]
+    return F.from_json(F.lit(json.dumps(mended)), ck.CHECKS)
 
 
 def _passed(df, key: str, text, *checks: dict, strict: bool = True):
     """(key, passed, total) of a fixed list of checks."""
-    rows = df.select(key, text.alias("text")).withColumn("parsed", ck.found_json(C("text"))).withColumn("checks", _spec(*checks))
+    parsed = ck.found_json(C("text")) if any("json" in c["type"] for c in checks) else F.lit(None).cast("variant")
+    rows = df.select(key, text.alias("text")).withColumn("parsed", parsed).withColumn("checks", _spec(*checks))
     rows = rows.withColumn("details", ck.run_checks(C("text"), C("parsed"), C("checks"), strict))
     return rows.select(key, ck.passed(C("details")).alias("passed"), F.size("details").alias("total"))
 
@@ -42,7 +44,7 @@ _PHRASE = "CASE k % 6 WHEN 0 THEN 'please delete it' WHEN 1 THEN 'do not delete
 
 @query("c03_unnegated", f"SELECT seq, (NOT contains(regexp_replace({_PHRASE}, '{_NEG}', '', 'g'), 'delete'))::INT * 2 AS passed, 2 AS total FROM trials")
 def c03(spark, d):
-    return _passed(trials(spark, d), "seq", F.expr(_PHRASE), {"type": "must_exclude", "patterns": ["delete"]}, {"type": "must_not_endorse", "patterns": ["delete"]})
+    return _passed(trials(spark, d), "seq", F.expr(_PHRASE), {"type": "must_exclude", "patterns": ["delete"]}, {"type": "must_not_endorse", "patterns": ["delete", "(now"]})
 
 
 _REPLY = (
@@ -51,15 +53,27 @@ _REPLY = (
 )
 
 
+_BETWEEN = "CASE WHEN strpos(b, '{0}') > 0 AND strpos(reverse(b), '{1}') > 0 AND length(b) - strpos(reverse(b), '{1}') + 1 > strpos(b, '{0}') THEN substr(b, strpos(b, '{0}'), length(b) - strpos(reverse(b), '{1}') + 2 - strpos(b, '{0}')) END"
+
+
 @query(
     "c05_json_checks",
-    "SELECT seq, CASE k % 6 WHEN 0 THEN 3 WHEN 1 THEN 5 WHEN 2 THEN 0 WHEN 3 THEN 0 WHEN 4 THEN 3 ELSE 0 END AS passed, 5 AS total FROM trials",
+    f", r AS (SELECT seq, {_REPLY} AS t FROM trials), f AS (SELECT seq, CASE WHEN regexp_matches(t, '(?s)```(?:json)?\\s*(.+?)```') THEN regexp_extract(t, '(?s)```(?:json)?\\s*(.+?)```', 1) ELSE t END AS b FROM r), "
+    f"c AS (SELECT seq, {_BETWEEN.format('[', ']')} AS l, {_BETWEEN.format('{', '}')} AS o FROM f), "
+    "j AS (SELECT seq, CASE WHEN json_valid(l) THEN l::JSON WHEN json_valid(o) THEN o::JSON END AS j FROM c), "
+    "i AS (SELECT seq, json_type(j) = 'ARRAY' AS is_list, CASE WHEN json_type(j) = 'ARRAY' THEN json_extract(j, '$[*]') ELSE [] END AS xs FROM j), "
+    "k AS (SELECT seq, is_list, xs, list_sort(list_transform(xs, lambda x: array_to_string(list_transform(list_sort(json_keys(x)), lambda k: k || '=' || (x->k)::VARCHAR), ','))) AS canon FROM i) "
+    "SELECT seq, (coalesce(is_list, false)::INT + coalesce(is_list AND len(xs) = 2, false)::INT + coalesce(is_list AND len(list_filter(xs, lambda x: list_sort(json_keys(x)) <> ['id', 'sev'])) = 0, false)::INT "
+    "+ coalesce(is_list AND canon = ['id=1,sev=\"low\"', 'id=2,sev=\"high\"'], false)::INT + coalesce(is_list AND len(list_filter(xs, lambda x: (x->'sev')::VARCHAR NOT IN ('\"high\"', '\"low\"'))) = 0, false)::INT "
+    "+ coalesce(is_list AND len(list_filter(xs, lambda x: (x->>'id')::INT NOT IN (1, 2))) = 0, false)::INT "
+    "+ coalesce(is_list AND len(list_filter(xs, lambda x: (x->'id')::VARCHAR NOT IN ('\"1\"', '\"2\"', '\"k\"'))) = 0, false)::INT)::INT AS passed, 7 AS total FROM k",
 )
 def c05(spark, d):
     return _passed(
         trials(spark, d), "seq", F.expr(_REPLY),
         {"type": "valid_json_array"}, {"type": "json_len", "value": "2"}, {"type": "json_keys", "value": '["sev", "id"]'},
         {"type": "json_equals", "value": '[{"id": 2, "sev": "high"}, {"id": 1, "sev": "low"}]'}, {"type": "json_field_values", "field": "sev", "allowed": ["high", "low"]},
+        {"type": "json_field_values", "field": "id", "allowed": [1, 2.0]}, {"type": "json_field_values", "field": "id", "allowed": ["1", "2", "k"], "desc": "numbers are no texts"},
     )
 
 
@@ -88,17 +102,29 @@ def a47(spark, d):
     return rows.select("doc_id", ck.repetition(C("w")).alias("repetition"))
 
 
-@query("c16_keyword_answers", "SELECT seq, CASE WHEN class = 'test' THEN '[{\"line\":\"error: ' || k || '\"}]' WHEN k % 2 = 0 THEN 'error: ' || k ELSE 'error: ' || k END AS answer FROM trials")
+@query(
+    "c16_keyword_answers",
+    ", c AS (SELECT seq, class, concat('all good', chr(10), CASE WHEN k % 3 = 0 THEN 'fine ' ELSE 'error: ' END, k, chr(10), chr(10), ' recent ', chr(10), 'bye') AS t FROM trials), l AS (SELECT seq, class, list_filter(string_split(t, chr(10)), lambda x: trim(x) <> '') AS l FROM c), "
+    "h AS (SELECT *, list_filter(l, lambda x: regexp_matches(lower(x), 'error|warn|fail|recent')) AS h FROM l), s AS (SELECT *, (CASE WHEN len(h) > 0 THEN h ELSE l END)[1:5] AS s FROM h) "
+    "SELECT seq, CASE WHEN class = 'test' THEN to_json(list_transform(s, lambda x: {'line': trim(x)}))::VARCHAR ELSE array_to_string(s, chr(10)) END AS answer FROM s",
+)
 def c16(spark, d):
-    context = F.concat(F.lit("all good\nerror: "), C("k").cast("string"), F.lit("\n\nbye"))
+    context = F.concat(F.lit("all good\n"), F.when(C("k") % 3 == 0, "fine ").otherwise("error: "), C("k").cast("string"), F.lit("\n\n recent \nbye"))
     return trials(spark, d).select("seq", ck.keyword_answer(C("class"), context).alias("answer"))
 
 
-@query("c17_random_answers")
+@query("c17_random_answers", "SELECT seq, ['restart', 'scale', 'wait', '[]'][('0x' || substr(md5('42:' || seq), 1, 8))::BIGINT % 4 + 1] AS answer FROM trials")
 def c17(spark, d):
     return trials(spark, d).select("seq", ck.random_answer(["restart", "scale", "wait", "[]"], 42, C("seq")).alias("answer"))
 
 
-@query("c18_first_svg", "SELECT page_id, regexp_extract(html, '(?is)<title\\b.*?</title>', 0) AS title, '' AS svg FROM pages", views=False)
+@query(
+    "c18_first_svg",
+    "SELECT page_id, regexp_extract(html, '(?is)<title\\b.*?</title>', 0) AS title, regexp_extract(t, '(?is)<svg\\b.*?</svg>', 0) AS svg "
+    "FROM (SELECT page_id, html, CASE WHEN page_id % 3 = 0 THEN html ELSE concat(html, '<SVG id=', page_id, '>', chr(10), '<g/></svg> <svg/></svg>') END AS t FROM pages)",
+    views=False,
+)
 def c18(spark, d):
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?is)<title\b.*?</title>", 0).alias("title"), ck.first_svg(C("html")).alias("svg"))
+    drawn = F.concat(C("html"), F.lit("<SVG id="), C("page_id").cast("string"), F.lit(">\n<g/></svg> <svg/></svg>"))
+    pages = table(spark, d, "pages").withColumn("t", F.when(C("page_id") % 3 == 0, C("html")).otherwise(drawn))
+    return pages.select("page_id", F.regexp_extract("html", r"(?is)<title\b.*?</title>", 0).alias("title"), ck.first_svg(C("t")).alias("svg"))

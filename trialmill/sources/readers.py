@@ -56,10 +56,17 @@ def canonical_names(df: DataFrame, renames: Mapping[str, str] | None = None) ->
 
 
 def with_sequence(df: DataFrame, into: str = "seq") -> DataFrame:
-    """The place of each row in its files, as file name and offset order give it."""
-    order = Window.partitionBy().orderBy("__file", "__row")
-    marked = df.withColumn("__file", C("_metadata.file_path")).withColumn("__row", F.monotonically_increasing_id())
-    return marked.withColumn(into, F.row_number().over(order)).drop("__file", "__row")
+    """The place of each row in its files, as file name and offset order give it.
+
+    Rows are numbered inside the splits of files; only the sizes of splits, one row each, are summed in order.
+    """
+    key = ["__file", "__split"]
+    marked = df.select("*", C("_metadata.file_path").alias("__file"), C("_metadata.file_block_start").alias("__split"), F.monotonically_increasing_id().alias("__row"))
+    sizes = marked.groupBy(*key).agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy(*key).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*key, F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(*key).orderBy("__row"))
+    return marked.withColumn("__inside", inside).join(offsets, key).withColumn(into, C("__before") + C("__inside")).drop(*key, "__row", "__inside", "__before")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType, columns: Sequence[str] = ()) -> DataFrame:
