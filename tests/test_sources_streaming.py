@@ -82,6 +82,43 @@ def test_stream_upsert_equals_batch_and_restarts(spark, tmp_path):
     assert sorted(tuple(r) for r in jobs.latest(spark, table).select("k", "s", "seq").collect()) == [("a", 0.9, 2), ("b", 0.4, 4)]
 
 
+def test_upsert_writes_touched_buckets_and_vacuums(spark, tmp_path):
+    src, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
+    schema = "k long, s double, seq int"
+    run = lambda: jobs.upsert(spark.readStream.schema(schema).parquet(src), table, mark, ["k"], ["-s", "seq"], buckets=8).awaitTermination()
+    spark.range(200).selectExpr("id AS k", "0.5D AS s", "1 AS seq").coalesce(1).write.parquet(src)
+    run()
+    spark.createDataFrame([(7, 0.9, 2), (7, 0.1, 3)], schema).write.mode("append").parquet(src)
+    run()
+    versions = jobs._versions(spark, table)
+    assert [len(v) for _, v in sorted(versions.items())] == [8, 1]
+    state = lambda: {r["k"]: r["s"] for r in jobs.latest(spark, table).collect()}
+    assert state() == {**dict.fromkeys(range(200), 0.5), 7: 0.9}
+    assert jobs.vacuum(spark, table) == 1 and jobs.vacuum(spark, table) == 0
+    assert state()[7] == 0.9 and len(state()) == 200
+
+
+def test_a_subject_is_marked_once(spark, tmp_path):
+    src, out, mark = (str(tmp_path / n) for n in ("in", "out", "mark"))
+    schema = "model string, unit int"
+    for rows in ([("a", 1), ("b", 1)], [("a", 2)], [("a", 3), ("b", 1)], [("a", 4)]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+        jobs.completed(spark.readStream.schema(schema).parquet(src), "model", ["unit"], 2, out, mark).awaitTermination()
+    assert [tuple(r) for r in spark.read.schema("model string, units long").json(out).select("model", "units").collect()] == [("a", 2)]
+
+
+def test_places_in_files(spark, tmp_path):
+    for k in range(3):
+        (tmp_path / f"f{k}.jsonl").write_text("".join(f'{{"a": {100 * k + i}}}\n' for i in range(400)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        rows = readers.with_sequence(spark.read.schema("a long").json(str(tmp_path))).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = [100 * k + i for k in range(3) for i in range(400)]
+    assert [r["a"] for r in sorted(rows, key=lambda r: r["seq"])] == want and sorted(r["seq"] for r in rows) == list(range(1, 1201))
+
+
 def test_gate_and_stall_timer(spark, tmp_path):
     src = str(tmp_path / "in")
     schema = "model string, unit int, score double"

@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trialmill.functions.checks import found_json, passed, run_checks
+
 C = F.col
 
 
@@ -25,6 +27,67 @@ def against_manifest(df: DataFrame, expected: Mapping[str, str]) -> DataFrame:
     return out
 
 
+def version_of(text: Column) -> Column:
+    """The first three-part number of a version text, else the trimmed text."""
+    found = F.regexp_extract(text, r"\d+\.\d+\.\d+", 0)
+    return F.when(found != "", found).otherwise(F.trim(text))
+
+
+def version_pin(df: DataFrame, field: str, wanted: str | None = None) -> DataFrame:
+    """One row: the versions seen (sorted, normalised), whether there is one, and whether it is the wanted one."""
+    seen = df.agg(F.array_sort(F.collect_set(version_of(C(field)))).alias("seen"))
+    pin = F.lit(None).cast("boolean") if wanted is None else C("seen") == F.array(version_of(F.lit(wanted)))
+    return seen.select(F.array_join("seen", ",").alias("seen"), (F.size("seen") == 1).alias("consistent"), pin.alias("pinned"))
+
+
+def preflight(
+    nodes: DataFrame, key: str, equal: Mapping[str, object] | None = None, at_most: Mapping[str, float] | None = None, required: Sequence[str] = (),
+    versions: Mapping[str, str] | None = None, one_of: Mapping[str, Sequence[str]] | None = None,
+) -> DataFrame:
+    """(key, field, problem) for each way in which a node's fingerprint departs from a manifest.
+
+    ``equal`` compares as text, and null departs; a bound says nothing about a value that is null or no number; ``required`` flags must
+    hold; versions compare normalised; ``one_of`` is an allow-list (of hashes), and an empty one allows all.
+    """
+    found = []
+    say = lambda field, wrong, text: found.append(F.when(F.coalesce(wrong, F.lit(False)), F.struct(F.lit(field).alias("field"), F.lit(text).alias("problem"))))
+    for f, wanted in (equal or {}).items():
+        say(f, ~C(f).cast("string").eqNullSafe(F.lit(str(wanted))), f"should be {wanted}")
+    for f, most in (at_most or {}).items():
+        say(f, C(f).cast("string").try_cast("double") > most, f"over {most:g}")
+    for f in required:
+        say(f, ~F.coalesce(C(f).cast("boolean"), F.lit(False)), "required")
+    for f, wanted in (versions or {}).items():
+        say(f, F.coalesce(version_of(C(f)), F.lit("")) != version_of(F.lit(wanted)), f"should be version {wanted}")
+    for f, allowed in (one_of or {}).items():
+        if allowed:
+            say(f, ~F.coalesce(C(f).isin(list(allowed)), F.lit(False)), "not approved")
+    problems = F.array_compact(F.array(*found)) if found else F.array().cast("array<struct<field:string,problem:string>>")
+    return nodes.select(key, F.explode(problems).alias("p")).select(key, "p.*")
+
+
+def file_hashes(files: DataFrame, approved: Sequence[str]) -> DataFrame:
+    """(path, sha256, approved) of whole files (path, content)."""
+    digest = F.sha2("content", 256)
+    return files.select("path", digest.alias("sha256"), digest.isin(list(approved)).alias("approved"))
+
+
+def catalogue_faults(scenarios: DataFrame) -> DataFrame:
+    """(id, problem) of scenarios (id, gold, control, checks): ids that repeat, gold answers that fail, controls that pass.
+
+    ``checks`` is an array as trialmill.functions.checks has it. A scenario without checks is not tried.
+    """
+    tried = scenarios.filter(F.size("checks") > 0)
+    for name in ("gold", "control"):
+        tried = tried.withColumn(f"__{name}", found_json(C(name)))
+    outcome = lambda name: passed(run_checks(C(name), C(f"__{name}"), C("checks"))) == F.size("checks")
+    tried = tried.select("id", outcome("gold").alias("gold"), outcome("control").alias("control"))
+    twice = scenarios.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("id is there more than once").alias("problem"))
+    bad_gold = tried.filter(~C("gold")).select("id", F.lit("gold answer fails its checks").alias("problem"))
+    bad_control = tried.filter("control").select("id", F.lit("control answer passes the checks").alias("problem"))
+    return twice.unionByName(bad_gold).unionByName(bad_control)
+
+
 def mixed(df: DataFrame, field: str) -> DataFrame:
     """One row: distinct values of a field, and whether there is more than one."""
     return df.agg(F.count_distinct(field).alias("distinct_values"), (F.count_distinct(field) > 1).alias("mixed"))

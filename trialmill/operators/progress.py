@@ -57,6 +57,17 @@ def sessions(df: DataFrame, expected_rows: int) -> DataFrame:
     return cells.select("run_id", "rows", "subjects", (100 * C("rows") / expected_rows).alias("pct"), started.alias("started"), seconds.alias("seconds"))
 
 
+def run_states(records: DataFrame, run: str = "run_id", order: str = "seq") -> DataFrame:
+    """One row for each run folder's records: how many, how many subjects, and its newest record's state."""
+    return records.groupBy(run).agg(F.count("*").alias("rows"), F.count_distinct("model").alias("subjects"), F.max_by("state", order).alias("state"))
+
+
+def with_meta(runs: DataFrame, meta: DataFrame, defaults: dict[str, object], key: str = "run_id") -> DataFrame:
+    """Runs with their metadata; a run without any, or a field that is null, gets the default."""
+    joined = runs.join(meta.select(key, *defaults), key, "left")
+    return joined.select(*[c for c in runs.columns], *[F.coalesce(C(f), F.lit(v)).alias(f) for f, v in defaults.items()])
+
+
 def batch_rollup(batches: DataFrame) -> DataFrame:
     """Totals over a batch's runs, and its runs by status. batches: batch_id, runs (array of run_id, status, units, done)."""
     runs = batches.select("batch_id", F.explode("runs").alias("r"))

@@ -140,6 +140,12 @@ def newest_run(spark: SparkSession, pattern: str, run: str = r"/([^/]+)/[^/]+$")
     return seen.orderBy(F.desc("changed"), "run_id").limit(1)
 
 
+def read_run_folders(spark: SparkSession, pattern: str, schema: T.StructType, run: str = r"/([^/]+)/[^/]+$") -> DataFrame:
+    """Records of many run folders, each with its ``run_id``, taken from the path; cut lines are dropped."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").option("recursiveFileLookup", True).json(pattern)
+    return rows.select(F.regexp_extract(F.col("_metadata.file_path"), run, 1).alias("run_id"), *schema.fieldNames())
+
+
 def first_nonempty(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     """The first path that has a line: a mirror before the original, a working file before the committed one."""
     for path in candidates:

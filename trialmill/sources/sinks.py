@@ -27,10 +27,13 @@ def export_text(column: Column, kind: str) -> Column:
 
 
 def write_snapshot(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
-    """CSV with a fixed column order and row order; further columns are left out, missing ones are empty."""
+    """CSV with a fixed column order and row order; further columns are left out, missing ones are empty.
+
+    A snapshot of ordinary size is one file. A large one is several, whose names and rows are in order.
+    """
     kinds = dict(df.dtypes)
     cells = [export_text(C(c), kinds[c]).alias(c) if c in kinds else F.lit("").alias(c) for c in columns]
-    df.orderBy(*order).select(*cells).coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
+    df.orderBy(*order).select(*cells).write.mode("overwrite").option("header", True).option("emptyValue", "").csv(path)
 
 
 def replace_table(df: DataFrame, path: str, version: int) -> str:
@@ -41,8 +44,8 @@ def replace_table(df: DataFrame, path: str, version: int) -> str:
 
 
 def write_slices(df: DataFrame, path: str, subject: str = "model") -> None:
-    """One folder of gzipped JSON lines for each subject."""
-    df.repartition(subject).write.mode("overwrite").partitionBy(subject).option("compression", "gzip").json(path)
+    """One folder of gzipped JSON lines for each subject; a subject with very many rows gets several files."""
+    df.hint("rebalance", subject).write.mode("overwrite").partitionBy(subject).option("compression", "gzip").json(path)
 
 
 def markdown_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:

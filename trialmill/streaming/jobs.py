@@ -30,11 +30,11 @@ def once_per_key(stream: DataFrame, key: Sequence[str]) -> DataFrame:
     return stream.filter(C("score").isNotNull()).dropDuplicates(list(key))
 
 
-def upsert(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], order: Sequence[str], trigger: dict | None = None) -> StreamingQuery:
-    """Keep the best row of each key in a versioned Parquet table: one new version a batch.
+def upsert(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], order: Sequence[str], trigger: dict | None = None, buckets: int = 64) -> StreamingQuery:
+    """Keep the best row of each key in a versioned Parquet table, in buckets of keys: a batch writes anew only the buckets it touches.
 
     ``order`` lists columns by which rows compare, descending with a leading minus. A batch that is run again
-    finds its version there and writes nothing, so a restart changes nothing.
+    finds its version there and writes nothing, so a restart changes nothing. ``vacuum`` removes what newer versions replace.
     """
     ordering = [-C(c[1:]) if c.startswith("-") else C(c) for c in order]
 
@@ -42,29 +42,69 @@ def upsert(stream: DataFrame, path: str, checkpoint: str, key: Sequence[str], or
         spark, target = batch.sparkSession, f"{path}/v={number:010d}"
         if _committed(spark, target):
             return
-        before = latest(spark, path, below=number)
-        rows = batch if before is None else before.unionByName(batch)
-        pick(rows, key, ordering).write.mode("overwrite").parquet(target)
+        rows = batch.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int"))
+        touched = [r[0] for r in rows.select(BUCKET).distinct().collect()]  # at most ``buckets``
+        if not touched:
+            return
+        places = {b: p for b, p in _places(spark, path, number).items() if b in touched}
+        if places:
+            before = spark.read.schema(batch.schema).parquet(*places.values())
+            rows = rows.unionByName(before.withColumn(BUCKET, F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")))
+        pick(rows, [BUCKET, *key], ordering).write.mode("overwrite").partitionBy(BUCKET).parquet(target)
 
     writer = stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
+BUCKET = "__bucket"
+
+
 def _committed(spark: SparkSession, target: str) -> bool:
     from trialmill.sources.readers import exists
 
     return exists(spark, f"{target}/_SUCCESS")
 
 
+def _matches(spark: SparkSession, pattern: str) -> list[str]:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(hadoop)
+    return [s.getPath().toString() for s in found or []]
+
+
+def _versions(spark: SparkSession, path: str) -> dict[int, dict[int, str]]:
+    """Folders of the buckets of each committed version."""
+    done = {int(n.rpartition("v=")[2].partition("/")[0]) for n in _matches(spark, f"{path}/v=*/_SUCCESS")}
+    out: dict[int, dict[int, str]] = {}
+    for folder in _matches(spark, f"{path}/v=*/{BUCKET}=*"):
+        version, _, bucket = folder.rpartition("/v=")[2].partition(f"/{BUCKET}=")
+        if int(version) in done:
+            out.setdefault(int(version), {})[int(bucket)] = folder
+    return out
+
+
+def _places(spark: SparkSession, path: str, below: int | None = None) -> dict[int, str]:
+    """For each bucket the folder of the newest version that wrote it."""
+    places: dict[int, str] = {}
+    for version, folders in sorted(_versions(spark, path).items()):
+        if below is None or version < below:
+            places |= folders
+    return places
+
+
 def latest(spark: SparkSession, path: str, below: int | None = None) -> DataFrame | None:
-    """The newest committed version of an upserted table, if there is one."""
-    jvm = spark.sparkContext._jvm
-    pattern = jvm.org.apache.hadoop.fs.Path(f"{path}/v=*/_SUCCESS")
-    found = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(pattern)
-    names = [s.getPath().getParent().toString() for s in found or []]
-    numbers = sorted((int(n.rpartition("v=")[2]), n) for n in names)
-    numbers = [x for x in numbers if below is None or x[0] < below]
-    return spark.read.parquet(numbers[-1][1]) if numbers else None
+    """An upserted table as its committed versions leave it, if there is one."""
+    places = _places(spark, path, below)
+    return spark.read.parquet(*places.values()) if places else None
+
+
+def vacuum(spark: SparkSession, path: str) -> int:
+    """Delete folders of buckets that a newer committed version replaces; says how many. Not while a stream or a reader is at work."""
+    kept, gone = set(_places(spark, path).values()), 0
+    for folders in _versions(spark, path).values():
+        for folder in set(folders.values()) - kept:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            gone += bool(hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True))
+    return gone
 
 
 def completeness(stream: DataFrame, subject: str, unit: Sequence[str]) -> DataFrame:
@@ -73,10 +113,18 @@ def completeness(stream: DataFrame, subject: str, unit: Sequence[str]) -> DataFr
 
 
 def completed(stream: DataFrame, subject: str, unit: Sequence[str], expected: int, path: str, checkpoint: str) -> StreamingQuery:
-    """Append a marker (subject, units) when a subject first has all its units."""
+    """Append a marker (subject, units) when a subject first has all its units.
+
+    Later units of a subject, or a batch that is run again, write no second marker.
+    """
 
     def mark(batch: DataFrame, number: int) -> None:
-        batch.filter(C("units") >= expected).write.mode("overwrite").json(f"{path}/batch={number:010d}")
+        full, target = batch.filter(C("units") >= expected), f"{path}/batch={number:010d}"
+        earlier = sorted(n.rpartition("/")[0] for n in _matches(batch.sparkSession, f"{path}/batch=*/_SUCCESS"))
+        earlier = [n for n in earlier if int(n.rpartition("batch=")[2]) < number]
+        if earlier:
+            full = full.join(batch.sparkSession.read.schema(batch.schema).json(earlier).select(subject), subject, "left_anti")
+        full.write.mode("overwrite").json(target)
 
     counted = completeness(stream, subject, unit)
     return counted.writeStream.outputMode("update").foreachBatch(mark).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
