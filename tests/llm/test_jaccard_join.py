@@ -110,6 +110,17 @@ def test_copies_cost_nothing_and_share_a_component(spark):
     assert found(spark, rows) == brute(rows)
 
 
+def test_hot_classes_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr(jj, "HOT_CLASS", 20)
+    rows = [(i, "one two three four five six seven") for i in range(60)] + [(100 + i, f"x{i} two three four five six seven eight") for i in range(30)] + [(None, "one two three four five six seven")]
+    got = [r for r in found_any(spark, rows)]
+    assert sum(c == 0 for _, _, c in got) == 60 and sum(c is None for _, _, c in got) == 1 and len(got) == 91
+
+
+def found_any(spark, rows):
+    return [(r["id"], r["n_shingles"], r["component"]) for r in jj.components(spark.createDataFrame([(*r, 1, "x") for r in rows], SCHEMA)).collect()]
+
+
 def test_odd_rows(spark):
     assert found(spark, []) == []
     df = spark.createDataFrame([(None, "a b c d e f", 1, "x"), (2, "a b c d e f", 1, "x"), (2, "a b c d e f", 1, "x"), (2, "q r s t u v", 1, "x"), (1, "q r s t u v", 1, "x")], SCHEMA)

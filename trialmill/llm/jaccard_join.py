@@ -44,10 +44,12 @@ _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 SHINGLE = 5
 PERCENT = 80
 #: One document in so many is looked at for frequent shingles; more than MAX_FREQUENT are cut to the most frequent. Both bear on speed alone.
-FREQUENT_SAMPLE, FREQUENT_AT, MAX_FREQUENT = 20, 3, 1 << 20
+FREQUENT_SAMPLE, FREQUENT_AT, MAX_FREQUENT = 40, 3, 1 << 20
 #: Classes of a group, and classes and shingles of a cluster, that one task joins.
 MAX_GROUP, MAX_CLUSTER, MAX_WORDS = 2000, 256, 1 << 20
 LEAF = 12
+#: Classes with more documents than this, and than one in MOST_HOT of all, are joined by broadcast: MOST_HOT at most.
+HOT_CLASS, MOST_HOT = 1000, 10_000
 #: Graphs of up to so many edges are put together by one task.
 SMALL_GRAPH = 100_000
 
@@ -330,19 +332,39 @@ def _sketches(docs: DataFrame, path: str, percent: int, k: int) -> DataFrame:
     return store(docs.mapInPandas(sketch, "id long, n long, d1 long, d2 long, bits binary, prefix array<long>"), f"{path}/sketches")
 
 
+def _with_class(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """rows (d1, d2, n, ...) with the other columns of their class; ``classes`` has the number of ``rows`` of each.
+
+    Classes that hold many of the rows are few, by the bound on their share, and are broadcast.
+    """
+    key = ["d1", "d2", "n"]
+    total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    is_hot = F.col("rows") > max(HOT_CLASS, -(-total // MOST_HOT))
+    hot = classes.filter(is_hot)
+    if hot.isEmpty():
+        return rows.join(classes.drop("rows"), key)
+    names = F.broadcast(hot.drop("rows"))
+    return rows.join(names, key).unionByName(rows.join(names.select(key), key, "left_anti").join(classes.filter(~is_hot).drop("rows"), key))
+
+
 def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int, max_group: int) -> DataFrame:
     """(d1, cluster) for classes that may be linked with another."""
     linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2", "bits", "prefix")
-    copies = linkable.select("id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"]).filter("id != rep").select("id", "d1", "d2", "n").distinct()
+    copies = _with_class(linkable.select("id", "n", "d1", "d2"), classes).filter("id != rep").select("id", "d1", "d2", "n").distinct()
     firsts = without(linkable, store(copies, f"{path}/copies"), ["id", "d1", "d2", "n"], f"{path}/firsts")
-    rows = firsts.select("d1", F.explode("prefix").alias("token"))
-    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("d1").alias("x1"), F.bit_xor(F.xxhash64("d1")).alias("x2"))
-    groups = store(groups.filter("size > 1").groupBy("size", "x1", "x2").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
+    rows = firsts.select("d1", "n", F.explode("prefix").alias("token"))
+    # Members are told apart by number, sum (as bits), least and greatest. For the many shingles of one class the last three are one number.
+    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("d1").alias("bits"), F.min("d1").alias("low"), F.max("d1").alias("high"))
+    groups = store(groups.filter("size > 1").groupBy("size", "bits", "low", "high").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
     n = groups.count()
     if not n:
         return classes.limit(0).select("d1", F.col("d1").alias("cluster"))
     filt = store(bit_filter(groups, ["token"], n), f"{path}/tokens")
-    grouped = passing(rows, ["token"], filt).join(groups, "token")  # narrow rows; bitmaps come once they are known to be needed
+    grouped = store(passing(rows, ["token"], filt).join(groups, "token"), f"{path}/grouped")  # narrow rows; bitmaps come once they are known to be needed
+    # Most groups are two classes that share a shingle by chance, and often their sizes alone keep them apart.
+    span = grouped.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    apart = (F.col("size") == 2) & (100 * F.col("low") < percent * F.col("high"))
+    grouped = grouped.join(span, "token").filter(~apart).select("token", "size", "d1")
 
     def join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -392,38 +414,40 @@ def components(
     path = shared_dir(docs.sparkSession)
     narrow = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     sketches = _sketches(narrow, path, percent, k)
-    classes = store(sketches.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep")), f"{path}/classes")
+    classes = store(sketches.filter("n > 0 AND id IS NOT NULL").groupBy("d1", "d2", "n").agg(F.min("id").alias("rep"), F.count("*").alias("rows")), f"{path}/classes")
     members = store(classes.join(_clusters(sketches, classes, path, percent, max_group), "d1").select("rep", "d1", "d2", "n", "cluster"), f"{path}/members")
     sizes = store(members.groupBy("cluster").agg(F.count("*").alias("size"), F.sum("n").alias("words")).filter("size > 1"), f"{path}/sizes")
-    n_members = members.count()
-    links = _links(narrow, members, sizes, n_members, path, percent, k, max_cluster, max_words) if n_members else None
+    links = _links(narrow, members, sizes, path, percent, k, max_cluster, max_words) if not sizes.isEmpty() else None
     linkable = sketches.filter("n > 0 AND id IS NOT NULL").select("id", "n", "d1", "d2")
     same = linkable.groupBy("id").agg((F.min("d1") < F.max("d1")).alias("a"), (F.min("d2") < F.max("d2")).alias("b")).filter("a OR b").select("id")
     same = store(same, f"{path}/same_id")
     if not same.isEmpty():  # an id with several texts holds their classes together
-        pairs = linkable.join(same, "id").join(classes, ["d1", "d2", "n"]).select("id", "rep").distinct()
+        pairs = linkable.join(same, "id").join(classes.drop("rows"), ["d1", "d2", "n"]).select("id", "rep").distinct()
         ties = pairs.join(pairs.groupBy("id").agg(F.min("rep").alias("low")), "id").filter("rep != low").select(F.col("rep").alias("u"), F.col("low").alias("v"))
         if links is not None:
             ties = ties.unionByName(links.select(F.col("id").alias("u"), F.col("component").alias("v")))
         links = connected_components(ties, f"{path}/ids").toDF("id", "component")
-    named = classes.select("d1", "d2", "n", "rep")
+    named = classes.select("d1", "d2", "n", "rep", "rows")
     if links is not None:
-        named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", F.coalesce("component", "rep").alias("component"))
+        named = named.join(links.withColumnRenamed("id", "rep"), "rep", "left").select("d1", "d2", "n", "rows", F.coalesce("component", "rep").alias("component"))
     else:
         named = named.withColumnRenamed("rep", "component")
-    linked = linkable.join(named, ["d1", "d2", "n"]).select("id", "n", "component")
+    linked = _with_class(linkable, store(named, f"{path}/named")).select("id", "n", "component")
     alone = sketches.filter("n = 0 OR id IS NULL").select("id", "n", F.col("id").alias("component"))
     out = linked.unionByName(alone).withColumnRenamed("n", "n_shingles")
     return out
 
 
-def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: int, path: str, percent: int, k: int, max_cluster: int, max_words: int) -> DataFrame:
+def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, path: str, percent: int, k: int, max_cluster: int, max_words: int) -> DataFrame:
     """(id, component) of class representatives that are linked to a smaller one."""
-    filt = store(bit_filter(members.select(F.col("rep").alias("id")), ["id"], n_members), f"{path}/reps")
-    wanted = members.join(sizes, "cluster")
-    texts = passing(narrow, ["id"], filt).join(wanted.withColumnRenamed("rep", "id"), "id")
     columns = ["cluster", "id", "d1", "d2", "n", "text"]
 
+    def texts_of(clusters: DataFrame, name: str) -> DataFrame:
+        """Rows of ``columns`` of the representatives in some clusters; a bit filter keeps all other texts where they are."""
+        wanted = store(members.join(clusters.select("cluster"), "cluster").withColumnRenamed("rep", "id"), f"{path}/wanted_{name}")
+        filt = store(bit_filter(wanted, ["id"], wanted.count()), f"{path}/reps_{name}")
+        return passing(narrow, ["id"], filt).join(wanted, "id").select(columns)
+
     def own_set(row: tuple) -> np.ndarray | None:
         """The set of a row, unless another row with this id gave the class its digest."""
         s = shingles(row.text, k)
@@ -439,8 +463,7 @@ def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: i
                 yield pd.DataFrame(found, columns=["id", "component"], dtype=np.int64)
 
     fits = (F.col("size") <= max_cluster) & (F.col("words") <= max_words)
-    small = texts.filter(fits).select(columns)
-    found = small.repartition("cluster").sortWithinPartitions("cluster").mapInPandas(join_clusters, "id long, component long")
+    found = texts_of(sizes.filter(fits), "small").repartition("cluster").sortWithinPartitions("cluster").mapInPandas(join_clusters, "id long, component long")
     large = sizes.filter(~fits)
     if large.isEmpty():
         return store(found, f"{path}/links")
@@ -452,7 +475,7 @@ def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, n_members: i
                 rows = [(r.cluster, r.id, len(s), s.tobytes()) for r in batch.iloc[at : at + 256].itertuples(index=False) if (s := own_set(r)) is not None]
                 yield pd.DataFrame(rows, columns=["cluster", "id", "n", "tokens"])
 
-    sets = texts.filter(~fits).select(columns).mapInPandas(to_sets, "cluster long, id long, n long, tokens binary")
+    sets = texts_of(large, "large").mapInPandas(to_sets, "cluster long, id long, n long, tokens binary")
     sets = store(sets, f"{path}/sets")
     return found.unionByName(_large_clusters(sets, f"{path}/large", percent, max_cluster, max_words))
 
