@@ -218,6 +218,15 @@ def a34(spark, d):
     return ag.bootstrap_ci(trials(spark, d), "det_score", "bracket", seed=7)
 
 
+@query("a34_interval_holds_mean", "SELECT bracket, count(det_score) AS n, sum(det_score) / count(det_score) AS mean, true AS holds, true AS narrow FROM trials GROUP BY 1")
+def a34_holds(spark, d):
+    """What must hold whatever is drawn: the mean lies within, and the interval is about as wide as four standard errors."""
+    t = trials(spark, d)
+    found = ag.bootstrap_ci(t, "det_score", "bracket", seed=7).join(ag.normal_ci(t, "det_score", ["bracket"]).select("bracket", (C("high") - C("low")).alias("width")), "bracket")
+    ratio = (C("high") - C("low")) / C("width")
+    return found.select("bracket", "n", "mean", ((C("low") <= C("mean")) & (C("mean") <= C("high"))).alias("holds"), ratio.between(0.8, 1.25).alias("narrow"))
+
+
 @query("e16_bracket_gate", NORMAL + "SELECT c.mean - r.mean AS lift, c.mean - r.mean >= 0.05 AND c.low > r.high AS passes FROM ci c, ci r WHERE c.bracket = '4-5GB' AND r.bracket = '0-1B'")
 def e16(spark, d):
     return ag.bracket_gate(ag.normal_ci(trials(spark, d), "det_score", ["bracket"]), "bracket", "4-5GB", "0-1B")
@@ -228,6 +237,20 @@ def e18(spark, d):
     return ag.stratified(trials(spark, d), "class", KEY, 50, 7).select(*KEY, "class")
 
 
+@query(
+    "e18_strata",
+    ", c AS (SELECT class, count(*) AS c FROM trials GROUP BY 1) SELECT class, true AS near, 50 AS total FROM c",
+)
+def e18_strata(spark, d):
+    """What must hold whatever is drawn: 50 rows in all, each class within two of its share or the least of two."""
+    t = trials(spark, d)
+    sizes = t.groupBy("class").agg(F.count("*").alias("c"))
+    got = ag.stratified(t, "class", KEY, 50, 7).groupBy("class").agg(F.count("*").alias("n"))
+    totals = sizes.agg(F.sum("c").alias("all")).crossJoin(got.agg(F.sum("n").cast("int").alias("total")))  # one row each
+    near = F.abs(C("n") - F.greatest(50 * C("c") / C("all"), F.least(C("c"), F.lit(2)))) <= 2
+    return sizes.join(got, "class").join(F.broadcast(totals)).select("class", near.alias("near"), "total")
+
+
 @query(
     "e20_quantile_band",
     "SELECT bracket, quantile_cont(x, 0.1) AS low, quantile_cont(x, 0.5) AS mid, quantile_cont(x, 0.9) AS high FROM (SELECT bracket, membw_mb_s / 32768e0 AS x FROM trials) GROUP BY 1",

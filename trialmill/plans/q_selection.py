@@ -77,6 +77,17 @@ def m7(spark, d):
     return sel.acceptability(sel.normalised(axes(spark, d), UP, DOWN), ["n_quality", "n_safety", "n_energy"], "model", seed=3)
 
 
+@query("m7_only_the_front_wins", AXES + "SELECT model, true AS ok, 1e0 AS total FROM axes")
+def m7_winners(spark, d):
+    """What must hold whatever is drawn: only subjects on the front win, and the shares add up."""
+    found = axes(spark, d)
+    shares = sel.acceptability(sel.normalised(found, UP, DOWN), ["n_quality", "n_safety", "n_energy"], "model", draws=5000, seed=3)
+    best = sel.front(found, UP, DOWN).select("model", F.lit(True).alias("best"))
+    total = shares.agg(F.round(F.sum("acceptability"), 9).alias("total"))  # one row
+    ok = (C("acceptability") == 0) | F.coalesce("best", F.lit(False))
+    return shares.join(best, "model", "left").join(F.broadcast(total)).select("model", ok.alias("ok"), "total")
+
+
 @query(
     "m8_topsis",
     AXES + "SELECT model, sqrt(n_quality * n_quality + n_safety * n_safety + n_energy * n_energy) / (sqrt((1 - n_quality) * (1 - n_quality) + (1 - n_safety) * (1 - n_safety) + (1 - n_energy) * (1 - n_energy)) "
