@@ -16,6 +16,8 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 #: The bit filter never has more bits than this (8 MB), whatever the input.
 MAX_FILTER_BITS = 1 << 26
+#: Up to so many narrow rows (a few MB), by count, a side of a join is broadcast; beyond that it is shuffled.
+BROADCAST_KEYS = 100_000
 BUCKET_BITS = 32768  # bits in one bitmap of bitmap_construct_agg
 
 
@@ -49,6 +51,11 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_PATTERN)), F.lit(0)).cast("long")
 
 
+def broadcast_if_few(keys: DataFrame, n: int) -> DataFrame:
+    """``keys``, of which there are n, marked for broadcast if they are few."""
+    return F.broadcast(keys) if n <= BROADCAST_KEYS else keys
+
+
 def bit_filter(keys: DataFrame, on: Sequence[str], n_keys: int, bits_per_key: int = 64) -> DataFrame:
     """A one-hash Bloom filter over the columns ``on`` as rows (bucket, bitmap, bits), at most MAX_FILTER_BITS in all.
 
@@ -100,4 +107,4 @@ def without(df: DataFrame, keys: DataFrame, on: Sequence[str], path: str) -> Dat
     clear = probed.filter(~F.col("__maybe")).select(*df.columns)
     maybe = probed.filter("__maybe").select(*df.columns)
     same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on])
-    return clear.unionByName(maybe.alias("a").join(keys.select(*on).alias("b"), same, "left_anti"))
+    return clear.unionByName(maybe.alias("a").join(broadcast_if_few(keys.select(*on), n).alias("b"), same, "left_anti"))

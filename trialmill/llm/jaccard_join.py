@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trialmill.llm.common import bit_filter, passing, shared_dir, store, without
+from trialmill.llm.common import bit_filter, broadcast_if_few, passing, shared_dir, store, without
 
 #: A-Z to a-z and the separators of words to a space, in UTF-8 bytes.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else 32 if 9 <= c <= 13 else c for c in range(256))
@@ -353,18 +353,21 @@ def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int,
     copies = _with_class(linkable.select("id", "n", "d1", "d2"), classes).filter("id != rep").select("id", "d1", "d2", "n").distinct()
     firsts = without(linkable, store(copies, f"{path}/copies"), ["id", "d1", "d2", "n"], f"{path}/firsts")
     rows = firsts.select("d1", "n", F.explode("prefix").alias("token"))
-    # Members are told apart by number, sum (as bits), least and greatest. For the many shingles of one class the last three are one number.
-    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("d1").alias("bits"), F.min("d1").alias("low"), F.max("d1").alias("high"))
-    groups = store(groups.filter("size > 1").groupBy("size", "bits", "low", "high").agg(F.min("token").alias("token")).select("token", "size"), f"{path}/groups")
+    # Members are told apart by number, sum (as bits) and least. For the many shingles of one class the last two are one number.
+    groups = rows.groupBy("token").agg(F.count("*").alias("size"), F.bit_xor("d1").alias("sum"), F.min("d1").alias("low"))
+    groups = store(groups.filter("size > 1").groupBy("size", "sum", "low").agg(F.min("token").alias("token")), f"{path}/groups")
     n = groups.count()
     if not n:
         return classes.limit(0).select("d1", F.col("d1").alias("cluster"))
-    filt = store(bit_filter(groups, ["token"], n), f"{path}/tokens")
-    grouped = store(passing(rows, ["token"], filt).join(groups, "token"), f"{path}/grouped")  # narrow rows; bitmaps come once they are known to be needed
+
+    def of(tokens: DataFrame, n_tokens: int, name: str) -> DataFrame:
+        """Rows whose shingle may be one of ``tokens``."""
+        return passing(rows, ["token"], store(bit_filter(tokens, ["token"], n_tokens), f"{path}/{name}"))
+
     # Most groups are two classes that share a shingle by chance, and often their sizes alone keep them apart.
-    span = grouped.groupBy("token").agg(F.min("n").alias("low"), F.max("n").alias("high"))
-    apart = (F.col("size") == 2) & (100 * F.col("low") < percent * F.col("high"))
-    grouped = grouped.join(span, "token").filter(~apart).select("token", "size", "d1")
+    spans = of(groups, n, "shared").groupBy("token").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    apart = (F.col("size") == 2) & (100 * F.col("least") < percent * F.col("most"))
+    kept = store(groups.filter(F.col("size") <= max_group).join(spans, "token").filter(~apart).select("token"), f"{path}/kept")
 
     def join_groups(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def links(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -377,13 +380,14 @@ def _clusters(sketches: DataFrame, classes: DataFrame, path: str, percent: int,
             if found := links(group):
                 yield pd.DataFrame(found, columns=["u", "v"], dtype=np.int64)
 
-    small = grouped.filter(F.col("size") <= max_group).select("token", "d1").join(firsts.select("d1", "n", "bits"), "d1").select("token", "d1", "n", "bits")
+    # Narrow rows find out which classes are needed, whatever passes the filter by chance; only then do bitmaps move.
+    small = of(kept, kept.count(), "small").select("token", "d1").join(kept, "token").join(firsts.select("d1", "n", "bits"), "d1").select("token", "d1", "n", "bits")
     links = small.repartition("token").sortWithinPartitions("token").mapInPandas(join_groups, "u long, v long")
-    pivots = groups.filter(F.col("size") > max_group).select("token")
-    if not pivots.isEmpty():
-        large = grouped.filter(F.col("size") > max_group).select("token", "d1")
-        pivots = large.groupBy("token").agg(F.min("d1").alias("v"))
-        links = links.unionByName(large.join(pivots, "token").filter("d1 != v").select(F.col("d1").alias("u"), "v"))
+    large = store(groups.filter(F.col("size") > max_group).select("token", F.col("low").alias("v")), f"{path}/large")
+    n_large = large.count()
+    if n_large:
+        members = of(large, n_large, "pivots").select("token", F.col("d1").alias("u"))
+        links = links.unionByName(members.join(broadcast_if_few(large, n_large), "token").filter("u != v").select("u", "v"))
     return connected_components(links, f"{path}/clusters").toDF("d1", "cluster")
 
 
@@ -445,8 +449,9 @@ def _links(narrow: DataFrame, members: DataFrame, sizes: DataFrame, path: str, p
     def texts_of(clusters: DataFrame, name: str) -> DataFrame:
         """Rows of ``columns`` of the representatives in some clusters; a bit filter keeps all other texts where they are."""
         wanted = store(members.join(clusters.select("cluster"), "cluster").withColumnRenamed("rep", "id"), f"{path}/wanted_{name}")
-        filt = store(bit_filter(wanted, ["id"], wanted.count()), f"{path}/reps_{name}")
-        return passing(narrow, ["id"], filt).join(wanted, "id").select(columns)
+        n = wanted.count()
+        filt = store(bit_filter(wanted, ["id"], n), f"{path}/reps_{name}")
+        return passing(narrow, ["id"], filt).join(broadcast_if_few(wanted, n), "id").select(columns)
 
     def own_set(row: tuple) -> np.ndarray | None:
         """The set of a row, unless another row with this id gave the class its digest."""
