@@ -132,6 +132,26 @@ def test_calibration_sees_only_rows_that_were_held_back(spark):
     assert sure.decide("the anding er")[1] > unsure.decide("the anding er")[1] + 0.1
 
 
+def test_null_ids_and_repeated_rows(spark):
+    rows, df = docs(spark, ["aa", "bb"], 60)
+    odd = df.unionByName(df.limit(10).withColumn("doc_id", F.lit(None).cast("long"))).unionByName(df.limit(10))
+    out = langid.identify(odd, langid.train(odd, F.lit(True)), into="f").select("lang", "f.lang_pred").collect()
+    assert len(out) == 80 and sum(r[0] == r[1] for r in out) >= 78
+
+
+def test_training_deals_no_text_by_language(spark, monkeypatch):
+    rows, df = docs(spark, ["aa", "bb"], 60)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1")
+    seen = []
+    plain = type(df).mapInPandas
+    monkeypatch.setattr(type(df), "mapInPandas", lambda self, *a, **k: (seen.append(self._jdf.queryExecution().executedPlan().toString()), plain(self, *a, **k))[1])
+    try:
+        langid.train(df, F.lit(True))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert seen and all("BroadcastHashJoin" in p and "SortMergeJoin" not in p for p in seen)
+
+
 def test_long_texts_are_sliced_without_loss(monkeypatch):
     t = text("bb", random.Random(2), 400)
     whole = np.sort(np.concatenate(list(langid.features(t))))

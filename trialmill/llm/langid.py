@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialmill.llm.common import unused
+from trialmill.llm.common import broadcast_if_few, unused
 
 #: n-grams of these many bytes, hashed to so many features.
 ORDERS, FEATURE_BITS = (2, 3), 16
@@ -121,7 +121,8 @@ def train(
     code = codewords(len(langs))
 
     place = lambda seed: F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1_000_000))
-    sized = rows.filter("text IS NOT NULL").join(per_label, "lang")
+    # One row a label: broadcast, or texts would be dealt by language.
+    sized = rows.filter("text IS NOT NULL").join(broadcast_if_few(per_label, len(sizes)), "lang")
     back = (F.col("rows") >= FOLD_FROM) & (F.pmod(F.xxhash64(F.lit(4), "id"), F.lit(HELD_BACK)) == 0)
     taken = lambda seed, bound: place(seed) < F.floor(1_000_000 * F.least(F.lit(1.0), F.lit(float(bound)) / F.col("rows"))) + 1
     learned = sized.filter(~back & taken(1, per_lang)).select("lang", "text")
