@@ -108,3 +108,23 @@ def without(df: DataFrame, keys: DataFrame, on: Sequence[str], path: str) -> Dat
     maybe = probed.filter("__maybe").select(*df.columns)
     same = reduce(and_, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in on])
     return clear.unionByName(maybe.alias("a").join(broadcast_if_few(keys.select(*on), n).alias("b"), same, "left_anti"))
+
+
+#: Keys with more rows than this, and than one in MOST_HOT of all, are joined by broadcast: MOST_HOT at most.
+HOT_KEY, MOST_HOT = 1000, 10_000
+
+
+def joined_by_key(rows: DataFrame, keys: DataFrame, on: str, n: str) -> DataFrame:
+    """``rows`` with the columns of ``keys``, a stored table of one row a key (null, too) whose column ``n`` says how many rows have it.
+
+    Few keys are broadcast. Of many, only those with very many rows are, whose number is bounded, and the rest is shuffled.
+    """
+    size = keys.agg(F.count("*").alias("keys"), F.coalesce(F.sum(n), F.lit(0)).alias("rows")).first()
+    named = keys.withColumnRenamed(on, "__key")
+    with_key = lambda left, right: left.join(right.drop(n), F.col(on).eqNullSafe(F.col("__key"))).drop("__key")
+    if size["keys"] <= BROADCAST_KEYS:
+        return with_key(rows, F.broadcast(named))
+    is_hot = F.col(n) > max(HOT_KEY, -(-size["rows"] // MOST_HOT))
+    hot = F.broadcast(named.filter(is_hot))
+    rest = rows.join(hot.select("__key"), F.col(on).eqNullSafe(F.col("__key")), "left_anti")
+    return with_key(rows, hot).unionByName(with_key(rest, named.filter(~is_hot)))

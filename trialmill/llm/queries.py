@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmill.llm import exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter
+from trialmill.llm import exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter, vector_codes
 
 N_SHARDS = 40
 #: Words in a bin.
@@ -107,15 +107,56 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", html_text.extract(F.col("html")).alias("x")).select("page_id", "x.*")
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The product code of every vector of finite numbers, its error, and that of its label."""
+    coded, books = vector_codes.encode(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    columns = [F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(vector_codes.digest(books)).alias("codebooks_sha256")]
+    return coded.select(*columns)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_secret_scan, op6_sharding,
-        op7_mixing, op8_jaccard_join, op9_url_filter, op10_html_extraction,
+        op7_mixing, op8_jaccard_join, op9_url_filter, op10_html_extraction, op11_vector_codes,
     )
 }
 
+
+
+def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
+    """The SQL of op11: one pair of tables a round, every part against every entry."""
+    steps = [
+        f"""
+        WITH v AS MATERIALIZED (
+            SELECT vec_id, label, list_transform(embedding, lambda x: floor({vector_codes.SCALE} * x::DOUBLE)::BIGINT) AS c FROM embeddings
+            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        p AS MATERIALIZED (SELECT vec_id, label, k AS part, c[k * (len(c) // 8) + 1 : (k + 1) * (len(c) // 8)] AS x FROM v, range(0, 8) r(k)),
+        b0 AS MATERIALIZED (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x AS y FROM p QUALIFY entry < 16)"""
+    ]
+    for k in range(rounds + 1):
+        steps.append(f"""
+        a{k} AS MATERIALIZED (
+            SELECT vec_id, any_value(label) AS label, part, any_value(x) AS x, min(d * 16 + entry) AS m
+            FROM (SELECT vec_id, label, p.part, x, entry, list_sum(list_transform(range(1, len(x) + 1), lambda i: (x[i] - y[i]) * (x[i] - y[i])))::BIGINT AS d FROM p JOIN b{k} b ON p.part = b.part)
+            GROUP BY vec_id, part)""")
+        if k < rounds:
+            steps.append(f"""
+        b{k + 1} AS MATERIALIZED (
+            SELECT part, entry, coalesce(z, y) AS y FROM b{k} LEFT JOIN (
+                SELECT part, entry, list((s - ((s % n) + n) % n) // n ORDER BY i) AS z
+                FROM (SELECT part, m % 16 AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM (SELECT part, m, x, unnest(range(1, len(x) + 1)) AS i FROM a{k}) GROUP BY ALL)
+                GROUP BY part, entry) USING (part, entry))""")
+    return ",".join(steps) + f"""
+        , e AS (
+            SELECT vec_id, any_value(label) AS label, string_agg(lpad(lower(hex(m % 16)), 2, '0'), '' ORDER BY part) AS code, sum(m // 16)::BIGINT AS error
+            FROM a{rounds} GROUP BY vec_id),
+        h AS (SELECT sha256(string_agg(array_to_string(y, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{rounds})
+        SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e, h"""
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
     "op3_quality_rules": r"""
         WITH w AS (
             SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
