@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmill.llm import exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter, vector_codes
+from trialmill.llm import decontamination, exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter, vector_codes
 
 N_SHARDS = 40
 #: Words in a bin.
@@ -114,11 +114,22 @@ def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select(*columns)
 
 
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of the benchmark cover, and the items these are of."""
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("row"), "text")
+    found = decontamination.find(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    hit = decontamination.n_hit(F.col("spans"))
+    return found.select(
+        F.col("row").alias("doc_id"), "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (hit > 0).alias("contaminated"),
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_secret_scan, op6_sharding,
-        op7_mixing, op8_jaccard_join, op9_url_filter, op10_html_extraction, op11_vector_codes,
+        op7_mixing, op8_jaccard_join, op9_url_filter, op10_html_extraction, op11_vector_codes, op12_decontamination,
     )
 }
 
@@ -157,6 +168,21 @@ def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
 
 ORACLE_SQL = {
     "op11_vector_codes": _codes_sql(),
+    "op12_decontamination": r"""
+        WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+        b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+        win AS (
+            SELECT DISTINCT item, l, array_to_string(w[i : i + l - 1], ' ') AS g
+            FROM (SELECT item, w, least(10, len(w)) AS l, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+        dw AS (
+            SELECT doc_id, i, l, array_to_string(w[i : i + l - 1], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d), (SELECT DISTINCT l FROM win) WHERE i + l - 1 <= len(w)),
+        hit AS (SELECT DISTINCT doc_id, i, l, item FROM dw JOIN win USING (l, g)),
+        cov AS (SELECT doc_id, count(DISTINCT i + j)::BIGINT AS n FROM hit, range(0, 10) r(j) WHERE j < l GROUP BY 1),
+        its AS (SELECT doc_id, count(*)::BIGINT AS n, string_agg(item, ',' ORDER BY item) AS x FROM (SELECT DISTINCT doc_id, item FROM hit) GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(cov.n, 0) AS n_hit, coalesce(its.n, 0) AS n_items, sha256(coalesce(its.x, '')) AS items_sha256, cov.n IS NOT NULL AS contaminated
+        FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN its USING (doc_id)
+    """,
     "op3_quality_rules": r"""
         WITH w AS (
             SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws,
