@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trialmill.llm import decontamination, exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter, vector_codes
+from trialmill.llm import collocations, decontamination, exact_dedup, html_text, jaccard_join, langid, mixing, packing, quality, secrets, sharding, url_filter, vector_codes
 
 N_SHARDS = 40
 #: Words in a bin.
@@ -125,11 +125,17 @@ def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of every language."""
+    return collocations.mine(documents(spark, sf_dir).select("lang", "text"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing, op2_language_id, op3_quality_rules, op4_exact_dedup, op5_secret_scan, op6_sharding,
         op7_mixing, op8_jaccard_join, op9_url_filter, op10_html_extraction, op11_vector_codes, op12_decontamination,
+        op13_collocations,
     )
 }
 
@@ -168,6 +174,25 @@ def _codes_sql(rounds: int = vector_codes.ROUNDS) -> str:
 
 ORACLE_SQL = {
     "op11_vector_codes": _codes_sql(),
+    "op13_collocations": r"""
+        WITH p AS (
+            SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS t FROM documents),
+        w AS (SELECT lang, regexp_extract_all(t, '[^\x20\x09]+') AS w FROM p),
+        g AS MATERIALIZED (
+            SELECT lang, k, array_to_string(w[i : i + k - 1], ' ') AS phrase, count(*) AS a
+            FROM (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w), range(1, 4) r(k) WHERE i + k - 1 <= len(w) GROUP BY ALL),
+        n AS (SELECT lang, sum(a)::BIGINT AS n FROM g WHERE k = 1 GROUP BY 1),
+        c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS w FROM g WHERE k > 1 AND a >= 10),
+        x AS MATERIALIZED (
+            SELECT lang, phrase, a, cut, array_to_string(w[:cut], ' ') AS left_, array_to_string(w[cut + 1 :], ' ') AS right_ FROM (SELECT *, unnest(range(1, k)) AS cut FROM c)),
+        s AS (
+            SELECT x.lang, x.phrase, x.a, cut, l.a AS l, r.a AS r, ((1000000::HUGEINT * x.a * x.a) // (l.a::HUGEINT * r.a))::BIGINT AS score
+            FROM x JOIN g l ON l.lang = x.lang AND l.phrase = left_ JOIN g r ON r.lang = x.lang AND r.phrase = right_),
+        m AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+        i AS (SELECT lang, array_to_string(w[j : j + 1], ' ') AS phrase, max(a) AS longer FROM c, range(1, 3) t(j) WHERE k = 3 GROUP BY ALL)
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM m LEFT JOIN i USING (lang, phrase) JOIN n USING (lang) WHERE longer IS NULL OR 100 * longer < 50 * a QUALIFY rank <= 2000
+    """,
     "op12_decontamination": r"""
         WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
         b AS (SELECT item_id::VARCHAR AS item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
