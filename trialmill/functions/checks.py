@@ -1,8 +1,8 @@
 """Deterministic text checks, as column expressions over an array of check records.
 
 A check is a struct (type, desc, patterns, pattern, value, field, allowed); ``value`` and ``allowed`` are JSON text.
-Texts stay in the JVM; only regular expressions and JSON functions are used. Patterns of a list of
-checks are looked at once (``compilable``): one that is no regular expression is taken literally.
+Texts stay in the JVM; only regular expressions and JSON functions are used. Patterns are Python's; ``prepared`` writes them in Java's syntax,
+each once in a process, before texts meet them. One that is no regular expression is taken literally.
 """
 
 from __future__ import annotations
@@ -13,11 +13,13 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from trialmill.functions.patterns import java_or_literal
+
 CHECKS = "array<struct<type:string,desc:string,patterns:array<string>,pattern:string,value:string,field:string,allowed:string>>"
 
-# Phrases that negate what follows, looked for in the 18 characters before a match. Java bounds what may stand
-# before a match, so the one phrase with optional parts ("don't", with or without apostrophe and space) is listed by its cases:
-# "n't" covers those with an apostrophe.
+# Phrases that negate what follows, looked for in the 18 characters before a match. Each phrase has its own reach out of
+# these 18 characters, so the one with optional parts ("don't", with or without apostrophe and space) is listed by its cases: "n't"
+# covers those with an apostrophe.
 NEGATIONS = ("not", "no", "never", "avoid", "without", "n't", "dont", "do nt", "instead of")
 NEGATION_REACH = 18
 # Lexicons of the text flags.
@@ -27,48 +29,54 @@ HEDGE = (
 )
 REFUSAL = r"\b(i (cannot|can'?t|won'?t|will not)|i'?m (unable|not able)|as an ai|i must decline|i refuse|cannot assist|cannot help with)\b"
 FENCE = "```"
+#: Kinds of checks that pass if no pattern matches without a negation before it.
+EXCLUDING = ("must_exclude", "must_exclude_action", "must_not_endorse")
 # Fixed value: what counts as a code fence around JSON, so that the same text is parsed.
 FENCED_JSON = r"(?s)```(?:json)?\s*(.+?)```"
 
 #: A match is not negated if none of the phrases, plus non-word characters up to the reach, stands before it.
-UNNEGATED = "(?<!(?:" + "|".join(rf"{x}\W{{0,{NEGATION_REACH - len(x)}}}" for x in NEGATIONS) + "))"
+UNNEGATED = "(?<!(?:" + "|".join(rf"{x}[^\p{{L}}\p{{N}}_]{{0,{NEGATION_REACH - len(x)}}}" for x in NEGATIONS) + "))"
 
 
 def unnegated(text: Column, pattern: Column) -> Column:
-    """Some match of the pattern has no negation right before it; case does not matter."""
-    return F.regexp_like(text, F.concat(F.lit("(?iU)" + UNNEGATED + "(?:"), pattern, F.lit(")")))
+    """Some match of the (Java) pattern has no negation right before it; case does not matter."""
+    return F.regexp_like(text, F.concat(F.lit("(?iu)" + UNNEGATED + "(?:"), pattern, F.lit(")")))
+
 
+def java_pattern(kind: str | None, pattern: str | None) -> str | None:
+    """The pattern of a check of a kind, in Java's syntax.
 
-def literal_if_broken(pattern: str | None) -> str | None:
-    """The pattern, or an expression for its very text if it is no regular expression."""
+    Lists of patterns are lower-cased first, as the texts are. A pattern that this breaks is taken as it stands where a match is
+    asked for, with case ignored, and literally where none may be.
+    """
     if pattern is None:
         return None
-    try:
-        re.compile(pattern)
-    except re.error:
-        return re.sub(r"([^\w\s])", r"\\\1", pattern)
-    return pattern
+    if kind == "regex":
+        return java_or_literal(pattern, re.IGNORECASE | re.DOTALL)
+    if kind in EXCLUDING:
+        return java_or_literal(pattern.lower(), re.IGNORECASE)
+    return java_or_literal(pattern.lower(), 0, pattern)
 
 
-def compilable(checks: Column) -> Column:
-    """The checks with patterns that compile. For columns of checks: a dimension, not the texts."""
+def prepare(check: dict) -> dict:
+    """A check (as Python has it) with its patterns in Java's syntax."""
+    kind = check.get("type")
+    made = dict(check)
+    if check.get("patterns") is not None:
+        made["patterns"] = [java_pattern(kind, p) for p in check["patterns"]]
+    if check.get("pattern") is not None:
+        made["pattern"] = java_pattern(kind, check["pattern"])
+    return made
 
-    @F.pandas_udf("array<string>")
-    def each(patterns: pd.Series) -> pd.Series:
-        return patterns.map(lambda ps: None if ps is None else [literal_if_broken(p) for p in ps])
 
-    # the patterns of all checks in one array, then each check takes its own back
-    flat = F.flatten(F.transform(checks, lambda c: F.concat(F.coalesce(c["patterns"], F.array().cast("array<string>")), F.array(c["pattern"]))))
-    ends = F.transform(F.sequence(F.lit(1), F.size(checks)), lambda i: F.aggregate(F.slice(checks, F.lit(1), i), F.lit(0), lambda n, c: n + 1 + F.greatest(F.size(F.coalesce(c["patterns"], F.array().cast("array<string>"))), F.lit(0))))
+def prepared(checks: Column) -> Column:
+    """An array of checks with their patterns in Java's syntax. Best applied to a dimension of checks, not to each text."""
 
-    def own(c: Column, end: Column, mended: Column) -> Column:
-        n = F.size(F.coalesce(c["patterns"], F.array().cast("array<string>")))
-        return F.struct(
-            c["type"].alias("type"), c["desc"].alias("desc"), F.when(c["patterns"].isNotNull(), F.slice(mended, end - n, n)).alias("patterns"), F.get(mended, end - 1).alias("pattern"),
-            c["value"].alias("value"), c["field"].alias("field"), c["allowed"].alias("allowed"),
-        )
+    @F.pandas_udf(CHECKS)
+    def each(lists: pd.Series) -> pd.Series:
+        return lists.map(lambda cs: None if cs is None else [None if c is None else prepare(dict(c) | {"patterns": None if c["patterns"] is None else list(c["patterns"])}) for c in cs])
 
-    return F.when(F.size(checks) > 0, F.get(F.transform(F.array(each(flat)), lambda mended: F.zip_with(checks, ends, lambda c, end: own(c, end, mended))), 0)).otherwise(checks)
+    return each(checks)
 
 
 def found_json(text: Column) -> Column:
@@ -105,21 +113,21 @@ def json_key(value: Column) -> Column:
 
 
 def passes(check: Column, text: Column, parsed: Column, strict: bool = True) -> Column:
-    """Whether one check passes. ``parsed`` is found_json(text).
+    """Whether one prepared check passes. ``parsed`` is found_json(text).
 
     Unknown types fail. ``max_len`` is such a type, unless ``strict`` is off.
     """
     low = F.lower(text)
-    hit = lambda p: F.regexp_like(low, F.concat(F.lit("(?U)"), F.lower(p)))
+    hit = lambda p: F.regexp_like(low, p)
     items = json_items(parsed)
     kind = check["type"]
-    clear = ~F.exists(check["patterns"], lambda p: unnegated(low, F.lower(p)))
+    clear = ~F.exists(check["patterns"], lambda p: unnegated(low, p))
     allowed = F.transform(json_items(F.try_parse_json(check["allowed"])), json_key)
     wanted_keys = F.array_sort(F.from_json(check["value"], "array<string>"))
     found = (
         F.when(kind == "must_include", F.forall(check["patterns"], hit))
         .when(kind == "any_include", F.exists(check["patterns"], hit))
-        .when(kind.isin("must_exclude", "must_exclude_action", "must_not_endorse"), clear)
+        .when(kind.isin(*EXCLUDING), clear)
         .when(kind == "valid_json_array", items.isNotNull())
         .when(kind == "json_len", F.size(items) == check["value"].try_cast("int"))
         .when(kind == "json_equals", canonical(parsed) == canonical(F.try_parse_json(check["value"])))
@@ -133,19 +141,20 @@ def passes(check: Column, text: Column, parsed: Column, strict: bool = True) ->
                 ),
             ),
         )
-        .when(kind == "regex", F.regexp_like(text, F.concat(F.lit("(?isU)"), check["pattern"])))
+        .when(kind == "regex", F.regexp_like(text, check["pattern"]))
     )
     if not strict:
         found = found.when(kind == "max_len", F.length(text) <= check["value"].try_cast("int"))
     return F.coalesce(found.otherwise(False), F.lit(False))
 
 
-def run_checks(text: Column, parsed: Column, checks: Column, strict: bool = True) -> Column:
-    """Array of (desc, type, pass) for an array of checks. Give text and parsed as columns, not as expressions."""
-    return F.transform(
-        checks,
-        lambda c: F.struct(F.coalesce(c["desc"], c["type"]).alias("desc"), c["type"].alias("type"), passes(c, text, parsed, strict).alias("pass")),
-    )
+def run_checks(text: Column, parsed: Column, checks: Column, strict: bool = True, ready: bool = False) -> Column:
+    """Array of (desc, type, pass) for an array of checks; ``ready`` if they are prepared. Give text and parsed as columns, not as expressions."""
+    one = lambda c: F.struct(F.coalesce(c["desc"], c["type"]).alias("desc"), c["type"].alias("type"), passes(c, text, parsed, strict).alias("pass"))
+    if ready:
+        return F.transform(checks, one)
+    # in an array of one, so that the patterns are written once a row
+    return F.get(F.transform(F.array(prepared(checks)), lambda cs: F.transform(cs, one)), 0)
 
 
 def passed(details: Column) -> Column:

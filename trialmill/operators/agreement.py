@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialmill.operators.ranks import average_rank, seeded, value_ranks
+from trialmill.sources.staging import stored
 
 C = F.col
 #: Random draws of one task.
 DRAW_BLOCK = 1000
-#: Cells of a contingency table that may meet each other.
-MAX_CELLS = 10_000
+#: Points that one task compares when inversions are counted.
+BLOCK_ROWS = 1 << 20
 
 
 def pair_raters(ratings: DataFrame, key: Sequence[str], first: str, second: str) -> DataFrame:
@@ -162,21 +163,76 @@ def spearman(df: DataFrame, x: str, y: str, group: Sequence[str] = ()) -> DataFr
     return _r(s, group, 2).withColumnRenamed("r", "rho")
 
 
-def kendall_tau_b(pairs: DataFrame) -> DataFrame:
-    """Kendall's tau-b from the contingency table of two ordinal scales.
+def kendall_tau_b(pairs: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Kendall's tau-b of any two scales; pairs with a null are left out, null without two values on either scale.
 
-    Cells of the table meet each other, so scales with more than MAX_CELLS cells are refused.
+    Discordant pairs are the inversions between two orders of the distinct cells (a, b): by a, then b, and by b, then a. Ties are none
+    in either, and ties of pairs come from grouped counts.
     """
-    cells = pairs.groupBy("a", "b").agg(F.count("*").alias("n"))
-    if cells.limit(MAX_CELLS + 1).count() > MAX_CELLS:
-        raise ValueError(f"kendall_tau_b is for ordinal scales of up to {MAX_CELLS} cells")
-    two = cells.alias("p").crossJoin(cells.alias("q"))
-    weight = C("p.n") * C("q.n")
-    sign = F.signum(C("p.a") - C("q.a")) * F.signum(C("p.b") - C("q.b"))
-    s = two.agg(
-        F.sum(sign * weight).alias("s"), F.sum(F.when(C("p.a") != C("q.a"), weight).otherwise(0)).alias("ua"), F.sum(F.when(C("p.b") != C("q.b"), weight).otherwise(0)).alias("ub")
-    )
-    return s.select(F.when((C("ua") > 0) & (C("ub") > 0), C("s") / F.sqrt(C("ua").cast("double")) / F.sqrt(C("ub").cast("double"))).alias("tau_b"))
+    cells = stored(pairs.filter(C("a").isNotNull() & C("b").isNotNull()).groupBy("a", "b").agg(F.count("*").alias("n")))
+    exact = lambda n: n.cast("decimal(19,0)")
+    doubles = lambda df: df.agg(F.coalesce(F.sum(exact(C("n")) * exact(C("n") - 1)), F.lit(0)).cast("double")).first()[0] / 2
+    total = cells.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    every = total * (total - 1) // 2
+    by_a, by_b = (doubles(cells.groupBy(x).agg(F.sum("n").alias("n"))) for x in ("a", "b"))
+    same = doubles(cells)
+    rest = every - by_a - by_b + same
+    ua, ub = every - by_a, every - by_b
+    tau = (rest - 2 * inversions(cells, "a", "b", "n", block_rows)) / math.sqrt(ua) / math.sqrt(ub) if ua > 0 and ub > 0 else None
+    return pairs.sparkSession.createDataFrame([(tau,)], "tau_b double")
+
+
+def inversions(points: DataFrame, x: str, y: str, n: str, block_rows: int = BLOCK_ROWS) -> float:
+    """Weighted pairs of distinct points of which one is greater in x and less in y.
+
+    Points are cut into blocks of about ``block_rows`` twice, by ranges of (x, y) and of (y, x); a block is one task. Pairs in one block of the first
+    kind are counted there; other pairs in one block of the second kind are counted there, by their blocks of the first; for
+    all others only the two blocks count, so the sums of the block table's cells are points of the same problem, and far fewer.
+    """
+    size = points.count()
+    blocks = -(-size // block_rows)
+    rows = points.select(C(x).alias("x"), C(y).alias("y"), C(n).alias("n"))
+    if blocks <= 1:
+        return _inverted(rows.withColumn("block", F.lit(0)), ["x", "y"], ["y", "x"])
+    rows = stored(rows.repartitionByRange(blocks, "x", "y").withColumn("i", F.spark_partition_id()))
+    rows = stored(rows.repartitionByRange(blocks, "y", "x").withColumn("k", F.spark_partition_id()))
+    within = _inverted(rows.withColumn("block", C("i")), ["x", "y"], ["y", "x"])
+    across = _inverted(rows.withColumn("block", C("k")), ["i", "y", "x"], ["y", "x"])
+    table = stored(rows.groupBy("i", "k").agg(F.sum("n").alias("n")))
+    if table.count() >= size:
+        raise ValueError(f"blocks of {block_rows} points are too small for {size} points")
+    return within + across + inversions(table, "i", "k", "n", block_rows)
+
+
+def _inverted(rows: DataFrame, first: Sequence[str], second: Sequence[str]) -> float:
+    """Inversions between two orders of the rows of each block, summed over blocks."""
+
+    def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        place = np.empty(len(pdf), np.int64)
+        place[pdf.reset_index(drop=True).sort_values(list(second)).index] = np.arange(len(pdf))
+        order = pdf.reset_index(drop=True).sort_values(list(first)).index
+        return pd.DataFrame({"pairs": [count_inversions(place[order], pdf["n"].to_numpy(np.int64)[order])]})
+
+    found = rows.groupBy("block").applyInPandas(count, "pairs double").agg(F.sum("pairs")).first()[0]
+    return found or 0.0
+
+
+def count_inversions(place: np.ndarray, n: np.ndarray) -> float:
+    """Sum of n[i] * n[j] over i < j with place[i] > place[j], for places that are a permutation.
+
+    From the highest bit of the places down: among those that agree above it, a one before a zero is an inversion.
+    """
+    kind = np.int64 if int(n.sum()) ** 2 < 1 << 62 else np.float64
+    place, n, total = place.copy(), n.astype(kind), 0
+    for bit in reversed(range(max(len(place) - 1, 1).bit_length())):
+        one = (place >> bit & 1).astype(bool)
+        ahead = np.cumsum(np.where(one, n, 0))
+        start = np.flatnonzero(np.diff(place >> (bit + 1), prepend=-1))
+        before = np.repeat(ahead[start] - np.where(one[start], n[start], 0), np.diff(np.append(start, len(place))))
+        total += (np.where(one, 0, n) * (ahead - before)).sum().item()
+        order = np.argsort(place >> bit, kind="stable")
+        place, n = place[order], n[order]
+    return float(total)
 
 
 def icc_2_1(pairs: DataFrame) -> DataFrame:
@@ -229,18 +285,43 @@ def friedman(df: DataFrame, treatment: str, block: str, value: str) -> DataFrame
     return found.withColumn("p", chi2_tail(C("chi2"), C("k") - 1))
 
 
+def log_gamma(a: Column) -> Column:
+    """The logarithm of the gamma function for a > 0: Stirling's series from a + 10 on, less the logarithm of the ten factors between."""
+    b = a + 10
+    series = (b - 0.5) * F.log(b) - b + 0.5 * math.log(2 * math.pi) + 1 / (12 * b) - 1 / (360 * b**3) + 1 / (1260 * b**5) - 1 / (1680 * b**7)
+    return series - sum((F.log(a + k) for k in range(1, 10)), F.log(a))
+
+
 def chi2_tail(x: Column, df: Column) -> Column:
-    """P(X > x) of the chi-square distribution with a whole number of degrees of freedom.
+    """P(X > x) of the chi-square distribution, for any number of degrees of freedom.
 
-    For even ones it is a finite sum; for odd ones the series of the lower incomplete gamma function is taken from 1.
+    Below its middle the series of the lower tail, above it the continued fraction of the upper one (Lentz's method): the common factor of
+    either is taken as a logarithm, so that nothing overflows and small tails keep their digits. Terms are in proportion to the
+    square root of the degrees of freedom, which is what both need near the middle.
     """
-    a, z = df.cast("double") / 2, x / 2
-    step = lambda s, i, by: F.struct((s["term"] * z / by).alias("term"), (s["total"] + s["term"] * z / by).alias("total"))
-    series = lambda first, terms, by: F.aggregate(terms, F.struct(first.alias("term"), first.alias("total")), lambda s, i: step(s, i, by(i)), lambda s: s["total"])
-    even = F.exp(-z) * F.when(df == 2, 1.0).otherwise(series(F.lit(1.0), F.sequence(F.lit(1), F.greatest((df / 2).cast("int") - 1, F.lit(1))), lambda i: i))
-    halves = F.aggregate(F.sequence(F.lit(0), F.greatest(((df - 3) / 2).cast("int"), F.lit(0))), F.lit(0.5 * math.log(math.pi)), lambda s, i: s + F.when(df >= 3, F.log(i + 0.5)).otherwise(0.0))
-    odd = 1 - F.exp(a * F.log(z) - z - halves) * series(1 / a, F.sequence(F.lit(1), F.lit(600)), lambda i: a + i)
-    return F.when(x <= 0, 1.0).when(df % 2 == 0, even).otherwise(F.greatest(odd, F.lit(0.0)))
+    a, z = df.cast("double") / 2, x.cast("double") / 2
+    steps = F.sequence(F.lit(1), (60 + 12 * F.sqrt(a)).cast("int"))
+    factor = a * F.log(z) - z - log_gamma(a)
+
+    one = F.lit(1.0)
+    grown = lambda s, n: F.struct((s["term"] * z / (a + n)).alias("term"), (s["total"] + s["term"] * z / (a + n)).alias("total"))
+    series = F.aggregate(steps, F.struct(one.alias("term"), one.alias("total")), grown, lambda s: s["total"])
+    lower = F.exp(factor - F.log(a) + F.log(series))
+
+    tiny = 1e-300
+    safe = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+    b0 = F.greatest(z + 1 - a, F.lit(1.0))  # the branch below is only read where z + 1 - a is over 2
+
+    def lentz(s: Column, n: Column) -> Column:
+        over, b = n * (a - n), s["b"] + 2
+        return F.struct(b.alias("b"), safe(b + over / s["c"]).alias("c"), (1 / safe(over * s["d"] + b)).alias("d"), s["h"].alias("h"))
+
+    def step(s: Column, n: Column) -> Column:
+        return F.get(F.transform(F.array(lentz(s, n)), lambda t: F.struct(t["b"], t["c"], t["d"], (t["h"] * t["c"] * t["d"]).alias("h"))), 0)
+
+    first = F.struct(b0.alias("b"), F.lit(1 / tiny).alias("c"), (1 / b0).alias("d"), (1 / b0).alias("h"))
+    upper = F.exp(factor + F.log(F.aggregate(steps, first, step, lambda s: s["h"])))
+    return F.when(x <= 0, 1.0).when(z < a + 1, 1 - lower).otherwise(upper)
 
 
 def normal_ci(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:

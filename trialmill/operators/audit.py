@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trialmill.functions.checks import found_json, passed, run_checks
+from trialmill.functions.checks import found_json, passed, prepared, run_checks
 
 C = F.col
 
@@ -77,10 +77,10 @@ def catalogue_faults(scenarios: DataFrame) -> DataFrame:
 
     ``checks`` is an array as trialmill.functions.checks has it. A scenario without checks is not tried.
     """
-    tried = scenarios.filter(F.size("checks") > 0)
+    tried = scenarios.filter(F.size("checks") > 0).withColumn("checks", prepared(C("checks")))
     for name in ("gold", "control"):
         tried = tried.withColumn(f"__{name}", found_json(C(name)))
-    outcome = lambda name: passed(run_checks(C(name), C(f"__{name}"), C("checks"))) == F.size("checks")
+    outcome = lambda name: passed(run_checks(C(name), C(f"__{name}"), C("checks"), ready=True)) == F.size("checks")
     tried = tried.select("id", outcome("gold").alias("gold"), outcome("control").alias("control"))
     twice = scenarios.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id", F.lit("id is there more than once").alias("problem"))
     bad_gold = tried.filter(~C("gold")).select("id", F.lit("gold answer fails its checks").alias("problem"))

@@ -158,6 +158,18 @@ def e09(spark, d):
     return ag.kendall_tau_b(pairs(spark, d))
 
 
+@query(
+    "e09_kendall_continuous",
+    "WITH o AS (SELECT o_totalprice AS a, o_custkey + date_diff('day', DATE '1992-01-01', o_orderdate::DATE) AS b FROM orders WHERE o_totalprice IS NOT NULL), t AS (SELECT sum(sign(p.a - q.a) * sign(p.b - q.b))::DOUBLE AS s, "
+    "count(*) FILTER (p.a <> q.a)::DOUBLE AS ua, count(*) FILTER (p.b <> q.b)::DOUBLE AS ub FROM o p, o q) SELECT s / sqrt(ua) / sqrt(ub) AS tau_b FROM t",
+    views=False,
+)
+def e09_continuous(spark, d):
+    """Two scales with about as many values as rows."""
+    day = F.datediff(C("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))
+    return ag.kendall_tau_b(table(spark, d, "orders").select(C("o_totalprice").alias("a"), (C("o_custkey") + day).alias("b")))
+
+
 @query(
     "e10_icc",
     PAIRS + ", s AS (SELECT count(*) AS n, sum(a)::DOUBLE AS sa, sum(b)::DOUBLE AS sb, sum(a * a + b * b)::DOUBLE AS q, sum((a + b) * (a + b))::DOUBLE AS r FROM pairs), "
@@ -197,6 +209,37 @@ def e13(spark, d):
     return ag.friedman(trials(spark, d), "scenario", "difficulty", "det_score")
 
 
+#: The upper tail of chi-square for any degrees of freedom: the terms of the recurrence, and erfc by series or continued fraction where they are odd.
+_TAIL = (
+    "CASE WHEN chi2 <= 0 THEN 1e0 ELSE list_sum(list_transform(range(0, (k - 1) // 2), lambda i: exp(-chi2 / 2 + (i + ((k - 1) % 2) / 2e0) * ln(chi2 / 2) - lgamma(i + 1 + ((k - 1) % 2) / 2e0)))) "
+    "+ CASE WHEN k % 2 = 1 THEN 0e0 WHEN chi2 < 6 THEN 1 - exp(-chi2 / 2) * sqrt(chi2 / 2) * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 80), lambda i: exp(i * ln(chi2) + 0.5 * ln(pi()) - ln(2e0) - lgamma(i + 1.5) - i * ln(2e0)))) "
+    "ELSE exp(-chi2 / 2) / sqrt(pi()) / (sqrt(chi2 / 2) + list_reduce(list_prepend(0e0, list_reverse(range(1, 200))::DOUBLE[]), lambda f, n: (n / 2) / (sqrt(chi2 / 2) + f))) END END"
+)
+
+
+def _friedman(treatment: str, block: str) -> str:
+    return (
+        f", c AS (SELECT {treatment} AS t, {block} AS b, sum(det_score) / count(*) AS v FROM trials GROUP BY 1, 2), w AS (SELECT b FROM c GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT t) FROM c)), "
+        "r AS (SELECT *, rank() OVER (PARTITION BY b ORDER BY v) + (count(*) OVER (PARTITION BY b, v) - 1) / 2e0 AS r FROM c WHERE b IN (FROM w)), "
+        "ties AS (SELECT sum(t * t * t - t) AS ties FROM (SELECT count(*) AS t FROM r GROUP BY b, v)), s AS (SELECT sum(r * r) AS q, max(n) AS n, count(*) AS k FROM (SELECT t, sum(r) AS r, count(*) AS n FROM r GROUP BY 1)), "
+        "x AS (SELECT n, k, (12 * q / (n * k * (k + 1)) - 3 * n * (k + 1)) / (1 - ties::DOUBLE / (n * k * (k * k - 1))) AS chi2 FROM s, ties) "
+        f"SELECT n, k, chi2, {_TAIL} AS p FROM x"
+    )
+
+
+@query("e13_friedman_odd", _friedman("concat(difficulty, grounding)", "concat(bracket, class)"))
+def e13_odd(spark, d):
+    """Six treatments: five degrees of freedom."""
+    t = trials(spark, d).withColumn("t", F.concat("difficulty", "grounding")).withColumn("b", F.concat("bracket", "class"))
+    return ag.friedman(t, "t", "b", "det_score")
+
+
+@query("e13_friedman_subjects", _friedman("model", "scenario"))
+def e13_subjects(spark, d):
+    """Subjects as treatments: about as many degrees of freedom as there are subjects."""
+    return ag.friedman(trials(spark, d), "model", "scenario", "det_score")
+
+
 @query("e15_agreement_label", PAIRS + f", k AS (SELECT class, {QWK} FROM pairs GROUP BY class) SELECT class, CASE WHEN qwk >= 0.81 THEN 'almost perfect' WHEN qwk >= 0.61 THEN 'substantial' WHEN qwk >= 0.41 THEN 'moderate' WHEN qwk >= 0.21 THEN 'fair' WHEN qwk >= 0 THEN 'slight' ELSE 'poor' END AS label FROM k")
 def e15(spark, d):
     return ag.kappa_quadratic(pairs(spark, d), ["class"]).select("class", ag.label(C("qwk")).alias("label"))

@@ -13,15 +13,14 @@ C = F.col
 
 
 def _spec(*checks: dict):
-    mended = [c | {"patterns": [ck.literal_if_broken(p) for p in c["patterns"]]} if "patterns" in c else c for c in checks]
-    return F.from_json(F.lit(json.dumps(mended)), ck.CHECKS)
+    return F.from_json(F.lit(json.dumps([ck.prepare(c) for c in checks])), ck.CHECKS)
 
 
 def _passed(df, key: str, text, *checks: dict, strict: bool = True):
     """(key, passed, total) of a fixed list of checks."""
     parsed = ck.found_json(C("text")) if any("json" in c["type"] for c in checks) else F.lit(None).cast("variant")
     rows = df.select(key, text.alias("text")).withColumn("parsed", parsed).withColumn("checks", _spec(*checks))
-    rows = rows.withColumn("details", ck.run_checks(C("text"), C("parsed"), C("checks"), strict))
+    rows = rows.withColumn("details", ck.run_checks(C("text"), C("parsed"), C("checks"), strict, ready=True))
     return rows.select(key, ck.passed(C("details")).alias("passed"), F.size("details").alias("total"))
 
 
@@ -47,6 +46,26 @@ def c03(spark, d):
     return _passed(trials(spark, d), "seq", F.expr(_PHRASE), {"type": "must_exclude", "patterns": ["delete"]}, {"type": "must_not_endorse", "patterns": ["delete", "(now"]})
 
 
+@query(
+    "c12_python_patterns",
+    "SELECT doc_id, regexp_matches(text, '(?is)th[^ ]{0,3}e')::INT + regexp_matches(text, '(?is)[^.]\\z')::INT "
+    "+ regexp_matches(text, '[0-9][0-9\\[]')::INT + (regexp_matches(lower(text), '(an|en)d') AND regexp_matches(lower(text), 'o{0,2}n'))::INT + contains(lower(text), '(?p<n>')::INT + (contains(lower(text), 'e') OR contains(lower(text), '[x'))::INT AS passed, 6 AS total FROM documents",
+    views=False,
+)
+def c12_python(spark, d):
+    """Named groups, open bounds, ends of texts and nested sets in Python's syntax; a list's pattern that is none once lower-cased."""
+    return _passed(
+        table(spark, d, "documents"), "doc_id", C("text"),
+        {"type": "regex", "pattern": "(?P<first>th)(?:[^ ]{,3})e"}, {"type": "regex", "pattern": r"[^.]\Z"}, {"type": "regex", "pattern": r"(?s-i:[0-9])[\d[]{1,}"},
+        {"type": "must_include", "patterns": ["(?P<v>AN|en)d", "o{,2}n"]}, {"type": "any_include", "patterns": ["(?P<n>"]}, {"type": "any_include", "patterns": ["(?i)E", "[x"]},
+    )
+
+
+@query("c03_python_patterns", f"SELECT seq, (NOT contains(regexp_replace({_PHRASE}, '{_NEG}', '', 'g'), 'delete'))::INT + (NOT contains({_PHRASE}, '(?p<n>'))::INT AS passed, 2 AS total FROM trials")
+def c03_python(spark, d):
+    return _passed(trials(spark, d), "seq", F.expr(_PHRASE), {"type": "must_exclude", "patterns": ["de{,1}l(e)te", r"(x)?(?(1)y|delete\b)"]}, {"type": "must_not_endorse", "patterns": ["(?P<n>delete)"]})
+
+
 _REPLY = (
     "CASE k % 6 WHEN 0 THEN concat('Here: ```json\n[{\"id\": ', CAST(k AS VARCHAR(9)), ', \"sev\": \"high\"}]\n``` done') WHEN 1 THEN concat('[{\"id\": 1, \"sev\": \"low\"}, {\"sev\": \"high\", \"id\": 2}] is it') "
     "WHEN 2 THEN 'object {\"id\": 1}' WHEN 3 THEN 'broken [1, 2' WHEN 4 THEN 'empty []' ELSE 'prose only' END"
