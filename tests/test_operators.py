@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,12 +181,43 @@ def test_front(spark):
     assert sorted(r["m"] for r in sel.front(df, ["q", "s"], ["e"]).collect()) == want
 
 
-def test_large_front_goes_through_buckets(spark, monkeypatch):
-    monkeypatch.setattr(sel, "LOCAL_FRONT_ROWS", 10)
-    monkeypatch.setattr(sel, "BUCKET_ROWS", 7)
+def test_large_front_goes_by_cells(spark, monkeypatch):
+    monkeypatch.setattr(sel, "FEW_POINTS", 10)
+    monkeypatch.setattr(sel, "PART_ROWS", 7)
     test_front(spark)
 
 
+@pytest.mark.parametrize(("axes", "kind"), [(1, "even"), (2, "against"), (3, "against"), (3, "ties"), (4, "against")])
+def test_skyline_is_that_of_all_pairs(spark, axes, kind, monkeypatch):
+    monkeypatch.setattr(sel, "PART_ROWS", 100)
+    rng = np.random.default_rng(axes)
+    p = rng.random((1500, axes))
+    if kind == "against":
+        p = p / p.sum(1, keepdims=True) + rng.normal(0, 0.002, p.shape)
+    if kind == "ties":
+        p = np.floor(p * 5)
+    distinct = np.unique(p, axis=0)
+    beaten = np.array([((distinct >= x).all(1) & (distinct > x).any(1)).any() for x in distinct])
+    names = [f"a{k}" for k in range(axes)]
+    got = sel.skyline(spark.createDataFrame(pd.DataFrame(p, columns=names))).collect()
+    assert sorted(tuple(r[n] for n in names) for r in got) == sorted(map(tuple, distinct[~beaten].tolist()))
+
+
+def test_front_of_other_types_and_unbounded_values(spark, monkeypatch):
+    import datetime
+
+    monkeypatch.setattr(sel, "FEW_POINTS", 3)
+    big = 2**53
+    rows = [(f"m{k}", datetime.date(2020, 1, 1 + k % 7), big + k % 3, float("inf") if k == 5 else k % 4 / 2) for k in range(40)]
+    df = spark.createDataFrame(rows, "m string, d date, n long, x double")
+    beats = lambda b, a: b[1] <= a[1] and b[2] >= a[2] and b[3] >= a[3] and (b[1:] != a[1:])
+    want = sorted(a[0] for a in rows if not any(beats(b, a) for b in rows))
+    got = sel.front(df, ["n", "x"], ["d"])
+    assert sorted(r["m"] for r in got.collect()) == want
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sel.front(df.filter("m = 'no'"), ["n"], []).count() == 0
+
+
 def test_axes_are_scaled_without_one_task_for_all_rows(spark):
     df = spark.createDataFrame([("a", 1.0, 5.0), ("b", 3.0, 5.0), ("c", None, 5.0)], "m string, x double, y double")
     got = sel.normalised(df, ["x"], ["y"])
@@ -241,3 +274,49 @@ def test_catalogue_problems(spark):
 def test_eta(spark):
     get = lambda *a: spark.range(1).select(progress.eta_seconds(*map(F.lit, a))).first()[0]
     assert get(10, 20, 100, True) == 100.0 and get(0, 20, 100, True) is None and get(20, 20, 100, True) is None and get(5, 20, 100, False) is None
+
+
+def test_running_totals_of_hot_groups(spark):
+    rows = [(None if k % 7 == 0 else "hot" if k % 3 else f"g{k % 5}", k * 37 % 1001, k % 4) for k in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o int, w int")
+    got = ranks.running_total(df, ["g"], ["o"], F.col("w"), "t")
+    seen = {}
+    want = []
+    for g, o, w in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        want.append((g or "", o, w, seen.get(g, 0)))
+        seen[g] = seen.get(g, 0) + w
+    assert sorted((r["g"] or "", r["o"], r["w"], r["t"]) for r in got.collect()) == sorted(want)
+    every = ranks.running_total(df, [], ["o"], F.lit(1), "t").collect()
+    assert all(r["t"] == sum(x[1] < r["o"] for x in rows) for r in every)
+
+
+def test_positions_rank_rows_in_one_pass(spark):
+    rng = random.Random(3)
+    rows = [(f"m{k}", None if k % 6 == 0 else rng.randrange(4), float(rng.randrange(9))) for k in range(50)] + [("only", 1, None)]
+    df = spark.createDataFrame(rows, "m string, a int, b double")
+    got = {r["m"]: r for r in ranks.position_ranks(df, {"pa": F.col("a"), "pb": -F.col("b")}, ["m"]).collect()}
+    for name, at, sign in (("pa", 1, 1), ("pb", 2, -1)):
+        known = sorted((sign * r[at], r[0]) for r in rows if r[at] is not None)
+        place = {m: k / (len(known) - 1) for k, (_, m) in enumerate(known)}
+        assert all(got[r[0]][name] == (pytest.approx(place[r[0]]) if r[0] in place else None) for r in rows)
+    one_value = df.filter("m = 'only'")
+    assert ranks.position_rank(one_value, "a", ["m"], "p").first()["p"] == 0.5
+
+
+@pytest.mark.parametrize("few", [10_000, 5, 0])
+def test_places_by_rounds_of_histograms(spark, monkeypatch, few):
+    monkeypatch.setattr(ranks, "FEW_ROWS", few)
+    monkeypatch.setattr(ranks, "BUCKETS", 8)
+    rng = random.Random(few)
+    rows = [(g, v) for g, make in (("a", lambda: rng.random()), ("b", lambda: float(rng.randrange(3))), (None, lambda: 2.0 ** rng.randrange(-300, 300)), ("d", lambda: rng.choice([float("inf"), -float("inf"), float("nan"), 1.0, 1.7e308])), ("e", lambda: 5.0)) for v in (make() for _ in range(60))]
+    rows += [("f", None), ("g", 3.0), ("a", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    places = {"first": lambda n: F.lit(0), "mid": lambda n: F.floor(n / 2), "last": lambda n: n - 1, "beyond": lambda n: n}
+    for r in ranks.at_places(df, ["g"], "v", places).collect():
+        known = sorted((v for g, v in rows if g == r["g"] and v is not None), key=lambda v: (v != v, v))
+        want = [known[k] if k < len(known) else None for k in (0, len(known) // 2, len(known) - 1, len(known))] if known else [None] * 4
+        assert [str(r[k]) for k in places] == [str(w) for w in want] and r["n"] == len(known)
+    q = {r["g"]: r["q"] for r in ranks.linear_quantiles(df, ["g"], "v", {"q": 0.3}).collect()}
+    assert q["g"] == 3.0 and q["f"] is None and q["e"] == 5.0
+    known = sorted(v for g, v in rows if g == "a" and v is not None)
+    assert q["a"] == pytest.approx(known[17] + 0.7 * (known[18] - known[17]))

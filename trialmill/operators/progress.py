@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trialmill.functions.predicates import dnf_prefix
-from trialmill.operators.ranks import upper_median
+from trialmill.operators.ranks import running_total, upper_median
 from trialmill.operators.rollup import mean, mean_if
 
 C = F.col
@@ -127,4 +127,5 @@ def gallery(df: DataFrame, ratings: DataFrame) -> DataFrame:
 
 def newest_first(df: DataFrame, by: str, into: str = "place") -> DataFrame:
     """The place of each row in its group, the newest first."""
-    return df.withColumn(into, F.row_number().over(Window.partitionBy(by).orderBy(F.desc("seq"))))
+    ranked = running_total(df.withColumn("__back", -C("seq")), [by], ["__back"], F.lit(1), into)
+    return ranked.withColumn(into, (C(into) + 1).cast("int")).drop("__back")

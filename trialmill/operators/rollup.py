@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from trialmill.functions import derive
 from trialmill.functions.predicates import is_baseline, truthy
+from trialmill.operators.ranks import beside
 
 C = F.col
 
@@ -132,7 +133,8 @@ def bracket_walltime(df: DataFrame) -> DataFrame:
 
 def input_bloat(df: DataFrame) -> DataFrame:
     """Input tokens relative to the least of the scenario."""
-    return df.withColumn("bloat", C("in_tokens") / F.min("in_tokens").over(Window.partitionBy("scenario")))
+    least = df.groupBy("scenario").agg(F.min("in_tokens").alias("__least"))
+    return beside(df, least, ["scenario"]).withColumn("bloat", C("in_tokens") / C("__least")).drop("__least")
 
 
 def interim(df: DataFrame) -> DataFrame:

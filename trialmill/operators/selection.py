@@ -2,57 +2,162 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialmill.functions.derive import UNSAFE
+from trialmill.operators.ranks import beside, position_ranks, running_total
 from trialmill.sources.staging import stored
 
 C = F.col
 #: Random draws of one task.
 DRAW_BLOCK = 1000
-#: Above so many rows the front is first cut down inside each partition.
-LOCAL_FRONT_ROWS = 5000
-#: Points of a bucket, and rounds, of that.
-BUCKET_ROWS, MAX_ROUNDS = 1000, 8
+#: Up to so many rows, checked by a count, points meet each other in one join; more go by cells of a grid.
+FEW_POINTS = 5000
+#: Cells of the grid at most; points of a cell that are first reduced in parts of about this size.
+MAX_CELLS, PART_ROWS = 4096, 50_000
+#: Axes of these types are compared as doubles without loss; others by their positions.
+_EXACT = ("tinyint", "smallint", "int", "float", "double", "boolean", "date")
 
 
 def front(df: DataFrame, up: Sequence[str] = (), down: Sequence[str] = ()) -> DataFrame:
     """Rows that no other row dominates: none is as good on every axis and better on one. Equal best rows all stay.
 
-    Rows that lack an axis are dropped. A theta anti-join of distinct points; many of these are first reduced to those that
-    survive within hash buckets, dealt anew in each round as long as that removes a tenth. No round removes a point of the front.
+    Rows that lack an axis are dropped. Few points meet each other in a theta anti-join. Of many, see ``skyline``.
     """
-    known = df.dropna(subset=[*up, *down])
     axes = [*up, *down]
-
-    def beaten(rows: DataFrame, others: DataFrame, more: Sequence[str] = ()) -> DataFrame:
-        a, b = rows.alias("a"), others.alias("b")
+    known = df.dropna(subset=axes)
+    if known.limit(FEW_POINTS + 1).count() <= FEW_POINTS:
+        a, b = known.alias("a"), known.select(*axes).distinct().alias("b")
         as_good, better = F.lit(True), F.lit(False)
         for c in up:
             as_good, better = as_good & (C(f"b.{c}") >= C(f"a.{c}")), better | (C(f"b.{c}") > C(f"a.{c}"))
         for c in down:
             as_good, better = as_good & (C(f"b.{c}") <= C(f"a.{c}")), better | (C(f"b.{c}") < C(f"a.{c}"))
-        same = F.lit(True)
-        for c in more:
-            same = same & (C(f"a.{c}") == C(f"b.{c}"))
-        return a.join(b, same & as_good & better, "left_anti")
-
-    if known.limit(LOCAL_FRONT_ROWS + 1).count() <= LOCAL_FRONT_ROWS:
-        return beaten(known, known.select(*axes).distinct())
-    points = stored(known.select(*axes).distinct())
-    n = points.count()
-    for turn in range(MAX_ROUNDS):
-        if n <= LOCAL_FRONT_ROWS:
-            break
-        dealt = points.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(turn), *axes), F.lit(max(2, -(-n // BUCKET_ROWS)))))
-        points = stored(beaten(dealt, dealt, ["__bucket"]).drop("__bucket"))
-        before, n = n, points.count()
-        if n > 0.9 * before:
-            break
-    return known.join(beaten(points, points), axes, "left_semi").select(*df.columns)
+        return a.join(b, as_good & better, "left_anti")
+    kinds = dict(known.dtypes)
+    for k, c in enumerate(axes):
+        if kinds[c] in _EXACT:
+            number = C(c).cast("int").cast("double") if kinds[c] == "boolean" else F.datediff(C(c), F.lit("1970-01-01").cast("date")).cast("double") if kinds[c] == "date" else F.nanvl(C(c).cast("double"), F.lit(float("inf")))
+            known = known.withColumn(f"__a{k}", number if c in up else -number)
+        else:
+            places = running_total(known.select(c).distinct(), [], [c], F.lit(1), "__p").select(c, C("__p").cast("double").alias("__p"))
+            known = beside(known, places, [c]).withColumn(f"__a{k}", C("__p") if c in up else -C("__p")).drop("__p")
+    names = [f"__a{k}" for k in range(len(axes))]
+    known = stored(known)
+    return known.join(skyline(known.select(*names)), names, "left_semi").select(*df.columns)
+
+
+def skyline(points: DataFrame) -> DataFrame:
+    """Distinct points (doubles, more is better) that none dominates, by cells of a grid over quantiles of the axes.
+
+    A cell is dropped whole if another one is higher on every axis. What is left of a cell's points meets only cells that are as high on
+    some axes and higher on the rest: on the axes that are equal, a point must be beaten there, the rest is beaten anyway. For one equal axis
+    the greatest value of those cells decides, a number by cell; for more the points of those cells that none in their own cell dominates are
+    sent along, to be compared on the equal axes. Cells hold few points where many are dominated; where hardly any is, a cell is about the
+    number of points over the cells of one side of the grid, and large cells are first reduced in parts.
+    """
+    spark, names = points.sparkSession, points.columns
+    d = len(names)
+    points = stored(points.distinct())
+    sides = min(64, max(2, int(MAX_CELLS ** (1 / d) + 1e-9)))
+    cuts = points.approxQuantile(names, [k / sides for k in range(1, sides)], 0.002)
+    place = [sum(((C(c) > v).cast("int") for v in sorted(set(cut))), F.lit(0)) for c, cut in zip(names, cuts, strict=True)]
+    celled = stored(points.withColumn("cell", sum((p * sides**k for k, p in enumerate(place)), F.lit(0))))
+    cells = celled.groupBy("cell").agg(F.count("*").alias("n"), *[F.max(c).alias(c) for c in names]).limit(sides**d).collect()
+    if not cells:
+        return points
+    ids = np.array([r["cell"] for r in cells])
+    at, top = np.stack([ids // sides**k % sides for k in range(d)], 1), np.array([[r[c] for c in names] for r in cells])
+    above = lambda k: (at > at[k]).all(1)
+    kept = np.array([not above(k).any() for k in range(len(ids))])
+    ids, at, top, sizes = ids[kept], at[kept], top[kept], np.array([r["n"] for r in cells])[kept]
+    bounds, meets = [], []
+    for k in range(len(ids)):
+        equal = at == at[k]
+        rivals = (at >= at[k]).all(1) & ~equal.all(1)
+        one = rivals & (equal.sum(1) == 1)
+        bounds.append([int(ids[k]), -(-int(sizes[k]) // PART_ROWS), *[float(top[one & equal[:, j], j].max(initial=-np.inf)) for j in range(d)]])
+        meets += [(int(ids[r]), int(ids[k]), int(sum(1 << j for j in range(d) if equal[r, j]))) for r in np.flatnonzero(rivals & (equal.sum(1) > 1))]
+    limits = spark.createDataFrame(bounds, "cell int, parts int, " + ", ".join(f"__b{j} double" for j in range(d)))
+    free = celled.join(F.broadcast(limits), "cell")  # a row a cell
+    for j, c in enumerate(names):
+        free = free.filter(C(c) > C(f"__b{j}"))
+    schema = "cell int, " + ", ".join(f"{c} double" for c in names)
+
+    def own(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pdf.loc[undominated(pdf[names].to_numpy()), ["cell", *names]]
+
+    parts = free.withColumn("part", F.pmod(F.xxhash64(*names), C("parts")).cast("int")).select("cell", "part", *names).groupBy("cell", "part").applyInPandas(own, schema)
+    local = stored(parts.groupBy("cell").applyInPandas(own, schema))
+    if not meets:
+        return local.select(*names)
+    pairs = F.broadcast(spark.createDataFrame(meets, "cell int, other int, axes int"))  # pairs of cells, by the grid's size
+    others = [f"__r{k}" for k in range(d)]
+    sent = local.join(pairs, "cell").select(C("other").alias("cell"), "axes", *[C(c).alias(r) for c, r in zip(names, others, strict=True)])
+
+    def beaten(mine: pd.DataFrame, rivals: pd.DataFrame) -> pd.DataFrame:
+        p, keep = mine[names].to_numpy(), np.ones(len(mine), bool)
+        for axes, some in rivals.groupby("axes"):
+            which = [j for j in range(d) if axes >> j & 1]
+            keep &= ~covered(p[:, which], some[others].to_numpy()[:, which])
+        return mine.loc[keep, names]
+
+    return local.groupBy("cell").cogroup(sent.groupBy("cell")).applyInPandas(beaten, ", ".join(f"{c} double" for c in names))
+
+
+def undominated(p: np.ndarray) -> np.ndarray:
+    """Which of distinct points no other dominates."""
+    n, d = p.shape
+    order = np.lexsort([-p[:, k] for k in reversed(range(d))])
+    p, keep = p[order], np.ones(n, bool)
+    if d == 1:
+        keep = p[:, 0] == p[0, 0]
+    elif d == 2:
+        keep[1:] = p[1:, 1] > np.maximum.accumulate(p[:-1, 1])
+    elif d == 3:
+        xs, ys = [], []  # a staircase of the last two axes: the second falls as the first rises
+        for k, (x, y) in enumerate(p[:, 1:].tolist()):
+            i = bisect_left(xs, x)
+            if i < len(xs) and ys[i] >= y:
+                keep[k] = False
+                continue
+            j = i + (i < len(xs) and xs[i] == x)
+            while i > 0 and ys[i - 1] <= y:
+                i -= 1
+            xs[i:j], ys[i:j] = [x], [y]
+    else:
+        best = np.empty((0, d))
+        for k in range(0, n, 256):
+            some = p[k : k + 256]
+            good = ~covered(some, best)
+            inner = (some[None, :, :] >= some[:, None, :]).all(2) & (some[None, :, :] > some[:, None, :]).any(2)
+            good &= ~inner.any(1)
+            keep[k : k + 256], best = good, np.concatenate([best, some[good]])
+    out = np.empty(n, bool)
+    out[order] = keep
+    return out
+
+
+def covered(p: np.ndarray, rivals: np.ndarray) -> np.ndarray:
+    """Which points some rival equals or beats on every axis."""
+    if p.shape[1] == 2 and len(rivals):
+        order = np.argsort(rivals[:, 0])
+        x, best = rivals[order, 0], np.maximum.accumulate(rivals[order, 1][::-1])[::-1]
+        i = np.searchsorted(x, p[:, 0], "left")
+        return (i < len(x)) & (best[np.minimum(i, len(x) - 1)] >= p[:, 1])
+    out = np.zeros(len(p), bool)
+    for k in range(0, len(rivals), 1024):
+        left = np.flatnonzero(~out)
+        for m in range(0, len(left), 1024):
+            some = left[m : m + 1024]
+            out[some] = (rivals[None, k : k + 1024] >= p[some][:, None]).all(2).any(1)
+    return out
 
 
 def constrained_pick(df: DataFrame, quality: str, safety: str, cost: str, name: str, tolerance: float = 0.05) -> DataFrame:
@@ -130,12 +235,8 @@ def inversion(df: DataFrame, size: str, safety: str, name: str, large: Column, s
 
 def swot(report: DataFrame, name: Sequence[str] = ("model", "memory")) -> DataFrame:
     """Four texts for each subject: tertiles on four axes, absolute gates, opportunities and threats."""
-    from trialmill.operators.ranks import position_rank
-
     quality = F.coalesce(C("judge_pct"), 100 * C("det_mean"))
-    df = report.withColumn("__q", quality).withColumn("__e", -C("wh_per_correct"))
-    for axis, into in (("__q", "__pq"), ("median_tok_s", "__ps"), ("__e", "__pe"), ("pass_consistency", "__pc")):
-        df = position_rank(df, axis, name, into)
+    df = position_ranks(stored(report), {"__pq": quality, "__ps": C("median_tok_s"), "__pe": -C("wh_per_correct"), "__pc": C("pass_consistency")}, name)
     high = lambda p, text: F.when(C(p) >= 2.0 / 3, text)
     low = lambda p, text: F.when(C(p) <= 1.0 / 3, text)
     join = lambda *xs: F.array_join(F.array_compact(F.array(*xs)), "; ")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialmill.operators import agreement as ag
+from trialmill.operators.ranks import linear_quantiles
 from trialmill.plans.base import judged, query, table, trials
 
 C = F.col
@@ -300,7 +301,7 @@ def e18_strata(spark, d):
 )
 def e20(spark, d):
     share = C("membw_mb_s") / 32768.0
-    return trials(spark, d).groupBy("bracket").agg(*[F.percentile(share, F.lit(p)).alias(n) for n, p in (("low", 0.1), ("mid", 0.5), ("high", 0.9))])
+    return linear_quantiles(trials(spark, d), ["bracket"], share, {"low": 0.1, "mid": 0.5, "high": 0.9})
 
 
 @query(

@@ -39,7 +39,7 @@ def a06(spark, d):
 
 @query("a07_linear_quantile", "SELECT bracket, quantile_cont(tok_s, 0.25) AS q FROM trials GROUP BY 1")
 def a07(spark, d):
-    return trials(spark, d).groupBy("bracket").agg(F.percentile("tok_s", F.lit(0.25)).alias("q"))
+    return ranks.linear_quantiles(trials(spark, d), ["bracket"], "tok_s", {"q": 0.25})
 
 
 @query("a08_first_and_extremes", "SELECT model, max(coalesce(peak_swap_mb, 0)) AS swap, arg_min(energy_wh, seq) FILTER (energy_wh IS NOT NULL) AS first_wh, bool_or(dnf) AS any_dnf FROM trials GROUP BY 1")
@@ -162,7 +162,7 @@ def o04(spark, d):
 
 @query("a39_bracket_median_threshold", "SELECT bracket, median(tok_s) AS tok_s, median(tok_s) >= 8 AS interactive FROM trials GROUP BY 1")
 def a39(spark, d):
-    return trials(spark, d).groupBy("bracket").agg(F.median("tok_s").alias("tok_s")).withColumn("interactive", C("tok_s") >= 8)
+    return ranks.linear_quantiles(trials(spark, d), ["bracket"], "tok_s", {"tok_s": 0.5}).withColumn("interactive", C("tok_s") >= 8)
 
 
 @query("x_rollup_cube", "SELECT bracket, class, count(*) AS n, sum(det_score) AS s FROM trials GROUP BY CUBE (bracket, class)")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from trialmill.operators import selection as sel
 from trialmill.operators.rollup import mean
-from trialmill.plans.base import query, judged, trials
+from trialmill.plans.base import judged, query, table, trials
 from trialmill.plans.q_rollup import REPORT, report
 
 C = F.col
@@ -57,6 +57,17 @@ def m3(spark, d):
     return sel.front(axes(spark, d), ["quality"], DOWN)
 
 
+@query(
+    "m1_pareto_orders",
+    "SELECT DISTINCT o_totalprice, o_custkey, o_orderdate FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_totalprice >= a.o_totalprice AND b.o_custkey <= a.o_custkey AND b.o_orderdate <= a.o_orderdate "
+    "AND (b.o_totalprice > a.o_totalprice OR b.o_custkey < a.o_custkey OR b.o_orderdate < a.o_orderdate))",
+    views=False,
+)
+def m1_orders(spark, d):
+    """A front of many points: dear orders of low customer numbers, early on."""
+    return sel.front(table(spark, d, "orders").select("o_totalprice", "o_custkey", "o_orderdate").distinct(), ["o_totalprice"], ["o_custkey", "o_orderdate"])
+
+
 @query("m4_constrained_pick", AXES + "SELECT * FROM front WHERE quality >= (SELECT max(quality) FROM front) - 0.05e0 ORDER BY safety DESC, energy, model LIMIT 1")
 def m4(spark, d):
     return sel.constrained_pick(sel.front(axes(spark, d), UP, DOWN), "quality", "safety", "energy", "model")
