@@ -88,24 +88,18 @@ def test_exact_scores_beyond_64_bits(spark):
 def test_the_trie_counts_bursts_and_spills_whole_subtrees():
     rng = np.random.default_rng(4)
     trie, want, spilled = co.HatTrie(burst=3), Counter(), Counter()
-    for _ in range(30):
-        ids = rng.integers(0, 6, 200)
+    for turn in range(31):
+        ids = rng.integers(0, 90, 200)
         for size in (1, 2, 3):
-            first, rest, n = co.distinct(ids, size)
-            trie.add(first, rest, n)
+            trie.add(*co.distinct(ids, size))
             for k in range(200 - size + 1):
                 if (ids[k : k + size] > 0).all():
                     w = [*ids[k : k + size].tolist(), 0, 0]
-                    want[(w[0], w[1] << co.WORD_BITS | w[2])] += 1
-        assert trie.nodes and all(len(b) <= 3 for b in trie.roots.values())
-        before = trie.size
-        first, rest, n = trie.cut(before // 2)
-        assert trie.size == before - len(first) <= before // 2
-        assert not set(first.tolist()) & (set(trie.roots) | set(trie.nodes))
-        spilled.update(dict(zip(zip(first.tolist(), rest.tolist(), strict=True), [0] * len(n), strict=True)))
-        for f, r, c in zip(first.tolist(), rest.tolist(), n.tolist(), strict=True):
-            spilled[(f, r)] += c
-    first, rest, n = trie.cut(0)
-    for f, r, c in zip(first.tolist(), rest.tolist(), n.tolist(), strict=True):
-        spilled[(f, r)] += c
+                    want[w[0] << 2 * co.WORD_BITS | w[1] << co.WORD_BITS | w[2]] += 1
+        assert trie.nodes and all(len(b) <= 3 or p[0] == len(co._SHIFT) - 1 for p, b in trie.boxes.items()) and trie.size == sum(map(len, trie.boxes.values()))
+        goal = trie.size // 2 if turn < 30 else 0
+        phrases, n = trie.cut(goal)
+        assert trie.size <= goal and not any(p >> co._SHIFT[d] == at for p in phrases.tolist() for d, at in trie.boxes)
+        for p, c in zip(phrases.tolist(), n.tolist(), strict=True):
+            spilled[p] += c
     assert spilled == want and trie.size == 0

@@ -1,7 +1,7 @@
 """Phrase collocation mining by HAT-trie counting.
 
-Each task counts phrases of words (as numbers) in a HAT-trie: a shallow trie by word, whose leaves are hash
-containers of what follows. A container that grows beyond BURST entries bursts into a node with one container for each next
+Each task counts phrases of words (as numbers) in a HAT-trie: a shallow trie by word, whose leaves are hash containers, at first
+of many first words together. A container that grows beyond BURST entries bursts into a node with containers for each next
 word. When a task's tries hold more than CAPACITY entries, whole subtrees, the largest first, are spilled as sorted runs.
 
 Runs are dealt out by prefix: a block of a run holds the phrases of one prefix partition (a hash of language and first two words).
@@ -25,7 +25,7 @@ import hashlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator, Sequence
-from itertools import count
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +37,7 @@ from trialmill.llm.common import BROADCAST_KEYS, BUCKET_BITS, MAX_FILTER_BITS, b
 C = F.col
 LEAST, SHARE, TOP, UND = 10, 50, 2000, "und"
 #: Entries of a container before it bursts, and of a task's tries before subtrees are spilled.
-BURST, CAPACITY = 4096, 3 << 19
+BURST, CAPACITY = 1 << 14, 3 << 19
 #: Bits of a word's number: so many words a task knows before it spills everything and starts anew.
 WORD_BITS = 21
 #: Bytes of text that are split at once, bytes of text for each prefix partition, and the most of these.
@@ -52,64 +52,64 @@ SALTS = 256
 _ENDS, _NEXT = b".,;:!?\n\x0b\x0c\r", 10
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else _NEXT if c in _ENDS else 32 if c == 9 else c for c in range(256))
 _LOW = (1 << WORD_BITS) - 1
+#: What a packed phrase is shifted by for the prefix of a container: 1024 first words together, 16, one, and first and second word.
+_SHIFT = (2 * WORD_BITS + 10, 2 * WORD_BITS + 4, 2 * WORD_BITS, WORD_BITS)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
 class HatTrie:
-    """Counts of phrases of up to three words: first word, then a container (rest: count), or a node of containers by the next word."""
+    """Counts of phrases of up to three words, packed as their words' numbers (0: none).
+
+    Neighbouring first words share a hash container. One that grows beyond ``burst`` entries bursts into containers of fewer first
+    words, down to one, and that into containers of one second word.
+    """
 
     def __init__(self, burst: int = BURST) -> None:
-        self.burst, self.roots, self.nodes, self.size = burst, {}, {}, 0
+        self.burst, self.boxes, self.size = burst, {}, 0
+        self.nodes: set[tuple[int, int]] = set()  # what has burst: (depth, prefix)
+
+    def add(self, phrases: np.ndarray, n: np.ndarray) -> None:
+        """Counts of distinct phrases, in order."""
+        self._add(0, phrases, n)
 
-    def add(self, first: np.ndarray, rest: np.ndarray, n: np.ndarray) -> None:
-        """Counts of distinct phrases, ordered by first word. A rest is the second word's number, then that of the third (0: none)."""
-        if not len(first):
+    def _add(self, depth: int, phrases: np.ndarray, n: np.ndarray) -> None:
+        if not len(phrases):
             return
-        starts = np.flatnonzero(np.diff(first, prepend=-1)).tolist()
-        rest, n, words = rest.tolist(), n.tolist(), first[starts].tolist()
-        for word, s, e in zip(words, starts, [*starts[1:], len(rest)], strict=True):
-            if (node := self.nodes.get(word)) is not None:
-                for r, c in zip(rest[s:e], n[s:e], strict=True):
-                    self._put(node.setdefault(r >> WORD_BITS, {}), r & _LOW, c)
+        prefix = phrases >> _SHIFT[depth]
+        starts = np.flatnonzero(np.diff(prefix, prepend=-1)).tolist()
+        keys, counts = phrases.tolist(), n.tolist()
+        for at, s, e in zip(prefix[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+            place = (depth, at)
+            if place in self.nodes:
+                self._add(depth + 1, phrases[s:e], n[s:e])
                 continue
-            box = self.roots.get(word)
+            box = self.boxes.get(place)
             if box is None:
-                self.roots[word] = dict(zip(rest[s:e], n[s:e], strict=True))
+                box = self.boxes[place] = dict(zip(keys[s:e], counts[s:e], strict=True))
                 self.size += e - s
-                box = self.roots[word]
             else:
-                for r, c in zip(rest[s:e], n[s:e], strict=True):
-                    self._put(box, r, c)
-            if len(box) > self.burst:
-                node = self.nodes[word] = {}
-                for r, c in self.roots.pop(word).items():
-                    node.setdefault(r >> WORD_BITS, {})[r & _LOW] = c
-
-    def _put(self, box: dict[int, int], key: int, c: int) -> None:
-        if key in box:
-            box[key] += c
-        else:
-            box[key] = c
-            self.size += 1
-
-    def cut(self, down_to: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Takes the largest subtrees out, until no more than so many entries are left: (first, rest, count)."""
-        sizes = {w: len(b) for w, b in self.roots.items()} | {w: sum(map(len, b.values())) for w, b in self.nodes.items()}
-        first, rest, n, lengths = [], [], [], []
-        for word in sorted(sizes, key=sizes.__getitem__, reverse=True):
+                before, get = len(box), box.get
+                for k in range(s, e):
+                    box[keys[k]] = get(keys[k], 0) + counts[k]
+                self.size += len(box) - before
+            if len(box) > self.burst and depth + 1 < len(_SHIFT):
+                self.nodes.add(place)
+                del self.boxes[place]
+                self.size -= len(box)
+                every = np.array(sorted(box.items()), np.int64)
+                self._add(depth + 1, every[:, 0], every[:, 1])
+
+    def cut(self, down_to: int) -> tuple[np.ndarray, np.ndarray]:
+        """Takes the largest subtrees out, until no more than so many entries are left: (phrases, counts)."""
+        phrases, n = [], []
+        for place in sorted(self.boxes, key=lambda p: len(self.boxes[p]), reverse=True):
             if self.size <= down_to:
                 break
-            self.size -= sizes[word]
-            first.append(word)
-            lengths.append(sizes[word])
-            if (box := self.roots.pop(word, None)) is not None:
-                rest.extend(box.keys())
-                n.extend(box.values())
-                continue
-            for second, box in self.nodes.pop(word).items():
-                rest.extend([second << WORD_BITS | third for third in box])
-                n.extend(box.values())
-        return np.repeat(np.array(first, np.int64), lengths), np.array(rest, np.int64), np.array(n, np.int64)
+            box = self.boxes.pop(place)
+            self.size -= len(box)
+            phrases.extend(box.keys())
+            n.extend(box.values())
+        return np.array(phrases, np.int64), np.array(n, np.int64)
 
 
 def _seed(lang: str) -> np.uint64:
@@ -164,11 +164,11 @@ def _grouped(texts: Sequence[bytes]) -> Iterator[list[bytes]]:
         yield some
 
 
-def distinct(ids: np.ndarray, size: int, allowed=None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, rest, count) of the phrases of so many words within pieces; ``allowed`` says which positions count."""
+def distinct(ids: np.ndarray, size: int, allowed=None) -> tuple[np.ndarray, np.ndarray]:
+    """(packed phrase, count) of the phrases of so many words within pieces, in order; ``allowed`` says which positions count."""
     n = len(ids) - size + 1
     if n <= 0:
-        return (np.zeros(0, np.int64),) * 3
+        return (np.zeros(0, np.int64),) * 2
     inside = ids[:n] > 0
     for k in range(1, size):
         inside &= ids[k : k + n] > 0
@@ -180,35 +180,38 @@ def distinct(ids: np.ndarray, size: int, allowed=None) -> tuple[np.ndarray, np.n
     key = ids[at]
     for k in range(1, 3):
         key = key << WORD_BITS | (ids[at + k] if k < size else 0)
-    key, many = np.unique(key, return_counts=True)
-    return key >> (2 * WORD_BITS), key & ((1 << 2 * WORD_BITS) - 1), many
+    return np.unique(key, return_counts=True)
 
 
-def _blocks(lang: str, words: list[bytes], run: tuple[np.ndarray, np.ndarray, np.ndarray], parts: int, hot: np.ndarray) -> Iterator[tuple]:
+def _blocks(lang: str, words: np.ndarray, hashed: np.ndarray, run: tuple[np.ndarray, np.ndarray], parts: int, hot: np.ndarray) -> Iterator[tuple]:
     """A run, sorted, as blocks (lang, part, first phrase, phrases, counts): one prefix partition each."""
-    first, rest, n = run
-    if not len(first):
+    phrases, n = run
+    if not len(phrases):
         return
-    second, third = rest >> WORD_BITS, rest & _LOW
+    first, second, third = phrases >> (2 * WORD_BITS), phrases >> WORD_BITS & _LOW, phrases & _LOW
     used = np.unique(np.concatenate([first, second, third]))
     used = used[used > 0]
-    texts = [words[w] for w in used.tolist()]
+    texts = words[used].tolist()
     place = np.empty(len(texts), np.int64)
     place[sorted(range(len(texts)), key=texts.__getitem__)] = np.arange(1, len(texts) + 1)
-    rank, hashed = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
-    rank[used], hashed[used] = place, _hashes(texts)
-    prefix = mixed(_seed(lang), hashed[first], hashed[second])
+    rank = np.zeros(len(words), np.int64)
+    rank[used] = place
+    prefix = mixed(_seed(lang), hashed[first], np.where(second > 0, hashed[second], np.uint64(0)))
     if len(hot):
         split = (third > 0) & np.isin(prefix, hot)
         prefix[split] = mixed(_seed(lang), hashed[first[split]], hashed[second[split]], hashed[third[split]])
     part = (prefix % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((rank[third], rank[second], rank[first], part))
-    part, n = part[order], n[order]
-    phrases = [words[a] + b" " + words[b] + b" " + words[c] if c else words[a] + b" " + words[b] if b else words[a] for a, b, c in zip(first[order].tolist(), second[order].tolist(), third[order].tolist(), strict=True)]
+    order = np.lexsort((rank[first] << (2 * WORD_BITS) | rank[second] << WORD_BITS | rank[third], part))
+    part, n, first, second, third = part[order], n[order], first[order], second[order], third[order]
+    out = words[first]
+    for more in (second, third):
+        has = more > 0
+        out[has] += b" " + words[more[has]]
+    out = out.tolist()
     bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
     for s, e in zip(bounds, [*bounds[1:], len(part)], strict=True):
         for k in range(s, e, BLOCK):
-            some = phrases[k : min(k + BLOCK, e)]
+            some = out[k : min(k + BLOCK, e)]
             yield lang, int(part[s]), min(some), b"\n".join(some), n[k : k + len(some)].astype("<i8").tobytes()
 
 
@@ -219,11 +222,17 @@ def _runs(sizes: Sequence[int], parts: int, bits: np.ndarray | None, hot: np.nda
         numbers, tries = Numbers(), defaultdict(lambda: HatTrie(burst))
         hashes = np.zeros(0, np.uint64)
 
+        def known() -> np.ndarray:
+            nonlocal hashes
+            if len(hashes) < len(numbers.of):
+                hashes = np.concatenate([hashes, _hashes(list(islice(numbers.of, len(hashes), None)))])
+            return hashes
+
         def spilled(down_to: int) -> Iterator[pa.RecordBatch]:
-            words = list(numbers.of)
+            words = np.array([*numbers.of, None], object)[:-1]
             share = down_to / max(1, sum(t.size for t in tries.values()))
             for lang in list(tries):
-                rows = list(_blocks(lang, words, tries[lang].cut(int(tries[lang].size * share)), parts, hot))
+                rows = list(_blocks(lang, words, known(), tries[lang].cut(int(tries[lang].size * share)), parts, hot))
                 for k in range(0, len(rows), 256):
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["lang", "part", "first", "phrases", "counts"])
 
@@ -237,9 +246,7 @@ def _runs(sizes: Sequence[int], parts: int, bits: np.ndarray | None, hot: np.nda
                     ids = numbers.read(some)
                     allowed = None
                     if bits is not None:
-                        if len(hashes) < len(numbers.of):
-                            hashes = np.concatenate([hashes, _hashes(list(numbers.of)[len(hashes) :])])
-                        h = hashes[ids]
+                        h = known()[ids]
                         slot = mixed(_seed(lang), h[:-1], h[1:]) % np.uint64(len(bits) * 8) if len(ids) > 1 else np.zeros(0, np.uint64)
                         may = (bits[(slot >> np.uint64(3)).astype(np.int64)] >> (slot & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
                         allowed = lambda at, may=may: may[at] & may[at + 1]
