@@ -33,6 +33,18 @@ CASES = {
 }
 
 
+CASES |= {
+    "short comments": ("<!-->visible<p>more</p>", "visible\n\nmore"),
+    "shorter comment": ("<!--->a<!---->b<!-- x --!>c<!-- - -- > -->d", "abcd"),
+    "item values": ("<ol><li>a<li value=7>b<li>c<li value=x>d</ol><ol reversed><li>a<li>b<li hidden>h<li>c</ol><ol reversed start=9><li>a<li>b</ol>", "1. a\n7. b\n8. c\n9. d\n\n3. a\n2. b\n1. c\n\n9. a\n8. b"),
+    "options": ("x<select><option>a<option>b<optgroup><option>c</select>y", "x\na\nb\nc\ny"),
+    "foot first": ("<table><tfoot><tr><td>f</tfoot><tbody><tr><td>b</tbody><thead><tr><td>h</thead><caption>cap</caption></table>", "cap\n\nh\nb\nf"),
+    "old preformatted": ("<xmp>a  <b>\n c</xmp><listing>d\n  e</listing>f", "a  <b>\n c\n\nd\n  e\n\nf"),
+    "nameless ends": ("a</>b</ foo>c</3>d", "abcd"),
+    "ruby": ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+}
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_layout(name):
     page, want = CASES[name]
@@ -159,3 +171,21 @@ def test_test_pages_against_a_plain_parser(spark):
 def test_many_open_elements_stay_cheap():
     assert text_of("<b>" * 100_000 + "<p>x" * 20_000)[0].count("x") == 20_000
     assert text_of("<table><tr><td colspan=1000 rowspan=9>a" * 300)[0].count("a") == 300
+
+
+#: Ends whatever may be open in a garbled page.
+_CLOSERS = "\"'>'>\">-->" + "".join(f"</{n}>" for n in "script style textarea title xmp iframe noembed noframes template audio video canvas datalist svg math rp annotation head table".split())
+_CLOSERS += "".join(f"</{n}>" for n in "table table table rp svg math head td table rp".split())
+
+
+def test_garbled_pages_keep_what_comes_after():
+    """Pages that are cut, with pieces doubled, dropped and swapped: nothing fails, and what follows once all is closed shows."""
+    rng = random.Random(11)
+    pieces = ["<p>", "</p>", "<!--", "-->", "--!>", "<!-->", "<", ">", "</", "</>", "<a href='", '"', "'", "=", "<table>", "<tr>", "<td colspan=9>", "</table>", "<tfoot>", "<thead>", "<li value=3>", "<ol reversed>", "</ol>", "<ul>", "<option>", "<select>", "<xmp>", "</xmp>", "<script>", "</script>", "<style>.a{", "}", "</style>",
+              "<textarea>", "</textarea>", "&amp", "&#", "&#x41;", "<svg>", "<text>", "</svg>", "<math>", "<pre>\n", "</pre>", "<!doctype", "<?xml", "word ", "é ", "\n", "<div class=a>", "</div>", "<b", "<br/>", "<title>", "</title>", "<h1>", "<ruby>", "<rp>"]
+    for _ in range(3000):
+        page = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 25)))
+        page = page[rng.randrange(len(page)) // 3 : len(page) - rng.randrange(len(page)) // 3]
+        text, lines, items, tables = text_of(page)
+        assert lines == (text.count("\n") + 1 if text else 0) and items >= 0 and tables >= 0
+        assert "ZEND" in text_of(page + _CLOSERS + "<p>ZEND</p>")[0], page

@@ -11,13 +11,14 @@ broken pages still nest. Rendering walks the tree without recursion:
   style sheets hide. Rules cascade (important, then selector, then order); those under a condition
   (``@media print``, widths, ``@supports`` and the like) do not count;
 * of ``<svg>`` the text elements show, of ``<math>`` all but annotations;
-* white space collapses, except in ``<pre>`` and ``<textarea>``; ``<br>`` breaks a line; blocks
+* white space collapses, except in ``<pre>``, ``<xmp>``, ``<listing>`` and ``<textarea>``; ``<br>`` breaks a line; blocks
   start lines, and paragraphs, headings, lists, tables and the like stand apart by an empty line;
-* list items are indented by depth, with ``- `` or their number; table cells start where their
+* list items are indented by depth, with ``- `` or their number (``start``, ``value`` and ``reversed`` count); options are lines;
+  a table's head comes first and its foot last; table cells start where their
   column does, are padded to its widest, keep their own lines, and span columns and rows.
 
 Defined cases: a null or empty page gives an empty text. Unclosed tags end with their parents, and
-stray end tags are ignored; an unclosed comment or script runs to the end. A number that is none, or has more than
+stray end tags are ignored, also those without a name; a comment ends at ``-->`` or ``--!>``, or at once (``<!-->``), and an unclosed one, or a script, runs to the end. A number that is none, or has more than
 nine digits, counts as not given. Nesting has no bound. Pages are taken whole. Repeated rows get the same result;
 an empty table gives an empty one. Other columns come back unchanged.
 """
@@ -35,7 +36,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 _TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)"
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)|</(?![A-Za-z]|\Z)[^>]*(?:>|\Z)"
     r"|<(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*)(?:>|\Z)",
     re.DOTALL,
 )
@@ -53,15 +54,17 @@ MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
 
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
-NEVER = frozenset("head script style template title noembed noframes iframe datalist audio video canvas annotation annotation-xml".split())
+NEVER = frozenset("rp head script style template title noembed noframes iframe datalist audio video canvas annotation annotation-xml".split())
 #: What may stand in <head>.
 HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 #: Parts of an <svg> that are not drawn where they stand, and those whose text is.
 UNDRAWN = frozenset("desc metadata defs symbol clippath mask marker pattern".split())
 DRAWN = frozenset(("text", "foreignobject"))
-APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure hr".split())
+APART = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre xmp listing blockquote figure hr".split())
+#: White space and line breaks in these are kept.
+KEPT = frozenset("pre xmp listing textarea".split())
 BLOCKS = APART | frozenset(
-    "address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary caption tr thead tbody tfoot".split()
+    "address article aside body center dd details dialog div dt fieldset figcaption footer form header hgroup html legend li main menu nav search section summary caption tr thead tbody tfoot option optgroup".split()
 )
 #: A start tag ends these open elements, up to the boundary.
 _CELLS, _ROWS = frozenset(("td", "th")), frozenset(("td", "th", "tr"))
@@ -78,6 +81,8 @@ ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "tfoot": (_ROWS | {"thead", "tbody", "tfoot", "caption"}, _TABLE),
     "option": (frozenset(("option",)), frozenset(("select",))),
     "optgroup": (frozenset(("option", "optgroup")), frozenset(("select",))),
+    "rt": (frozenset(("rt", "rp")), frozenset(("ruby",))),
+    "rp": (frozenset(("rt", "rp")), frozenset(("ruby",))),
     "body": (frozenset(("head",)), frozenset()),
 }
 #: These end all such elements, not only the nearest.
@@ -86,7 +91,7 @@ ENDS_ALL = frozenset(("tr", "thead", "tbody", "tfoot", "optgroup"))
 SCOPE = frozenset(("table", "td", "th", "caption", "html"))
 FAR = frozenset("table tr tbody thead tfoot html body".split())
 #: No block, or none that ends a <p>.
-OUTER = frozenset("tr thead tbody tfoot html body head".split())
+OUTER = frozenset("tr thead tbody tfoot html body head option optgroup".split())
 
 RESULT = "text string, n_lines long, n_items long, n_tables long"
 
@@ -96,7 +101,8 @@ class Node:
     name: str
     shown: bool = True
     visible: bool | None = None  # None: as what is around it
-    start: int = 1  # of an ordered list
+    start: int | None = None  # of an ordered list; the number of a list item
+    step: int = 1  # of an ordered list
     spans: tuple[int, int] = (1, 1)  # columns and rows of a cell
     closed: bool = False  # details of which only the summary shows
     children: list[Node | str] = field(default_factory=list)
@@ -116,7 +122,7 @@ def _showing(body: str) -> list[tuple[str, bool, bool | None]]:
     return out
 
 
-def number(text: str | None, default: int, least: int = -(10**9), most: int = 10**9) -> int:
+def number(text: str | None, default: int | None, least: int = -(10**9), most: int = 10**9) -> int:
     """The whole number that an attribute gives, within bounds; else the default."""
     m = _NUMBER.match(text or "")
     return min(max(int(m[1]), least), most) if m else default
@@ -246,7 +252,10 @@ def parse(page: str) -> Node:
             attrs.setdefault(key.lower(), value.strip("\"'"))
         node = Node(name, *looks(name, attrs))
         if name == "ol":
-            node.start = number(attrs.get("start"), 1)
+            node.step = -1 if "reversed" in attrs else 1
+            node.start = number(attrs.get("start"), None)
+        elif name == "li":
+            node.start = number(attrs.get("value"), None)
         elif name in _CELLS:
             rows = number(attrs.get("rowspan"), 1, 0, MAX_ROWSPAN)
             node.spans = number(attrs.get("colspan"), 1, 1, MAX_COLSPAN), rows or MAX_ROWSPAN
@@ -356,10 +365,18 @@ def _table(rows: list[list[Cell]]) -> list[str]:
     return out
 
 
+def _sections(children: list[Node | str]) -> list[Node | str]:
+    """Children of a table as they are laid out: captions, the first head, what else there is, the first foot."""
+    named = lambda what: [c for c in children if isinstance(c, Node) and c.name == what]
+    first, last = [*named("caption"), *named("thead")[:1]], named("tfoot")[:1]
+    moved = {id(c) for c in (*first, *last)}
+    return [*first, *[c for c in children if id(c) not in moved], *last]
+
+
 def render(root: Node) -> tuple[str, int, int]:
     """Text, list items and tables of a tree."""
     canvas, tables, items = Canvas(), 0, 0
-    lists: list[list] = []  # [ordered, next number]
+    lists: list[list] = []  # [ordered, next number, step]
     held: list[tuple[Canvas, list[list[Cell]], list[list]]] = []  # what is around open tables and cells
     todo: list[tuple[str, Node | str]] = [("open", root)]
     kept, visible = 0, [True]
@@ -392,28 +409,32 @@ def render(root: Node) -> tuple[str, int, int]:
                 canvas.block(True)
                 tables += 1
                 held.append((canvas, [], lists))
+                node = Node(name, children=_sections(node.children))
             elif name in ("ul", "ol", "menu"):
                 canvas.block(not lists)
-                lists.append([name == "ol", node.start])
+                items_of = sum(isinstance(c, Node) and c.name == "li" and c.shown for c in node.children)
+                lists.append([name == "ol", (1 if node.step > 0 else items_of) if node.start is None else node.start, node.step])
             elif name == "li":
                 canvas.block(False)
                 items += 1
                 depth = max(len(lists) - 1, 0)
+                if lists and node.start is not None:
+                    lists[-1][1] = node.start
                 canvas.mark = (f"{lists[-1][1]}. " if lists and lists[-1][0] else "- ") if visible[-1] else ""
                 canvas.indent = "  " * depth
                 if lists:
-                    lists[-1][1] += 1
+                    lists[-1][1] += lists[-1][2]
             elif node.closed:
                 canvas.block(False)
                 node = Node(name, children=[c for c in node.children if isinstance(c, Node) and c.name == "summary"][:1])
             elif name in BLOCKS:
                 canvas.block(name in APART)
-            kept += name in ("pre", "textarea")
+            kept += name in KEPT
             todo.append(("close", node))
             todo.extend(("open", c) for c in reversed(node.children))
             continue
         visible.pop()
-        kept -= name in ("pre", "textarea")
+        kept -= name in KEPT
         if name in _CELLS and held:
             lines = [line for line in canvas.text().split("\n") if line.strip()]
             canvas, rows, lists = held.pop()
