@@ -251,12 +251,50 @@ def test_counters(spark):
     assert [r[0] for r in arrays.select(timeseries.first_last_delta(F.col("a"))).collect()] == [2.0, None]
 
 
-def test_phases():
-    assert audit.advance(["completed", "pending"], 1, "running") == ["completed", "running"]
-    with pytest.raises(ValueError, match="must wait"):
-        audit.advance(["review_pending", "pending"], 1, "running")
-    with pytest.raises(ValueError, match="cannot go"):
-        audit.advance(["pending"], 0, "completed")
+def advance(phases, k, to):
+    """One move, as a plain list has it."""
+    if k >= len(phases):
+        raise ValueError("no such phase")
+    if to not in audit.MOVES[phases[k]]:
+        raise ValueError(f"cannot go from {phases[k]} to {to}")
+    if to == "running" and any(s != "completed" for s in phases[:k]):
+        raise ValueError("must wait for the phases before it")
+    return [to if i == k else s for i, s in enumerate(phases)]
+
+
+def test_phases_against_a_plain_list(spark):
+    rng = random.Random(9)
+    likely = ["running", "review_pending", "completed"]
+    moves = [(e, s, (s // 3 if rng.random() < 0.9 else rng.randrange(5)), (likely[s % 3] if rng.random() < 0.9 else rng.choice([*likely, "failed", "pending", "odd"]))) for e in range(120) for s in range(rng.randrange(0, 13))]
+    sizes = [(e, e % 5) for e in range(125)]
+    shuffled = rng.sample(moves, len(moves))
+    got = {r["id"]: r for r in audit.advanced(spark.createDataFrame(shuffled, "id int, seq long, phase int, to string"), spark.createDataFrame(sizes, "id int, phases int")).collect()}
+    problems = set()
+    for e, n in sizes:
+        phases, bad = ["pending"] * n, (None, None)
+        for _, seq, phase, to in sorted(m for m in moves if m[0] == e):
+            try:
+                phases = advance(phases, phase, to)
+            except ValueError as error:
+                bad = (seq, str(error))
+                break
+        problems.add(bad[1])
+        assert (got[e]["statuses"], got[e]["bad_seq"], got[e]["problem"]) == (phases, *bad)
+    assert {None, "no such phase", "must wait for the phases before it"} < problems
+
+
+def test_division_by_bitmaps(spark, monkeypatch):
+    monkeypatch.setattr(upsert, "BROADCAST_ROWS", 10)
+    rng = random.Random(4)
+    grid = [(u, r) for u in "abcdef" for r in range(7)]
+    seen = [(f"s{k}", *rng.choice([*grid, ("zz", 1), ("a", 99)])) for k in range(20) for _ in range(rng.randrange(60))] + [("full", *g) for g in grid] * 2
+    df, g = spark.createDataFrame(seen, "m string, u string, r int"), spark.createDataFrame(grid * 2, "u string, r int")
+    subjects = spark.createDataFrame([(f"s{k}",) for k in range(21)] + [("full",)], "m string")
+    have = {(m, u, r) for m, u, r in seen}
+    got = upsert.missing_units(df, subjects, g, "m", ["u", "r"])
+    assert sorted(map(tuple, got.collect())) == sorted((m, u, r) for m in [*(f"s{k}" for k in range(21)), "full"] for u, r in grid if (m, u, r) not in have)
+    done = {r["m"]: (r["covered"], r["complete"]) for r in upsert.is_complete(df, g, "m", ["u", "r"]).collect()}
+    assert done["full"] == (42, True) and all(done[m][0] == len({x for x in have if x[0] == m and x[1:] in grid}) for m in done)
 
 
 def test_latest_ready(spark):
@@ -266,9 +304,15 @@ def test_latest_ready(spark):
     assert tuple(audit.latest_ready(df).first()) == ("b", 1)
 
 
-def test_catalogue_problems(spark):
-    df = spark.createDataFrame([("a",), ("a",), ("b",)], "id string")
-    assert audit.catalogue_problems(df, {"x": ["a"], "y": ["a", "b"], "all": ["a", "b", "c"]}, ["x", "y"], "all") == ["duplicate id a", "a is in two parts", "c is in no part"]
+def test_partition_faults(spark):
+    parts = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("d", "x"), ("e", "x"), ("e", "x"), (None, "x")], "id string, part string")
+    whole = spark.createDataFrame([("a",), ("b",), ("b",), ("c",), ("e",), ("f",)], "id string")
+    found = sorted((str(r["id"]), r["problem"]) for r in audit.partition_faults(parts, whole).collect())
+    assert found == [("None", "is not in the whole"), ("a", "is in two parts"), ("b", "is there more than once"), ("c", "is in no part"), ("d", "is not in the whole"), ("e", "is in a part twice"), ("f", "is in no part")]
+    assert audit.partition_faults(parts.limit(0), whole.limit(0)).count() == 0
+    many = spark.range(300).select(F.col("id").cast("string").alias("id"))
+    assert audit.partition_faults(many.withColumn("part", F.lit("x")), many.unionByName(many)).count() == 300  # no cut
+    assert sorted(map(tuple, audit.set_counts(parts, {"x": 4, "y": 2, "z": 1}).collect())) == [("z", 0, 1)]
 
 
 def test_eta(spark):

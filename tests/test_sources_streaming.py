@@ -5,6 +5,7 @@ import json
 import os
 
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from trialmill.sources import readers, sinks
@@ -136,3 +137,61 @@ def test_gate_and_stall_timer(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.streaming.noDataMicroBatches.enabled")
     assert {r["subject"]: (r["rows"], r["state"]) for r in spark.table("stalls").collect()} == {"a": (3, "active"), "b": (1, "active")}
+
+
+def test_watchdog_over_restarts_and_silence(spark, tmp_path):
+    src, mark = str(tmp_path / "in"), str(tmp_path / "mark")
+    schema = "m string, at long, seq long, stop boolean"
+    got = []
+
+    def run(rows, silent_ms=10**9):
+        spark.createDataFrame(rows, schema).repartition(3).write.mode("append").parquet(src)
+        found = jobs.watchdog(spark.readStream.schema(schema).parquet(src), F.col("m"), F.col("at"), F.col("seq"), F.col("stop"), 3, 100, silent_ms)
+        found.writeStream.outputMode("update").foreachBatch(lambda b, n: got.extend(map(tuple, b.collect()))).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+
+    with jobs.with_rocksdb(spark):
+        run([("a", 30, 3, False), ("a", 10, 1, True), ("a", 20, 2, True), ("b", 10, 4, True), ("b", 20, 5, True), ("c", 5, 6, None), ("d", 0, 7, False)])
+        assert got == []
+        run([("b", 30, 8, True), ("b", 40, 9, True), ("a", 131, 10, False), ("c", 50, 11, None)])
+        assert sorted(got) == [("a", "idle", 130), ("b", "stopped", 30)]
+        run([("b", 900, 12, True), ("a", 990, 13, True), ("c", 60, 14, True)], silent_ms=1)
+        assert sorted(got) == [("a", "idle", 130), ("b", "stopped", 30)]  # each once
+        import time
+
+        time.sleep(0.1)
+        run([("e", 1, 15, False)], silent_ms=10**9)
+        assert sorted(got) == [("a", "idle", 130), ("b", "stopped", 30), ("c", "silent", 60)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass", "").endswith("HDFSBackedStateStoreProvider") or "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
+
+
+def test_outbox_records_each_key_once_whatever_dies(spark, tmp_path):
+    path, src, mark = (str(tmp_path / n) for n in ("box", "in", "mark"))
+    calls = []
+
+    def deliver(some):
+        calls.append(sorted(map(tuple, some.collect())))
+        if len(calls) in (1, 3):
+            raise RuntimeError("lost")
+        return some.withColumn("ok", F.col("attempt") >= F.col("k") % 3)
+
+    def run(rows):
+        spark.createDataFrame([(r,) for r in rows], "k int").write.mode("append").parquet(src)
+        box = jobs.Outbox(spark, path, "k", deliver)
+        q = box.start(spark.readStream.schema("k int").parquet(src), mark)
+        try:
+            q.awaitTermination()
+        except Exception as e:
+            assert "lost" in str(e)  # noqa: PT017
+        return box
+
+    run([0, 1, 2, 2])  # dies
+    box = run([3, 3])
+    assert calls[0] == calls[1]  # the round that died is done again
+    run([1, 4])
+    box = run([0, 5])
+    box.drain()
+    assert sorted((r["k"], r["attempt"]) for r in box.delivered().collect()) == [(k, k % 3) for k in range(6)] and box.pending().count() == 0
+    assert box.drain() == 0
+    before = len(calls)
+    box.round(spark.createDataFrame([(9,)], "k int"), 0)
+    assert len(calls) == before  # that round is there already

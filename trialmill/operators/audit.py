@@ -141,17 +141,29 @@ def crowded(df: DataFrame, subject: str, limit: int) -> DataFrame:
     return df.groupBy(subject).agg(F.count("*").alias("n")).filter(C("n") > limit)
 
 
-def catalogue_problems(scenarios: DataFrame, sets: Mapping[str, Sequence[str]], parts: Sequence[str], whole: str) -> list[str]:
-    """Checks of a scenario catalogue (a small table): unique ids, and parts that are disjoint and cover the whole."""
-    ids = [r[0] for r in scenarios.groupBy("id").count().filter("count > 1").orderBy("id").select("id").limit(100).collect()]
-    problems = [f"duplicate id {i}" for i in ids]
-    seen: set[str] = set()
-    for part in parts:
-        problems += [f"{x} is in two parts" for x in sorted(seen & set(sets[part]))]
-        seen |= set(sets[part])
-    problems += [f"{x} is in no part" for x in sorted(set(sets[whole]) - seen)]
-    problems += [f"{x} is not in {whole}" for x in sorted(seen - set(sets[whole]))]
-    return problems
+def partition_faults(parts: DataFrame, whole: DataFrame) -> DataFrame:
+    """(id, problem) for each way in which parts (part, id) are no partition of a whole (id): one aggregate over all ids.
+
+    Ids that repeat in the whole or in a part, that are in two parts, in none, or in a part but not in the whole.
+    """
+    rows = parts.select("id", C("part").cast("string").alias("part"), F.lit(0).alias("whole")).unionByName(whole.select("id", F.lit(None).cast("string").alias("part"), F.lit(1).alias("whole")))
+    n = rows.groupBy("id").agg(F.sum("whole").alias("n"), F.sum(1 - C("whole")).alias("parts"), F.min("part").alias("first"), F.max("part").alias("last"))
+    say = lambda wrong, text: F.when(F.coalesce(wrong, F.lit(False)), F.lit(text))
+    found = F.array_compact(
+        F.array(
+            say(C("n") > 1, "is there more than once"), say(C("first") < C("last"), "is in two parts"), say((C("parts") > 1) & (C("first") == C("last")), "is in a part twice"),
+            say((C("n") > 0) & (C("parts") == 0), "is in no part"), say((C("n") == 0) & (C("parts") > 0), "is not in the whole"),
+        )
+    )
+    return n.select("id", F.explode(found).alias("problem"))
+
+
+def set_counts(parts: DataFrame, expected: Mapping[str, int]) -> DataFrame:
+    """(part, n, wanted) of sets (part, id) that have another number of distinct ids than they should, those without any too."""
+    wanted = parts.sparkSession.createDataFrame([(k, int(v)) for k, v in expected.items()], "part string, wanted long")
+    got = parts.select(C("part").cast("string").alias("part"), "id").distinct().groupBy("part").agg(F.count("*").alias("n"))
+    both = got.join(wanted, "part", "full_outer").select("part", F.coalesce("n", F.lit(0)).alias("n"), "wanted")
+    return both.filter(~C("n").eqNullSafe(C("wanted")))
 
 
 def identity_mismatches(observed: DataFrame, expected: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -177,13 +189,31 @@ def latest_ready(states: DataFrame) -> DataFrame:
 MOVES = {"pending": ("running",), "running": ("review_pending", "failed"), "review_pending": ("completed", "failed"), "failed": ("running",), "completed": ()}
 
 
-def advance(phases: Sequence[str], k: int, to: str) -> list[str]:
-    """Statuses after phase k moves; a phase starts only once those before it are completed."""
-    if to not in MOVES[phases[k]]:
-        raise ValueError(f"phase {k} cannot go from {phases[k]} to {to}")
-    if to == "running" and any(s != "completed" for s in phases[:k]):
-        raise ValueError(f"phase {k} must wait for the phases before it")
-    return [to if i == k else s for i, s in enumerate(phases)]
+def advanced(moves: DataFrame, experiments: DataFrame, key: str = "id") -> DataFrame:
+    """(key, statuses, bad_seq, problem): each experiment's phases after its moves (key, seq, phase, to), in the order of seq.
+
+    ``experiments`` (key, phases) says how many phases there are; all start as pending. A phase moves as MOVES allow, and starts only
+    once those before it are completed. The first move that breaks a rule ends the fold; bad_seq and problem are null without one. The moves of one
+    experiment, a handful, come together as one array.
+    """
+    allowed = F.array(*[F.lit(f"{a}>{b}") for a, ends in MOVES.items() for b in ends])
+    listed = moves.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "phase", "to"))).alias("moves"))
+    start = F.struct(F.array_repeat(F.lit("pending"), C("phases")).alias("statuses"), F.lit(None).cast("long").alias("bad_seq"), F.lit(None).cast("string").alias("problem"))
+
+    def step(s: Column, m: Column) -> Column:
+        now = F.get(s["statuses"], m["phase"])
+        wrong = (
+            F.when(now.isNull(), "no such phase")
+            .when(~F.array_contains(allowed, F.concat(now, F.lit(">"), m["to"])), F.concat(F.lit("cannot go from "), now, F.lit(" to "), m["to"]))
+            .when((m["to"] == "running") & F.exists(F.slice(s["statuses"], F.lit(1), m["phase"]), lambda x: x != "completed"), "must wait for the phases before it")
+        )
+        moved = F.transform(s["statuses"], lambda x, i: F.when(i == m["phase"], m["to"]).otherwise(x))
+        bad = F.struct(s["statuses"].alias("statuses"), m["seq"].cast("long").alias("bad_seq"), wrong.alias("problem"))
+        good = F.struct(moved.alias("statuses"), s["bad_seq"].alias("bad_seq"), s["problem"].alias("problem"))
+        return F.when(s["problem"].isNotNull(), s).when(wrong.isNotNull(), bad).otherwise(good)
+
+    folded = experiments.join(listed, key, "left").select(key, F.aggregate(F.coalesce("moves", F.array().cast("array<struct<seq:long,phase:int,to:string>>")), start, step).alias("s"))
+    return folded.select(key, "s.*")
 
 
 def flagged_reviews(reviews: DataFrame) -> DataFrame:

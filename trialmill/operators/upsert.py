@@ -4,13 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialmill.operators.ranks import keep_best, last_wins, pick
+from trialmill.operators.ranks import keep_best, last_wins, pick, running_total
+from trialmill.sources.staging import stored
 
 #: Up to so many rows, checked by a count, a side of a cross join is broadcast.
 BROADCAST_ROWS = 100_000
+#: Units in one bitmap.
+BUCKET_BITS = 32768
 
 
 def _broadcast_if_small(df: DataFrame) -> DataFrame:
@@ -66,16 +71,44 @@ def pending(work: DataFrame, specs: DataFrame, done: DataFrame, key: Sequence[st
     return work.crossJoin(_broadcast_if_small(specs)).join(ready, list(key), "left_anti")
 
 
+def _coverage(seen: DataFrame, grid: DataFrame, subject: str, unit: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Expected units by number (bucket, bit), and for each subject and bucket the bitmap of the units it covers."""
+    units = stored(grid.select(*unit).distinct())
+    few = units.count() <= BROADCAST_ROWS  # then one task numbers them
+    units = units.withColumn("__no", F.row_number().over(Window.orderBy(*unit)) - 1) if few else running_total(units, [], list(unit), F.lit(1), "__no")
+    units = units.withColumn("__bucket", F.floor(F.col("__no") / BUCKET_BITS)).withColumn("__bit", (F.col("__no") % BUCKET_BITS).cast("int")).drop("__no")
+    units = units if few else stored(units)
+    near = F.broadcast(units) if few else units
+    bits = seen.select(subject, *unit).join(near, list(unit)).groupBy(subject, "__bucket").agg(F.bitmap_construct_agg("__bit").alias("__map"))
+    return units, bits
+
+
 def missing_units(seen: DataFrame, subjects: DataFrame, grid: DataFrame, subject: str, unit: Sequence[str]) -> DataFrame:
-    """(subject, unit) pairs of the expected grid that no row covers."""
-    return subjects.select(subject).distinct().crossJoin(_broadcast_if_small(grid)).join(seen.select(subject, *unit).distinct(), [subject, *unit], "left_anti")
+    """(subject, unit) pairs of the expected grid that no row covers: relational division by bitmaps.
+
+    Each subject has one bitmap for every BUCKET_BITS units; what is missing is read off its complement, so only missing pairs become rows.
+    """
+    units, bits = _coverage(seen, grid, subject, unit)
+    buckets = units.groupBy("__bucket").agg(F.count("*").cast("int").alias("__size"))
+    wanted = subjects.select(subject).distinct().join(_broadcast_if_small(buckets), how="cross")  # a row for BUCKET_BITS units
+
+    @F.pandas_udf("array<int>")
+    def absent(maps: pd.Series, sizes: pd.Series) -> pd.Series:
+        def one(some: bytes | None, n: int) -> np.ndarray:
+            got = np.unpackbits(np.frombuffer(some, np.uint8), bitorder="little")[:n] if some is not None else np.zeros(n, np.uint8)
+            return np.flatnonzero(got == 0).astype(np.int32)
+
+        return pd.Series([one(m, n) for m, n in zip(maps, sizes, strict=True)], dtype=object)
+
+    left = wanted.join(bits, [subject, "__bucket"], "left").select(subject, "__bucket", F.explode(absent("__map", "__size")).alias("__bit"))
+    return left.join(_broadcast_if_small(units), ["__bucket", "__bit"]).select(subject, *unit)
 
 
 def is_complete(seen: DataFrame, grid: DataFrame, subject: str, unit: Sequence[str]) -> DataFrame:
     """Relational division: subjects with the number of expected units they cover, complete if all."""
-    n = grid.count()
-    covered = seen.join(grid, list(unit), "left_semi").select(subject, *unit).distinct()
-    got = covered.groupBy(subject).agg(F.count("*").alias("covered"))
+    units, bits = _coverage(seen, grid, subject, unit)
+    n = units.count()
+    got = bits.groupBy(subject).agg(F.sum(F.bitmap_count("__map")).alias("covered"))
     return got.withColumn("complete", F.col("covered") == n)
 
 

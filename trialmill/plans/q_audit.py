@@ -126,3 +126,49 @@ def d16(spark, d):
     cells = trials(spark, d).groupBy("bracket").agg(F.max("ts").alias("changed"), (F.count_if(C("det_score") == 1) % 3).alias("n"))
     status = lambda k: F.struct(F.when(C("n") > k, "completed").otherwise("pending").alias("status"))
     return audit.latest_ready(cells.select(C("bracket").alias("id"), "changed", F.array(status(0), status(1)).alias("phases")))
+
+
+_PARTS = (
+    ", whole AS (SELECT seq AS id FROM trials WHERE seq % 97 <> 5 UNION ALL SELECT seq FROM trials WHERE seq % 101 = 7), "
+    "parts AS (SELECT seq AS id, bracket AS part FROM trials WHERE seq % 83 <> 1 UNION ALL SELECT seq, 'extra' FROM trials WHERE seq % 89 = 3 UNION ALL SELECT seq, bracket FROM trials WHERE seq % 71 = 2), "
+    "n AS (SELECT id, sum(w) AS w, count(part) AS p, min(part) AS a, max(part) AS b FROM (SELECT id, NULL AS part, 1 AS w FROM whole UNION ALL SELECT id, part, 0 FROM parts) GROUP BY 1) "
+)
+
+
+@query(
+    "d10_partition",
+    _PARTS + "SELECT id, 'is there more than once' AS problem FROM n WHERE w > 1 UNION ALL SELECT id, 'is in two parts' FROM n WHERE a < b UNION ALL SELECT id, 'is in a part twice' FROM n WHERE p > 1 AND a = b "
+    "UNION ALL SELECT id, 'is in no part' FROM n WHERE w > 0 AND p = 0 UNION ALL SELECT id, 'is not in the whole' FROM n WHERE w = 0 AND p > 0",
+)
+def d10_partition(spark, d):
+    """All trials as a catalogue, their brackets as its parts, with faults of every kind."""
+    t = trials(spark, d).select(C("seq").alias("id"), C("bracket").alias("part"))
+    whole = t.filter("id % 97 <> 5").select("id").unionByName(t.filter("id % 101 = 7").select("id"))
+    parts = t.filter("id % 83 <> 1").unionByName(t.filter("id % 89 = 3").withColumn("part", F.lit("extra"))).unionByName(t.filter("id % 71 = 2"))
+    return audit.partition_faults(parts, whole)
+
+
+@query(
+    "d15_phases",
+    ", e AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY seq) - 1 AS r FROM trials), "
+    "m AS (SELECT model, seq, r, CASE WHEN k % 20 = 9 THEN r // 3 + 1 ELSE r // 3 END AS phase, CASE WHEN k % 16 = 11 THEN 'completed' ELSE ['running', 'review_pending', 'completed'][r % 3 + 1] END AS go FROM e), "
+    "n AS (SELECT model, ((count(*) + 2) // 3)::INT AS phases FROM e GROUP BY 1), "
+    "f AS (WITH RECURSIVE f AS (SELECT model, 0::BIGINT AS r, list_transform(range(0, phases), lambda x: 'pending') AS st, NULL::BIGINT AS bad_seq, NULL::VARCHAR AS problem FROM n UNION ALL "
+    "SELECT model, r + 1, CASE WHEN p IS NULL THEN list_transform(st, lambda x, i: CASE WHEN i = phase + 1 THEN go ELSE x END) ELSE st END, CASE WHEN p IS NOT NULL THEN seq END, p FROM ("
+    "SELECT f.model, f.r, st, seq, phase, go, CASE WHEN phase >= len(st) THEN 'no such phase' "
+    "WHEN concat(st[phase + 1], '>', go) NOT IN ('pending>running', 'running>review_pending', 'running>failed', 'review_pending>completed', 'review_pending>failed', 'failed>running') THEN concat('cannot go from ', st[phase + 1], ' to ', go) "
+    "WHEN go = 'running' AND len(list_filter(st[1:phase], lambda x: x <> 'completed')) > 0 THEN 'must wait for the phases before it' END AS p "
+    "FROM f JOIN m ON m.model = f.model AND m.r = f.r WHERE problem IS NULL)) SELECT * FROM f) "
+    "SELECT model, array_to_string(st, ',') AS statuses, bad_seq, problem FROM f QUALIFY row_number() OVER (PARTITION BY model ORDER BY r DESC) = 1",
+)
+def d15(spark, d):
+    """Each subject's trials as moves of its phases, three a phase, with some that break a rule."""
+    from pyspark.sql import Window
+
+    t = trials(spark, d).select("model", "seq", "k")
+    place = F.row_number().over(Window.partitionBy("model").orderBy("seq")) - 1
+    third = F.floor(C("r") / 3).cast("int")
+    to = F.when(C("k") % 16 == 11, "completed").otherwise(F.element_at(F.array(F.lit("running"), F.lit("review_pending"), F.lit("completed")), C("r") % 3 + 1))
+    moves = t.withColumn("r", place).select("model", C("seq").cast("long").alias("seq"), F.when(C("k") % 20 == 9, third + 1).otherwise(third).alias("phase"), to.alias("to"))
+    sizes = t.groupBy("model").agg(F.ceil(F.count("*") / 3).cast("int").alias("phases"))
+    return audit.advanced(moves, sizes, "model").withColumn("statuses", F.array_join("statuses", ","))

@@ -6,16 +6,18 @@ repeated rows; state is bounded by the number of keys of the run.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from trialmill.operators.ranks import pick
+from trialmill.sources.staging import stored
 
 C = F.col
 
@@ -161,6 +163,142 @@ def stall_timer(stream: DataFrame, subject: str, idle_ms: int) -> DataFrame:
     return stream.groupBy(subject).applyInPandasWithState(step, STALL_OUT, STALL_STATE, "update", GroupStateTimeout.ProcessingTimeTimeout)
 
 
+WATCH_OUT = "subject string, reason string, at long"
+
+
+class _Watch(StatefulProcessor):
+    """State of a run: when it last made progress, how often in a row it has stopped since, and whether it was reported."""
+
+    def __init__(self, stops: int, idle_ms: int, silent_ms: int) -> None:
+        self.stops, self.idle_ms, self.silent_ms = stops, idle_ms, silent_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.run = handle.getValueState("run", "last long, stopped int, failed boolean")
+
+    def _found(self, key: tuple, reason: str, at: int) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], reason, at)], columns=["subject", "reason", "at"])
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, stopped, failed = self.run.get() if self.run.exists() else (None, 0, False)
+        batch = pd.concat(list(rows)).sort_values(["at", "seq"])
+        for at, stop in zip(batch["at"].tolist(), batch["stopped"].tolist(), strict=True):
+            if failed:
+                break
+            if last is not None and at - last > self.idle_ms:
+                failed = True
+                yield self._found(key, "idle", last + self.idle_ms)
+            else:
+                stopped = stopped + 1 if stop else 0
+                if stopped >= self.stops:
+                    failed = True
+                    yield self._found(key, "stopped", at)
+            last = at
+        self.run.update((last, stopped, failed))
+        for timer in self.handle.listTimers():
+            self.handle.deleteTimer(timer)
+        if not failed:
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.silent_ms)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last, stopped, _ = self.run.get()
+        self.run.update((last, stopped, True))
+        yield self._found(key, "silent", last)
+
+    def close(self) -> None:
+        pass
+
+
+def watchdog(stream: DataFrame, subject: Column, at: Column, seq: Column, stopped: Column, stops: int = 10, idle_ms: int = 180_000, silent_ms: int = 180_000) -> DataFrame:
+    """Runs that fail, each once: (subject, reason, at), in update mode.
+
+    ``stopped``: so many rows in a row say that the run has stopped. ``idle``: its rows are further apart than ``idle_ms`` by their own times
+    (milliseconds). ``silent``: nothing came for ``silent_ms`` of processing time, by a timer that each batch of the run sets anew. Batches
+    come in the order of their times; rows of a batch are put in order. The state store must be RocksDB's (``with_rocksdb``).
+    """
+    rows = stream.select(subject.cast("string").alias("subject"), at.cast("long").alias("at"), seq.cast("long").alias("seq"), F.coalesce(stopped, F.lit(False)).alias("stopped"))
+    return rows.groupBy("subject").transformWithStateInPandas(_Watch(stops, idle_ms, silent_ms), WATCH_OUT, "Update", "ProcessingTime")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, and make no batches without data."""
+    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+class Outbox:
+    """Deliveries that are tried again until they succeed: a versioned table of pending keys (key, attempt, due) and one of delivered ones.
+
+    A round takes the new keys and those that are due, hands them to ``deliver`` and writes the next version of both tables: what was
+    delivered, and what is pending with one attempt more and its next due round (1, 2, 4, ... rounds on, up to ``longest``). A version counts once both
+    of its folders are committed; a round that died is done again over the same input, so a key is recorded once, whatever was lost.
+    ``deliver`` takes (key, attempt) and returns it with a flag ``ok``; it may see a key again whose round died after it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, key: str, deliver: Callable[[DataFrame], DataFrame], longest: int = 64) -> None:
+        self.spark, self.path, self.key, self.deliver, self.longest = spark, path, key, deliver, longest
+
+    def _done(self) -> list[int]:
+        sides = [{int(n.rpartition("v=")[2].partition("/")[0]) for n in _matches(self.spark, f"{self.path}/{side}/v=*/_SUCCESS")} for side in ("pending", "delivered")]
+        return sorted(sides[0] & sides[1])
+
+    def _read(self, side: str, versions: Sequence[int], kind: str) -> DataFrame | None:
+        return self.spark.read.schema(kind).parquet(*[f"{self.path}/{side}/v={v:010d}" for v in versions]) if versions else None
+
+    def pending(self) -> DataFrame | None:
+        done = self._done()
+        return None if not done else self.spark.read.parquet(f"{self.path}/pending/v={done[-1]:010d}")
+
+    def delivered(self) -> DataFrame | None:
+        done = self._done()
+        return None if not done else self.spark.read.parquet(*[f"{self.path}/delivered/v={v:010d}" for v in done])
+
+    def round(self, new: DataFrame | None, number: int) -> None:
+        """Round ``number`` with new keys; nothing if it is there already."""
+        done = self._done()
+        if number in done:
+            return
+        earlier = [v for v in done if v < number]
+        fresh = None if new is None else new.select(self.key).distinct().select(self.key, F.lit(0).alias("attempt"), F.lit(number).cast("long").alias("due"))
+        if earlier:
+            kind = f"{self.key} {dict(self.spark.read.parquet(f'{self.path}/pending/v={earlier[-1]:010d}').dtypes)[self.key]}, attempt int, due long"
+            waiting, sent = self._read("pending", earlier[-1:], kind), self._read("delivered", earlier, kind)
+            if fresh is not None:
+                waiting = waiting.unionByName(fresh.join(waiting, self.key, "left_anti").join(sent, self.key, "left_anti"))
+        else:
+            waiting = fresh
+        if waiting is None:
+            return
+        waiting = stored(waiting)
+        tried = stored(self.deliver(waiting.filter(C("due") <= number).select(self.key, "attempt")).select(self.key, "attempt", F.coalesce("ok", F.lit(False)).alias("ok")))
+        again = tried.filter(~C("ok")).select(self.key, (C("attempt") + 1).alias("attempt"), (F.lit(number) + F.least(F.lit(self.longest), F.pow(F.lit(2), "attempt"))).cast("long").alias("due"))
+        for side, rows in (("delivered", tried.filter("ok").select(self.key, "attempt", F.lit(number).cast("long").alias("due"))), ("pending", waiting.filter(C("due") > number).unionByName(again))):
+            rows.write.mode("overwrite").parquet(f"{self.path}/{side}/v={number:010d}")
+
+    def start(self, stream: DataFrame, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+        """A round for each batch of a stream of keys."""
+        writer = stream.writeStream.foreachBatch(lambda batch, number: self.round(batch, number)).option("checkpointLocation", checkpoint)
+        return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+    def drain(self, most: int = 1000) -> int:
+        """Rounds without new keys until none is pending; says how many. Rounds in which nothing is due are skipped."""
+        for k in range(most):
+            waiting = self.pending()
+            first = None if waiting is None else waiting.agg(F.min("due")).first()[0]
+            if first is None:
+                return k
+            self.round(None, max(first, self._done()[-1] + 1))
+        raise RuntimeError(f"keys are still pending after {most} rounds")
+
+
 def live_progress(stream: DataFrame) -> DataFrame:
     """Running totals (complete mode): rows, energy, seconds."""
     return stream.groupBy("model").agg(F.count("*").alias("rows"), F.sum("wall_s").alias("wall_s"), F.max(F.struct("seq", "scenario")).alias("last"))
