@@ -14,12 +14,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialmill.operators.ranks import average_rank, seeded, value_ranks
+from trialmill.operators.ranks import average_rank, seeded, uniform, value_ranks
 from trialmill.sources.staging import stored
 
 C = F.col
-#: Random draws of one task.
-DRAW_BLOCK = 1000
+#: Random draws that one row is dealt out for, equal values that are drawn for together, and parts of a stratum.
+DRAW_BLOCK, POISSON_ROWS, SALTS = 1000, 256, 256
+#: Steps that one coarse step stands for when a weight is looked up.
+POISSON_STRIDE = 16
 #: Points that one task compares when inversions are counted.
 BLOCK_ROWS = 1 << 20
 
@@ -333,44 +335,45 @@ def normal_ci(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
     return s.select(*group, "n", m.alias("mean"), F.when(C("n") >= 2, m - half).alias("low"), F.when(C("n") >= 2, m + half).alias("high"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, group: str, draws: int = 10_000, seed: int = 0, salts: int = 32) -> DataFrame:
+def poisson_steps(rates: DataFrame) -> DataFrame:
+    """(n, least, steps, coarse) for whole rates n: the cumulative probabilities of Poisson(n) from ``least`` on, to ten deviations and more on either side, and every POISSON_STRIDE-th of them."""
+    spread = 10 * F.sqrt(C("n").cast("double"))
+    ends = rates.select(C("n").cast("long").alias("n")).distinct().select("n", F.greatest(F.floor(C("n") - spread) - 10, F.lit(0)).alias("least"), (F.ceil(C("n") + spread) + 20).alias("most"))
+    terms = ends.select("n", "least", F.explode(F.sequence("least", "most")).alias("k"))
+    mass = F.exp(-C("n").cast("double") + C("k") * F.log(C("n").cast("double")) - log_gamma(C("k").cast("double") + 1))
+    upto = F.sum(mass).over(Window.partitionBy("n").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    listed = terms.select("n", "least", "k", upto.alias("p")).groupBy("n", "least").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("s"))
+    steps = listed.select("n", "least", F.transform("s", lambda x: x["p"]).alias("steps"))
+    every = F.sequence(F.lit(POISSON_STRIDE), F.size("steps"), F.lit(POISSON_STRIDE))
+    return steps.withColumn("coarse", F.when(F.size("steps") >= POISSON_STRIDE, F.transform(every, lambda k: F.get("steps", k - 1))).otherwise(F.array().cast("array<double>")))
+
+
+def bootstrap_ci(df: DataFrame, value: str, group: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """Mean and a 95 % interval by the Poisson bootstrap, which needs no group in one place.
 
-    Every row has weight Poisson(1) in each of ``draws`` resamples. Each task sums the weighted
-    values of its rows (in numpy) for one block of draws, sums meet in a grouped aggregate, and the interval is the 2.5 to 97.5 percentile
-    of the resampled means. Rows are salted by value, so equal runs give equal intervals.
+    Every row has weight Poisson(1) in each of ``draws`` resamples, so POISSON_ROWS equal values or fewer have a weight Poisson(their number)
+    together. Weights come from counters by inversion (``uniform``), so any run, and any engine, draws the same. Weighted sums meet in a grouped
+    aggregate, and the interval is the 2.5 to 97.5 percentile of the resampled means (one row a draw).
     """
-    x = df.filter(C(value).isNotNull()).groupBy(C(group).alias("g"), C(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-
-    def resample(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["v"])
-        block = int(pdf["block"].iloc[0])
-        rng = np.random.default_rng([seed, abs(hash_text(str(pdf["g"].iloc[0]))), int(pdf["salt"].iloc[0]), block])
-        numbers = np.arange(block * DRAW_BLOCK, min((block + 1) * DRAW_BLOCK, draws))
-        totals, weights = np.zeros(len(numbers)), np.zeros(len(numbers))
-        for v, n in zip(pdf["v"], pdf["n"], strict=True):
-            w = rng.poisson(n, len(numbers))
-            totals += w * v
-            weights += w
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "draw": numbers, "total": totals, "weight": weights})
-
-    salted = x.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(salts)).cast("int"))
-    salted = salted.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((draws - 1) // DRAW_BLOCK))))
-    parts = salted.groupBy("g", "salt", "block").applyInPandas(resample, "g string, draw long, total double, weight double")
-    means = parts.groupBy("g", "draw").agg((F.sum("total") / F.sum("weight")).alias("m"))
+    x = df.filter(C(value).isNotNull()).groupBy(C(group).alias("g"), C(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
+    x = stored(x)
+    parts = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((C("c") - 1) / POISSON_ROWS).cast("int"))))
+    parts = parts.withColumn("n", F.least(C("c") - C("part") * POISSON_ROWS, F.lit(POISSON_ROWS)))
+    steps = F.broadcast(poisson_steps(parts))  # POISSON_ROWS rows at most
+    blocks = df.sparkSession.range(0, draws, DRAW_BLOCK).select(C("id").alias("block"))
+    spark = df.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = parts.join(F.broadcast(blocks)).repartition(tasks)  # a row a block of draws
+    drawn = dealt.select("g", "v", "part", "n", F.explode(F.sequence("block", F.least(C("block") + DRAW_BLOCK, F.lit(draws)) - 1)).alias("draw"))
+    drawn = drawn.withColumn("u", uniform(seed, C("g"), C("v"), C("part"), C("draw"))).join(steps, "n")
+    skipped = POISSON_STRIDE * F.size(F.filter("coarse", lambda p: p < C("u")))
+    weight = C("least") + C("skipped") + F.size(F.filter(F.slice("steps", C("skipped") + 1, F.lit(POISSON_STRIDE)), lambda p: p < C("u")))
+    means = drawn.withColumn("skipped", skipped).withColumn("w", weight).groupBy("g", "draw").agg((F.sum(C("w") * C("v")) / F.sum("w")).alias("m"))
     bounds = means.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    exact = x.groupBy("g").agg((F.sum(C("v") * C("n")) / F.sum("n")).alias("mean"), F.sum("n").alias("n"))
+    exact = x.groupBy("g").agg((F.sum(C("v") * C("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
     return exact.join(bounds, "g").select(C("g").alias(group), "n", "mean", "low", "high")
 
 
-def hash_text(text: str) -> int:
-    """A stable small hash for seeds."""
-    h = 2166136261
-    for b in text.encode():
-        h = (h ^ b) * 16777619 & 0xFFFFFFFF
-    return h
-
-
 def bracket_gate(intervals: DataFrame, key: str, candidate: str, reference: str, lift: float = 0.05) -> DataFrame:
     """Whether a candidate group is worth its cost: its mean is higher by ``lift`` and its interval lies above the reference's."""
     c = intervals.filter(C(key) == candidate).select(C("mean").alias("cm"), C("low").alias("cl"))
@@ -392,9 +395,11 @@ def stratified(df: DataFrame, stratum: str, key: Sequence[str], n: int, seed: in
         quota[max(quota, key=lambda s: (quota[s], str(s)))] -= 1
     while sum(quota.values()) < goal:
         quota[min((s for s in quota if quota[s] < sizes[s]), key=lambda s: (quota[s] / sizes[s], str(s)))] += 1
-    place = F.row_number().over(Window.partitionBy(stratum).orderBy(seeded(seed, key), *key))
     wanted = df.sparkSession.createDataFrame(list(quota.items()) or [(None, 0)], f"{stratum} string, __quota int")
-    return df.withColumn("__place", place).join(F.broadcast(wanted), stratum).filter("__place <= __quota").drop("__place", "__quota")
+    rows = df.join(F.broadcast(wanted), stratum).withColumn("__draw", seeded(seed, key)).withColumn("__salt", F.pmod(F.xxhash64("__draw"), F.lit(SALTS)))
+    for by in ([stratum, "__salt"], [stratum]):  # the first of each part, then the first of these
+        rows = rows.withColumn("__place", F.row_number().over(Window.partitionBy(*by).orderBy("__draw", *key))).filter("__place <= __quota")
+    return rows.drop("__place", "__quota", "__draw", "__salt")
 
 
 def overhead_pct(clean: Column, instrumented: Column) -> Column:

@@ -196,6 +196,12 @@ def seeded(seed: int, key: Sequence[str]) -> Column:
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *[C(k).cast("string") for k in key]).cast("binary"))
 
 
+def uniform(seed: int, *index: Column) -> Column:
+    """A number in [0, 1) for each index (columns, joined by colons as texts): the first 52 bits of an md5, so that any engine draws the same."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[c.cast("string") for c in index])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
+
+
 def seeded_order(df: DataFrame, key: Sequence[str], seed: int, into: str = "draw") -> DataFrame:
     """A shuffle that each run repeats, by the column ``into``."""
     return df.withColumn(into, seeded(seed, key)).orderBy(into, *key)

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trialmill.functions.derive import UNSAFE
-from trialmill.operators.ranks import beside, position_ranks, running_total
+from trialmill.operators.ranks import beside, position_ranks, running_total, uniform
 from trialmill.sources.staging import stored
 
 C = F.col
@@ -211,17 +211,17 @@ def weighted_winners(df: DataFrame, vectors: dict[str, Sequence[float]], axes: S
     return scored.groupBy("weights").agg(F.min(F.struct((-C("score")).alias("s"), C(name).alias("n"))).alias("b")).select("weights", C("b.n").alias(name), (-C("b.s")).alias("score"))
 
 
-def acceptability(df: DataFrame, axes: Sequence[str], name: str, draws: int = 100_000, seed: int = 0) -> DataFrame:
+def acceptability(df: DataFrame, axes: Sequence[str], name: str, draws: int = 100_000, seed: int = 0, every: bool = False) -> DataFrame:
     """Share of random weight vectors (Dirichlet) under which each subject scores best; first by name on ties.
 
-    Weights are positive, so only subjects that no other dominates can win: only these are scored.
+    Weights are positive, so only subjects that no other dominates can win: only these are scored, unless ``every`` is set.
+    Vectors come from counters (``uniform``), so any engine draws the same.
     """
     tasks = -(-draws // DRAW_BLOCK)
-    far = 1_000_003  # a task adds its number to the seed: axes must not meet each other's streams
-    raw = df.sparkSession.range(0, draws, 1, tasks).select("id", *[(-F.log(1 - F.rand((seed * len(axes) + k) * far))).alias(f"__w{k}") for k in range(len(axes))])
+    raw = df.sparkSession.range(0, draws, 1, tasks).select("id", *[(-F.log(1 - uniform(seed, F.lit(k), C("id")))).alias(f"__w{k}") for k in range(len(axes))])
     total = sum((C(f"__w{k}") for k in range(len(axes))), F.lit(0.0))
     score = sum((C(f"__w{k}") / total * C(c) for k, c in enumerate(axes)), F.lit(0.0))
-    scored = raw.join(front(df.select(name, *axes), axes)).select("id", name, score.alias("score"))
+    scored = raw.join(stored(df.select(name, *axes) if every else front(df.select(name, *axes), axes))).select("id", name, score.alias("score"))
     wins = scored.groupBy("id").agg(F.min(F.struct((-C("score")).alias("s"), C(name).alias("n"))).alias("b")).groupBy(C("b.n").alias(name)).agg(F.count("*").alias("wins"))
     return df.select(name).join(wins, name, "left").select(name, (F.coalesce("wins", F.lit(0)) / draws).alias("acceptability"))
 

@@ -257,7 +257,17 @@ def a35(spark, d):
     return ag.normal_ci(trials(spark, d), "det_score", ["bracket"])
 
 
-@query("a34_bootstrap_interval")
+_BOOT = (
+    ", c AS (SELECT bracket AS g, det_score::DOUBLE AS v, count(*) AS c FROM trials WHERE det_score IS NOT NULL GROUP BY 1, 2), s AS (SELECT g, v, c, part, least(c - 256 * part, 256) AS n FROM (SELECT *, unnest(range(0, (c + 255) // 256)) AS part FROM c)), "
+    "e AS (SELECT n, greatest(floor(n - 10 * sqrt(n)) - 10, 0)::INT AS least_, (ceil(n + 10 * sqrt(n)) + 20)::INT AS most FROM (SELECT DISTINCT n FROM s)), "
+    "t AS (SELECT n, least_, list(p ORDER BY k) AS steps FROM (SELECT n, least_, k, sum(exp(-n::DOUBLE + k * ln(n) - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS p FROM (SELECT *, unnest(range(least_, most + 1)) AS k FROM e)) GROUP BY 1, 2), "
+    "w AS (SELECT g, d, v, least_ + len(list_filter(steps, lambda p: p < u)) AS w FROM (SELECT g, d, v, least_, steps, ('0x' || substr(md5(concat('7:', g, ':', v, ':', part, ':', d)), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0 AS u FROM s JOIN t USING (n), range(0, 10000) r(d))), "
+    "m AS (SELECT g, d, sum(w * v) / sum(w) AS m FROM w GROUP BY 1, 2), b AS (SELECT g, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high FROM m GROUP BY 1) "
+    "SELECT g AS bracket, sum(c)::BIGINT AS n, sum(c * v) / sum(c) AS mean, any_value(low) AS low, any_value(high) AS high FROM c JOIN b USING (g) GROUP BY 1"
+)
+
+
+@query("a34_bootstrap_interval", _BOOT)
 def a34(spark, d):
     return ag.bootstrap_ci(trials(spark, d), "det_score", "bracket", seed=7)
 
@@ -276,7 +286,16 @@ def e16(spark, d):
     return ag.bracket_gate(ag.normal_ci(trials(spark, d), "det_score", ["bracket"]), "bracket", "4-5GB", "0-1B")
 
 
-@query("e18_stratified_sample")
+@query(
+    "e18_stratified_sample",
+    ", c AS (SELECT class AS s, count(*) AS c FROM trials GROUP BY 1), t AS (SELECT sum(c) AS total FROM c), "
+    "q AS (WITH RECURSIVE q AS (SELECT list({'s': s, 'c': c, 'q': least(c, greatest(2, floor(50 * c / total::DOUBLE)::BIGINT))}) AS l FROM c, t UNION ALL "
+    "SELECT list_transform(l, lambda x: {'s': x.s, 'c': x.c, 'q': x.q + CASE WHEN x.s <> pick THEN 0 WHEN over THEN -1 ELSE 1 END}) FROM (SELECT l, list_sum(list_transform(l, lambda x: x.q)) > 50 AS over, "
+    "CASE WHEN list_sum(list_transform(l, lambda x: x.q)) > 50 THEN list_sort(list_transform(l, lambda x: {'a': x.q, 'b': x.s}))[-1].b "
+    "ELSE list_sort(list_transform(list_filter(l, lambda x: x.q < x.c), lambda x: {'a': x.q / x.c::DOUBLE, 'b': x.s}))[1].b END AS pick FROM q WHERE list_sum(list_transform(l, lambda x: x.q)) <> least(50, list_sum(list_transform(l, lambda x: x.c))))) "
+    "SELECT unnest(l) AS x FROM q WHERE list_sum(list_transform(l, lambda x: x.q)) = least(50, list_sum(list_transform(l, lambda x: x.c)))) "
+    "SELECT model, scenario, rep, class FROM trials JOIN q ON q.x.s = class QUALIFY row_number() OVER (PARTITION BY class ORDER BY md5(concat('7:', model, ':', scenario, ':', rep)), model, scenario, rep) <= q.x.q",
+)
 def e18(spark, d):
     return ag.stratified(trials(spark, d), "class", KEY, 50, 7).select(*KEY, "class")
 

@@ -83,16 +83,25 @@ def m6(spark, d):
     return sel.floor_curve(axes(spark, d), "quality", "safety")
 
 
-@query("m7_acceptability")
+_DRAWN = ", ".join(f"-ln(1 - ('0x' || substr(md5('3:{k}:' || id), 1, 13))::UBIGINT::DOUBLE / 4503599627370496.0) AS w{k}" for k in range(3))
+
+
+@query(
+    "m7_acceptability",
+    AXES + f", u AS (SELECT *, 0e0 + w0 + w1 + w2 AS t FROM (SELECT id, {_DRAWN} FROM range(0, 100000) r(id))), f AS (SELECT * FROM nrm WHERE model IN (SELECT model FROM front)), "
+    "sc AS (SELECT id, model, 0e0 + w0 / t * n_quality + w1 / t * n_safety + w2 / t * n_energy AS score FROM u, f), "
+    "w AS (SELECT model, count(*) AS wins FROM (SELECT id, model FROM sc QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, model) = 1) GROUP BY 1) "
+    "SELECT model, coalesce(wins, 0) / 100000::DOUBLE AS acceptability FROM axes LEFT JOIN w USING (model)",
+)
 def m7(spark, d):
     return sel.acceptability(sel.normalised(axes(spark, d), UP, DOWN), ["n_quality", "n_safety", "n_energy"], "model", seed=3)
 
 
 @query("m7_only_the_front_wins", AXES + "SELECT model, true AS ok, 1e0 AS total FROM axes")
 def m7_winners(spark, d):
-    """What must hold whatever is drawn: only subjects on the front win, and the shares add up."""
+    """What must hold whatever is drawn, all subjects being scored: only those on the front win, and the shares add up."""
     found = axes(spark, d)
-    shares = sel.acceptability(sel.normalised(found, UP, DOWN), ["n_quality", "n_safety", "n_energy"], "model", draws=5000, seed=3)
+    shares = sel.acceptability(sel.normalised(found, UP, DOWN), ["n_quality", "n_safety", "n_energy"], "model", seed=3, every=True)
     best = sel.front(found, UP, DOWN).select("model", F.lit(True).alias("best"))
     total = shares.agg(F.round(F.sum("acceptability"), 9).alias("total"))  # one row
     ok = (C("acceptability") == 0) | F.coalesce("best", F.lit(False))
