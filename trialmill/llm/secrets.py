@@ -2,7 +2,9 @@
 
 Two character Markov chains are counted from labelled samples: one of secrets, one of ordinary
 identifiers. A token whose transitions are likelier under the first, by enough in all and on
-average, is reported too. Everything runs on DataFrame functions: positions come from the lengths
+average, is reported too. What no pattern finds counts as ordinary, and may be a secret all the same; so documents go into two folds by a hash
+of their text, and tokens are judged by the chains of the other fold: none helps to train the chain that judges it, nor does a copy of its document.
+The weight of unseen transitions is chosen for each class by how likely the pairs of one fold are under the chain of the other. Everything runs on DataFrame functions: positions come from the lengths
 of matches and of the gaps between them, likelihoods from a constant table of log ratios.
 
 Running sums over an array go by blocks of BLOCK items, and a token is split into characters
@@ -103,50 +105,104 @@ def pattern_spans(text: Column) -> Column:
     return F.array_sort(F.concat(*found))
 
 
-def transitions(tokens: DataFrame) -> dict[tuple[bool, str], int]:
-    """Counts of character pairs of tokens (token, is_secret); at most 2 x STATES^2 rows come back."""
+#: Weights of a pair of characters that was not seen, to choose from.
+PRIORS = (0.02, 0.1, 0.5, 2.0, 8.0)
+FOLDS = 2
+#: Counts of character pairs by fold, class and pair.
+Counts = dict[tuple[int, bool, str], int]
+
+
+def fold_of(text: Column) -> Column:
+    """The fold of a document: equal texts have the same."""
+    return F.pmod(F.xxhash64(F.lit(11), text), F.lit(FOLDS)).cast("int")
+
+
+def transitions(tokens: DataFrame) -> Counts:
+    """Counts of character pairs of tokens (token, is_secret, fold); at most 2 x FOLDS x STATES^2 rows come back."""
     long = tokens.filter(F.length("token") > 1)
-    pairs = long.select("is_secret", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"), "token").select(
-        "is_secret", F.substring(F.col("token"), F.col("i"), F.lit(2)).alias("pair")
+    pairs = long.select("fold", "is_secret", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"), "token").select(
+        "fold", "is_secret", F.substring(F.col("token"), F.col("i"), F.lit(2)).alias("pair")
     )
-    return {(r["is_secret"], r["pair"]): r["n"] for r in pairs.groupBy("is_secret", "pair").agg(F.count("*").alias("n")).collect()}
+    # a character outside the alphabet is state 0, whichever it is
+    known = F.translate("pair", ALPHABET, "a" * len(ALPHABET))
+    one = lambda k: F.when(F.substring(known, k, 1) == "a", F.substring("pair", k, 1)).otherwise(F.lit("?"))
+    pairs = pairs.withColumn("pair", F.concat(one(1), one(2)))
+    return {(r["fold"], r["is_secret"], r["pair"]): r["n"] for r in pairs.groupBy("fold", "is_secret", "pair").agg(F.count("*").alias("n")).collect()}
 
 
-def log_ratios(counts: dict[tuple[bool, str], int]) -> list[float] | None:
-    """log P(b | a, secret) - log P(b | a, identifier) at a * STATES + b; None if a class is missing."""
+def _cells(counts: Counts, folds: set[int], label: bool) -> list[int]:
     index = {c: k + 1 for k, c in enumerate(ALPHABET)}
-    logs = []
-    for label, prior in ((True, 2.0), (False, 0.5)):  # secrets are few and near uniform
-        table = [prior] * (STATES * STATES)
-        seen = False
-        for (is_secret, pair), n in counts.items():
-            if is_secret == label and len(pair) == 2:
-                table[index.get(pair[0], 0) * STATES + index.get(pair[1], 0)] += n
-                seen = True
-        if not seen:
-            return None
-        sums = [sum(table[a * STATES : (a + 1) * STATES]) for a in range(STATES)]
-        logs.append([math.log(x / sums[k // STATES]) for k, x in enumerate(table)])
-    return [p - q for p, q in zip(*logs, strict=True)]
+    table = [0] * (STATES * STATES)
+    for (fold, is_secret, pair), n in counts.items():
+        if fold in folds and is_secret == label and len(pair) == 2:
+            table[index.get(pair[0], 0) * STATES + index.get(pair[1], 0)] += n
+    return table
+
+
+def _logs(cells: list[int], prior: float) -> list[float]:
+    sums = [sum(cells[a * STATES : (a + 1) * STATES]) + prior * STATES for a in range(STATES)]
+    return [math.log((n + prior) / sums[k // STATES]) for k, n in enumerate(cells)]
+
+
+def fitted_prior(counts: Counts, label: bool, default: float) -> float:
+    """The weight under which each fold's pairs are likeliest by the other fold's chain; the default without two folds."""
+    folds = [_cells(counts, {f}, label) for f in range(FOLDS)]
+    if not all(map(sum, folds)):
+        return default
+    gain = {p: sum(n * q for f in range(FOLDS) for n, q in zip(folds[f], _logs(folds[1 - f], p), strict=True) if n) for p in PRIORS}
+    return max(PRIORS, key=gain.__getitem__)
+
+
+def log_ratios(counts: Counts, folds: set[int] | None = None) -> list[float] | None:
+    """log P(b | a, secret) - log P(b | a, identifier) at a * STATES + b, learned from these folds (all by default); None if a class is missing."""
+    folds = set(range(FOLDS)) if folds is None else folds
+    secret, ordinary = (_cells(counts, folds, label) for label in (True, False))
+    if not sum(secret) or not sum(ordinary):
+        return None
+    p, q = _logs(secret, fitted_prior(counts, True, 2.0)), _logs(ordinary, fitted_prior(counts, False, 0.5))
+    return [a - b for a, b in zip(p, q, strict=True)]
+
+
+def judges(counts: Counts) -> list[list[float]] | None:
+    """For each fold the table that judges its documents: that of the other fold, or of all where the other one lacks a class."""
+    every = log_ratios(counts)
+    return every and [log_ratios(counts, {1 - f}) or every for f in range(FOLDS)]
 
 
 def labelled_tokens(docs: DataFrame, secret_docs: int = 20_000, ordinary_docs: int = 2_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Labelled samples (token, is_secret) out of a corpus: what the patterns find, and the other tokens.
+    """Labelled samples (token, is_secret, fold) out of a corpus: what the patterns find, and the other tokens.
 
     About ``secret_docs`` and ``ordinary_docs`` rows are read for them, chosen by a hash of the id.
     """
     n = max(docs.count(), 1)
     place = F.pmod(F.xxhash64(F.lit(5), F.col(id_col)), F.lit(1_000_000))
     text = F.col(text_col).cast("string")
-    chosen = lambda rows: docs.filter(text.isNotNull() & (place < int(1_000_000 * min(1.0, rows / n)) + 1)).select(text.alias("t"))
-    secrets = chosen(secret_docs).select(F.explode(pattern_spans(F.col("t"))).alias("x")).select(F.col("x.v").alias("token"), F.lit(True).alias("is_secret"))
+    chosen = lambda rows: docs.filter(text.isNotNull() & (place < int(1_000_000 * min(1.0, rows / n)) + 1)).select(text.alias("t"), fold_of(text).alias("fold"))
+    secrets = chosen(secret_docs).select(F.explode(pattern_spans(F.col("t"))).alias("x"), "fold").select(F.col("x.v").alias("token"), F.lit(True).alias("is_secret"), "fold")
     bare = F.col("t")
     for _, pattern, _, _ in KINDS:
         bare = F.regexp_replace(bare, pattern, " ")
-    ordinary = chosen(ordinary_docs).select(F.explode(F.regexp_extract_all(bare, F.lit(CANDIDATE), F.lit(0))).alias("token"), F.lit(False).alias("is_secret"))
+    ordinary = chosen(ordinary_docs).select(F.explode(F.regexp_extract_all(bare, F.lit(CANDIDATE), F.lit(0))).alias("token"), F.lit(False).alias("is_secret"), "fold")
     return secrets.unionByName(ordinary)
 
 
+def held_out(tokens: DataFrame, least_total: float = 12.0, least_mean: float = 0.5) -> DataFrame:
+    """How distinct labelled tokens (token, is_secret, fold) of six characters or more are judged by the other fold's chains: (is_secret, n, flagged).
+
+    The flagged share of secrets is the recall; that of ordinary tokens is an upper bound of the false alarms, as some of these are secrets without a label.
+    """
+    tables = judges(transitions(tokens))
+    rows = tokens.filter(F.length("token") >= 6).distinct()
+    flagged = F.lit(False)
+    for f, table in enumerate(tables or ()):
+        flagged = F.when(F.col("fold") == f, is_random(F.col("token"), table, least_total, least_mean)).otherwise(flagged)
+    return rows.groupBy("is_secret").agg(F.count("*").alias("n"), F.count_if(flagged).alias("flagged"))
+
+
+def is_random(token: Column, table: list[float], least_total: float, least_mean: float) -> Column:
+    return log_ratio(token, table) >= F.greatest(F.lit(least_total), least_mean * (F.length(token) - 1))
+
+
 def log_ratio(token: Column, table: list[float]) -> Column:
     """Log-likelihood ratio of a token: positive for random strings, 0 for less than two characters."""
     values = F.expr("array(" + ",".join(f"{x:.6f}D" for x in table) + ")")
@@ -183,10 +239,14 @@ def scan(
     ``tokens`` are labelled samples (token, is_secret); by default they come from the corpus.
     """
     unused(docs, into)
-    table = log_ratios(transitions(labelled_tokens(docs, id_col=id_col, text_col=text_col) if tokens is None else tokens))
+    labelled = labelled_tokens(docs, id_col=id_col, text_col=text_col) if tokens is None else tokens.withColumn("fold", F.lit(0))
+    tables = judges(transitions(labelled))
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    likely = lambda x: log_ratio(x["v"], table) >= F.greatest(F.lit(least_total), least_mean * (F.length(x["v"]) - 1))
-    found = _named(F.filter(located(text, CANDIDATE), likely) if table else F.array().cast(SPAN), len(KINDS), MARKOV)
+    found = F.array().cast(SPAN)
+    if tables:
+        random = lambda table: F.filter(located(text, CANDIDATE), lambda x: is_random(x["v"], table, least_total, least_mean))
+        found = random(tables[0]) if tables[0] == tables[1] else F.when(fold_of(text) == 0, random(tables[0])).otherwise(random(tables[1]))
+    found = _named(found, len(KINDS), MARKOV)
     rows = docs.withColumn(into, F.struct(pattern_spans(text).alias("base"), found.alias("found")))
     base = F.col(into)["base"]
     return rows.withColumn(into, F.struct(base.alias("base"), clear_of(F.col(into)["found"], base).alias("added")))
