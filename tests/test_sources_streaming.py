@@ -69,6 +69,16 @@ def test_snapshot_text_and_markdown(spark, tmp_path):
     assert text == ["k,flag,x,none", "1,False,0.5,", "2,True,,"]
     assert sinks.markdown(df.orderBy("k"), ["k", "x"]) == "| k | x |\n|---|---|\n| 1 | 0.5 |\n| 2 | - |"
     assert json.loads(sinks.document(df.orderBy("k")))[0] == {"k": 1, "flag": False, "x": 0.5}
+    for write in (lambda n: sinks.markdown(df, ["k"], n), lambda n: sinks.document(df, n)):
+        with pytest.raises(ValueError, match="at most"):
+            write(1)
+    many = spark.range(3000).select(F.col("id").alias("k"), F.lit(None).cast("string").alias("x"))
+    sinks.write_markdown(many.repartition(5), str(tmp_path / "md"), ["k", "x"], ["k"])
+    files = sorted((tmp_path / "md").glob("part-*"))
+    lines = "".join(f.read_text() for f in files).splitlines()
+    assert lines[:3] == ["| k | x |", "|---|---|", "| 0 | - |"] and lines[2:] == [f"| {k} | - |" for k in range(3000)]
+    sinks.write_document(many, str(tmp_path / "doc"))
+    assert spark.read.json(str(tmp_path / "doc")).count() == 3000
 
 
 def test_stream_upsert_equals_batch_and_restarts(spark, tmp_path):

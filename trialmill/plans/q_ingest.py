@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trialmill.sources import readers, sinks
-from trialmill.sources.staging import shared_folder
+from trialmill.sources.staging import shared_folder, stored
 from trialmill.plans.base import query, table, trials
 
 C = F.col
@@ -40,7 +40,7 @@ def s02(spark, d):
 
 @query("s03_jsonl_keep_bad", "SELECT count(*) FILTER (event_id % 50 = 0) AS bad, count(*) FILTER (event_id % 50 <> 0) AS good FROM events", views=False)
 def s03(spark, d):
-    rows = _read(spark, d, "keep").cache()
+    rows = stored(_read(spark, d, "keep"))
     return rows.agg(F.count("parse_error").alias("bad"), F.count_if(C("parse_error").isNull()).alias("good"))
 
 

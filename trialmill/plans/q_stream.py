@@ -64,7 +64,7 @@ def t12(spark, d):
     return jobs.terminal_state(t.select("model").distinct().withColumn("state", F.lit("running")), markers, "model")
 
 
-def _slices(rows, by: str, n: int = 4):
+def _slices(rows, by: str, n: int = 2):
     """Rows in n parts, in the order of a number."""
     cuts = rows.approxQuantile(by, [k / n for k in range(1, n)], 0.01)
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
@@ -86,7 +86,7 @@ def t06(spark, d):
     rows = trials(spark, d).select("model", "seq", F.expr("timestampdiff(MILLISECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("at"), (C("class") != "secure").alias("stop"))
     path, out, mark = folder(spark), folder(spark), folder(spark)
     write = lambda batch, number: batch.write.mode("overwrite").parquet(f"{out}/batch={number:010d}")
-    with jobs.with_rocksdb(spark):
+    with jobs.with_rocksdb(spark, partitions=spark.sparkContext.defaultParallelism):
         for part in _slices(rows, "at"):  # each lands, and the stream goes on where it was
             part.write.mode("append").parquet(path)
             stream = spark.readStream.schema(rows.schema).parquet(path)

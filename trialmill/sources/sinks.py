@@ -54,18 +54,40 @@ def markdown_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
+def _few(df: DataFrame, limit: int) -> list:
+    """The rows of a presentation; more than ``limit`` are refused, not cut."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"a presentation holds {limit} rows at most; write_markdown and write_document take any number")
+    return rows
+
+
+def _heading(columns: Sequence[str]) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+
+
 def markdown(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> str:
-    """A Markdown table of a report: a presentation of at most ``limit`` rows, in the order of ``df``."""
-    rows = [r[0] for r in markdown_lines(df.limit(limit), columns).collect()]
-    return "\n".join(["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns), *rows])
+    """A Markdown table of a report, in the order of ``df``: ``limit`` rows at most."""
+    return "\n".join([*_heading(columns), *[r[0] for r in _few(markdown_lines(df, columns), limit)]])
+
+
+def write_markdown(df: DataFrame, path: str, columns: Sequence[str], order: Sequence[str]) -> None:
+    """A Markdown table of any size, as text files in order: the heading is the first file's, and row order is that of ``order``."""
+    body = markdown_lines(df.orderBy(*order), columns).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    first = df.sparkSession.createDataFrame([(line, -1, k - 2) for k, line in enumerate(_heading(columns))], "line string, part int, at long")
+    first.unionByName(body).orderBy("part", "at").select("line").write.mode("overwrite").text(path)
 
 
 def document(df: DataFrame, limit: int = 1000) -> str:
-    """A JSON array of records, for small reports."""
+    """A JSON array of records, for reports of ``limit`` rows at most."""
     import json
 
-    rows = [json.loads(r[0]) for r in df.limit(limit).select(F.to_json(F.struct("*"))).collect()]
-    return json.dumps(rows, indent=2, sort_keys=True)
+    return json.dumps([json.loads(r[0]) for r in _few(df.select(F.to_json(F.struct("*"))), limit)], indent=2, sort_keys=True)
+
+
+def write_document(df: DataFrame, path: str) -> None:
+    """Records of any number as JSON lines, with null fields."""
+    df.write.mode("overwrite").option("ignoreNullFields", False).json(path)
 
 
 def append_markers(done: DataFrame, path: str) -> None:

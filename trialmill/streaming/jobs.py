@@ -221,9 +221,9 @@ def watchdog(stream: DataFrame, subject: Column, at: Column, seq: Column, stoppe
 
 
 @contextmanager
-def with_rocksdb(spark: SparkSession) -> Iterator[None]:
-    """Queries started inside keep their state in RocksDB, and make no batches without data."""
-    conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
+def with_rocksdb(spark: SparkSession, partitions: int | None = None) -> Iterator[None]:
+    """Queries started inside keep their state in RocksDB, in so many partitions if given, and make no batches without data."""
+    conf = ({} if partitions is None else {"spark.sql.shuffle.partitions": str(partitions)}) | {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", "spark.sql.streaming.noDataMicroBatches.enabled": "false"}
     before = {k: spark.conf.get(k, None) for k in conf}
     for k, v in conf.items():
         spark.conf.set(k, v)
