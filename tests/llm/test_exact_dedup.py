@@ -74,7 +74,7 @@ def test_index_in_rounds_against_brute_force(spark, tmp_path):
         if r == 3:
             rows += held
         index.compact() if r == 4 else None  # nothing fresh: nothing happens
-    assert [len(x) for x in index.levels] == [0, 0, 1]  # four compactions, merged by twos
+    assert [len(x) for x in index.levels] == [1, 0, 1]  # five runs, merged by twos
     everything = spark.createDataFrame(rows, "id long, text string").select("id", exact_dedup.sha256(F.col("text")).alias("digest"), "text")
     for _ in range(2):
         groups, collided = index.verify(everything)
@@ -100,3 +100,32 @@ def test_levels_merge_without_a_shuffle(spark, tmp_path):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan and "Exchange" not in plan
     assert index.all().count() == 150 and index.all().agg(F.sum("n")).first()[0] == 200
+
+
+def test_the_query_goes_through_runs_probes_and_merges(spark, monkeypatch):
+    made, probes = [], []
+    write, lookup = exact_dedup.MergeIndex._write, exact_dedup.MergeIndex.lookup
+
+    def written(self, rows):
+        made.append(rows._jdf.queryExecution().executedPlan().toString())
+        return write(self, rows)
+
+    def looked(self, digests, fresh=False):
+        probes.append(len(self.tables() + self.fresh))
+        return lookup(self, digests, fresh)
+
+    monkeypatch.setattr(exact_dedup.MergeIndex, "_write", written)
+    monkeypatch.setattr(exact_dedup.MergeIndex, "lookup", looked)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        docs = spark.createDataFrame([(i, f"t{i % 70}") for i in range(200)], "doc_id long, text string")
+        found = {r["id"]: (r["keep_id"], r["n"]) for r in exact_dedup.find_duplicates(docs, keep="max").collect()}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    same = lambda i: [j for j in range(200) if j % 70 == i % 70]
+    assert found == {i: (max(same(i)), len(same(i))) for i in range(200)}
+    assert probes == list(range(exact_dedup.MEMTABLES))  # each run is sought in all before it
+    runs, merges = made[: exact_dedup.MEMTABLES], made[exact_dedup.MEMTABLES :]
+    assert all("Exchange" in r and "Join" not in r for r in runs)
+    assert merges and all("SortMergeJoin" in m and "Exchange" not in m for m in merges)  # sorted files, bucket by bucket
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("trialmill")]

@@ -1,16 +1,14 @@
 """Exact de-duplication over a log-structured merge index of digests.
 
-* memtable and flush: each task of the scan is a memtable. It hashes its texts and flushes one
-  run, the (digest, id) pairs sorted by digest, as one file.
-* compaction: fresh runs merge into a table of level 0, one row for each digest with the identifier
-  that stays and the number of members. Tables are bucketed and sorted by digest; once a level has
-  ``fan_out`` of them, they merge into one of the next level, bucket by bucket: a sort-merge join
-  without a shuffle.
-* look-up: each table has a bounded bit filter of its digests. A digest is sought only in tables whose
-  filter lets it pass.
-* hits: a digest with more than one member is only a candidate. Texts that pass a bounded bit
-  filter of such digests are grouped by digest *and text*, so Spark compares their bytes;
-  map-side combine leaves one row for each distinct text and task, however large the group.
+* memtable: a part of the corpus (one of MEMTABLES, by a hash of the id). Its (digest, id) pairs are combined by digest, as they are
+  dealt out: the identifier that stays and the number of members.
+* flush: a memtable becomes a run, bucketed by digest and sorted in each bucket, with a bounded bit filter of its digests.
+* probe: a new run's digests are sought in the tables before it, of which only those are read whose filter lets a digest pass. Digests that
+  are found, or that the run itself holds twice, are hits.
+* compaction: runs are tables of level 0; once a level has ``fan_out`` of them, they merge into one of the next level, bucket
+  by bucket: a merge of sorted files without a shuffle, in which the smallest (or largest) identifier stays.
+* verification: a hit is only a candidate. Texts that pass a bounded bit filter of the hits are grouped by digest *and text*, so Spark
+  compares their bytes; map-side combine leaves one row for each distinct text and task, however large the group.
 
 Only digests, identifiers and the distinct texts that pass the filter of hits are shuffled. (That filter has 8 MB; beyond
 some 10 million repeated digests it lets more and more texts pass that have no copy. They cost a
@@ -36,6 +34,10 @@ from pyspark.sql import functions as F
 from trialmill.llm.common import bit_filter, passing, shared_dir, store, without
 
 
+#: Memtables that a corpus is flushed in.
+MEMTABLES = 4
+
+
 def sha256(text: Column) -> Column:
     return F.unhex(F.sha2(text.cast("binary"), 256))
 
@@ -65,8 +67,9 @@ class MergeIndex:
         if fan_out < 2:
             raise ValueError("fan_out must be 2 or more")
         self.path, self.keep, self.fan_out = path, keep, fan_out
-        self.runs: list[DataFrame] = []
-        self.fresh: list[DataFrame] = []  # runs that no table has yet
+        self.pairs: list[DataFrame] = []  # (id, digest) of every memtable
+        self.fresh: list[Table] = []  # runs that no level has yet
+        self.hits: list[DataFrame] = []  # digests with more than one member, by run
         self.levels: list[list[Table]] = []
         self.made = 0
 
@@ -74,22 +77,27 @@ class MergeIndex:
         return F.min(column) if self.keep == "min" else F.max(column)
 
     def flush(self, rows: DataFrame) -> None:
-        """Add the memtables of ``rows`` (id, digest): a sorted run for each task."""
-        run = store(rows.select("id", "digest").sortWithinPartitions("digest"), f"{self.path}/run{len(self.runs)}")
-        self.runs.append(run)
+        """A memtable of stored ``rows`` (id, digest) becomes a run, and its hits are noted."""
+        run = self._write(rows.groupBy("digest").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n")))
+        twice = run.rows.filter("n > 1").select("digest")
+        earlier = self.lookup(run.rows.select("digest"), fresh=True)
+        self.hits.append(store(twice.unionByName(earlier.select("digest")), f"{run.path}-hits"))
+        self.pairs.append(rows.select("id", "digest"))
         self.fresh.append(run)
 
     def entries(self) -> DataFrame:
         """All flushed (id, digest) pairs."""
-        return reduce(DataFrame.unionByName, self.runs)
+        return reduce(DataFrame.unionByName, self.pairs)
 
     def _write(self, rows: DataFrame) -> Table:
-        """A new table in as many buckets as there are shuffle partitions."""
+        """A new table in as many buckets as there are shuffle partitions. Its files stay; the catalogue keeps no entry."""
         spark, path = rows.sparkSession, f"{self.path}/table{self.made}"
         self.made += 1
         name, buckets = f"trialmill_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
         rows.write.bucketBy(buckets, "digest").sortBy("digest").option("path", path).saveAsTable(name)
-        return Table(spark.table(name), path)
+        table = Table(spark.table(name), path)
+        spark.sql(f"DROP TABLE {name}")
+        return table
 
     def _merged(self, a: DataFrame, b: DataFrame) -> DataFrame:
         """Two tables as one; both are bucketed and sorted alike."""
@@ -101,24 +109,21 @@ class MergeIndex:
         )
 
     def compact(self) -> None:
-        """Merge fresh runs into a table, and full levels into the next."""
-        if not self.fresh:
-            return
-        pairs = reduce(DataFrame.unionByName, self.fresh)
-        merged = pairs.groupBy("digest").agg(self._stays("id").alias("keep_id"), F.count("*").alias("n"))
-        table, level = self._write(merged), 0
+        """Fresh runs go to level 0, and full levels merge into the next."""
+        for run in self.fresh:
+            table, level = run, 0
+            while True:
+                if len(self.levels) == level:
+                    self.levels.append([])
+                self.levels[level].append(table)
+                if len(self.levels[level]) < self.fan_out:
+                    break
+                full, self.levels[level] = self.levels[level], []
+                table = full[0]
+                for other in full[1:]:  # written in between: a merge's result is bucketed only as a table
+                    table = self._write(self._merged(table.rows, other.rows))
+                level += 1
         self.fresh = []
-        while True:
-            if len(self.levels) == level:
-                self.levels.append([])
-            self.levels[level].append(table)
-            if len(self.levels[level]) < self.fan_out:
-                return
-            full, self.levels[level] = self.levels[level], []
-            table = full[0]
-            for other in full[1:]:
-                table = self._write(self._merged(table.rows, other.rows))
-            level += 1
 
     def tables(self) -> list[Table]:
         return [t for level in self.levels for t in level]
@@ -128,10 +133,10 @@ class MergeIndex:
         first, *rest = [t.rows for t in self.tables()]
         return reduce(self._merged, rest, first)
 
-    def lookup(self, digests: DataFrame) -> DataFrame:
-        """(digest, keep_id, n) of those of ``digests`` (digest) that are in compacted tables."""
+    def lookup(self, digests: DataFrame, fresh: bool = False) -> DataFrame:
+        """(digest, keep_id, n) of those of ``digests`` (digest) that are in compacted tables, and in fresh runs if asked."""
         sought = digests.select("digest").distinct()
-        found = [passing(sought, ["digest"], t.filter).join(t.rows, "digest") for t in self.tables()]
+        found = [passing(sought, ["digest"], t.filter).join(t.rows, "digest") for t in self.tables() + (self.fresh if fresh else [])]
         if not found:
             return sought.select("digest", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("n")).limit(0)
         return reduce(DataFrame.unionByName, found).groupBy("digest").agg(self._stays("keep_id").alias("keep_id"), F.sum("n").alias("n"))
@@ -144,7 +149,7 @@ class MergeIndex:
         """
         path = f"{self.path}/verified-{uuid.uuid4().hex}"
         level = self.all()
-        hits = level.filter("n > 1").select("digest")
+        hits = store(reduce(DataFrame.unionByName, self.hits).distinct(), f"{path}/hits")
         n_hits = hits.count()
         single = level.filter("n = 1")
         if not n_hits:
@@ -170,8 +175,11 @@ def _index(docs: DataFrame, id_col: str, text_col: str, keep: str, digest: Calla
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     texts = docs.select(F.col(id_col).alias("id"), digest(text).alias("digest"), text.alias("text"))
     index = MergeIndex(shared_dir(docs.sparkSession), keep)
-    index.flush(texts)
-    index.compact()
+    part = F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(MEMTABLES)).cast("int")
+    pairs = store(texts.select("id", "digest", part.alias("part")), f"{index.path}/pairs")
+    for k in range(MEMTABLES):
+        index.flush(pairs.filter(F.col("part") == k))
+        index.compact()
     groups, collided = index.verify(texts)
     return index, groups, collided
 
