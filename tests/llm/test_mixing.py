@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from trialmill.llm import mixing
 
@@ -71,3 +72,25 @@ def test_many_documents_come_near_their_target(spark):
 def test_empty_table(spark):
     _, df = docs(spark)
     assert mixing.plan_mix(df.limit(0)).count() == 0 and mixing.mix(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("seed", [17, 1, 2])
+def test_every_source_is_near_its_target(spark, seed):
+    """Within four standard deviations of the draws, on the given documents."""
+    import os
+
+    path = "/root/testdata/sf0.01/documents.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no test tables")
+    planned = mixing.plan_mix(spark.read.parquet(path), seed=seed)
+    p = F.col("rate") - F.floor("rate")
+    by_source = planned.groupBy("source").agg(F.sum(F.col("copies") * F.col("size")).alias("taken"), F.max("target").alias("target"), F.sqrt(F.sum(F.col("size") * F.col("size") * p * (1 - p))).alias("deviation"))
+    rows = by_source.collect()
+    assert len(rows) > 5
+    for r in rows:
+        assert abs(r["taken"] - r["target"]) <= 4 * r["deviation"] + 1e-6, r
+
+
+def test_very_long_texts_are_counted_whole(spark):
+    rows = [(1, "w " * 300_000, "a", 1, "x"), (2, "w", "b", 1, "x")]
+    assert {r["id"]: r["size"] for r in mixing.plan_mix(spark.createDataFrame(rows, SCHEMA)).collect()} == {1: 300_000, 2: 1}

@@ -5,6 +5,10 @@ what a source has (the excess goes to the others by weight, until none is above
 repetition rate of a source is target / size. A document is emitted floor(rate) times, plus once
 more if a hash of seed and id, as a number in [0, 1), is below the fraction.
 
+How near a source comes to its target: the words taken deviate by a sum of independent draws, one a document (or key), of
+standard deviation sqrt(sum of size^2 p (1 - p)) over the source's documents, p being the fraction of its rate; four such deviations are
+passed about once in 16,000 sources. Long documents in a small source make it large, a whole rate (p = 0) makes it nothing.
+
 The filling level comes from running sums over sources sorted by cap / weight, so it is exact
 and needs no rounds. Decisions hang on seed and id alone: reruns and retried tasks agree.
 
