@@ -364,3 +364,17 @@ def test_places_by_rounds_of_histograms(spark, monkeypatch, few):
     assert q["g"] == 3.0 and q["f"] is None and q["e"] == 5.0
     known = sorted(v for g, v in rows if g == "a" and v is not None)
     assert q["a"] == pytest.approx(known[17] + 0.7 * (known[18] - known[17]))
+
+
+def test_acceptability_scores_all_subjects_in_packs(spark, monkeypatch):
+    rng = np.random.default_rng(1)
+    rows = [(f"m{i:02}", float(x), float(y)) for i, (x, y) in enumerate(rng.random((40, 2)))]
+    rows += [("a-tie", *max(rows, key=lambda r: r[1] + r[2])[1:]), ("void", None, 0.5)]
+    df = spark.createDataFrame(rows, "m string, x double, y double")
+    whole = {r["m"]: r["acceptability"] for r in sel.acceptability(df, ["x", "y"], "m", draws=700, seed=2, every=True).collect()}
+    monkeypatch.setattr(sel, "SUBJECT_PACK", 7)
+    monkeypatch.setattr(sel, "DRAW_PACK", 90)
+    parts = {r["m"]: r["acceptability"] for r in sel.acceptability(df, ["x", "y"], "m", draws=700, seed=2, every=True).collect()}
+    front = {r["m"]: r["acceptability"] for r in sel.acceptability(df, ["x", "y"], "m", draws=700, seed=2).collect()}
+    assert whole == parts == front and sum(whole.values()) == pytest.approx(1)
+    assert len(whole) == 42 and whole["void"] == 0 and whole["a-tie"] > 0  # what lacks an axis wins nowhere, ties go to the first name

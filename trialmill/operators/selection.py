@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -15,8 +15,8 @@ from trialmill.operators.ranks import beside, position_ranks, running_total, uni
 from trialmill.sources.staging import stored
 
 C = F.col
-#: Random draws of one task.
-DRAW_BLOCK = 1000
+#: Random draws of one task, and draws and subjects that one row holds when they are scored: so many scores are worked out at once.
+DRAW_BLOCK, DRAW_PACK, SUBJECT_PACK, SCORES = 1000, 5000, 1 << 14, 1 << 17
 #: Up to so many rows, checked by a count, points meet each other in one join; more go by cells of a grid.
 FEW_POINTS = 5000
 #: Cells of the grid at most; points of a cell that are first reduced in parts of about this size.
@@ -214,16 +214,44 @@ def weighted_winners(df: DataFrame, vectors: dict[str, Sequence[float]], axes: S
 def acceptability(df: DataFrame, axes: Sequence[str], name: str, draws: int = 100_000, seed: int = 0, every: bool = False) -> DataFrame:
     """Share of random weight vectors (Dirichlet) under which each subject scores best; first by name on ties.
 
-    Weights are positive, so only subjects that no other dominates can win: only these are scored, unless ``every`` is set.
-    Vectors come from counters (``uniform``), so any engine draws the same.
+    Weights are positive, so only subjects that no other dominates can win: only these are scored, unless ``every`` is set. A subject
+    that lacks an axis wins nowhere. Vectors come from counters (``uniform``), so any engine draws the same. Draws and subjects meet
+    as packs, and a pair of packs gives one row a draw, its best subject: scores never become rows.
     """
-    tasks = -(-draws // DRAW_BLOCK)
-    raw = df.sparkSession.range(0, draws, 1, tasks).select("id", *[(-F.log(1 - uniform(seed, F.lit(k), C("id")))).alias(f"__w{k}") for k in range(len(axes))])
-    total = sum((C(f"__w{k}") for k in range(len(axes))), F.lit(0.0))
-    score = sum((C(f"__w{k}") / total * C(c) for k, c in enumerate(axes)), F.lit(0.0))
-    scored = raw.join(stored(df.select(name, *axes) if every else front(df.select(name, *axes), axes))).select("id", name, score.alias("score"))
-    wins = scored.groupBy("id").agg(F.min(F.struct((-C("score")).alias("s"), C(name).alias("n"))).alias("b")).groupBy(C("b.n").alias(name)).agg(F.count("*").alias("wins"))
-    return df.select(name).join(wins, name, "left").select(name, (F.coalesce("wins", F.lit(0)) / draws).alias("acceptability"))
+    known = stored(df.select(name, *axes))
+    names = [f"__w{k}" for k in range(len(axes))]
+    raw = df.sparkSession.range(0, draws, 1, -(-draws // DRAW_BLOCK)).select("id", *[(-F.log(1 - uniform(seed, F.lit(k), C("id")))).alias(w) for k, w in enumerate(names)])
+    total = sum((C(w) for w in names), F.lit(0.0))
+    shares = raw.select("id", *[(C(w) / total).alias(w) for w in names])
+    scored = stored((known if every else front(known, axes)).dropna(subset=axes))
+    packs = max(1, -(-scored.count() // SUBJECT_PACK))
+    drawn = _packed(shares, F.floor(C("id") / DRAW_PACK), "id", names)
+    subjects = _packed(scored.select(C(name).alias("__n"), *axes), F.pmod(F.xxhash64("__n"), F.lit(packs)), "__n", axes)
+    pairs = subjects.crossJoin(drawn).repartition(packs * -(-draws // DRAW_PACK))
+
+    def best(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in frames:
+            for row in pdf.to_dict("records"):
+                points, weights = [row[c] for c in axes], [row[w] for w in names]
+                step, at, top = max(1, SCORES // len(points[0])), [], []
+                for k in range(0, len(row["id"]), step):
+                    score = np.zeros((len(weights[0][k : k + step]), len(points[0])))
+                    for p, w in zip(points, weights, strict=True):
+                        score += w[k : k + step, None] * p
+                    at.append(score.argmax(1))  # the first by name
+                    top.append(np.take_along_axis(score, at[-1][:, None], 1)[:, 0])
+                yield pd.DataFrame({"id": row["id"], "s": np.concatenate(top), "n": row["__n"][np.concatenate(at)]})
+
+    kind = df.select(C(name).alias("n")).schema["n"].dataType.simpleString()
+    found = pairs.mapInPandas(best, f"id long, s double, n {kind}")
+    wins = stored(found.groupBy("id").agg(F.min(F.struct((-C("s")).alias("s"), "n")).alias("b")).groupBy(C("b.n").alias(name)).agg(F.count("*").alias("wins")))
+    return known.select(name).join(wins, name, "left").select(name, (F.coalesce("wins", F.lit(0)) / draws).alias("acceptability"))
+
+
+def _packed(df: DataFrame, pack: Column, key: str, values: Sequence[str]) -> DataFrame:
+    """One row a pack: its keys in order and their values, an array a column."""
+    rows = df.groupBy(pack.alias("__pack")).agg(F.sort_array(F.collect_list(F.struct(key, *values))).alias("__rows"))
+    return rows.select(*[C("__rows").getField(c).alias(c) for c in (key, *values)])
 
 
 def inversion(df: DataFrame, size: str, safety: str, name: str, large: Column, small: Column) -> DataFrame:
