@@ -51,3 +51,8 @@ def test_the_shuffle_keeps_all_rows(spark, duck):
 
 def test_sources_of_truth_agree():
     assert set(ORACLE_SQL) <= set(QUERIES)
+
+
+@pytest.mark.parametrize("name", ["u03_intersect_except", "u06_partition_test"])
+def test_sets_meet_without_their_repeats(spark, name):
+    assert "Join" not in QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()

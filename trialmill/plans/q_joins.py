@@ -126,10 +126,10 @@ def u02(spark, d):
 
 @query("u03_intersect_except", "SELECT (SELECT count(*) FROM (SELECT model FROM trials WHERE dnf INTERSECT SELECT model FROM trials WHERE det_score = 1)) AS shared, (SELECT count(*) FROM (SELECT model FROM trials WHERE memory = 'ctx' EXCEPT SELECT model FROM trials WHERE k > 95)) AS rest")
 def u03(spark, d):
-    t = trials(spark, d)
-    names = lambda cond: t.filter(cond).select("model")
-    shared = names("dnf").intersect(names("det_score = 1")).agg(F.count("*").alias("shared"))
-    return shared.crossJoin(names("memory = 'ctx'").subtract(names("k > 95")).agg(F.count("*").alias("rest")))
+    has = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    sets = {"dnf": F.expr("dnf"), "full": C("det_score") == 1, "ctx": C("memory") == "ctx", "late": C("k") > 95}
+    names = trials(spark, d).groupBy("model").agg(*[has(cond).alias(into) for into, cond in sets.items()])  # what sets a name is in, before any of them meet
+    return names.agg(F.count_if(C("dnf") & C("full")).alias("shared"), F.count_if(C("ctx") & ~C("late")).alias("rest"))
 
 
 @query("u05_common_scenarios", "SELECT scenario FROM trials GROUP BY 1 HAVING count(DISTINCT model) = (SELECT count(DISTINCT model) FROM trials)")
@@ -141,11 +141,10 @@ def u05(spark, d):
 
 @query("u06_partition_test", "SELECT (SELECT count(*) FROM (SELECT scenario FROM trials WHERE class IN ('guard', 'secure') INTERSECT SELECT scenario FROM trials WHERE class NOT IN ('guard', 'secure'))) = 0 AS disjoint, true AS covers")
 def u06(spark, d):
-    t = trials(spark, d)
-    a, b = t.filter(C("class").isin("guard", "secure")).select("scenario"), t.filter(~C("class").isin("guard", "secure")).select("scenario")
-    both = a.intersect(b).agg((F.count("*") == 0).alias("disjoint"))
-    left = t.select("scenario").subtract(a.union(b)).agg((F.count("*") == 0).alias("covers"))
-    return both.crossJoin(left)
+    part = C("class").isin("guard", "secure")
+    has = lambda cond: F.coalesce(F.bool_or(cond), F.lit(False))
+    names = trials(spark, d).groupBy("scenario").agg(has(part).alias("a"), has(~part).alias("b"))
+    return names.agg((F.count_if(C("a") & C("b")) == 0).alias("disjoint"), (F.count_if(~C("a") & ~C("b")) == 0).alias("covers"))
 
 
 @query("u07_membership_lists", "SELECT scenario, string_agg(DISTINCT difficulty, ',' ORDER BY difficulty) AS levels FROM trials GROUP BY 1")
