@@ -56,3 +56,13 @@ def test_sources_of_truth_agree():
 @pytest.mark.parametrize("name", ["u03_intersect_except", "u06_partition_test"])
 def test_sets_meet_without_their_repeats(spark, name):
     assert "Join" not in QUERIES[name](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_stream_lands_in_more_files_as_it_grows(spark, monkeypatch):
+    from trialmill.plans import q_stream
+
+    monkeypatch.setattr(q_stream, "FILE_ROWS", 100)
+    rows = spark.range(1000)
+    dealt, each = q_stream._dealt(rows)
+    assert each == 4 and dealt.rdd.getNumPartitions() == 12 and dealt.count() == 1000
+    assert q_stream._dealt(spark.range(5))[1] == 1
