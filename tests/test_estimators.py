@@ -106,3 +106,14 @@ def test_inversions_of_weighted_places():
         p, w = rng.permutation(n), rng.integers(1, 5, n)
         assert ag.count_inversions(p, w) == sum(int(w[i] * w[j]) for i in range(n) for j in range(i + 1, n) if p[i] > p[j])
     assert ag.count_inversions(np.array([1, 0]), np.array([1 << 40, 1 << 40])) == 2.0**80
+
+
+def test_a_block_of_kendall_takes_little_memory(spark):
+    import tracemalloc
+
+    n = ag.BLOCK_ROWS
+    rng = np.random.default_rng(5)
+    tracemalloc.start()
+    ag.count_inversions(rng.permutation(n), np.ones(n, np.int64))
+    assert tracemalloc.get_traced_memory()[1] < 40 << 20
+    tracemalloc.stop()

@@ -22,8 +22,8 @@ C = F.col
 DRAW_BLOCK, POISSON_ROWS, SALTS = 1000, 256, 256
 #: Steps that one coarse step stands for when a weight is looked up.
 POISSON_STRIDE = 16
-#: Points that one task compares when inversions are counted.
-BLOCK_ROWS = 1 << 20
+#: Points that one task compares when inversions are counted: their frames and orders take some 50 MB.
+BLOCK_ROWS = 1 << 18
 
 
 def pair_raters(ratings: DataFrame, key: Sequence[str], first: str, second: str) -> DataFrame:
@@ -210,12 +210,13 @@ def _inverted(rows: DataFrame, first: Sequence[str], second: Sequence[str]) -> f
     """Inversions between two orders of the rows of each block, summed over blocks."""
 
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf.reset_index(drop=True, inplace=True)
         place = np.empty(len(pdf), np.int64)
-        place[pdf.reset_index(drop=True).sort_values(list(second)).index] = np.arange(len(pdf))
-        order = pdf.reset_index(drop=True).sort_values(list(first)).index
+        place[pdf[list(second)].sort_values(list(second)).index] = np.arange(len(pdf))
+        order = pdf[list(first)].sort_values(list(first)).index
         return pd.DataFrame({"pairs": [count_inversions(place[order], pdf["n"].to_numpy(np.int64)[order])]})
 
-    found = rows.groupBy("block").applyInPandas(count, "pairs double").agg(F.sum("pairs")).first()[0]
+    found = rows.select("block", *dict.fromkeys([*first, *second]), "n").groupBy("block").applyInPandas(count, "pairs double").agg(F.sum("pairs")).first()[0]
     return found or 0.0
 
 
