@@ -378,3 +378,8 @@ def test_acceptability_scores_all_subjects_in_packs(spark, monkeypatch):
     front = {r["m"]: r["acceptability"] for r in sel.acceptability(df, ["x", "y"], "m", draws=700, seed=2).collect()}
     assert whole == parts == front and sum(whole.values()) == pytest.approx(1)
     assert len(whole) == 42 and whole["void"] == 0 and whole["a-tie"] > 0  # what lacks an axis wins nowhere, ties go to the first name
+
+
+def test_draws_in_a_task_are_those_of_the_expression(spark):
+    want = [r[0] for r in spark.range(0, 1100, 1, 1).select(ranks.uniform(7, F.lit("0-1B"), F.lit(0.25), F.lit(3), F.col("id"))).collect()]
+    assert ranks.uniforms("7:0-1B:0.25:3", range(1100)).tolist() == want

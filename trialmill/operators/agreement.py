@@ -7,21 +7,21 @@ matrices: a pass over the data, then arithmetic on a few rows.
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections import defaultdict
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from trialmill.operators.ranks import average_rank, seeded, uniform, value_ranks
+from trialmill.operators.ranks import average_rank, seeded, uniforms, value_ranks
 from trialmill.sources.staging import stored
 
 C = F.col
 #: Random draws that one row is dealt out for, equal values that are drawn for together, and parts of a stratum.
 DRAW_BLOCK, POISSON_ROWS, SALTS = 1000, 256, 256
-#: Steps that one coarse step stands for when a weight is looked up.
-POISSON_STRIDE = 16
 #: Points that one task compares when inversions are counted: their frames and orders take some 50 MB.
 BLOCK_ROWS = 1 << 18
 
@@ -337,39 +337,50 @@ def normal_ci(df: DataFrame, value: str, group: Sequence[str]) -> DataFrame:
 
 
 def poisson_steps(rates: DataFrame) -> DataFrame:
-    """(n, least, steps, coarse) for whole rates n: the cumulative probabilities of Poisson(n) from ``least`` on, to ten deviations and more on either side, and every POISSON_STRIDE-th of them."""
+    """(n, least, steps) for whole rates n: the cumulative probabilities of Poisson(n) from ``least`` on, to ten deviations and more on either side."""
     spread = 10 * F.sqrt(C("n").cast("double"))
     ends = rates.select(C("n").cast("long").alias("n")).distinct().select("n", F.greatest(F.floor(C("n") - spread) - 10, F.lit(0)).alias("least"), (F.ceil(C("n") + spread) + 20).alias("most"))
     terms = ends.select("n", "least", F.explode(F.sequence("least", "most")).alias("k"))
     mass = F.exp(-C("n").cast("double") + C("k") * F.log(C("n").cast("double")) - log_gamma(C("k").cast("double") + 1))
     upto = F.sum(mass).over(Window.partitionBy("n").orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow))
     listed = terms.select("n", "least", "k", upto.alias("p")).groupBy("n", "least").agg(F.array_sort(F.collect_list(F.struct("k", "p"))).alias("s"))
-    steps = listed.select("n", "least", F.transform("s", lambda x: x["p"]).alias("steps"))
-    every = F.sequence(F.lit(POISSON_STRIDE), F.size("steps"), F.lit(POISSON_STRIDE))
-    return steps.withColumn("coarse", F.when(F.size("steps") >= POISSON_STRIDE, F.transform(every, lambda k: F.get("steps", k - 1))).otherwise(F.array().cast("array<double>")))
+    return listed.select("n", "least", F.transform("s", lambda x: x["p"]).alias("steps"))
 
 
 def bootstrap_ci(df: DataFrame, value: str, group: str, draws: int = 10_000, seed: int = 0) -> DataFrame:
     """Mean and a 95 % interval by the Poisson bootstrap, which needs no group in one place.
 
     Every row has weight Poisson(1) in each of ``draws`` resamples, so POISSON_ROWS equal values or fewer have a weight Poisson(their number)
-    together. Weights come from counters by inversion (``uniform``), so any run, and any engine, draws the same. Weighted sums meet in a grouped
-    aggregate, and the interval is the 2.5 to 97.5 percentile of the resampled means (one row a draw).
+    together. Weights come from counters by inversion (``uniform``), so any run, and any engine, draws the same. A batch of rows gives its weighted
+    sums by draw, which meet in a grouped aggregate, and the interval is the 2.5 to 97.5 percentile of the resampled means (one row a draw).
     """
     x = df.filter(C(value).isNotNull()).groupBy(C(group).alias("g"), C(value).cast("double").alias("v")).agg(F.count("*").alias("c"))
     x = stored(x)
     parts = x.withColumn("part", F.explode(F.sequence(F.lit(0), F.floor((C("c") - 1) / POISSON_ROWS).cast("int"))))
     parts = parts.withColumn("n", F.least(C("c") - C("part") * POISSON_ROWS, F.lit(POISSON_ROWS)))
-    steps = F.broadcast(poisson_steps(parts))  # POISSON_ROWS rows at most
+    steps = {r["n"]: (r["least"], np.array(r["steps"])) for r in poisson_steps(parts).collect()}  # POISSON_ROWS rows at most
     blocks = df.sparkSession.range(0, draws, DRAW_BLOCK).select(C("id").alias("block"))
     spark = df.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = parts.join(F.broadcast(blocks)).repartition(tasks)  # a row a block of draws
-    drawn = dealt.select("g", "v", "part", "n", F.explode(F.sequence("block", F.least(C("block") + DRAW_BLOCK, F.lit(draws)) - 1)).alias("draw"))
-    drawn = drawn.withColumn("u", uniform(seed, C("g"), C("v"), C("part"), C("draw"))).join(steps, "n")
-    skipped = POISSON_STRIDE * F.size(F.filter("coarse", lambda p: p < C("u")))
-    weight = C("least") + C("skipped") + F.size(F.filter(F.slice("steps", C("skipped") + 1, F.lit(POISSON_STRIDE)), lambda p: p < C("u")))
-    means = drawn.withColumn("skipped", skipped).withColumn("w", weight).groupBy("g", "draw").agg((F.sum(C("w") * C("v")) / F.sum("w")).alias("m"))
+    stem = F.concat_ws(":", F.lit(str(seed)), *[C(c).cast("string") for c in ("g", "v", "part")])
+    dealt = parts.join(F.broadcast(blocks)).repartition(tasks).select("g", "v", "n", "block", stem.alias("stem"))  # a row a block of draws
+
+    def weighed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sums = defaultdict(lambda: np.zeros((2, DRAW_BLOCK)))
+            for g, v, n, block, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                least, upto = steps[n]
+                u = uniforms(text, range(block, min(block + DRAW_BLOCK, draws)))
+                w = least + np.searchsorted(upto, u)
+                sums[g, block][:, : len(w)] += w, w * v
+            for (g, block), (w, wv) in sums.items():
+                many = min(DRAW_BLOCK, draws - block)
+                columns = [pa.array([g] * many, batch.schema.field("g").type), pa.array(np.arange(block, block + many)), pa.array(w[:many]), pa.array(wv[:many])]
+                yield pa.RecordBatch.from_arrays(columns, ["g", "draw", "w", "wv"])
+
+    kind = x.schema["g"].dataType.simpleString()
+    summed = dealt.mapInArrow(weighed, f"g {kind}, draw long, w double, wv double")
+    means = summed.groupBy("g", "draw").agg((F.sum("wv") / F.sum("w")).alias("m"))
     bounds = means.groupBy("g").agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
     exact = x.groupBy("g").agg((F.sum(C("v") * C("c")) / F.sum("c")).alias("mean"), F.sum("c").alias("n"))
     return exact.join(bounds, "g").select(C("g").alias(group), "n", "mean", "low", "high")

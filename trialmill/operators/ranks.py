@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from functools import reduce
+from hashlib import md5
 from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -202,6 +204,13 @@ def uniform(seed: int, *index: Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
+def uniforms(stem: str, numbers: Iterable[int]) -> np.ndarray:
+    """As ``uniform``, inside a task: for each last index, the text of seed and the other indexes being given."""
+    head = f"{stem}:".encode()
+    digests = b"".join([md5(head + b"%d" % k).digest() for k in numbers])
+    return (np.frombuffer(digests, ">u8")[::2] >> 12) / float(1 << 52)
+
+
 def seeded_order(df: DataFrame, key: Sequence[str], seed: int, into: str = "draw") -> DataFrame:
     """A shuffle that each run repeats, by the column ``into``."""
     return df.withColumn(into, seeded(seed, key)).orderBy(into, *key)
