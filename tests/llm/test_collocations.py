@@ -103,3 +103,14 @@ def test_the_trie_counts_bursts_and_spills_whole_subtrees():
         for p, c in zip(phrases.tolist(), n.tolist(), strict=True):
             spilled[p] += c
     assert spilled == want and trie.size == 0
+
+
+def test_waiting_phrases_are_added_up_in_order():
+    runs = [(np.array([1, 5, 9]), np.array([1, 2, 3])), (np.zeros(0, np.int64), np.zeros(0, np.int64)), (np.array([5, 7]), np.array([4, 1]))]
+    phrases, n = co.added_up(runs)
+    assert phrases.tolist() == [1, 5, 7, 9] and n.tolist() == [1, 6, 1, 3]
+    box = co.Container()
+    for _ in range(co.SETTLE + 2):
+        box.put(np.array([3]), np.array([2]))
+    box.settle()
+    assert box.phrases.tolist() == [3] and box.n.tolist() == [2 * (co.SETTLE + 2)]

@@ -24,11 +24,13 @@ from __future__ import annotations
 import hashlib
 from bisect import bisect_left
 from collections import defaultdict
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from itertools import count, islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -38,12 +40,16 @@ C = F.col
 LEAST, SHARE, TOP, UND = 10, 50, 2000, "und"
 #: Entries of a container before it bursts, and of a task's tries before subtrees are spilled.
 BURST, CAPACITY = 1 << 14, 3 << 19
+#: Entries that a container lets wait, however small it is.
+SETTLE = 1024
 #: Bits of a word's number: so many words a task knows before it spills everything and starts anew.
 WORD_BITS = 21
 #: Bytes of text that are split at once, bytes of text for each prefix partition, and the most of these.
 CHUNK, PART_BYTES, MAX_PARTS = 1 << 22, 1 << 22, 1 << 16
 #: Phrases of a block, and those that a merge holds before it lets go what is final.
 BLOCK, HELD = 1 << 15, 1 << 19
+#: Phrases whose texts a task builds at once, and bytes of blocks that it sends at once.
+LINES, SENT_BYTES = 1 << 17, 1 << 22
 #: Pairs with more than one in so many of all words are split over prefix partitions: no more of them than this.
 MOST_HOT = 10_000
 SALTS = 256
@@ -57,6 +63,43 @@ _SHIFT = (2 * WORD_BITS + 10, 2 * WORD_BITS + 4, 2 * WORD_BITS, WORD_BITS)
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
 
+class Container:
+    """Distinct phrases in order with their counts, and what came since, which is merged in when it is as much again."""
+
+    def __init__(self) -> None:
+        self.phrases, self.n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.new: list[tuple[np.ndarray, np.ndarray]] = []
+        self.waiting = 0
+
+    def __len__(self) -> int:
+        return len(self.phrases) + self.waiting
+
+    def put(self, phrases: np.ndarray, n: np.ndarray) -> None:
+        self.new.append((phrases.copy(), n.copy()))
+        self.waiting += len(phrases)
+        if self.waiting > max(len(self.phrases), SETTLE):
+            self.settle()
+
+    def settle(self) -> None:
+        if self.new:
+            self.phrases, self.n = added_up([(self.phrases, self.n), *self.new])
+            self.new, self.waiting = [], 0
+
+
+def added_up(runs: Sequence[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct phrases of sorted runs, in order, and their summed counts."""
+    runs = [r for r in runs if len(r[0])]
+    if len(runs) < 2:
+        return runs[0] if runs else (np.zeros(0, np.int64),) * 2
+    phrases, n = np.concatenate([p for p, _ in runs]), np.concatenate([c for _, c in runs])
+    order = np.argsort(phrases)
+    phrases = phrases[order]
+    first = np.ones(len(phrases), bool)
+    np.not_equal(phrases[1:], phrases[:-1], out=first[1:])
+    starts = np.flatnonzero(first)
+    return phrases[starts], np.add.reduceat(n[order], starts)
+
+
 class HatTrie:
     """Counts of phrases of up to three words, packed as their words' numbers (0: none).
 
@@ -77,39 +120,43 @@ class HatTrie:
             return
         prefix = phrases >> _SHIFT[depth]
         starts = np.flatnonzero(np.diff(prefix, prepend=-1)).tolist()
-        keys, counts = phrases.tolist(), n.tolist()
-        for at, s, e in zip(prefix[starts].tolist(), starts, [*starts[1:], len(keys)], strict=True):
+        for at, s, e in zip(prefix[starts].tolist(), starts, [*starts[1:], len(phrases)], strict=True):
             place = (depth, at)
             if place in self.nodes:
                 self._add(depth + 1, phrases[s:e], n[s:e])
                 continue
             box = self.boxes.get(place)
             if box is None:
-                box = self.boxes[place] = dict(zip(keys[s:e], counts[s:e], strict=True))
-                self.size += e - s
-            else:
-                before, get = len(box), box.get
-                for k in range(s, e):
-                    box[keys[k]] = get(keys[k], 0) + counts[k]
-                self.size += len(box) - before
+                box = self.boxes[place] = Container()
+            self.size -= len(box)
+            box.put(phrases[s:e], n[s:e])
+            if len(box) > self.burst and depth + 1 < len(_SHIFT):
+                box.settle()
+            self.size += len(box)
             if len(box) > self.burst and depth + 1 < len(_SHIFT):
                 self.nodes.add(place)
                 del self.boxes[place]
                 self.size -= len(box)
-                every = np.array(sorted(box.items()), np.int64)
-                self._add(depth + 1, every[:, 0], every[:, 1])
+                self._add(depth + 1, box.phrases, box.n)
+
+    def settle(self) -> None:
+        """Merges what waits, so that ``size`` is the number of distinct phrases."""
+        for box in self.boxes.values():
+            box.settle()
+        self.size = sum(map(len, self.boxes.values()))
 
     def cut(self, down_to: int) -> tuple[np.ndarray, np.ndarray]:
         """Takes the largest subtrees out, until no more than so many entries are left: (phrases, counts)."""
-        phrases, n = [], []
+        if down_to > 0:
+            self.settle()
+        runs = []
         for place in sorted(self.boxes, key=lambda p: len(self.boxes[p]), reverse=True):
             if self.size <= down_to:
                 break
             box = self.boxes.pop(place)
             self.size -= len(box)
-            phrases.extend(box.keys())
-            n.extend(box.values())
-        return np.array(phrases, np.int64), np.array(n, np.int64)
+            runs += [(box.phrases, box.n), *box.new]
+        return added_up(runs)
 
 
 def _seed(lang: str) -> np.uint64:
@@ -117,7 +164,7 @@ def _seed(lang: str) -> np.uint64:
 
 
 def _hashes(words: Sequence[bytes]) -> np.ndarray:
-    return np.array([int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words], np.uint64)
+    return pd.util.hash_array(np.array([*words, None], object)[:-1], categorize=False)
 
 
 def mixed(seed: np.uint64, *hashes: np.ndarray) -> np.ndarray:
@@ -138,18 +185,18 @@ class Numbers:
 
     def read(self, texts: Sequence[bytes]) -> np.ndarray:
         """The numbers of the words of texts, each piece closed by 0."""
-        out = []
-        for text in texts:
-            start = 0
-            while start < len(text):
-                end = start + CHUNK
-                while end < len(text) and _FOLD[text[end]] not in (32, _NEXT):
-                    end += 1
-                words = text[start:end].translate(_FOLD).replace(b"\n", b" \n ").split(b" ")
-                out.append(np.fromiter(map(self.of.__getitem__, filter(None, words)), np.int64))
-                start = end
-            out.append(np.zeros(1, np.int64))
-        return np.concatenate(out) if out else np.zeros(0, np.int64)
+        text, out, start = b"\n".join([*texts, b""]), [np.zeros(0, np.int64)], 0
+        while start < len(text):
+            end = start + CHUNK
+            while end < len(text) and _FOLD[text[end]] not in (32, _NEXT):
+                end += 1
+            spaced = text[start:end].translate(_FOLD).replace(b"\n", b" \n ")
+            words = pc.split_pattern(pa.array([spaced], pa.large_binary()), b" ").flatten().dictionary_encode()
+            of = np.array([self.of[w] if w else -1 for w in words.dictionary.to_numpy(zero_copy_only=False).tolist()], np.int64)
+            ids = of[words.indices.to_numpy()]
+            out.append(ids[ids >= 0])
+            start = end
+        return np.concatenate(out)
 
 
 def _grouped(texts: Sequence[bytes]) -> Iterator[list[bytes]]:
@@ -201,25 +248,32 @@ def _blocks(lang: str, words: np.ndarray, hashed: np.ndarray, run: tuple[np.ndar
         split = (third > 0) & np.isin(prefix, hot)
         prefix[split] = mixed(_seed(lang), hashed[first[split]], hashed[second[split]], hashed[third[split]])
     part = (prefix % np.uint64(parts)).astype(np.int64)
-    order = np.lexsort((rank[first] << (2 * WORD_BITS) | rank[second] << WORD_BITS | rank[third], part))
-    part, n, first, second, third = part[order], n[order], first[order], second[order], third[order]
-    out = words[first]
-    for more in (second, third):
-        has = more > 0
-        out[has] += b" " + words[more[has]]
-    out = out.tolist()
+    order = np.argsort(rank[first] << (2 * WORD_BITS) | rank[second] << WORD_BITS | rank[third])
+    order = order[np.argsort(part[order].astype(np.uint16), kind="stable")]  # MAX_PARTS fit
+    part, n = part[order], n[order]
+    at = np.zeros(len(words), np.int64)
+    at[used] = np.arange(1, len(texts) + 1)
+    heads, tails = pa.array([b"", *texts], pa.large_binary()), pa.array([b"", *[b" " + t for t in texts]], pa.large_binary())
+    blank, end = pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary())
+    first, second, third = (at[x[order]].astype(np.int32) for x in (first, second, third))
     bounds = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
-    for s, e in zip(bounds, [*bounds[1:], len(part)], strict=True):
-        for k in range(s, e, BLOCK):
-            some = out[k : min(k + BLOCK, e)]
-            yield lang, int(part[s]), min(some), b"\n".join(some), n[k : k + len(some)].astype("<i8").tobytes()
+    cuts = [(k, min(k + BLOCK, e)) for s, e in zip(bounds, [*bounds[1:], len(part)], strict=True) for k in range(s, e, BLOCK)]
+    ends, built = np.array([last for _, last in cuts]), 0
+    for k, last in cuts:
+        if last > built:  # the texts of some blocks at a time
+            base, built = k, int(max(last, ends[np.searchsorted(ends, k + LINES, "right") - 1]))
+            lines = pc.binary_join_element_wise(heads.take(first[base:built]), tails.take(second[base:built]), tails.take(third[base:built]), end, blank)
+            offsets, data = np.frombuffer(lines.buffers()[1], np.int64), lines.buffers()[2]
+        start, stop = int(offsets[k - base]), int(offsets[last - base]) - 1
+        some = data.slice(start, stop - start).to_pybytes()
+        yield lang, int(part[k]), min(some.split(b"\n")), some, n[k:last].astype("<i8").tobytes()
 
 
 def _runs(sizes: Sequence[int], parts: int, bits: np.ndarray | None, hot: np.ndarray, capacity: int, burst: int):
     """Counts phrases of the given numbers of words in (lang, text) and gives blocks of sorted runs."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, tries = Numbers(), defaultdict(lambda: HatTrie(burst))
+        numbers, tries, seen = Numbers(), defaultdict(lambda: HatTrie(burst)), defaultdict(int)
         hashes = np.zeros(0, np.uint64)
 
         def known() -> np.ndarray:
@@ -232,9 +286,7 @@ def _runs(sizes: Sequence[int], parts: int, bits: np.ndarray | None, hot: np.nda
             words = np.array([*numbers.of, None], object)[:-1]
             share = down_to / max(1, sum(t.size for t in tries.values()))
             for lang in list(tries):
-                rows = list(_blocks(lang, words, known(), tries[lang].cut(int(tries[lang].size * share)), parts, hot))
-                for k in range(0, len(rows), 256):
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[k : k + 256], strict=True), (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()), strict=True)], ["lang", "part", "first", "phrases", "counts"])
+                yield from _sent(_blocks(lang, words, known(), tries[lang].cut(int(tries[lang].size * share)), parts, hot))
 
         for batch in batches:
             by_lang = defaultdict(list)
@@ -244,6 +296,7 @@ def _runs(sizes: Sequence[int], parts: int, bits: np.ndarray | None, hot: np.nda
             for lang, texts in by_lang.items():
                 for some in _grouped(texts):
                     ids = numbers.read(some)
+                    seen[lang] += int((ids > 0).sum())
                     allowed = None
                     if bits is not None:
                         h = known()[ids]
@@ -259,10 +312,25 @@ def _runs(sizes: Sequence[int], parts: int, bits: np.ndarray | None, hot: np.nda
                     elif sum(t.size for t in tries.values()) > capacity:
                         yield from spilled(capacity // 2)
         yield from spilled(0)
+        yield from _sent([(lang, 0, b"", b"", np.array([n], "<i8").tobytes()) for lang, n in seen.items()])  # the number of words, as a block without phrases
 
     return each
 
 
+def _sent(rows: Iterable[tuple]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), kinds, strict=True)], ["lang", "part", "first", "phrases", "counts"])
+    some, size = [], 0
+    for row in rows:
+        some.append(row)
+        size += len(row[3]) + len(row[4])
+        if size >= SENT_BYTES:
+            yield batch(some)
+            some, size = [], 0
+    if some:
+        yield batch(some)
+
+
 def _summed(phrases: list[bytes], n: np.ndarray) -> tuple[list[bytes], np.ndarray]:
     """Sorted distinct phrases and their counts. Python's sort merges the runs that it finds."""
     order = sorted(range(len(phrases)), key=phrases.__getitem__)
@@ -283,20 +351,25 @@ def _merge(least: int, held: int):
             cut = len(done) if before is None else bisect_left(done, before)
             phrases, n = done[cut:], [many[cut:]]
             done, many = done[:cut], many[:cut]
-            spaces = np.array([p.count(b" ") for p in done], np.int64)
-            total = int(many[spaces == 0].sum())
             keep = np.flatnonzero(many >= least)
             rows = [done[k] for k in keep.tolist()]
+            spaces = np.array([p.count(b" ") for p in rows], np.int64)
             hashes = np.zeros(len(rows), np.int64)
-            pairs = np.flatnonzero(spaces[keep] == 1)
+            pairs = np.flatnonzero(spaces == 1)
             if len(pairs):
                 sides = [rows[k].split(b" ") for k in pairs.tolist()]
                 hashes[pairs] = mixed(_seed(key[0]), _hashes([s[0] for s in sides]), _hashes([s[1] for s in sides])).view(np.int64)
-            columns = [pa.array([key[0]] * (len(rows) + 1)), pa.array([*[r.decode() for r in rows], None], pa.string()), pa.array([*(spaces[keep] + 1).tolist(), 0], pa.int32()), pa.array([*many[keep].tolist(), total], pa.int64()), pa.array([*hashes.tolist(), 0], pa.int64())]
+            return found([key[0]] * len(rows), [r.decode() for r in rows], spaces + 1, many[keep], hashes)
+
+        def found(langs: list[str], some: list[str | None], sizes, many, hashes) -> pa.RecordBatch:
+            columns = [pa.array(langs, pa.string()), pa.array(some, pa.string()), pa.array(sizes, pa.int32()), pa.array(many, pa.int64()), pa.array(hashes, pa.int64())]
             return pa.RecordBatch.from_arrays(columns, ["lang", "phrase", "words", "a", "hash"])
 
         for batch in batches:
             for lang, part, first, some, many in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if not some:
+                    yield found([lang], [None], [0], np.frombuffer(many, "<i8"), [0])
+                    continue
                 if (lang, part) != key:
                     if phrases:
                         yield final(None)
