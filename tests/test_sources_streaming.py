@@ -81,6 +81,38 @@ def test_snapshot_text_and_markdown(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "doc")).count() == 3000
 
 
+SLICE = T.StructType([T.StructField("n", T.LongType()), T.StructField("model", T.StringType())])
+
+
+def test_many_subjects_share_folders_and_each_is_read_alone(spark, tmp_path):
+    path = tmp_path / "s"
+    df = spark.range(6000).select(F.col("id").alias("n"), F.when(F.col("id") % 1000 > 0, F.concat(F.lit("org/m:"), F.col("id") % 1000)).alias("model"))
+    sinks.write_slices(df, str(path))
+    files = list(path.rglob("part-*.json.gz"))
+    assert 1 < len(files) <= 256
+    assert sorted(readers.read_slices(spark, str(path), SLICE).collect(), key=lambda r: r["n"]) == df.orderBy("n").collect()
+    for file in files:
+        if "org/m:7" not in {json.loads(x).get("model") for x in gzip.open(file, "rt")}:
+            file.write_bytes(b"none of that subject's folder")
+    assert sorted(r["n"] for r in readers.read_slices(spark, str(path), SLICE, only="org/m:7").collect()) == [7 + 1000 * k for k in range(6)]
+
+
+def test_few_subjects_or_all_on_request_have_folders(spark, tmp_path):
+    df = spark.range(90).select(F.col("id").alias("n"), F.concat(F.lit("m"), F.col("id") % 30).alias("model"))
+    for name, folders in (("few", 256), ("request", None)):
+        sinks.write_slices(df, str(tmp_path / name), folders=folders)
+        assert {p.name for p in (tmp_path / name).glob("*=*")} == {f"model=m{k}" for k in range(30)}
+        assert readers.read_slices(spark, str(tmp_path / name), SLICE).count() == 90
+        assert sorted(r["n"] for r in readers.read_slices(spark, str(tmp_path / name), SLICE, only="m7").collect()) == [7, 37, 67]
+    sinks.write_slices(df, str(tmp_path / "shared"), folders=4)
+    assert len(list((tmp_path / "shared").glob("slices=4/slice=*"))) == 4
+    odd = spark.createDataFrame([(1, ""), (2, None), (3, "a/b=c %41")], SLICE)
+    sinks.write_slices(odd, str(tmp_path / "odd"))
+    assert sorted(tuple(r) for r in readers.read_slices(spark, str(tmp_path / "odd"), SLICE).collect()) == [(1, ""), (2, None), (3, "a/b=c %41")]
+    with pytest.raises(ValueError, match="slice"):
+        sinks.write_slices(df.withColumnRenamed("n", "slice"), str(tmp_path / "taken"))
+
+
 def test_stream_upsert_equals_batch_and_restarts(spark, tmp_path):
     src, table, mark = (str(tmp_path / n) for n in ("in", "table", "mark"))
     schema = "k string, s double, seq int"

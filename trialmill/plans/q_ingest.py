@@ -62,9 +62,12 @@ def s13(spark, d):
 
 @query("k06_subject_slices", "SELECT model, count(*) AS n, sum(k)::BIGINT AS k FROM trials GROUP BY 1")
 def k06(spark, d):
+    from pyspark.sql.types import _parse_datatype_string
+
     path = folder(spark)
     sinks.write_slices(trials(spark, d).select("model", "seq", "k"), path)
-    return spark.read.schema("seq long, k int, model string").json(path).groupBy("model").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
+    rows = readers.read_slices(spark, path, _parse_datatype_string("seq long, k int, model string"))
+    return rows.groupBy("model").agg(F.count("*").alias("n"), F.sum("k").alias("k"))
 
 
 @query("k05_markdown_rows", "SELECT concat('| ', scenario, ' | ', count(*), ' | - |') AS line FROM trials GROUP BY scenario")

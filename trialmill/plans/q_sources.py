@@ -112,7 +112,7 @@ def s15(spark, d):
 @query("s16_run_states", "SELECT run_id, count(*) AS rows, count(DISTINCT model) AS subjects, arg_max(scenario, seq) AS state FROM trials GROUP BY 1")
 def s16(spark, d):
     path = folder(spark)
-    sinks.write_slices(trials(spark, d).select("run_id", "seq", "model", C("scenario").alias("state")), path, "run_id")
+    sinks.write_slices(trials(spark, d).select("run_id", "seq", "model", C("scenario").alias("state")), path, "run_id", folders=None)
     schema = T.StructType([T.StructField("seq", T.LongType()), T.StructField("model", T.StringType()), T.StructField("state", T.StringType())])
     return progress.run_states(readers.read_run_folders(spark, path, schema, r"run_id=([^/]+)/"))
 

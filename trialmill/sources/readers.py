@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from trialmill.sources.sinks import slice_of
+
 C = F.col
 CORRUPT = "_corrupt_record"
 
@@ -146,6 +148,17 @@ def read_run_folders(spark: SparkSession, pattern: str, schema: T.StructType, ru
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), run, 1).alias("run_id"), *schema.fieldNames())
 
 
+def read_slices(spark: SparkSession, path: str, schema: T.StructType, subject: str = "model", only: object = None) -> DataFrame:
+    """Records that ``sinks.write_slices`` wrote: of all subjects, or those of ``only``, from that subject's folder alone."""
+    rows = spark.read.schema(schema).json(path)
+    if only is not None:
+        one = F.lit(only).cast(schema[subject].dataType)
+        if "slices" in rows.columns and "slices" not in schema.fieldNames():
+            rows = rows.filter(C("slice").cast("int") == slice_of(one, C("slices").cast("int")))
+        rows = rows.filter(C(subject) == one)
+    return rows.select(*schema.fieldNames())
+
+
 def first_nonempty(spark: SparkSession, candidates: Sequence[str]) -> str | None:
     """The first path that has a line: a mirror before the original, a working file before the committed one."""
     for path in candidates:
